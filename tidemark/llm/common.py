@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 WHITE = b" \t\n\x0b\x0c\r"
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-SPLIT_TABLE = np.zeros(256, dtype=bool)
-SPLIT_TABLE[list(WHITE)] = True
+#: The bytes of words that white space parts.
+UNSPACED = np.ones(256, dtype=bool)
+UNSPACED[list(WHITE)] = False
+_BASE = 0x9E3779B97F4A7C15
+_BLOCK = 1 << 20
+_POWERS: list[np.ndarray] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of 4 MB at most: whole texts pass through Python, so rows alone don't bound a batch."""
+    """Arrow batches of 1 MB at most, or one row: whole texts pass through Python, so rows alone don't bound a batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
 
 
 def store_path(spark: SparkSession, label: str) -> str:
@@ -61,3 +65,68 @@ def batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 def letters(text: str) -> bool:
     return re.search(r"[^\W\d_]", text) is not None
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The powers of the base and of its inverse modulo 2^64, up to n at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 16, n + n // 4)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def words_of(raw: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the runs of bytes that table holds; no word reaches over a cut.
+
+    cuts: ascending places, such as where texts start. Bytes are read in blocks that end between words.
+    """
+    n, at, parts = len(raw), 0, []
+    while at < n:
+        end = min(n, at + _BLOCK)
+        while end < n:
+            outside = np.flatnonzero(~table[raw[end - 1 : end + _BLOCK]])
+            if len(outside):
+                end += max(0, int(outside[0]) - 1)
+                break
+            end = min(n, end + _BLOCK)
+        block = raw[at:end]
+        inside = table[block]
+        here = cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, end)] - at
+        edge = np.zeros(len(block) + 1, dtype=bool)
+        edge[here] = True
+        edge[0] = edge[-1] = True
+        padded = np.zeros(len(block) + 2, dtype=bool)
+        padded[1:-1] = inside
+        starts = np.flatnonzero(inside & (~padded[:-2] | edge[:-1]))
+        ends = np.flatnonzero(inside & (~padded[2:] | edge[1:])) + 1
+        up, down = _powers(len(block) + 1)
+        sums = np.zeros(len(block) + 1, dtype=np.uint64)
+        np.cumsum(block * up[: len(block)], out=sums[1:])
+        parts.append((starts + at, ends + at, (sums[ends] - sums[starts]) * down[starts]))
+        at = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers whose bits all depend on each other."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all n consecutive words, from the words' hashes."""
+    size = max(0, len(codes) - n + 1)
+    total = np.zeros(size, dtype=np.uint64)
+    for k in range(n):
+        total = (total ^ (total >> np.uint64(29))) * np.uint64(_BASE) + mix(codes[k : k + size] + np.uint64(k + 1))
+    return mix(total)
+
+
+def texts_of(column: pa.Array, table: bytes | None = None) -> tuple[bytes, np.ndarray]:
+    """The texts of a column one after the other, null as empty, and where each starts; the last place is the end."""
+    parts = [x or b"" for x in binary_list(column)]
+    data = b"".join(parts)
+    return data.translate(table) if table else data, np.cumsum([0] + [len(x) for x in parts])

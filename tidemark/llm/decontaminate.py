@@ -25,40 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, batch
+from .common import ASCII_LOWER, batch, texts_of, words_of
 
 WINDOW, STEP, BLOCK_CHARS = 10, 8, 8_000_000
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """The powers of the base and of its inverse modulo 2^64, up to n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _UNBASE)]
-    return _POWERS
-
-
-def words_of(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of lower-cased bytes; no word reaches over a cut."""
-    inside = _WORD[raw]
-    before = np.zeros(len(raw), dtype=bool)
-    before[1:] = inside[:-1]
-    before[cuts[cuts < len(raw)]] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.zeros(len(raw), dtype=bool)
-    after[:-1] = inside[1:]
-    inner = cuts[(cuts > 0) & (cuts <= len(raw))]
-    after[inner - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(raw * up[: len(raw)], out=sums[1:])
-    return starts, ends, (sums[ends] - sums[starts]) * down[starts]
 
 
 class Wavelet:
@@ -166,7 +137,7 @@ def phrases_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> Phr
     hashes: dict[bytes, int] = {}
     for item, text in items:
         raw = np.frombuffer((text or "").encode("utf-8", "replace").translate(ASCII_LOWER), dtype=np.uint8)
-        starts, ends, codes = words_of(raw, np.zeros(0, dtype=np.int64))
+        starts, ends, codes = words_of(raw, np.zeros(1, dtype=np.int64), _WORD)
         words = [raw[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
         hashes.update(zip(words, codes.tolist(), strict=True))
         for k in range(max(1, len(words) - window + 1) if words else 0):
@@ -229,11 +200,9 @@ _FINAL = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", p
 def _shard(phrases: Phrases | None, b: pa.RecordBatch, last: bool) -> pa.RecordBatch:
     """Adds what one block of the benchmark finds in one batch."""
     ids, earlier, named = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-    texts = b.column(1).cast(pa.binary()).to_pylist()
-    data = b"".join(x or b"" for x in texts).translate(ASCII_LOWER)
+    data, cuts = texts_of(b.column(1), ASCII_LOWER)
     raw = np.frombuffer(data, dtype=np.uint8)
-    cuts = np.cumsum([0] + [len(x or b"") for x in texts])
-    starts, ends, codes = words_of(raw, cuts)
+    starts, ends, codes = words_of(raw, cuts, _WORD)
     doc_of = np.searchsorted(cuts[1:], starts, side="right")
     first_word = np.searchsorted(doc_of, np.arange(len(ids) + 1))
     step = np.zeros(len(starts) + 1, dtype=np.int64)
