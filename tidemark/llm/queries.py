@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, html_text, language_id, quality, secrets, token_counts
+from . import bpe, decontaminate, exact_dedup, html_text, language_id, quality, secrets, substring_dedup, token_counts
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_html_text": op6_html_text,
     "op7_decontaminate": op7_decontaminate,
@@ -64,6 +69,16 @@ ORACLE: dict[str, str] = {
                row_number() OVER g = 1 AS kept, sha256(body) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY body ORDER BY length(t) DESC, doc_id NULLS LAST)
     """,
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        windows AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 49], ' ') AS content FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+        firsts AS (SELECT content, min(doc_id) AS first FROM windows GROUP BY content HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS k FROM windows w JOIN firsts f ON w.content = f.content WHERE first < doc_id),
+        words AS (SELECT r, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS word FROM d),
+        kept AS (SELECT w.r, count(*) AS n, string_agg(word, ' ' ORDER BY w.k) AS body FROM words w ANTI JOIN gone g ON w.r = g.r AND w.k = g.k GROUP BY w.r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k ON d.r = k.r
+    """,
     "op7_decontaminate": r"""
         WITH item_words AS (
             SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
