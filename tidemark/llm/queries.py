@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, html_text, language_id, quality, secrets, substring_dedup, token_counts
+from . import bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, secrets, substring_dedup, token_counts
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
@@ -97,4 +102,16 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id
     """,
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        shingles AS (SELECT DISTINCT r, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS i FROM d WHERE len(ws) > 0)),
+        sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+        common AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+        links AS (SELECT x, y FROM common c JOIN sizes m ON m.r = x JOIN sizes n ON n.r = y WHERE 100 * k >= 90 * (m.n + n.n - k)),
+        ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+        reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x)
+        SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+        FROM d LEFT JOIN sizes ON d.r = sizes.r JOIN reach ON reach.x = d.r JOIN d e ON reach.y = e.r GROUP BY d.r
+    """,
 }
