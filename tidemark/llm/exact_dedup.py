@@ -57,8 +57,8 @@ def _key(data: bytes, modulus: int) -> bytes:
 
 
 _KEYS = pa.schema([("key", pa.binary())])
-_PIECES = pa.schema([("key", pa.binary()), ("salt", pa.int32()), ("uid", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("piece", pa.binary())])
-_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("key", pa.binary()), ("salt", pa.int32()), ("branch", pa.int32()), ("head", pa.binary())])
+_PIECES = pa.schema([("key", pa.binary()), ("salt", pa.int32()), ("uid", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n_chars", pa.int64()), ("piece", pa.binary())])
+_ROWS = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n_chars", pa.int64()), ("text_sha256", pa.string()), ("key", pa.binary()), ("salt", pa.int32()), ("branch", pa.int32()), ("head", pa.binary())])
 _DDL = {"binary": "binary", "int32": "int", "int64": "bigint", "string": "string"}
 
 
@@ -67,8 +67,9 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def exact_classes(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row for each row of docs(doc_id, text): uid, doc_id, n_chars, text_sha256, keep_uid, keep_id, group_size, kept."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """One row for each row of docs(doc_id, text): uid, doc_id, tag (a hash of the text as written), n_chars,
+    text_sha256, keep_uid, keep_id, group_size, kept."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,14 +88,14 @@ def exact_classes(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK, h
             rows = {f.name: [] for f in _PIECES}
             size = 0
             ids, lengths = b.column(0).to_pylist(), pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()
-            for doc_id, n_chars, data in zip(ids, lengths, binary_list(b.column(1)), strict=True):
+            for doc_id, tag, n_chars, data in zip(ids, b.column(2).to_pylist(), lengths, binary_list(b.column(1)), strict=True):
                 data = normal(data)
                 key = _key(data, modulus)
                 uid += 1
                 parts = max(1, -(-len(data) // chunk))
                 for part in range(parts):
                     piece = data[part * chunk : (part + 1) * chunk]
-                    for name, value in zip(rows, (key, uid % hot.get(key, 1), uid, part, parts, doc_id, n_chars, piece), strict=True):
+                    for name, value in zip(rows, (key, uid % hot.get(key, 1), uid, part, parts, doc_id, tag, n_chars, piece), strict=True):
                         rows[name].append(value)
                     size += len(piece)
                     if size > 4 * CHUNK:
@@ -107,7 +108,7 @@ def exact_classes(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK, h
         at, heads, alive, own, digest = None, [], [], [], hashlib.sha256()
         for b in batches:
             rows = {f.name: [] for f in _ROWS}
-            for key, salt, uid, part, parts, doc_id, n_chars, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, salt, uid, part, parts, doc_id, tag, n_chars, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if at != (key, salt):
                     at, heads = (key, salt), []
                 if part == 0:
@@ -125,7 +126,7 @@ def exact_classes(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK, h
                     heads.append(own)
                     alive = [len(heads) - 1]
                 head = b"".join(own) if fresh and key in hot else None
-                for name, value in zip(rows, (uid, doc_id, n_chars, digest.hexdigest(), key, salt, alive[0], head), strict=True):
+                for name, value in zip(rows, (uid, doc_id, tag, n_chars, digest.hexdigest(), key, salt, alive[0], head), strict=True):
                     rows[name].append(value)
                 own = []
             yield batch(rows, _ROWS)
@@ -144,7 +145,7 @@ def exact_classes(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK, h
     shared = groups.filter("group_size > 1").select("key", "salt", "branch", F.col("best.uid").alias("keep_uid"), F.col("best.doc_id").alias("keep_doc"), "group_size")
     out = flat.join(shared, ["key", "salt", "branch"], "left")
     return out.select(
-        "uid", "doc_id", "n_chars", "text_sha256",
+        "uid", "doc_id", "tag", "n_chars", "text_sha256",
         F.coalesce("keep_uid", "uid").alias("keep_uid"),
         F.when(F.col("keep_uid").isNull(), F.col("doc_id")).otherwise(F.col("keep_doc")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
@@ -154,12 +155,12 @@ def exact_classes(docs: DataFrame, modulus: int = MODULUS, chunk: int = CHUNK, h
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts one, the longest as written, then the smallest doc_id."""
-    classes = materialize(exact_classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), "text_sha256", "keep_id"), "op1-gone")
-    repeated = F.col("keep_id").eqNullSafe(F.col("gone_id"))  # the row that stays has the same id: an equal row
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("text_sha256"))
-    left = docs.join(classes.filter(~repeated), same, "left_anti")
-    again = classes.filter(repeated).select("gone_id", "text_sha256").distinct()
+    classes = exact_classes(docs).filter(~F.col("kept"))
+    gone = materialize(classes.select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("again")), "op1-gone")
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_tag"))
+    left = docs.join(gone.filter("NOT again"), same, "left_anti")
+    # the row that stays has the same id: of rows that are equal in both, one is kept
+    again = gone.filter("again").distinct()
     if again.isEmpty():
         return left
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
