@@ -46,14 +46,14 @@ def wls(z: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-6) -> np.
 
 
 def explain(df: DataFrame, explainer: KernelExplainer, features: list[str], key: str = "event_id", vector: str = "vector") -> DataFrame:
-    """key, baseline, prediction, feature, value: one row per feature. Rows are explained where they are, seeded by their key."""
-    shared = df.sparkSession.sparkContext.broadcast(explainer)
+    """key, baseline, prediction, feature, value: one row per feature. Rows are explained where they are, seeded by their key.
+    The explainer travels with the function, so its predict may be any callable."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, v in zip(b[key], b[vector], strict=True):
-                got = shared.value.explain(np.asarray(v), int(k))
+                got = explainer.explain(np.asarray(v), int(k))
                 out += [(k, got["baseline"], got["prediction"], f, float(x)) for f, x in zip(features, got["values"], strict=True)]
             yield pd.DataFrame(out, columns=[key, "baseline", "prediction", "feature", "value"])
 
