@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
         # a small star: neighbours below a node and the node go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.filter("a <> b").distinct(), "stars")
+        before, edges = edges, materialize(small.filter("a <> b").distinct(), "stars")
+        discard(before)
         # stars only: no centre of one is a point of another, and no point has two centres
         chained = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
         if chained.isEmpty() and edges.groupBy("a").count().filter("count > 1").isEmpty():

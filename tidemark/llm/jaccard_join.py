@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, UNSPACED, batch, grams, materialize, mix, texts_of, words_of
+from .common import ASCII_LOWER, UNSPACED, batch, discard, grams, materialize, mix, texts_of, words_of
 from .components import components
 from .substring_dedup import runs
 
-GROUPS, PIECE, SEEN = 64, 2_048, 20_000
+GROUPS, PIECE, SEEN = 128, 2_048, 20_000
 
 _SIZES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("rest", pa.int64()), ("point", pa.binary())])
 _KEYS = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
+_SHARED = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("list_a", pa.int64()), ("list_b", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -61,6 +62,22 @@ def sets_of(b: pa.RecordBatch, column: int, n: int) -> list[np.ndarray]:
     return out
 
 
+_WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
+def point(members: np.ndarray) -> bytes:
+    """How many hashes fall in each group, in the narrowest integers that hold them."""
+    counts = np.bincount(((members >> np.uint64(7)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    width = 1 if counts.max() < 256 else 2 if counts.max() < 65_536 else 4
+    return counts.astype(_WIDTHS[width]).tobytes()
+
+
+def points_of(blobs: list[bytes]) -> np.ndarray:
+    if all(len(x) == GROUPS for x in blobs):
+        return np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(len(blobs), GROUPS)
+    return np.stack([np.frombuffer(x, dtype=_WIDTHS[len(x) // GROUPS]).astype(np.uint32) for x in blobs])
+
+
 def _class(members: np.ndarray, salt: int) -> tuple[int, int]:
     digest = hashlib.blake2b(members.tobytes(), digest_size=16, salt=salt.to_bytes(8, "little")).digest()
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -155,14 +172,14 @@ def _sizes(docs: DataFrame, n: int, salt: int) -> DataFrame:
         for b in batches:
             sets = sets_of(b, 2, n)
             named = [_class(s, salt) for s in sets]
-            points = [np.bincount(((s >> np.uint64(7)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes() for s in sets]
+            points = [point(s) for s in sets]
             yield batch({"doc_id": b.column(0).to_pylist(), "tag": b.column(1).to_pylist(), "n_shingles": [len(s) for s in sets], "cls": [c[0] for c in named], "rest": [c[1] for c in named], "point": points}, _SIZES)
 
     return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, cls bigint, rest bigint, point binary")
 
 
 def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
-    """key, cls for buckets of two classes at least."""
+    """key, cls, list_a, list_b for buckets of two classes at least; the lists are 128 bits of a hash of the bucket's classes."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()  # classes that this task has dealt out just now
@@ -196,16 +213,24 @@ def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
             edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             keep = fresh & np.repeat((cls[edges[:-1]] != cls[edges[1:] - 1]) | large, np.diff(edges))
             last = (key[-1], cls[-1]) if large else None
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep])], schema=_KEYS)
+            key, cls = key[keep], cls[keep]
+            if large:
+                lists = key, np.full(len(key), -1)
+            else:  # equal member lists have equal sums
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, dtype=np.int64)
+                sizes = np.diff(np.concatenate([starts, [len(key)]]))
+                member = mix(cls.astype(np.uint64))
+                lists = [np.repeat(np.add.reduceat(x, starts), sizes).astype(np.int64) if len(key) else cls for x in (member, mix(member + np.uint64(1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cls, *lists)], schema=_SHARED)
 
     rows = docs.select("text").mapInArrow(keys, "key bigint, cls bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key bigint, cls bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key bigint, cls bigint, list_a bigint, list_b bigint")
 
 
 def _groups(b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
     """Of rows gid, cls, n, point, ...: each gid's rows."""
     gid, cls, sizes = (b.column(k).to_numpy() for k in range(3))
-    points = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint32).reshape(len(b), GROUPS)
+    points = points_of(b.column(3).to_pylist())
     edges = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1, [len(gid)]])
     for s, e in zip(edges[:-1], edges[1:], strict=True):
         if e - s > 1:
@@ -308,21 +333,28 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
         if classes.filter("rest <> other").isEmpty():  # else two sets share a class number: number anew
             break
         salt += 1
-    shared = materialize(_buckets(docs, n, salt, levels), "op10-buckets")
+    found = materialize(_buckets(docs, n, salt, levels), "op10-buckets")
+    # near copies share many buckets with the very same members: one of them is searched
+    one = found.groupBy("list_a", "list_b").agg(F.min("key").alias("key"))
+    shared = materialize(found.join(one, ["list_a", "list_b", "key"]).select("key", "cls"), "op10-shared")
+    discard(found)
     counts = shared.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
     counts = counts.select("key", F.ceil(F.col("k") / PIECE).cast("bigint").alias("pieces"))
     used = materialize(shared.select("cls").distinct().join(classes.select("cls", "n", "point", "witness"), "cls"), "op10-used")
     members = materialize(shared.join(counts, "key").join(used.select("cls", "n", "point"), "cls").select("key", "pieces", "cls", "n", "point"), "op10-members")
     witness = used.select("cls", F.col("witness.doc_id").alias("doc_id"), F.col("witness.tag").alias("tag"))
     same = docs["doc_id"].eqNullSafe(witness["doc_id"]) & docs["tag"].eqNullSafe(witness["tag"])
-    sets = materialize(_members(docs.join(witness, same).select("cls", "text").dropDuplicates(["cls"]), n), "op10-sets")
+    # by merging at any size, so that what is shuffled follows the input
+    sets = materialize(_members(docs.join(witness.hint("merge"), same).select("cls", "text").dropDuplicates(["cls"]), n), "op10-sets")
     links = materialize(_verified(_first_partners(members, levels), sets, levels), "op10-links")
+    discard(shared, used)
     labels = components(links)
     labelled = members.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     buckets = members.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("buckets"))
     again = _other_pairs(labelled.join(mixed, "key").join(buckets, "cls"), levels)
     more = materialize(_verified(again.join(links, ["a", "b"], "left_anti"), sets, levels), "op10-more")
+    discard(members, sets)
     final = components(links.unionByName(more))
     groups = classes.select("cls", "least").join(final.select(F.col("node").alias("cls"), "label"), "cls")
     least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
