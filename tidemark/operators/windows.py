@@ -33,8 +33,10 @@ def user_windows(txns: DataFrame) -> DataFrame:
     """Per transaction of a named user: counts, mean, deviation (population), maximum and distinct cities and devices."""
     w = {k: frame("payer_vpa", k) for k in LENGTHS}
     known = F.coalesce(F.col("payer_vpa"), F.lit("")) != ""
+    upto = Window.partitionBy("payer_vpa").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return txns.filter(known).select(
         "*",
+        F.count(F.lit(1)).over(upto).alias("user_global_freq"),
         *(F.count(F.lit(1)).over(w[k]).alias(f"user_txn_count_{k}") for k in LENGTHS),
         F.avg("amount").over(w["1h"]).alias("user_amount_mean_1h"),
         F.stddev_pop("amount").over(w["1h"]).alias("user_amount_std_1h"),
@@ -71,25 +73,30 @@ def running_totals(rows: DataFrame, key: str, order: list[str], measures: dict[s
     return joined.select(*(c for c in rows.columns if c != "_bucket"), *((F.sum(m).over(inside) + F.col(f"_before_{n}")).alias(n) for n, m in measures.items()))
 
 
-def totals_asof(events: DataFrame, probes: DataFrame, key: str, bucket_us: int = 24 * 3600 * SECOND) -> DataFrame:
+def totals_asof(events: DataFrame, probes: DataFrame, key: str, bucket_us: int = 24 * 3600 * SECOND, tie: str | None = None) -> DataFrame:
     """For each probe (key, at, and its other columns) the count and sum of events (key, us, amount) up to and with `at`.
 
-    A sort-merge as-of form: events and probes are ordered together, so the cost is that of one sort."""
+    A sort-merge as-of form: events and probes are ordered together, so the cost is that of one sort. With tie, a column that
+    orders events of one time and is among the probes' columns, events stay too, with what stands up to and with themselves."""
     extra = [c for c in probes.columns if c not in (key, "at")]
-    both = events.select(F.col(key), F.col("us").alias("at"), F.lit(0).alias("_probe"), F.lit(1).alias("_n"), F.coalesce("amount", F.lit(0.0)).alias("_x"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra))
+    blank = lambda c: F.col(c) if c == tie else F.lit(None).cast(probes.schema[c].dataType)
+    both = events.select(F.col(key), F.col("us").alias("at"), F.lit(0).alias("_probe"), F.lit(1).alias("_n"), F.coalesce("amount", F.lit(0.0)).alias("_x"), *(blank(c).alias(c) for c in extra))
     both = both.unionByName(probes.select(key, "at", F.lit(1).alias("_probe"), F.lit(0).alias("_n"), F.lit(0.0).alias("_x"), *extra))
-    out = running_totals(both, key, ["at", "_probe"], {"n": F.col("_n"), "total": F.col("_x")}, F.expr(f"at div {bucket_us}"))
-    return out.filter("_probe = 1").select(key, "at", *extra, "n", "total")
+    order = ["at", "_probe"] + [tie] * (tie is not None)
+    out = running_totals(both, key, order, {"n": F.col("_n"), "total": F.col("_x")}, F.expr(f"at div {bucket_us}"))
+    return (out if tie else out.filter("_probe = 1")).select(key, "at", *extra, "n", "total")
 
 
 def entity_windows(txns: DataFrame, key: str, windows: list[str], bucket_us: int = 24 * 3600 * SECOND) -> DataFrame:
-    """event_id with n_<window> and total_<window> for the entity's rolling windows; rows of unnamed entities are absent."""
+    """event_id with n_<window> and total_<window> for the entity's rolling windows, and freq, its transactions up to this one;
+    rows of unnamed entities are absent. One shuffle by entity and one by event_id."""
     known = txns.filter(F.coalesce(F.col(key), F.lit("")) != "").select("event_id", key, "us", "amount")
     ends = F.array(F.struct(F.lit("now").alias("slot"), F.col("us").alias("at")), *(F.struct(F.lit(w).alias("slot"), (F.col("us") - LENGTHS[w] * SECOND - 1).alias("at")) for w in windows))
     probes = known.select("event_id", key, F.explode(ends).alias("p")).select("event_id", key, "p.slot", "p.at")
-    found = totals_asof(known, probes, key, bucket_us)
+    found = totals_asof(known, probes, key, bucket_us, "event_id")
     at = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
-    return found.groupBy("event_id").agg(*(x for w in windows for x in ((at("now", "n") - at(w, "n")).alias(f"n_{w}"), (at("now", "total") - at(w, "total")).alias(f"total_{w}"))))
+    sums = [x for w in windows for x in ((at("now", "n") - at(w, "n")).alias(f"n_{w}"), (at("now", "total") - at(w, "total")).alias(f"total_{w}"))]
+    return found.groupBy("event_id").agg(*sums, F.max(F.when(F.col("slot").isNull(), F.col("n"))).alias("freq"))
 
 
 def stats_asof(txns: DataFrame, probes: DataFrame, key: str, window: str) -> DataFrame:
