@@ -10,7 +10,9 @@ from ..operators.rules import Limits, RuleEngine
 from ..operators.sketch import CountMin
 from ..schema import FEATURES
 from ..sources import card
-from ..sources.transactions import CITIES, VIEW_CODES, transactions
+from ..session import shared_path
+from ..sources.transactions import CITIES, VIEW_CODES, generate, transaction_stream, transactions
+from ..streaming import stateful
 from . import scoring
 
 #: Means can fall on ties of a rounding, which engines break by their last bits: 1e-7 is added before rounding on both sides.
@@ -555,3 +557,70 @@ def decide_end_to_end(spark: SparkSession, d: str) -> DataFrame:
 def quality_label_auc(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/labels.parquet").filter("quality IS NOT NULL").select("quality", F.expr("cast(doc_id * 7919 % 101 as double) / 101.0D").alias("score"))
     return metrics.auc(rows, "score", "quality").select(F.round("auc", 8).alias("auc"), "positives", "negatives")
+
+
+@query("stream_user_windows", ORACLE["user_window_features"].replace("round(user_amount_std_1h, 4)", "round(user_amount_std_1h, 3)"))
+def stream_user_windows(spark: SparkSession, d: str) -> DataFrame:
+    got = stateful.run_to_files(stateful.rolling_user_windows(transaction_stream(spark, d)), shared_path(spark, "stream-windows"))
+    return got.select("event_id", *(f"user_txn_count_{k}" for k in windows.LENGTHS), F.round("user_amount_mean_1h", 4).alias("mean_1h"), F.round("user_amount_std_1h", 3).alias("std_1h"), F.col("user_amount_max_24h").alias("max_24h"))
+
+
+@query("stream_anchored_dedup", ORACLE["dedup_alerts"].replace("SELECT event_id, payer_vpa, alert_type, us FROM walk", 'SELECT event_id, payer_vpa AS "user", alert_type, us FROM walk'))
+def stream_anchored_dedup(spark: SparkSession, d: str) -> DataFrame:
+    t = transaction_stream(spark, d).withColumn("score", F.expr("cast((event_id * 7919) % 1000 as double) / 1000.0D"))
+    e = alerts.eligible(t.withColumn("decision", scoring.threshold(F.col("score")))).select("event_id", "us", F.col("payer_vpa").alias("user"), "alert_type")
+    return stateful.run_to_files(stateful.anchored_dedup(e, alerts.WINDOW_S * windows.SECOND), shared_path(spark, "stream-dedup"))
+
+
+@query("stream_sketch_cells", ORACLE["cms_cells"])
+def stream_sketch_cells(spark: SparkSession, d: str) -> DataFrame:
+    return stateful.run_complete(stateful.running_sketch(transaction_stream(spark, d), "device_id", SKETCH), shared_path(spark, "stream-sketch"))
+
+
+@query("shap_linear_model", f"WITH {TXN} SELECT event_id, round(amount / 10000 - 2 * device_age_hours / 10000 + 0.5 * (event_id % 33 = 0)::INT, 6) AS prediction, 0.0::DOUBLE AS gap FROM txn")
+def shap_linear_model(spark: SparkSession, d: str) -> DataFrame:
+    """Attributions of a linear model add up to its score less the base rate."""
+    import numpy as np
+
+    from ..operators.explain import KernelExplainer, explain
+
+    w = np.array([1.0, -2.0, 0.5])
+    background = np.stack([np.linspace(0, 4, 50), np.linspace(0.8, 0, 50), np.arange(50) % 2], axis=1)
+    vectors = transactions(spark, d).select("event_id", F.array(F.col("amount") / 10000, F.col("device_age_hours") / 10000, F.col("is_new_device").cast("double")).alias("vector"))
+    values = explain(vectors, KernelExplainer(lambda x: x @ w, background, 32), ["amount", "age", "new"])
+    return values.groupBy("event_id").agg(F.round(F.first("prediction"), 6).alias("prediction"), F.abs(F.round(F.first("prediction") - F.first("baseline") - F.sum("value"), 6)).alias("gap"))
+
+
+@query("model_decisions")
+def model_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """The whole decision with an ensemble of both models, trained on a bounded sample: the 2,000 first rows in a hashed order."""
+    import numpy as np
+
+    from ..operators.models import GBT, MLP, Ensemble, score
+
+    t = transactions(spark, d)
+    f = features.features(t).select("event_id", features.vector().alias("vector"), F.col("is_fraud").cast("int").alias("y"))
+    rows = metrics.reservoir(f, 2_000, 42, "event_id").collect()
+    x, y = np.array([r["vector"] for r in rows]), np.array([r["y"] for r in rows])
+    mlp, gbt = MLP(x.shape[1], (16, 8)), GBT(10, depth=3)
+    model = Ensemble(mlp, gbt)
+    model.fit_normalizer(x)
+    mlp.fit(model.normalize(x), y, epochs=3)
+    gbt.fit(x, y)
+    out = scoring.decide(t, lambda df: score(df, model), RuleEngine(LIMITS), model_version="ensemble")
+    return scoring.response(out)
+
+
+@query("synthetic_transactions")
+def synthetic_transactions(spark: SparkSession, d: str) -> DataFrame:
+    return generate(spark, 5_000).drop("ts")
+
+
+@query("audit_roundtrip", f"WITH {SCORED} SELECT decision, count(*) AS n, count(*) AS shadow FROM scored GROUP BY 1 UNION ALL SELECT 'ALL', count(*), count(*) FROM scored")
+def audit_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.registry import append_audit, audit_entries, audit_stats, load_audit
+
+    path = shared_path(spark, "audit")
+    s = scored(spark, d).withColumns({"vector": F.array("amount", "score"), "rule_score": F.lit(0.0), "ml_score": F.col("score")})
+    append_audit(audit_entries(s, "v1", True), path)
+    return audit_stats(load_audit(spark, path))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,13 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for k, v in settings.items():
         builder = builder.config(k, v)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where a local session has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/tidemark-shared"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -32,7 +32,16 @@ def pick(values: list[str], index: Column) -> Column:
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical view of events; `us` is event time in microseconds from 2024, compressed 600 times."""
-    e = events(spark, sf_dir)
+    return view(events(spark, sf_dir))
+
+
+def transaction_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same view of the events file as a stream."""
+    schema = events(spark, sf_dir).schema
+    return view(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def view(e: DataFrame) -> DataFrame:
     return e.select(
         "event_id",
         F.concat(F.lit("txn_"), F.col("event_id").cast("string")).alias("transaction_id"),

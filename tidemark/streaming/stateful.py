@@ -123,3 +123,21 @@ def learn(learner, vector: str = "vector", label: str = "is_fraud", most: int =
             learner.update(np.array(row[0], dtype=np.float64), int(row[1]))
 
     return run
+
+
+def run_to_files(query: DataFrame, path: str) -> DataFrame:
+    """Runs an append-mode stream over what there is now into files below path; exactly once, by its checkpoint."""
+    q = query.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return query.sparkSession.read.schema(query.schema).parquet(f"{path}/out")
+
+
+def run_complete(query: DataFrame, path: str) -> DataFrame:
+    """The same for complete mode: the last batch's whole result stays."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    q = query.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return query.sparkSession.read.schema(query.schema).parquet(f"{path}/out")
