@@ -4,16 +4,17 @@ Documents with equal sets are one class from the start. Then:
 
 1. Classes are dealt to buckets so that any two that can link meet. Sizes fall into levels whose ends differ by the
    threshold, so linked sets stand in one level or in neighbouring ones. With sizes in a level, linked sets differ in at
-   most D members; hashes cut the members into D + 1 blocks, and at least one block is the same in both. A bucket is a
-   level, a block and what a set holds of it; a class goes to its own level's and the next one's.
-2. In each bucket the members' points (how many of a set's hashes fall in each of ``GROUPS`` groups) stand in an R-tree. The
-   overlap of two sets is at most the sum over groups of the lesser count, and for a box that of the box's upper ends.
-   First each class takes the least partner that the bound leaves; verified links make components. Then all pairs of
-   classes in different components that the bound leaves are verified, each once, in the first bucket that both share.
-3. Verified links make the final components.
-
-A bucket of more than ``PIECE`` classes is dealt out in pieces: to each own piece, and for the second search to each pair of
-pieces. Links between classes of one component need no check: they can't change the result.
+   most D members; hashes cut the members into D + 1 + ``SPARE`` blocks, and more than ``SPARE`` blocks are the same in both.
+   A bucket is a level, a block and what a set holds of it; a class goes to its own level's and the next one's. Empty blocks
+   make no bucket unless a set has more than ``SPARE`` of them.
+2. Classes that share a bucket, directly or by others, make a cluster; all links lie within clusters. A cluster's points (how
+   many of a set's hashes fall in each of ``GROUPS`` groups) stand in an R-tree. The overlap of two sets is at most the sum over
+   groups of the lesser count, and for a box that of the box's upper ends. Pairs that the bound leaves and that aren't
+   connected yet are verified on their sets.
+3. Verified links make the components.
+
+A cluster of more than ``PIECE`` classes or ``PIECE_MEMBERS`` set members is dealt out in pieces: a task has one pair of pieces.
+Links between classes that verified links connect already need no check: they can't change the result.
 
 Cases: null and empty texts and texts without words have the empty set and link with nothing; with fewer words than an
 n-gram has, the whole sequence is the one member; equal rows get equal results; a null doc_id is a document like others,
@@ -36,11 +37,10 @@ from .common import ASCII_LOWER, UNSPACED, batch, discard, grams, materialize, m
 from .components import components
 from .substring_dedup import runs
 
-GROUPS, PIECE, SEEN = 128, 2_048, 20_000
+GROUPS, PIECE, PIECE_MEMBERS, SPARE, SEEN = 128, 2_048, 1_000_000, 2, 20_000
 
 _SIZES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("rest", pa.int64()), ("point", pa.binary())])
 _KEYS = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
-_SHARED = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("list_a", pa.int64()), ("list_b", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -100,12 +100,14 @@ class Levels:
         out = []
         for at in (level, level + 1):
             top = int(self.starts[at + 1]) - 1
-            blocks = 2 * top * (self.whole - self.part) // (self.whole + self.part) + 1
+            blocks = 2 * top * (self.whole - self.part) // (self.whole + self.part) + 1 + SPARE
             width = np.uint64(min((1 << 64) // blocks, (1 << 64) - 1))
             edges = np.searchsorted(members, np.arange(1, blocks, dtype=np.uint64) * width)
             edges = np.concatenate([[0], edges, [len(members)]])
             held = sums[edges[1:]] - sums[edges[:-1]]
-            out.append(mix(held + mix(np.arange(blocks, dtype=np.uint64) + np.uint64(at << 40))))
+            keys = mix(held + mix(np.arange(blocks, dtype=np.uint64) + np.uint64(at << 40)))
+            full = edges[1:] > edges[:-1]
+            out.append(keys if blocks - np.count_nonzero(full) > SPARE else keys[full])
         return np.concatenate(out).astype(np.int64)
 
 
@@ -179,7 +181,7 @@ def _sizes(docs: DataFrame, n: int, salt: int) -> DataFrame:
 
 
 def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
-    """key, cls, list_a, list_b for buckets of two classes at least; the lists are 128 bits of a hash of the bucket's classes."""
+    """a, b: links from classes to the first class of a bucket that they share."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()  # classes that this task has dealt out just now
@@ -206,111 +208,69 @@ def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(classes))], schema=_KEYS)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the last row of a large bucket whose next part follows
+        """A link from each class of a bucket to the bucket's first; classes come in order."""
+        head = None  # of a large bucket whose next part follows
         for b, large in runs(batches, 100_000):
             key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
-            fresh = np.concatenate([[last != (key[0], cls[0])], (np.diff(key) != 0) | (np.diff(cls) != 0)])
             edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            keep = fresh & np.repeat((cls[edges[:-1]] != cls[edges[1:] - 1]) | large, np.diff(edges))
-            last = (key[-1], cls[-1]) if large else None
-            key, cls = key[keep], cls[keep]
+            first = np.repeat(cls[edges[:-1]], np.diff(edges))
             if large:
-                lists = key, np.full(len(key), -1)
-            else:  # equal member lists have equal sums
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, dtype=np.int64)
-                sizes = np.diff(np.concatenate([starts, [len(key)]]))
-                member = mix(cls.astype(np.uint64))
-                lists = [np.repeat(np.add.reduceat(x, starts), sizes).astype(np.int64) if len(key) else cls for x in (member, mix(member + np.uint64(1)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cls, *lists)], schema=_SHARED)
+                head = head if head is not None and head[0] == key[0] else (key[0], cls[0])
+                first[:] = head[1]
+            pairs = np.stack([cls, first])[:, cls != first]
+            pairs = np.unique(pairs, axis=1) if pairs.size else pairs
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], schema=_PAIRS)
 
     rows = docs.select("text").mapInArrow(keys, "key bigint, cls bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key bigint, cls bigint, list_a bigint, list_b bigint")
-
+    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "a bigint, b bigint")
 
-def _groups(b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of rows gid, cls, n, point, ...: each gid's rows."""
-    gid, cls, sizes = (b.column(k).to_numpy() for k in range(3))
-    points = points_of(b.column(3).to_pylist())
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1, [len(gid)]])
-    for s, e in zip(edges[:-1], edges[1:], strict=True):
-        if e - s > 1:
-            yield slice(s, e), cls[s:e], sizes[s:e], points[s:e]
 
-
-def _first_partners(members: DataFrame, levels: Levels) -> DataFrame:
-    """a, b: for each class the least one before it that the bound leaves in some bucket."""
+def _links(cells: DataFrame, levels: Levels) -> DataFrame:
+    """a, b: verified links that connect what is connected within each cell. cells: gid, cls, side, point, members."""
     part, whole = levels.part, levels.whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, _ in runs(batches, 1 << 60):
+            gid, all_cls, all_sides = (b.column(k).to_numpy() for k in range(3))
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1, [len(gid)]])
             out_a, out_b = [], []
-            for _, cls, sizes, points in _groups(b):
-                who, other = RTree(points, sizes).search(points, sizes, part, whole)
-                keep = cls[other] < cls[who]
-                if keep.any():
-                    a, c = cls[who[keep]], cls[other[keep]]
-                    order = np.lexsort((c, a))
-                    a, c = a[order], c[order]
-                    first = np.concatenate([[True], a[1:] != a[:-1]])
-                    out_a.append(a[first])
-                    out_b.append(c[first])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=_PAIRS)
-
-    cells = members.select(F.xxhash64("key", F.pmod(F.xxhash64("cls"), "pieces")).alias("gid"), "cls", "n", "point")
-    found = cells.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
-    return found.groupBy("a").agg(F.min("b").alias("b"))
-
-
-def _other_pairs(members: DataFrame, levels: Levels) -> DataFrame:
-    """a, b: all pairs of classes of different components that the bound leaves, each from the first bucket both share."""
-    part, whole = levels.part, levels.whole
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _ in runs(batches, 1 << 60):
-            key, label, side = (b.column(k).to_numpy() for k in (4, 5, 6))
-            buckets = b.column(7).to_pylist()
-            for rows, cls, sizes, points in _groups(b):
-                tree = RTree(points, sizes)
-                for at in range(0, len(cls), 256):
-                    who, other = tree.search(points[at : at + 256], sizes[at : at + 256], part, whole)
-                    who = who + at
-                    own, sides = label[rows], side[rows]
-                    keep = (cls[who] > cls[other]) & (own[who] != own[other])
-                    # a cell of two pieces is for pairs across them
-                    if (sides != sides[0]).any():
-                        keep &= sides[who] != sides[other]
-                    out_a, out_b = [], []
-                    for x, y in zip(who[keep].tolist(), other[keep].tolist(), strict=True):
-                        shared = np.intersect1d(buckets[rows.start + x], buckets[rows.start + y], assume_unique=True)
-                        if len(shared) and shared[0] == key[rows.start + x]:
-                            out_a.append(int(cls[x]))
-                            out_b.append(int(cls[y]))
-                    if out_a:
-                        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=_PAIRS)
-
-    # pieces i and j meet in the cell (least, largest); a piece alone in (i, i)
-    spread = members.withColumn("side", F.pmod(F.xxhash64("cls"), "pieces")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    cells = spread.select(F.xxhash64("key", F.least("side", "with"), F.greatest("side", "with")).alias("gid"), "cls", "n", "point", "key", "label", "side", "buckets")
-    return cells.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, levels: Levels) -> DataFrame:
-    """The pairs whose sets link."""
-    part, whole = levels.part, levels.whole
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                overlap = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append((part + whole) * overlap >= part * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(c[keep])], schema=_PAIRS)
-
-    left, right = sets.select(F.col("cls").alias("a"), F.col("members").alias("x")), sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if e - s < 2:
+                    continue
+                points = points_of(b.column(3).slice(s, e - s).to_pylist())
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in b.column(4).slice(s, e - s).to_pylist()]
+                for x, y in _connect(points, sets, all_sides[s:e], part, whole):
+                    out_a.append(int(all_cls[s + x]))
+                    out_b.append(int(all_cls[s + y]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=_PAIRS)
+
+    return cells.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
+
+
+def _connect(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, part: int, whole: int) -> Iterator[tuple[int, int]]:
+    """Links that join the parts of one cell; in a cell of two pieces only pairs across them are asked for."""
+    sizes = np.array([len(x) for x in sets])
+    root = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    tree, across = RTree(points, sizes), bool((sides != sides[0]).any())
+    for at in range(0, len(sets), 128):
+        who, other = tree.search(points[at : at + 128], sizes[at : at + 128], part, whole)
+        who = who + at
+        keep = who > other
+        if across:
+            keep &= sides[who] != sides[other]
+        for x, y in zip(who[keep].tolist(), other[keep].tolist(), strict=True):
+            if find(x) != find(y):
+                overlap = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if (part + whole) * overlap >= part * (len(sets[x]) + len(sets[y])):
+                    root[find(x)] = find(y)
+                    yield x, y
 
 
 def _members(docs: DataFrame, n: int) -> DataFrame:
@@ -333,29 +293,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
         if classes.filter("rest <> other").isEmpty():  # else two sets share a class number: number anew
             break
         salt += 1
-    found = materialize(_buckets(docs, n, salt, levels), "op10-buckets")
-    # near copies share many buckets with the very same members: one of them is searched
-    one = found.groupBy("list_a", "list_b").agg(F.min("key").alias("key"))
-    shared = materialize(found.join(one, ["list_a", "list_b", "key"]).select("key", "cls"), "op10-shared")
-    discard(found)
-    counts = shared.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1")
-    counts = counts.select("key", F.ceil(F.col("k") / PIECE).cast("bigint").alias("pieces"))
-    used = materialize(shared.select("cls").distinct().join(classes.select("cls", "n", "point", "witness"), "cls"), "op10-used")
-    members = materialize(shared.join(counts, "key").join(used.select("cls", "n", "point"), "cls").select("key", "pieces", "cls", "n", "point"), "op10-members")
+    clusters = components(_buckets(docs, n, salt, levels)).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    used = materialize(clusters.join(classes.select("cls", "n", "point", "witness"), "cls"), "op10-used")
+    counts = used.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("n") / PIECE_MEMBERS)).cast("bigint").alias("pieces"))
     witness = used.select("cls", F.col("witness.doc_id").alias("doc_id"), F.col("witness.tag").alias("tag"))
     same = docs["doc_id"].eqNullSafe(witness["doc_id"]) & docs["tag"].eqNullSafe(witness["tag"])
     # by merging at any size, so that what is shuffled follows the input
     sets = materialize(_members(docs.join(witness.hint("merge"), same).select("cls", "text").dropDuplicates(["cls"]), n), "op10-sets")
-    links = materialize(_verified(_first_partners(members, levels), sets, levels), "op10-links")
-    discard(shared, used)
-    labels = components(links)
-    labelled = members.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    buckets = members.groupBy("cls").agg(F.sort_array(F.collect_set("key")).alias("buckets"))
-    again = _other_pairs(labelled.join(mixed, "key").join(buckets, "cls"), levels)
-    more = materialize(_verified(again.join(links, ["a", "b"], "left_anti"), sets, levels), "op10-more")
-    discard(members, sets)
-    final = components(links.unionByName(more))
+    # pieces i and j of a cluster meet in the cell (least, largest)
+    spread = used.join(counts, "cluster").withColumn("side", F.pmod(F.xxhash64("cls"), "pieces")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    cells = spread.select(F.xxhash64("cluster", F.least("side", "with"), F.greatest("side", "with")).alias("gid"), "cls", "side", "point").join(sets, "cls").select("gid", "cls", "side", "point", "members")
+    links = materialize(_links(cells, levels), "op10-links")
+    discard(used, sets)
+    final = components(links)
     groups = classes.select("cls", "least").join(final.select(F.col("node").alias("cls"), "label"), "cls")
     least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = classes.select("cls", "least").join(groups.select("cls", "label").join(least, "label"), "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
