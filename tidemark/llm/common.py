@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -49,7 +50,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    # shuffle files of what is now written go when the driver's JVM sees that nothing refers to them
+    # shuffle files of what is now written go when neither the driver's Python nor its JVM refers to them
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 

@@ -4,9 +4,10 @@ Documents with equal sets are one class from the start. Then:
 
 1. Classes are dealt to buckets so that any two that can link meet. Sizes fall into levels whose ends differ by the
    threshold, so linked sets stand in one level or in neighbouring ones. With sizes in a level, linked sets differ in at
-   most D members; hashes cut the members into D + 1 + ``SPARE`` blocks, and more than ``SPARE`` blocks are the same in both.
+   most D members; hashes cut the members into D + 1 blocks and some spare ones (``SPARE`` and D / 8), and more blocks than the
+   spare ones are the same in both.
    A bucket is a level, a block and what a set holds of it; a class goes to its own level's and the next one's. Empty blocks
-   make no bucket unless a set has more than ``SPARE`` of them.
+   make no bucket unless a set has more of them than there are spare ones.
 2. Classes that share a bucket, directly or by others, make a cluster; all links lie within clusters. A cluster's points (how
    many of a set's hashes fall in each of ``GROUPS`` groups) stand in an R-tree. The overlap of two sets is at most the sum over
    groups of the lesser count, and for a box that of the box's upper ends. Pairs that the bound leaves and that aren't
@@ -24,6 +25,7 @@ but never the least of a group that has another; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, UNSPACED, batch, discard, grams, materialize, mix, texts_of, words_of
+from .common import ASCII_LOWER, UNSPACED, batch, binary_list, discard, grams, materialize, mix, texts_of, words_of
 from .components import components
 from .substring_dedup import runs
 
@@ -45,7 +47,7 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def sets_of(b: pa.RecordBatch, column: int, n: int) -> list[np.ndarray]:
-    """Each text's distinct n-gram hashes, ascending."""
+    """The distinct n-gram hashes of each text, ascending."""
     data, cuts = texts_of(b.column(column), ASCII_LOWER)
     words = words_of(np.frombuffer(data, dtype=np.uint8), cuts, UNSPACED)
     codes = words[2]
@@ -100,14 +102,16 @@ class Levels:
         out = []
         for at in (level, level + 1):
             top = int(self.starts[at + 1]) - 1
-            blocks = 2 * top * (self.whole - self.part) // (self.whole + self.part) + 1 + SPARE
+            differ = 2 * top * (self.whole - self.part) // (self.whole + self.part)
+            spare = SPARE + differ // 8
+            blocks = differ + 1 + spare
             width = np.uint64(min((1 << 64) // blocks, (1 << 64) - 1))
             edges = np.searchsorted(members, np.arange(1, blocks, dtype=np.uint64) * width)
             edges = np.concatenate([[0], edges, [len(members)]])
             held = sums[edges[1:]] - sums[edges[:-1]]
             keys = mix(held + mix(np.arange(blocks, dtype=np.uint64) + np.uint64(at << 40)))
             full = edges[1:] > edges[:-1]
-            out.append(keys if blocks - np.count_nonzero(full) > SPARE else keys[full])
+            out.append(keys if blocks - np.count_nonzero(full) > spare else keys[full])
         return np.concatenate(out).astype(np.int64)
 
 
@@ -225,8 +229,8 @@ def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "a bigint, b bigint")
 
 
-def _links(cells: DataFrame, levels: Levels) -> DataFrame:
-    """a, b: verified links that connect what is connected within each cell. cells: gid, cls, side, point, members."""
+def _links(cells: DataFrame, levels: Levels, n: int) -> DataFrame:
+    """a, b: verified links that connect what is connected within each cell. cells: gid, cls, side, point, packed."""
     part, whole = levels.part, levels.whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +242,8 @@ def _links(cells: DataFrame, levels: Levels) -> DataFrame:
                 if e - s < 2:
                     continue
                 points = points_of(b.column(3).slice(s, e - s).to_pylist())
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in b.column(4).slice(s, e - s).to_pylist()]
+                texts = pa.array(map(zlib.decompress, b.column(4).slice(s, e - s).to_pylist()), pa.binary())
+                sets = sets_of(pa.RecordBatch.from_arrays([texts], ["text"]), 0, n)
                 for x, y in _connect(points, sets, all_sides[s:e], part, whole):
                     out_a.append(int(all_cls[s + x]))
                     out_b.append(int(all_cls[s + y]))
@@ -273,14 +278,15 @@ def _connect(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, part
                     yield x, y
 
 
-def _members(docs: DataFrame, n: int) -> DataFrame:
-    schema = pa.schema([("cls", pa.int64()), ("members", pa.binary())])
+def _packed(docs: DataFrame) -> DataFrame:
+    """cls, packed: the compressed text, a third of the size of its hashes, which are made anew where they are compared."""
+    schema = pa.schema([("cls", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch({"cls": b.column(0).to_pylist(), "members": [s.tobytes() for s in sets_of(b, 1, n)]}, schema)
+            yield batch({"cls": b.column(0).to_pylist(), "packed": [zlib.compress(x or b"", 1) for x in binary_list(b.column(1))]}, schema)
 
-    return docs.select("cls", "text").mapInArrow(run, "cls bigint, members binary")
+    return docs.select("cls", "text").mapInArrow(run, "cls bigint, packed binary")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -299,12 +305,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     witness = used.select("cls", F.col("witness.doc_id").alias("doc_id"), F.col("witness.tag").alias("tag"))
     same = docs["doc_id"].eqNullSafe(witness["doc_id"]) & docs["tag"].eqNullSafe(witness["tag"])
     # by merging at any size, so that what is shuffled follows the input
-    sets = materialize(_members(docs.join(witness.hint("merge"), same).select("cls", "text").dropDuplicates(["cls"]), n), "op10-sets")
+    texts = materialize(_packed(docs.join(witness.hint("merge"), same).select("cls", "text")).dropDuplicates(["cls"]), "op10-texts")
     # pieces i and j of a cluster meet in the cell (least, largest)
     spread = used.join(counts, "cluster").withColumn("side", F.pmod(F.xxhash64("cls"), "pieces")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    cells = spread.select(F.xxhash64("cluster", F.least("side", "with"), F.greatest("side", "with")).alias("gid"), "cls", "side", "point").join(sets, "cls").select("gid", "cls", "side", "point", "members")
-    links = materialize(_links(cells, levels), "op10-links")
-    discard(used, sets)
+    cells = spread.select(F.xxhash64("cluster", F.least("side", "with"), F.greatest("side", "with")).alias("gid"), "cls", "side", "point").join(texts, "cls").select("gid", "cls", "side", "point", "packed")
+    links = materialize(_links(cells, levels, n), "op10-links")
+    discard(used, texts)
     final = components(links)
     groups = classes.select("cls", "least").join(final.select(F.col("node").alias("cls"), "label"), "cls")
     least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
