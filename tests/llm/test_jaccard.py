@@ -55,6 +55,27 @@ def test_components_match_all_pairs(spark, monkeypatch, n, part, piece):
     assert ordered(got) == ordered(brute(rows, n, part, 100))
 
 
+@pytest.mark.parametrize(("n", "part", "piece"), [(3, 90, 2_048), (5, 80, 5)])
+def test_join_has_every_link_once(spark, monkeypatch, n, part, piece):
+    monkeypatch.setattr(J, "PIECE", piece)
+    monkeypatch.setattr(J, "PIECE_MEMBERS", 1_000_000 if piece > 5 else 900)
+    rows = near_copies()
+    sets = []
+    for _, t in rows:
+        w = words(lower(t))
+        sets.append({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())
+    linked = [[bool(a and b) and 100 * len(a & b) >= part * len(a | b) for b in sets] for a in sets]
+    tags = [r[0] for r in spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k int, text string").orderBy("k").selectExpr("xxhash64(text)").collect()]
+    want = [(d, tags[k], len(sets[k]), sum(linked[k]) - bool(sets[k])) for k, (d, _) in enumerate(rows)]
+    df = frame(spark, rows)
+    assert ordered(J.link_counts(df, n, part, 100).collect()) == ordered(want)
+    pairs, members = (x.collect() for x in J.jaccard_join(df, n, part, 100))
+    place = {(r["doc_id"], r["tag"]): r["cls"] for r in members}
+    assert len(members) == sum(map(bool, sets))
+    between = {frozenset((place[rows[a][0], tags[a]], place[rows[b][0], tags[b]])) for a in range(len(rows)) for b in range(a) if linked[a][b] and sets[a] != sets[b]}
+    assert len(pairs) == len(between) and {frozenset((r["a"], r["b"])) for r in pairs} == between
+
+
 def test_buckets_meet_for_all_linked_sets():
     rng = np.random.default_rng(2)
     for part in (90, 80):

@@ -10,12 +10,14 @@ Documents with equal sets are one class from the start. Then:
    make no bucket unless a set has more of them than there are spare ones.
 2. Classes that share a bucket, directly or by others, make a cluster; all links lie within clusters. A cluster's points (how
    many of a set's hashes fall in each of ``GROUPS`` groups) stand in an R-tree. The overlap of two sets is at most the sum over
-   groups of the lesser count, and for a box that of the box's upper ends. Pairs that the bound leaves and that aren't
-   connected yet are verified on their sets.
-3. Verified links make the components.
+   groups of the lesser count, and for a box that of the box's upper ends. Pairs that the bound leaves are verified on
+   their sets.
+3. ``jaccard_join`` gives every link, as pairs of classes and the members of each class; ``link_counts`` gives the number of
+   links of each document; ``jaccard_components`` gives components.
 
 A cluster of more than ``PIECE`` classes or ``PIECE_MEMBERS`` set members is dealt out in pieces: a task has one pair of pieces.
-Links between classes that verified links connect already need no check: they can't change the result.
+Every pair of classes meets in one cell. Only for components, links between classes that verified links connect already need
+no check: they can't change the result. The join and the counts check every pair that the bound leaves.
 
 Cases: null and empty texts and texts without words have the empty set and link with nothing; with fewer words than an
 n-gram has, the whole sequence is the one member; equal rows get equal results; a null doc_id is a document like others,
@@ -44,6 +46,7 @@ GROUPS, PIECE, PIECE_MEMBERS, SPARE, SEEN = 128, 2_048, 1_000_000, 2, 20_000
 _SIZES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("rest", pa.int64()), ("point", pa.binary())])
 _KEYS = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_COUNTS = pa.schema([("cls", pa.int64()), ("n", pa.int64())])
 
 
 def sets_of(b: pa.RecordBatch, column: int, n: int) -> list[np.ndarray]:
@@ -229,31 +232,85 @@ def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "a bigint, b bigint")
 
 
-def _links(cells: DataFrame, levels: Levels, n: int) -> DataFrame:
-    """a, b: verified links that connect what is connected within each cell. cells: gid, cls, side, point, packed."""
+def _links(cells: DataFrame, levels: Levels, n: int, form: str) -> DataFrame:
+    """Verified links of cells(gid, cls, side, mixed, count, point, packed).
+
+    forest: a, b that connect what is connected within each cell. pairs: every a, b. counts: cls, n, the rows that a class links with.
+    """
     part, whole = levels.part, levels.whole
+    schema, ddl = (_COUNTS, "cls bigint, n bigint") if form == "counts" else (_PAIRS, "a bigint, b bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, _ in runs(batches, 1 << 60):
-            gid, all_cls, all_sides = (b.column(k).to_numpy() for k in range(3))
+            gid, all_cls, all_sides, mixed, rows = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             edges = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1, [len(gid)]])
-            out_a, out_b = [], []
+            first, second, size = [], [], 0
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s < 2:
                     continue
-                points = points_of(b.column(3).slice(s, e - s).to_pylist())
-                texts = pa.array(map(zlib.decompress, b.column(4).slice(s, e - s).to_pylist()), pa.binary())
+                points = points_of(b.column(5).slice(s, e - s).to_pylist())
+                texts = pa.array(map(zlib.decompress, b.column(6).slice(s, e - s).to_pylist()), pa.binary())
                 sets = sets_of(pa.RecordBatch.from_arrays([texts], ["text"]), 0, n)
-                for x, y in _connect(points, sets, all_sides[s:e], part, whole):
-                    out_a.append(int(all_cls[s + x]))
-                    out_b.append(int(all_cls[s + y]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=_PAIRS)
-
-    return cells.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
+                cls, own = all_cls[s:e], rows[s:e]
+                found = (_connect if form == "forest" else _linked)(points, sets, all_sides[s:e], bool(mixed[s]), part, whole)
+                if form == "counts":
+                    met = np.zeros(e - s, dtype=np.int64)
+                    for x, others in found:
+                        met[x] += own[others].sum()
+                        met[others] += own[x]
+                    first.append(cls[met > 0])
+                    second.append(met[met > 0])
+                    continue
+                for x, others in found:
+                    first.append(np.full(len(others), cls[x]))
+                    second.append(cls[others])
+                    size += len(others)
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], schema=schema)
+                        first, second, size = [], [], 0
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], schema=schema)
+
+    return cells.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, ddl)
+
+
+def _near(points: np.ndarray, sizes: np.ndarray, sides: np.ndarray, mixed: bool, part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of one cell that the bound leaves, each once, by their first; in a cell of two pieces only pairs across them."""
+    tree = RTree(points, sizes)
+    for at in range(0, len(sizes), 128):
+        who, other = tree.search(points[at : at + 128], sizes[at : at + 128], part, whole)
+        who = who + at
+        keep = who > other
+        if mixed:
+            keep &= sides[who] != sides[other]
+        who, other = who[keep], other[keep]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(who)) + 1, [len(who)]])
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            if e > s:
+                yield int(who[s]), other[s:e]
 
 
-def _connect(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, part: int, whole: int) -> Iterator[tuple[int, int]]:
-    """Links that join the parts of one cell; in a cell of two pieces only pairs across them are asked for."""
+def _linked(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, mixed: bool, part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Every link of one cell, each once."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held = np.zeros(len(numbers), dtype=bool)
+    for x, others in _near(points, sizes, sides, mixed, part, whole):
+        own = numbers[starts[x] : starts[x] + sizes[x]]
+        held[own] = True
+        counts = sizes[others]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - counts), counts)
+        overlap = np.add.reduceat(held[numbers[at]], ends - counts, dtype=np.int64)
+        held[own] = False
+        others = others[(part + whole) * overlap >= part * (sizes[x] + counts)]
+        if len(others):
+            yield x, others
+
+
+def _connect(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, mixed: bool, part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Links that join the parts of one cell."""
     sizes = np.array([len(x) for x in sets])
     root = list(range(len(sets)))
 
@@ -263,19 +320,13 @@ def _connect(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, part
             x = root[x]
         return x
 
-    tree, across = RTree(points, sizes), bool((sides != sides[0]).any())
-    for at in range(0, len(sets), 128):
-        who, other = tree.search(points[at : at + 128], sizes[at : at + 128], part, whole)
-        who = who + at
-        keep = who > other
-        if across:
-            keep &= sides[who] != sides[other]
-        for x, y in zip(who[keep].tolist(), other[keep].tolist(), strict=True):
+    for x, others in _near(points, sizes, sides, mixed, part, whole):
+        for y in others.tolist():
             if find(x) != find(y):
                 overlap = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if (part + whole) * overlap >= part * (len(sets[x]) + len(sets[y])):
                     root[find(x)] = find(y)
-                    yield x, y
+                    yield x, np.array([y])
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -289,18 +340,18 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("cls", "text").mapInArrow(run, "cls bigint, packed binary")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """doc_id, tag, n_shingles, component_id for each row of docs(doc_id, text); sets link at part / whole and above."""
+def _search(docs: DataFrame, n: int, part: int, whole: int, form: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their classes, the classes that have members, and the links in the given form."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     levels, salt = Levels(part, whole), 0
     while True:
         sizes = materialize(_sizes(docs, n, salt), "op10-sizes")
-        classes = sizes.filter("n_shingles > 0").groupBy("cls").agg(F.min("rest").alias("rest"), F.max("rest").alias("other"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("witness"), F.first("n_shingles").alias("n"), F.first("point").alias("point"))
+        classes = sizes.filter("n_shingles > 0").groupBy("cls").agg(F.min("rest").alias("rest"), F.max("rest").alias("other"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("witness"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.count("*").alias("count"))
         if classes.filter("rest <> other").isEmpty():  # else two sets share a class number: number anew
             break
         salt += 1
     clusters = components(_buckets(docs, n, salt, levels)).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-    used = materialize(clusters.join(classes.select("cls", "n", "point", "witness"), "cls"), "op10-used")
+    used = materialize(clusters.join(classes.select("cls", "n", "point", "witness", "count"), "cls"), "op10-used")
     counts = used.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("n") / PIECE_MEMBERS)).cast("bigint").alias("pieces"))
     witness = used.select("cls", F.col("witness.doc_id").alias("doc_id"), F.col("witness.tag").alias("tag"))
     same = docs["doc_id"].eqNullSafe(witness["doc_id"]) & docs["tag"].eqNullSafe(witness["tag"])
@@ -308,9 +359,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     texts = materialize(_packed(docs.join(witness.hint("merge"), same).select("cls", "text")).dropDuplicates(["cls"]), "op10-texts")
     # pieces i and j of a cluster meet in the cell (least, largest)
     spread = used.join(counts, "cluster").withColumn("side", F.pmod(F.xxhash64("cls"), "pieces")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    cells = spread.select(F.xxhash64("cluster", F.least("side", "with"), F.greatest("side", "with")).alias("gid"), "cls", "side", "point").join(texts, "cls").select("gid", "cls", "side", "point", "packed")
-    links = materialize(_links(cells, levels, n), "op10-links")
+    cells = spread.select(F.xxhash64("cluster", F.least("side", "with"), F.greatest("side", "with")).alias("gid"), "cls", "side", (F.col("side") != F.col("with")).alias("mixed"), "count", "point").join(texts, "cls").select("gid", "cls", "side", "mixed", "count", "point", "packed")
+    links = materialize(_links(cells, levels, n, form), "op10-links")
     discard(used, texts)
+    return sizes, classes, links
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every link, as pairs(a, b) of classes and members(cls, doc_id, tag, n_shingles).
+
+    Members of one class have equal sets, so they link with each other and with all members of a linked class. Each pair
+    stands once; rows whose set is empty are no members.
+    """
+    sizes, _, pairs = _search(docs, n, part, whole, "pairs")
+    return pairs, sizes.filter("n_shingles > 0").select("cls", "doc_id", "tag", "n_shingles")
+
+
+def link_counts(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """doc_id, tag, n_shingles, n_links for each row: how many other rows it links with."""
+    sizes, classes, links = _search(docs, n, part, whole, "counts")
+    met = links.groupBy("cls").agg(F.sum("n").alias("met"))
+    of_class = classes.select("cls", "count").join(met, "cls", "left").select("cls", (F.col("count") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    joined = sizes.drop("point", "rest").join(of_class, "cls", "left")
+    return joined.select("doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """doc_id, tag, n_shingles, component_id for each row of docs(doc_id, text); sets link at part / whole and above."""
+    sizes, classes, links = _search(docs, n, part, whole, "forest")
     final = components(links)
     groups = classes.select("cls", "least").join(final.select(F.col("node").alias("cls"), "label"), "cls")
     least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
