@@ -115,11 +115,11 @@ class DriftWindows:
             self.buffered, self.part = 0, self.part + 1
 
 
-def learn(learner, vector: str = "vector", label: str = "is_fraud", most: int = 10_000) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: the model's updates from labelled rows, at most `most` a batch: the driver holds no more."""
+def learn(learner, vector: str = "vector", label: str = "is_fraud") -> Callable[[DataFrame, int], None]:
+    """foreachBatch: the model's updates from every row of the batch. The driver holds one partition at a time; the source's admission control (maxFilesPerTrigger and the like) bounds it."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        for row in batch.select(vector, label).limit(most).toLocalIterator():
+        for row in batch.select(vector, label).toLocalIterator():
             learner.update(np.array(row[0], dtype=np.float64), int(row[1]))
 
     return run
