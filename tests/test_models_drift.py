@@ -76,6 +76,22 @@ def test_online_learning():
     assert 0 <= learner.buffer.fraud_rate <= 1 and len(learner.buffer.sample(8)[0]) == 8
 
 
+def test_online_learning_sees_a_sudden_shift():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2_000, 4))
+    model = MO.MLP(4, (8,), lr=0.01)
+    model.fit(x, (x[:, 0] > 0).astype(int), 20)
+    learner = MO.OnlineLearner(model, every=50)
+    for row in x[:200]:
+        own = model.loss(model.forward(row[None, :]), np.array([int(row[0] > 0)]))[0]
+        learner.update(row, int(row[0] > 0))
+        assert learner.losses[-1] == own
+    assert len(learner.losses) == 200 and learner.updates == 4 and learner.bursts == 0
+    for row in x[200:250]:
+        learner.update(row, int(row[0] <= 0))
+    assert learner.bursts == 1
+
+
 def test_explanations(spark):
     rng = np.random.default_rng(5)
     w = np.array([1.0, -2.0, 0.5, 0.0, 0.0, 3.0])

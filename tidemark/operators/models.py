@@ -302,21 +302,23 @@ class ReplayBuffer:
 
 
 class OnlineLearner:
-    """A training step every so many labels; five times the rate when recent losses exceed the slow average by 5 %."""
+    """A training step every so many labels; five times the rate when the last 50 labels' losses exceed the slow average of training losses by 5 %."""
 
     def __init__(self, model: MLP, every: int = 100, batch: int = 64, capacity: int = 10_000, lr: float = 1e-4, threshold: float = 0.05, seed: int = 42):
         self.model, self.every, self.batch, self.lr, self.threshold = model, every, batch, lr, threshold
         self.buffer, self.losses, self.baseline, self.updates, self.bursts = ReplayBuffer(capacity, seed), [], None, 0, 0
 
     def update(self, x: np.ndarray, label: int) -> float | None:
-        self.buffer.add(np.asarray(x, dtype=np.float64), label)
+        x = np.asarray(x, dtype=np.float64)
+        self.buffer.add(x, label)
+        self.losses.append(self.model.loss(self.model.forward(x[None, :]), np.array([label]))[0])
+        del self.losses[:-500]
         if self.buffer.seen % self.every or self.buffer.size < 2:
             return None
         drifting = self.baseline is not None and len(self.losses) >= 50 and float(np.mean(self.losses[-50:])) > self.baseline * (1 + self.threshold)
         self.model.optimizer.lr = self.lr * (5 if drifting else 1)
         self.bursts += drifting
         loss = self.model.train_step(*self.buffer.sample(self.batch))
-        self.losses = [*self.losses, loss][-500:]
         self.baseline = loss if self.baseline is None else 0.99 * self.baseline + 0.01 * loss
         self.updates += 1
         return loss
