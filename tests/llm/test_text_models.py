@@ -89,6 +89,16 @@ def test_html_main_text():
     assert H.main_text("<div>" * 3000 + "deep text" + "</div>" * 3000) == "deep text"
 
 
+def test_html_names_cut_only_by_role():
+    prose = "A long paragraph of the article, with commas, and more words than most of them have."
+    body = f"<p>{prose}</p><p>{prose}</p>"
+    for names in ("post hentry tag-news", "main-content with-sidebar", "content has-sidebar", "container nav-open", "side"):
+        page = f'<body><div class="{names}">{body}</div><div class="sidebar"><p>Read this too, it is short, really.</p></div><div class="ad"><p>{prose * 9}</p></div></body>'
+        assert H.main_text(page) == f"{prose}\n{prose}", names
+    page = f"<body><header><h1>The site</h1></header><article><header><h1>Own headline</h1></header>{body}<figure><img><figcaption>A caption</figcaption></figure><figure><table><tr><td>cell</td></tr></table></figure><div class='post-meta'>by x</div></article></body>"
+    assert H.main_text(page) == f"Own headline\n{prose}\n{prose}\nA caption\ncell"
+
+
 def test_html_pages_of_the_tables(spark):
     rows = duckdb.sql(f"SELECT page_id, html FROM '{DATA}/pages.parquet'").fetchall()
     got = {r["page_id"]: r for r in H.report(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}

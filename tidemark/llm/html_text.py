@@ -5,6 +5,11 @@ to its parent and half of them to its grandparent and a third to the next; a can
 class say, are discounted by the share of its text that stands in links. The best container is kept with those siblings
 that score near it or read as prose; a comment thread, advert, menu, form or notice is left out wherever it stands.
 
+Names cut an element only by its own role: words for a state of the page (``has-sidebar``, ``nav-open``, ``tag-x``) don't
+count, an element that also has a good name stays a candidate, and so does one whose name is that of a part of the layout
+(sidebar, menu, footer and the like) but which holds most of the page's text with few links. A header goes unless it is an
+article's own; a figure counts as a block of where it stands.
+
 Blocks are in page order: character references are decoded, white space inside a block is one space, ends are trimmed,
 empty blocks go, and blocks are joined by a line feed. Nothing in the kept containers is cut short.
 
@@ -31,7 +36,7 @@ _SPACE = re.compile(r"\s+")
 
 #: Element names by their role.
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas select title".split())
-DROP = frozenset("nav header footer aside form button menu dialog input label fieldset noscript head script style template textarea iframe object svg math canvas select title embed audio video figure option".split())
+DROP = frozenset("nav header footer aside form button menu dialog input label fieldset noscript head script style template textarea iframe object svg math canvas select title embed audio video option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot".split())
@@ -44,12 +49,20 @@ BAD_NAME = re.compile(
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
 
 
+#: Class words that tell a state of the page or a subject, not the role of the element.
+STATE = re.compile(r"(?:has|with|no|without)[_-]\S+|\S*(?:nav|menu|sidebar|modal|search|header|banner)[_-](?:open|opened|close|closed|active|visible|collapsed|fixed)|tags?[_-](?!list$|links?$|cloud$)\S+", re.I)
+#: Of the bad names those that no amount of text outweighs.
+NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|combx|comments?|comment-?list|cookies?|consent|disqus|gdpr|modal|newsletter|notice|notification|outbrain|popup|promo\w*|replies|respond|sponsor\w*|subscribe|taboola)(?:$|[\s_-])", re.I)
+OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:article|entry|hentry|post|story)(?:$|[\s_-])", re.I)
+
+
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "items", "points", "bad")
+    __slots__ = ("tag", "attributes", "parent", "items", "points", "bad", "doubt")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent, self.items, self.points = tag, attributes, parent, [], 0.0
-        self.bad = tag in DROP
+        self.doubt = False
+        self.bad = tag in DROP and not (tag == "header" and self._of_article())
         if attributes and not self.bad:
             self.bad = self._hidden()
 
@@ -58,6 +71,9 @@ class Node:
             return ""
         return " ".join(v.strip("\"'") for k, v in _ATTRIBUTE.findall(self.attributes) if k.lower() in ("class", "id"))
 
+    def _of_article(self) -> bool:
+        return any(up.tag in ("article", "main") or (up.attributes and up.tag not in ("body", "html") and OWN_HEADER.search(up.names())) for up in _up(self.parent))
+
     def _hidden(self) -> bool:
         low = self.attributes.lower()
         if self.tag in ("body", "html", "article", "main"):
@@ -68,7 +84,15 @@ class Node:
             return True
         if "role" in low and re.search(r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)", low):
             return True
-        return BAD_NAME.search(self.names()) is not None
+        names = self.names()
+        if BAD_NAME.search(names) is None:
+            return False
+        words = [w for w in names.split() if not STATE.fullmatch(w)]
+        wrong = [w for w in words if BAD_NAME.search(w)]
+        if not wrong or any(GOOD_NAME.search(w) for w in words if w not in wrong):
+            return False
+        self.doubt = not any(NEVER.search(w) for w in wrong)
+        return True
 
 
 def parse(page: str) -> Node:
@@ -131,8 +155,8 @@ def _plain(parts: list[str]) -> str:
     return _SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 
-def blocks(node: Node, links: bool = False) -> list[tuple[str, Node, int]]:
-    """The blocks below node outside dropped parts: text, the block element that holds it, characters in links."""
+def blocks(node: Node, doubtful: bool = False) -> list[tuple[str, Node, int]]:
+    """The blocks below node outside dropped parts: text, the block element that holds it, characters in links; with those in doubt, if asked for."""
     out: list[tuple[str, Node, int]] = []
     text: list[str] = []
     linked = 0
@@ -162,7 +186,7 @@ def blocks(node: Node, links: bool = False) -> list[tuple[str, Node, int]]:
             if item.tag == "hr":
                 flush(owner)
                 continue
-            if item.bad:
+            if item.bad and not (doubtful and item.doubt):
                 if item.tag in BLOCK:
                     flush(owner)
                 continue
@@ -187,10 +211,36 @@ def _inside(node: Node, ancestor: Node) -> bool:
     return False
 
 
+def _settle(root: Node) -> None:
+    """Elements in doubt that hold most of the page's text with few links are candidates."""
+    todo, doubt = [root], False
+    while todo and not doubt:
+        for item in todo.pop().items:
+            if isinstance(item, Node):
+                if item.doubt:
+                    doubt = True
+                    break
+                if not item.bad:
+                    todo.append(item)
+    if not doubt:
+        return
+    total, held = 0, {}
+    for plain, owner, in_links in blocks(root, True):
+        if len(plain) >= 25 and in_links < 0.3 * len(plain):
+            total += len(plain)
+            for up in _up(owner):
+                if up.doubt:
+                    held[id(up)] = (up, held.get(id(up), (up, 0))[1] + len(plain))
+    for node, chars in held.values():
+        if 2 * chars > total:
+            node.bad = False
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _settle(root)
     found = blocks(root)
     if not found:
         return ""
