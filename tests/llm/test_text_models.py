@@ -78,6 +78,18 @@ def test_grammar_learns_format_and_leaves_prose():
     assert S.base_spans(b"AKIASHORT") == []
 
 
+def test_training_reads_all_documents(spark, monkeypatch):
+    r = random.Random(3)
+    keys = ["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(S.FEWEST + 5)]
+    df = spark.range(0, 45_000, 1, 4).selectExpr("id AS doc_id", "CASE WHEN id % 1800 = 7 THEN '@' || id ELSE 'ordinary text' END AS text")
+    df = df.filter("text = 'ordinary text'").unionByName(spark.createDataFrame([(k, f"key {x} end") for k, x in enumerate(keys)], "doc_id bigint, text string"))
+    seen = {}
+    monkeypatch.setattr(S, "learn", lambda examples, plain: seen.update(examples=examples, plain=plain))
+    S.train(df)
+    assert sorted(v.decode() for _, v in seen["examples"]) == sorted(keys)
+    assert seen["plain"][ord("x")] == 45_000 - 25 and seen["plain"][ord("k")] == len(keys)
+
+
 def test_html_main_text():
     page = """<html><head><title>t</title><style>p{}</style></head><body class="page"><nav><ul><li><a href="/">Home</a></ul></nav>
     <div class="cookie-notice">We use cookies, many, many.</div><div id="main"><h1>A  heading</h1><p>First &amp; long paragraph, with commas, and more words than most.<p>Second<br>line, here is

@@ -5,8 +5,8 @@ when the frequencies of ending and of each next character agree within Hoeffding
 automaton. Every further candidate (a run of credential characters with letters and digits) is scored by its likelihood
 under each automaton against that of its characters in ordinary text; likely ones are added as kind ``format``.
 
-The examples are a bounded sample: those of at most ``SAMPLE_DOCS`` documents (of least residue of a hash of doc_id),
-``EXAMPLES`` per format. Scanning covers every whole text.
+Bytes are counted over all documents, and the ``EXAMPLES`` examples per format are those of least hash among the base spans
+of all documents. Scanning covers every whole text.
 
 Cases: null counts as the empty text, which has no spans; a format with fewer than ``FEWEST`` examples has no automaton
 and adds nothing; offsets are code points, ends exclusive; equal rows get equal results; other columns are not read.
@@ -21,12 +21,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, binary_list
+from .common import batch, binary_list, discard, materialize
 
 #: The three base formats, in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "format")
@@ -35,7 +36,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # a greedy run of 24 or more
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
-SAMPLE_DOCS, EXAMPLES, FEWEST, LONGEST_EXAMPLE = 20_000, 400, 20, 128
+EXAMPLES, FEWEST, LONGEST_EXAMPLE = 400, 20, 128
 ALPHA, SHORTEST, MARGIN = 0.01, 20, 0.75
 _CREDENTIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
@@ -194,15 +195,12 @@ def in_characters(data: bytes, spans: list) -> list[tuple[str, int, int]]:
 
 
 def train(docs: DataFrame) -> Grammars:
-    rows = docs.count()
-    part = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if rows > SAMPLE_DOCS:
-        part = part.filter(F.pmod(F.xxhash64("doc_id"), F.lit(-(-rows // SAMPLE_DOCS))) == 0)
+    part = docs.select(F.col("text").cast("string").alias("text"))
     schema = pa.schema([("kind", pa.int32()), ("value", pa.binary())])
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Credentials of at most LONGEST_EXAMPLE characters by kind; as kind -1 the counts of bytes beside them."""
-        counts = [0] * 256
+        counts = np.zeros(256, dtype=np.int64)
         for b in batches:
             out = {"kind": [], "value": []}
             for data in binary_list(b.column(0)):
@@ -210,12 +208,11 @@ def train(docs: DataFrame) -> Grammars:
                     if len(value) <= LONGEST_EXAMPLE:
                         out["kind"].append(kind)
                         out["value"].append(value)
-                for c, n in Counter(data or b"").items():
-                    counts[c] += n
+                counts += np.bincount(np.frombuffer(data or b"", dtype=np.uint8), minlength=256)
             yield batch(out, schema)
-        yield batch({"kind": [-1] * 256, "value": [bytes([c]) + n.to_bytes(8, "big") for c, n in enumerate(counts)]}, schema)
+        yield batch({"kind": [-1] * 256, "value": [bytes([c]) + n.to_bytes(8, "big") for c, n in enumerate(counts.tolist())]}, schema)
 
-    found = part.select("text").mapInArrow(examples, "kind int, value binary")
+    found = materialize(part.mapInArrow(examples, "kind int, value binary"), "op3-examples")
     # of each format the examples of least hash; of the counts one row for each byte value
     counts = found.filter("kind < 0").select(F.conv(F.hex(F.substring("value", 1, 1)), 16, 10).cast("int").alias("byte"), F.conv(F.hex(F.substring("value", 2, 8)), 16, 10).cast("bigint").alias("n")).groupBy("byte").agg(F.sum("n").alias("n"))
     plain = Counter({r["byte"]: r["n"] for r in counts.collect()})
@@ -223,6 +220,7 @@ def train(docs: DataFrame) -> Grammars:
     for kind in range(3):
         values = found.filter(F.col("kind") == kind).select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(EXAMPLES)
         chosen += [(kind, bytes(r["value"])) for r in values.collect()]
+    discard(found)
     return learn(chosen, plain)
 
 
