@@ -119,3 +119,10 @@ def test_keep_one_and_empty(spark):
     want = [d for d, _, c in brute(rows, 5, 80, 100) if d == c]
     assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == sorted(d for d in want if d is not None)
     assert J.report(frame(spark, [])).count() == 0
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    near = lambda k, end: " ".join(f"{k}{i}" for i in range(40)) + f" {end}"
+    rows = [(1, near("a", "x")), (1, near("a", "y")), (2, near("a", "z")), (None, near("b", "x")), (None, near("b", "y")), (None, near("b", "y")), (None, near("b", "x")), (None, near("c", "x")), (7, near("c", "y"))]
+    left = sorted((r["text"][0], r["doc_id"]) for r in J.keep_one(frame(spark, rows)).collect())
+    assert left == [("a", 1), ("b", None), ("c", 7)]

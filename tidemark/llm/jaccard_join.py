@@ -396,11 +396,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
 
 
 def keep_one(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group of linked documents that of the least doc_id."""
-    found = jaccard_components(docs, n, part, whole)
-    gone = found.filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")).distinct()
-    gone = materialize(gone, "op10-gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["gone_tag"]), "left_anti")
+    """The rows of docs that stay, with all their columns: of each group of linked documents that of the least doc_id, then tag; null ids last.
+
+    Copies of that row with the same id and text stay with it (exact dedup takes them); of copies without an id one stays.
+    """
+    sizes, _, links = _search(docs, n, part, whole, "forest")
+    rows = sizes.filter("n_shingles > 0").select("cls", "doc_id", "tag")
+    own = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("own"))
+    groups = own.join(components(links).select(F.col("node").alias("cls"), "label"), "cls")
+    first = groups.groupBy("label").agg(F.min("own").alias("first"))
+    stays = own.join(groups.select("cls", "label").join(first, "label"), "cls", "left").select("cls", F.coalesce("first", "own").alias("stay"))
+    again = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))
+    gone = rows.join(stays, "cls").withColumn("again", again).filter("NOT again OR doc_id IS NULL")
+    gone = materialize(gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), "again").count(), "op10-gone")
+    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("gone_tag"))
+    left = docs.join(gone.filter("NOT again"), same, "left_anti")
+    copies = gone.filter("again AND count > 1")
+    if copies.isEmpty():
+        return left
+    return left.join(copies, same, "left_anti").unionByName(left.join(copies, same, "left_semi").dropDuplicates(["text"]))
 
 
 def report(docs: DataFrame) -> DataFrame:
