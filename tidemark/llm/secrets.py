@@ -2,9 +2,12 @@
 
 Credentials found by three fixed formats are the labelled examples. Per format they make a prefix tree whose states merge
 when the frequencies of ending and of each next character agree within Hoeffding bounds, which leaves a probabilistic
-automaton. Every further candidate (a run of credential characters with letters and digits) is scored by its likelihood
+automaton. Every further candidate (a run of ``SHORTEST`` = 20 or more credential characters with letters and digits) is scored by its likelihood
 under each automaton against that of its characters in ordinary text; likely ones are added as kind ``format``.
 
+Bare credentials of fewer than 20 characters are never scored, though the assign format is learnt from values of 6 and more:
+such a one is found only if a base format matches it.
+
 Bytes are counted over all documents, and the ``EXAMPLES`` examples per format are those of least hash among the base spans
 of all documents. Scanning covers every whole text.
 
