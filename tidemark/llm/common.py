@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import re
 import uuid
 
@@ -18,7 +18,11 @@ UNSPACED = np.ones(256, dtype=bool)
 UNSPACED[list(WHITE)] = False
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 20
-_POWERS: list[np.ndarray] = []
+#: Words of more bytes are hashed one by one; the others by two polynomials modulo primes.
+_LONG = 1 << 10
+_MODULI = ((2_147_483_647, 1_103_515_249), (2_147_483_629, 1_597_334_677))
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,15 +48,16 @@ def store_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts the lineage with a written table in the shared folder; survives lost executors."""
+    """Cuts the lineage with a written table in the shared folder; survives lost executors. The shuffle files of the write go with it."""
     spark = df.sparkSession
-    path = store_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = store_path(spark, label), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    # shuffle files of what is now written go when neither the driver's Python nor its JVM refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -81,14 +86,48 @@ def letters(text: str) -> bool:
     return re.search(r"[^\W\d_]", text) is not None
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """The powers of the base and of its inverse modulo 2^64, up to n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, n + n // 4)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each modulus the powers of its base and of the base's inverse, for every place of a block."""
+    if not _POWERS:
+        for p, base in _MODULI:
+            both = []
+            for b in (base, pow(base, -1, p)):
+                out = np.ones(1, dtype=np.uint64)
+                while len(out) < _BLOCK + _LONG:
+                    out = np.concatenate([out, out * np.uint64(pow(b, len(out), p)) % np.uint64(p)])
+                both.append(out[: _BLOCK + _LONG])
+            _POWERS.append((both[0], both[1]))
     return _POWERS
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the given words, which depend on the words' bytes and lengths alone.
+
+    A short word is a polynomial modulo two primes whose coefficients are its bytes and one more, so no byte counts as nothing.
+    """
+    sizes = ends - starts
+    out = np.zeros(len(starts), dtype=np.uint64)
+    long = sizes > _LONG
+    for k in np.flatnonzero(long).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(~long)
+    at = 0
+    while at < len(short):
+        origin = int(starts[short[at]])
+        until = int(np.searchsorted(starts[short], origin + _BLOCK))
+        own = short[at:until]
+        s, e = starts[own] - origin, ends[own] - origin
+        block = raw[origin : origin + int(e[-1])].astype(np.uint64) + np.uint64(1)
+        parts = []
+        for (p, _), (up, down) in zip(_MODULI, _powers(), strict=True):
+            sums = np.zeros(len(block) + 1, dtype=np.uint64)
+            np.cumsum(block * up[: len(block)], out=sums[1:])
+            parts.append((sums[e] - sums[s]) % np.uint64(p) * down[s] % np.uint64(p))
+        out[own] = mix((parts[0] << np.uint64(32) | parts[1]) + (e - s).astype(np.uint64) * np.uint64(_BASE))
+        at = until
+    return out
+
+
 def words_of(raw: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the runs of bytes that table holds; no word reaches over a cut.
 
@@ -103,24 +142,18 @@ def words_of(raw: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> tuple[np.n
                 end += max(0, int(outside[0]) - 1)
                 break
             end = min(n, end + _BLOCK)
-        block = raw[at:end]
-        inside = table[block]
-        here = cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, end)] - at
-        edge = np.zeros(len(block) + 1, dtype=bool)
-        edge[here] = True
+        inside = table[raw[at:end]]
+        edge = np.zeros(len(inside) + 1, dtype=bool)
+        edge[cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, end)] - at] = True
         edge[0] = edge[-1] = True
-        padded = np.zeros(len(block) + 2, dtype=bool)
+        padded = np.zeros(len(inside) + 2, dtype=bool)
         padded[1:-1] = inside
-        starts = np.flatnonzero(inside & (~padded[:-2] | edge[:-1]))
-        ends = np.flatnonzero(inside & (~padded[2:] | edge[1:])) + 1
-        up, down = _powers(len(block) + 1)
-        sums = np.zeros(len(block) + 1, dtype=np.uint64)
-        np.cumsum(block * up[: len(block)], out=sums[1:])
-        parts.append((starts + at, ends + at, (sums[ends] - sums[starts]) * down[starts]))
+        parts.append((np.flatnonzero(inside & (~padded[:-2] | edge[:-1])) + at, np.flatnonzero(inside & (~padded[2:] | edge[1:])) + 1 + at))
         at = end
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+    starts, ends = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return starts, ends, word_hashes(raw, starts, ends)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,22 +2,26 @@
 
 Documents with equal sets are one class from the start. Then:
 
-1. Classes are dealt to buckets so that any two that can link meet. Sizes fall into levels whose ends differ by the
-   threshold, so linked sets stand in one level or in neighbouring ones. With sizes in a level, linked sets differ in at
-   most D members; hashes cut the members into D + 1 blocks and some spare ones (``SPARE`` and D / 8), and more blocks than the
-   spare ones are the same in both.
-   A bucket is a level, a block and what a set holds of it; a class goes to its own level's and the next one's. Empty blocks
-   make no bucket unless a set has more of them than there are spare ones.
-2. Classes that share a bucket, directly or by others, make a cluster; all links lie within clusters. A cluster's points (how
-   many of a set's hashes fall in each of ``GROUPS`` groups) stand in an R-tree. The overlap of two sets is at most the sum over
-   groups of the lesser count, and for a box that of the box's upper ends. Pairs that the bound leaves are verified on
-   their sets.
-3. ``jaccard_join`` gives every link, as pairs of classes and the members of each class; ``link_counts`` gives the number of
+1. Classes are dealt to buckets so that any two that can link meet. Sizes fall into levels, and linked sets stand in one level
+   or in neighbouring ones. With sizes in a level, linked sets differ in at most D members; hashes cut the members into
+   D + 1 + 2s blocks (s is 1 + D / 8), so at least 1 + 2s blocks are the same in both. A bucket is a level, a block and what a
+   set holds of it. No key is sent for an empty block unless a set has more than 2s of them, and a set with e empty blocks may
+   leave out its s - e / 2 most crowded buckets: at least one bucket of any two linked sets stays.
+2. In each bucket the classes' points (how many of a set's hashes fall in each of ``GROUPS`` groups) stand in an R-tree. The
+   overlap of two sets is at most the sum over groups of the lesser count, and for a box that of the box's upper ends. Classes
+   that pairs within the bound connect make a cluster: all links lie within clusters. Only points have travelled so far.
+3. The texts of clusters' classes come together once, and pairs that the bound leaves are verified on the words themselves.
+4. ``jaccard_join`` gives every link, as pairs of classes and the members of each class; ``link_counts`` gives the number of
    links of each document; ``jaccard_components`` gives components.
 
-A cluster of more than ``PIECE`` classes or ``PIECE_MEMBERS`` set members is dealt out in pieces: a task has one pair of pieces.
-Every pair of classes meets in one cell. Only for components, links between classes that verified links connect already need
-no check: they can't change the result. The join and the counts check every pair that the bound leaves.
+A cluster of more than ``PIECE`` classes or ``PIECE_MEMBERS`` set members is dealt out in pieces. For components each piece first
+meets only itself and the ``PIVOTS`` classes of least hash, which connects what is truly alike in one pass; then the classes
+outside a cluster's largest component meet all others that they aren't connected to. The join and the counts have a cell
+for each pair of pieces, so every pair meets once.
+
+Work beside the output: a bucket costs its classes times those that its own links don't reach; a cluster whose classes look
+alike within the bound but don't link is verified pair by pair. A bucket of more than ``CROWD`` classes isn't searched: it
+connects all its classes into one cluster, which costs time and not links.
 
 Cases: null and empty texts and texts without words have the empty set and link with nothing; with fewer words than an
 n-gram has, the whole sequence is the one member; equal rows get equal results; a null doc_id is a document like others,
@@ -34,17 +38,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, UNSPACED, batch, binary_list, discard, grams, materialize, mix, texts_of, words_of
 from .components import components
 from .substring_dedup import runs
 
-GROUPS, PIECE, PIECE_MEMBERS, SPARE, SEEN = 128, 2_048, 1_000_000, 2, 20_000
+GROUPS, PIECE, PIECE_MEMBERS, PIVOTS, CROWD, SEEN = 128, 2_048, 1_000_000, 32, 16_384, 20_000
 
-_SIZES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("rest", pa.int64()), ("point", pa.binary())])
+_SIZES = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("rest", pa.int64()), ("spare", pa.int64()), ("point", pa.binary())])
 _KEYS = pa.schema([("key", pa.int64()), ("cls", pa.int64())])
+_SHARED = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("crowd", pa.int32())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _COUNTS = pa.schema([("cls", pa.int64()), ("n", pa.int64())])
 
@@ -67,6 +72,31 @@ def sets_of(b: pa.RecordBatch, column: int, n: int) -> list[np.ndarray]:
     return out
 
 
+def exact_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The distinct n-grams of each text as numbers that are equal exactly when all n words are.
+
+    A text of fewer words has one member of its own: where it equals another text's, both are one class already.
+    """
+    data, cuts = texts_of(pa.array(texts, pa.binary()), ASCII_LOWER)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    starts, ends, codes = words_of(raw, cuts, UNSPACED)
+    sizes = ends - starts
+    held = raw[UNSPACED[raw]].tobytes()
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, offsets, pa.py_buffer(held)])
+    word = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.searchsorted(np.searchsorted(cuts[1:], starts, side="right"), np.arange(len(texts) + 1))
+    places = [np.arange(s, e - n + 1) for s, e in zip(first[:-1], first[1:], strict=True)]
+    at = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+    _, heads, numbers = np.unique(grams(codes, n)[at], return_index=True, return_inverse=True)
+    if not all(np.array_equal(word[at + k], word[at[heads[numbers]] + k]) for k in range(n)):  # two n-grams share a hash
+        numbers = word[at]
+        for k in range(1, n):
+            numbers = np.unique(numbers * (len(word) + 1) + word[at + k], return_inverse=True)[1]
+    edges = np.cumsum([0] + [len(p) for p in places])
+    return [np.unique(numbers[s:e]) if e > s else np.array([len(numbers) + k]) for k, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+
+
 _WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 
 
@@ -89,33 +119,42 @@ def _class(members: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 class Levels:
-    """Sizes by level for links of part / whole and more."""
+    """Sizes by level for links of part / whole and more; the sizes of a level differ by less than (whole / part)²."""
 
     def __init__(self, part: int, whole: int):
         self.part, self.whole = part, whole
         starts = [1]
         while starts[-1] < 1 << 40:
-            starts.append(max(starts[-1], starts[-1] * whole // part) + 1)
+            starts.append(max(starts[-1], starts[-1] * whole * whole // (part * part)) + 1)
         self.starts = np.array(starts)
 
-    def keys(self, members: np.ndarray) -> np.ndarray:
-        """The buckets of a set."""
-        level = int(np.searchsorted(self.starts, len(members), side="right")) - 1
+    def level(self, size: int) -> int:
+        return int(np.searchsorted(self.starts, size, side="right")) - 1
+
+    def keys(self, members: np.ndarray) -> tuple[np.ndarray, tuple[int, int]]:
+        """The buckets of a set, and how many of them it may leave out, at even levels and at odd ones; a key's last bit tells them apart."""
+        level = self.level(len(members))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members))])
-        out = []
-        for at in (level, level + 1):
+        out, spare = [], [0, 0]
+        reach = len(members) * self.whole // self.part >= self.starts[level + 1]
+        for at in (level, level + 1) if reach else (level,):
             top = int(self.starts[at + 1]) - 1
             differ = 2 * top * (self.whole - self.part) // (self.whole + self.part)
-            spare = SPARE + differ // 8
-            blocks = differ + 1 + spare
+            more = 1 + differ // 8 if differ else 0
+            blocks = differ + 1 + 2 * more
             width = np.uint64(min((1 << 64) // blocks, (1 << 64) - 1))
             edges = np.searchsorted(members, np.arange(1, blocks, dtype=np.uint64) * width)
             edges = np.concatenate([[0], edges, [len(members)]])
             held = sums[edges[1:]] - sums[edges[:-1]]
             keys = mix(held + mix(np.arange(blocks, dtype=np.uint64) + np.uint64(at << 40)))
+            keys = keys & ~np.uint64(1) | np.uint64(at & 1)
             full = edges[1:] > edges[:-1]
-            out.append(keys if blocks - np.count_nonzero(full) > spare else keys[full])
-        return np.concatenate(out).astype(np.int64)
+            empty = blocks - int(np.count_nonzero(full))
+            if empty <= 2 * more:
+                keys = keys[full]
+                spare[at & 1] = more - -(-empty // 2)
+            out.append(keys)
+        return np.concatenate(out).astype(np.int64), (spare[0], spare[1])
 
 
 class RTree:
@@ -176,19 +215,20 @@ class RTree:
         return keep
 
 
-def _sizes(docs: DataFrame, n: int, salt: int) -> DataFrame:
+def _sizes(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = sets_of(b, 2, n)
             named = [_class(s, salt) for s in sets]
             points = [point(s) for s in sets]
-            yield batch({"doc_id": b.column(0).to_pylist(), "tag": b.column(1).to_pylist(), "n_shingles": [len(s) for s in sets], "cls": [c[0] for c in named], "rest": [c[1] for c in named], "point": points}, _SIZES)
+            spare = [levels.keys(s)[1] if len(s) else (0, 0) for s in sets]
+            yield batch({"doc_id": b.column(0).to_pylist(), "tag": b.column(1).to_pylist(), "n_shingles": [len(s) for s in sets], "cls": [c[0] for c in named], "rest": [c[1] for c in named], "spare": [e << 20 | o for e, o in spare], "point": points}, _SIZES)
 
-    return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, cls bigint, rest bigint, point binary")
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, cls bigint, rest bigint, spare bigint, point binary")
 
 
-def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
-    """a, b: links from classes to the first class of a bucket that they share."""
+def _shared(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
+    """key, cls, crowd: the buckets that two classes at least have, and of how many classes each is."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()  # classes that this task has dealt out just now
@@ -205,7 +245,7 @@ def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
                 seen[cls] = None
                 if len(seen) > SEEN:
                     seen.popitem(last=False)
-                found.append(levels.keys(s))
+                found.append(levels.keys(s)[0])
                 classes.append(np.full(len(found[-1]), cls, dtype=np.int64))
                 size += len(found[-1])
                 if size > 100_000:
@@ -215,25 +255,115 @@ def _buckets(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(classes))], schema=_KEYS)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A link from each class of a bucket to the bucket's first; classes come in order."""
-        head = None  # of a large bucket whose next part follows
+        last = None  # of a large bucket whose next part follows
         for b, large in runs(batches, 100_000):
             key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fresh = np.concatenate([[last != (key[0], cls[0])], (np.diff(key) != 0) | (np.diff(cls) != 0)])
+            last = (key[-1], cls[-1])
+            key, cls = key[fresh], cls[fresh]
+            if not len(key):
+                continue
             edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            first = np.repeat(cls[edges[:-1]], np.diff(edges))
+            crowd = np.repeat(np.diff(edges), np.diff(edges))
             if large:
-                head = head if head is not None and head[0] == key[0] else (key[0], cls[0])
-                first[:] = head[1]
-            pairs = np.stack([cls, first])[:, cls != first]
-            pairs = np.unique(pairs, axis=1) if pairs.size else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], schema=_PAIRS)
+                crowd[:] = 1 << 30
+            keep = crowd > 1
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(cls[keep]), pa.array(crowd[keep].astype(np.int32))], schema=_SHARED)
 
     rows = docs.select("text").mapInArrow(keys, "key bigint, cls bigint")
-    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "a bigint, b bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key bigint, cls bigint, crowd int")
+
+
+def _near_links(used: DataFrame, part: int, whole: int) -> DataFrame:
+    """a, b: pairs that connect what the bound leaves connected within each bucket of used(key, cls, n, point)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = None  # of a crowded bucket whose next part follows
+        for b, large in runs(batches, CROWD):
+            key, cls, size = (b.column(k).to_numpy() for k in range(3))
+            first, second = [], []
+            if large:
+                head = head if head is not None and head[0] == key[0] else (key[0], cls[0])
+                first, second = [np.full(len(cls), head[1])], [cls]
+            else:
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+                for s, e in zip(edges[:-1], edges[1:], strict=True):
+                    if e - s > 1:
+                        points = points_of(b.column(3).slice(s, e - s).to_pylist())
+                        for x, others in _explore(points, size[s:e], part, whole):
+                            first.append(np.full(len(others), cls[s + x]))
+                            second.append(cls[s:e][others])
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first), pa.int64()), pa.array(np.concatenate(second), pa.int64())], schema=_PAIRS)
+
+    return used.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def _explore(points: np.ndarray, sizes: np.ndarray, part: int, whole: int, check=None, sides: np.ndarray | None = None, labels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Links that connect what is linked, by searching from each class only for those not reached yet.
+
+    check(x, others) leaves the linked ones of others; without it the bound alone decides. With sides only pairs across them
+    count; classes with one label are connected already.
+    """
+    alive = np.ones(len(sizes), dtype=bool)
+    own = np.arange(len(sizes))
+    tree, places = None, own
+    alike = {} if labels is None else {k: np.flatnonzero(labels == k) for k in np.unique(labels).tolist()}
+    for seed in range(len(sizes)):
+        if not alive[seed]:
+            continue
+        queue = [seed] if labels is None else alike[labels[seed]].tolist()
+        alive[queue] = False
+        while queue:
+            x = queue.pop()
+            left = own[alive] if tree is None or 2 * np.count_nonzero(alive) < len(places) else None
+            if left is not None:
+                if not len(left):
+                    queue.clear()
+                    break
+                tree, places = RTree(points[left], sizes[left]), left
+            others = places[tree.search(points[x : x + 1], sizes[x : x + 1], part, whole)[1]]
+            others = others[alive[others]]
+            if sides is not None:
+                others = others[sides[others] != sides[x]]
+            if check is not None and len(others):
+                others = check(x, others)
+            if len(others):
+                yield x, others
+                if labels is not None:
+                    others = np.concatenate([alike[k] for k in np.unique(labels[others]).tolist()])
+                    others = others[alive[others]]
+                alive[others] = False
+                queue += others.tolist()
+
+
+class _Verifier:
+    """Overlaps of sets in one cell, counted on their members."""
+
+    def __init__(self, sets: list[np.ndarray], part: int, whole: int):
+        self.sizes = np.array([len(x) for x in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.numbers = np.concatenate(sets)
+        self.held = np.zeros(int(self.numbers.max()) + 1, dtype=bool)
+        self.part, self.whole = part, whole
+
+    def linked(self, x: int, others: np.ndarray) -> np.ndarray:
+        own = self.numbers[self.starts[x] : self.starts[x] + self.sizes[x]]
+        self.held[own] = True
+        keep = []
+        for at in range(0, len(others), 512):
+            some = others[at : at + 512]
+            counts = self.sizes[some]
+            ends = np.cumsum(counts)
+            where = np.arange(ends[-1]) + np.repeat(self.starts[some] - (ends - counts), counts)
+            overlap = np.add.reduceat(self.held[self.numbers[where]], ends - counts, dtype=np.int64)
+            keep.append((self.part + self.whole) * overlap >= self.part * (self.sizes[x] + counts))
+        self.held[own] = False
+        return others[np.concatenate(keep)]
 
 
 def _links(cells: DataFrame, levels: Levels, n: int, form: str) -> DataFrame:
-    """Verified links of cells(gid, cls, side, mixed, count, point, packed).
+    """Verified links of cells(gid, cls, side, mixed, label, count, point, packed); gid is a triple that names the cell.
 
     forest: a, b that connect what is connected within each cell. pairs: every a, b. counts: cls, n, the rows that a class links with.
     """
@@ -241,23 +371,28 @@ def _links(cells: DataFrame, levels: Levels, n: int, form: str) -> DataFrame:
     schema, ddl = (_COUNTS, "cls bigint, n bigint") if form == "counts" else (_PAIRS, "a bigint, b bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _ in runs(batches, 1 << 60):
-            gid, all_cls, all_sides, mixed, rows = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        for b, _ in runs(_cells(batches), 1 << 60):
+            gid = b.column(0).to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1, [len(gid)]])
             first, second, size = [], [], 0
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s < 2:
                     continue
-                points = points_of(b.column(5).slice(s, e - s).to_pylist())
-                texts = pa.array(map(zlib.decompress, b.column(6).slice(s, e - s).to_pylist()), pa.binary())
-                sets = sets_of(pa.RecordBatch.from_arrays([texts], ["text"]), 0, n)
-                cls, own = all_cls[s:e], rows[s:e]
-                found = (_connect if form == "forest" else _linked)(points, sets, all_sides[s:e], bool(mixed[s]), part, whole)
+                cell = b.slice(s, e - s)
+                cls, side, mixed, label, rows = (cell.column(k).to_numpy(zero_copy_only=False) for k in range(4, 9))
+                points = points_of(cell.column(9).to_pylist())
+                sets = exact_sets([zlib.decompress(x) for x in cell.column(10).to_pylist()], n)
+                verifier = _Verifier(sets, part, whole)
+                if form == "forest":
+                    found = _explore(points, verifier.sizes, part, whole, verifier.linked, side if mixed[0] else None, label if mixed[0] else None)
+                else:
+                    near = _near(points, verifier.sizes, side, bool(mixed[0]), part, whole)
+                    found = ((x, others) for x, others in ((x, verifier.linked(x, o)) for x, o in near) if len(others))
                 if form == "counts":
                     met = np.zeros(e - s, dtype=np.int64)
                     for x, others in found:
-                        met[x] += own[others].sum()
-                        met[others] += own[x]
+                        met[x] += rows[others].sum()
+                        met[others] += rows[x]
                     first.append(cls[met > 0])
                     second.append(met[met > 0])
                     continue
@@ -271,7 +406,20 @@ def _links(cells: DataFrame, levels: Levels, n: int, form: str) -> DataFrame:
             if first:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], schema=schema)
 
-    return cells.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, ddl)
+    def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Numbers the cells in the order in which they come."""
+        at, last = 0, None
+        for b in batches:
+            if not len(b):
+                continue
+            names = np.stack([b.column(k).to_numpy() for k in range(3)])
+            fresh = np.concatenate([[last is None or bool((names[:, 0] != last).any())], (np.diff(names, axis=1) != 0).any(axis=0)])
+            numbers = at + np.cumsum(fresh)
+            at, last = int(numbers[-1]), names[:, -1]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), *b.columns], names=["number", *b.schema.names])
+
+    names = ("cluster", "low", "high")
+    return cells.select(*names, "cls", "side", "mixed", "label", "count", "point", "packed").repartition(*names).sortWithinPartitions(*names).mapInArrow(run, ddl)
 
 
 def _near(points: np.ndarray, sizes: np.ndarray, sides: np.ndarray, mixed: bool, part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -290,45 +438,6 @@ def _near(points: np.ndarray, sizes: np.ndarray, sides: np.ndarray, mixed: bool,
                 yield int(who[s]), other[s:e]
 
 
-def _linked(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, mixed: bool, part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Every link of one cell, each once."""
-    sizes = np.array([len(x) for x in sets])
-    starts = np.cumsum(sizes) - sizes
-    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    held = np.zeros(len(numbers), dtype=bool)
-    for x, others in _near(points, sizes, sides, mixed, part, whole):
-        own = numbers[starts[x] : starts[x] + sizes[x]]
-        held[own] = True
-        counts = sizes[others]
-        ends = np.cumsum(counts)
-        at = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - counts), counts)
-        overlap = np.add.reduceat(held[numbers[at]], ends - counts, dtype=np.int64)
-        held[own] = False
-        others = others[(part + whole) * overlap >= part * (sizes[x] + counts)]
-        if len(others):
-            yield x, others
-
-
-def _connect(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, mixed: bool, part: int, whole: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Links that join the parts of one cell."""
-    sizes = np.array([len(x) for x in sets])
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, others in _near(points, sizes, sides, mixed, part, whole):
-        for y in others.tolist():
-            if find(x) != find(y):
-                overlap = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if (part + whole) * overlap >= part * (len(sets[x]) + len(sets[y])):
-                    root[find(x)] = find(y)
-                    yield x, np.array([y])
-
-
 def _packed(docs: DataFrame) -> DataFrame:
     """cls, packed: the compressed text, a third of the size of its hashes, which are made anew where they are compared."""
     schema = pa.schema([("cls", pa.int64()), ("packed", pa.binary())])
@@ -340,27 +449,76 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("cls", "text").mapInArrow(run, "cls bigint, packed binary")
 
 
+def _long(value) -> F.Column:
+    return F.lit(value).cast("bigint")
+
+
+def _forest(used: DataFrame, texts: DataFrame, levels: Levels, n: int) -> DataFrame:
+    """a, b: verified links that connect what is connected, from used(cls, n, count, point, cluster, pieces)."""
+    nothing = _long(0)
+    # each piece alone, with the cluster's pivots beside it
+    piece = F.pmod(F.xxhash64("cls"), F.col("pieces")).alias("low")
+    alone = used.select("cluster", piece, nothing.alias("high"), "cls", nothing.alias("side"), F.lit(False).alias("mixed"), nothing.alias("label"), "count", "point")
+    many = used.filter("pieces > 1")
+    pivots = many.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("cls"), "cls"))).filter(F.col("rank") <= PIVOTS)
+    beside = pivots.withColumn("low", F.explode(F.sequence(_long(0), F.col("pieces") - 1))).filter(F.col("low") != piece)
+    beside = beside.select("cluster", "low", nothing.alias("high"), "cls", nothing.alias("side"), F.lit(False).alias("mixed"), nothing.alias("label"), "count", "point")
+    links = materialize(_links(alone.unionByName(beside).join(texts, "cls"), levels, n, "forest"), "op10-links")
+    if many.isEmpty():
+        return links
+    # what is outside the largest component of a large cluster meets all that it isn't connected to
+    labels = components(links).select(F.col("node").alias("cls"), "label")
+    many = materialize(many.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "op10-many")
+    counts = many.groupBy("cluster", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("members"))
+    sums = counts.groupBy("cluster").agg(F.max(F.struct("rows", "label", "members")).alias("top"), F.sum("rows").alias("rows"), F.sum("members").alias("members"))
+    pieces = lambda rows, members: F.ceil(F.greatest(rows / PIECE, members / PIECE_MEMBERS, F.lit(1.0))).cast("bigint")
+    outside = sums.withColumn("rows", F.col("rows") - F.col("top.rows")).filter("rows > 0").select("cluster", F.col("top.label").alias("largest"), pieces(F.col("rows"), F.col("members") - F.col("top.members")).alias("parts"))
+    loose = many.join(outside, "cluster")
+    few = loose.filter(F.col("label") != F.col("largest"))
+    low, high = F.pmod(F.xxhash64("cls"), F.col("parts")), F.pmod(F.xxhash64("cls"), F.col("pieces"))
+    each = lambda n: F.explode(F.sequence(_long(0), F.col(n) - 1))
+    rest = ("cls", F.lit(True).alias("mixed"), "label", "count", "point")
+    one = few.withColumn("low", low).withColumn("high", each("pieces")).select("cluster", "low", "high", _long(0).alias("side"), *rest)
+    two = loose.withColumn("high", high).withColumn("low", each("parts")).select("cluster", "low", "high", _long(1).alias("side"), *rest)
+    more = materialize(_links(one.unionByName(two).join(texts, "cls"), levels, n, "forest"), "op10-more")
+    discard(many)
+    return links.unionByName(more)
+
+
 def _search(docs: DataFrame, n: int, part: int, whole: int, form: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows with their classes, the classes that have members, and the links in the given form."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
     levels, salt = Levels(part, whole), 0
     while True:
-        sizes = materialize(_sizes(docs, n, salt), "op10-sizes")
-        classes = sizes.filter("n_shingles > 0").groupBy("cls").agg(F.min("rest").alias("rest"), F.max("rest").alias("other"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("witness"), F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.count("*").alias("count"))
+        sizes = materialize(_sizes(docs, n, salt, levels), "op10-sizes")
+        classes = sizes.filter("n_shingles > 0").groupBy("cls").agg(F.min("rest").alias("rest"), F.max("rest").alias("other"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("witness"), F.first("n_shingles").alias("n"), F.first("spare").alias("spare"), F.first("point").alias("point"), F.count("*").alias("count"))
         if classes.filter("rest <> other").isEmpty():  # else two sets share a class number: number anew
             break
+        discard(sizes)
         salt += 1
-    clusters = components(_buckets(docs, n, salt, levels)).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
-    used = materialize(clusters.join(classes.select("cls", "n", "point", "witness", "count"), "cls"), "op10-used")
+    shared = materialize(_shared(docs, n, salt, levels), "op10-shared")
+    # each class leaves out its most crowded buckets, as many as it may
+    odd = F.col("key").bitwiseAND(F.lit(1))
+    may = F.when(odd == 1, F.col("spare").bitwiseAND(F.lit((1 << 20) - 1))).otherwise(F.shiftright("spare", 20))
+    rank = F.row_number().over(Window.partitionBy("cls", "odd").orderBy(F.col("crowd").desc(), "key"))
+    kept = shared.repartition("cls").withColumn("odd", odd).withColumn("rank", rank).join(classes.select("cls", "n", "spare", "point"), "cls").filter(F.col("rank") > may)
+    near = materialize(_near_links(kept.select("key", "cls", "n", "point"), part, whole), "op10-near")
+    clusters = components(near).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
+    discard(shared, near)
+    used = clusters.join(classes.select("cls", "n", "point", "witness", "count"), "cls")
     counts = used.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / PIECE, F.sum("n") / PIECE_MEMBERS)).cast("bigint").alias("pieces"))
+    used = materialize(used.join(counts, "cluster"), "op10-used")
     witness = used.select("cls", F.col("witness.doc_id").alias("doc_id"), F.col("witness.tag").alias("tag"))
     same = docs["doc_id"].eqNullSafe(witness["doc_id"]) & docs["tag"].eqNullSafe(witness["tag"])
     # by merging at any size, so that what is shuffled follows the input
     texts = materialize(_packed(docs.join(witness.hint("merge"), same).select("cls", "text")).dropDuplicates(["cls"]), "op10-texts")
-    # pieces i and j of a cluster meet in the cell (least, largest)
-    spread = used.join(counts, "cluster").withColumn("side", F.pmod(F.xxhash64("cls"), "pieces")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
-    cells = spread.select(F.xxhash64("cluster", F.least("side", "with"), F.greatest("side", "with")).alias("gid"), "cls", "side", (F.col("side") != F.col("with")).alias("mixed"), "count", "point").join(texts, "cls").select("gid", "cls", "side", "mixed", "count", "point", "packed")
-    links = materialize(_links(cells, levels, n, form), "op10-links")
+    if form == "forest":
+        links = _forest(used, texts, levels, n)
+    else:
+        # pieces i and j of a cluster meet in the cell (least, largest)
+        spread = used.withColumn("side", F.pmod(F.xxhash64("cls"), "pieces")).withColumn("with", F.explode(F.sequence(_long(0), F.col("pieces") - 1)))
+        cells = spread.select("cluster", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "cls", "side", (F.col("side") != F.col("with")).alias("mixed"), _long(0).alias("label"), "count", "point")
+        links = materialize(_links(cells.join(texts, "cls"), levels, n, form), "op10-links")
     discard(used, texts)
     return sizes, classes, links
 
@@ -380,7 +538,7 @@ def link_counts(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -
     sizes, classes, links = _search(docs, n, part, whole, "counts")
     met = links.groupBy("cls").agg(F.sum("n").alias("met"))
     of_class = classes.select("cls", "count").join(met, "cls", "left").select("cls", (F.col("count") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
-    joined = sizes.drop("point", "rest").join(of_class, "cls", "left")
+    joined = sizes.drop("point", "rest", "spare").join(of_class, "cls", "left")
     return joined.select("doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
@@ -391,7 +549,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int =
     groups = classes.select("cls", "least").join(final.select(F.col("node").alias("cls"), "label"), "cls")
     least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = classes.select("cls", "least").join(groups.select("cls", "label").join(least, "label"), "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
-    joined = sizes.drop("point", "rest").join(of_class, "cls", "left")
+    joined = sizes.drop("point", "rest", "spare").join(of_class, "cls", "left")
     return joined.select("doc_id", "tag", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
