@@ -49,6 +49,19 @@ def test_exact_dedup_keeps_columns_and_one_row(spark):
     assert len(bodies) == len(set(bodies)) == len({"".join(words(t)) for _, t in rows})
 
 
+@pytest.mark.parametrize("copies", [[(1, "x"), (1, "x"), (1, "y"), (1, "y")], [(1, "a b"), (1, "a  b")], [(1, "ab "), (1, " ab"), (1, "ab ")], [(None, "x"), (None, "x"), (None, " x")]])
+def test_exact_dedup_tells_rows_by_text(spark, copies):
+    """No text is lost and none stays twice when ids repeat; columns of any name pass."""
+    rows = [(d, t, d, 0, True, b"k", 1, True) for d, t in copies]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, gone_id bigint, gone_tag bigint, again boolean, key binary, tag bigint, keep_uid boolean")
+    left = E.exact_dedup(df)
+    assert left.columns == df.columns
+    bodies = ["".join(words(r["text"])) for r in left.collect()]
+    assert sorted(bodies) == sorted({"".join(words(t)) for _, t in copies})
+    best = {b: max(len(t) for _, t in copies if "".join(words(t)) == b) for b in bodies}
+    assert all(len(r["text"]) == best["".join(words(r["text"]))] for r in left.collect())
+
+
 def brute_substring(rows, k):
     first = {}
     for d, t in rows:
