@@ -1,28 +1,34 @@
 """Secret scanning with inferred grammars.
 
-Credentials found by three fixed formats are the labelled examples. Per format they make a prefix tree whose states merge
-when the frequencies of ending and of each next character agree within Hoeffding bounds, which leaves a probabilistic
-automaton. Every further candidate (a run of ``SHORTEST`` = 20 or more credential characters with letters and digits) is scored by its likelihood
-under each automaton against that of its characters in ordinary text; likely ones are added as kind ``format``.
-
-Bare credentials of fewer than 20 characters are never scored, though the assign format is learnt from values of 6 and more:
-such a one is found only if a base format matches it.
+Credentials found by three fixed formats are the labelled examples. Per format they make a prefix tree whose states merge,
+depth by depth, when the frequencies of ending and of each next character agree within Hoeffding bounds over a look-ahead
+of ``LOOK`` characters. That leaves an acyclic probabilistic automaton which keeps prefixes, separators and lengths in its
+states; beyond ``DEPTH`` characters all states are one. Next characters are smoothed by their kind (digits, letters by
+half of the alphabet and case, signs), so unseen keys of a known format stay likely.
+
+Every further candidate (a maximal run of ``SHORTEST`` = 12 or more credential characters) is scored by its likelihood under
+each automaton for each character, its end included. It is added as kind ``format`` if it is no shorter than the format's
+shortest example, no longer than twice its longest, no less likely than the ``QUANTILE`` least likely of examples left out in turn while learning (two fifths
+of their spread of grace), and likelier by ``MARGIN`` than the same characters in ordinary text. Bare credentials of fewer
+than 12 characters are never scored, though the assign format is learnt from values of 6 and more: such a one is found only
+if a base format matches it.
 
 Bytes are counted over all documents, and the ``EXAMPLES`` examples per format are those of least hash among the base spans
-of all documents. Scanning covers every whole text.
+of all documents; both come from one pass. Scanning covers every whole text.
 
-Cases: null counts as the empty text, which has no spans; a format with fewer than ``FEWEST`` examples has no automaton
-and adds nothing; offsets are code points, ends exclusive; equal rows get equal results; other columns are not read.
+Cases: null counts as the empty text, which has no spans; a format with fewer than ``FEWEST`` different examples has no
+automaton and adds nothing; offsets are code points, ends exclusive; a null doc_id is a row like others; equal rows get
+equal results; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +45,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{24,}")  # a greedy run of 24 or more
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
-EXAMPLES, FEWEST, LONGEST_EXAMPLE = 400, 20, 128
-ALPHA, SHORTEST, MARGIN = 0.01, 20, 0.75
+EXAMPLES, FEWEST, FOLDS, QUANTILE = 400, 8, 3, 0.05
+ALPHA, LOOK, DEPTH, SHORTEST, MARGIN = 0.05, 3, 128, 12, 1.0
 _CREDENTIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _HEX_MAP = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
@@ -60,126 +66,166 @@ def base_spans(data: bytes) -> list[tuple[int, int, int, bytes]]:
     return sorted(found, key=lambda s: s[:2])
 
 
-@dataclass
-class State:
-    count: int = 0
-    ends: int = 0
-    next: dict[int, int] = field(default_factory=dict)
-    used: Counter = field(default_factory=Counter)
+def _kinds() -> np.ndarray:
+    """The kind of each byte: digits, a-f, g-z, A-F, G-Z, every credential sign by itself, and all others."""
+    out = np.full(256, 5)
+    for kind, (low, high) in enumerate(("09", "af", "gz", "AF", "GZ")):
+        out[ord(low) : ord(high) + 1] = kind
+    for k, sign in enumerate(b"+/_=-."):
+        out[sign] = 6 + k
+    return out
+
+
+_KIND = _kinds()
+_KIND_SIZES = np.bincount(_KIND)
+_END = 256
 
 
 class Automaton:
-    """A probabilistic automaton by state merging."""
+    """An acyclic probabilistic automaton. logs: for each state the log-probability of each byte and of the end; steps: where each byte leads."""
 
     def __init__(self, examples: list[bytes], alpha: float = ALPHA):
-        self.states, self.alpha = [State()], alpha
-        for e in examples:
-            at = 0
-            self.states[at].count += 1
-            for c in e:
-                s = self.states[at]
-                s.used[c] += 1
-                if c not in s.next:
-                    s.next[c] = len(self.states)
-                    self.states.append(State())
-                at = s.next[c]
-                self.states[at].count += 1
-            self.states[at].ends += 1
-        self._merge()
-        self.floor = 0.5 / (len(examples) + 1)
-
-    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
-        if not n1 or not n2:
-            return False
-        return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-
-    def _compatible(self, a: int, b: int) -> bool:
-        todo = [(a, b)]
-        while todo:
-            x, y = todo.pop()
-            s, t = self.states[x], self.states[y]
-            if self._differ(s.ends, s.count, t.ends, t.count):
-                return False
-            for c in s.used.keys() | t.used.keys():
-                if self._differ(s.used[c], s.count, t.used[c], t.count):
+        self.bound = float(np.sqrt(0.5 * np.log(2 / alpha)))
+        self.shortest, self.longest = min(map(len, examples)), max(map(len, examples))
+        # each state as the examples that reach it, and how deep it stands
+        reach, depth = [list(range(len(examples)))], [0]
+        self.steps = [np.full(256, -1)]
+        layer = [0]
+        while layer:
+            d = depth[layer[0]]
+            nodes = []  # of the prefix tree below this layer
+            for q in layer:
+                by: dict[int, list[int]] = {}
+                for e in reach[q]:
+                    if len(examples[e]) > d:
+                        by.setdefault(examples[e][d], []).append(e)
+                nodes += [(own, q, c) for c, own in by.items()]
+            nodes.sort(key=lambda x: (-len(x[0]), x[1], x[2]))
+            if d + 1 == DEPTH:
+                reach.append([e for own, _, _ in nodes for e in own])
+                depth.append(DEPTH)
+                self.steps.append(np.full(256, len(reach) - 1))
+                for _, q, c in nodes:
+                    self.steps[q][c] = len(reach) - 1
+                break
+            fresh: list[tuple[int, list[Counter]]] = []
+            for own, q, c in nodes:
+                seen = self._ahead(examples, own, d + 1)
+                for state, counts in fresh:
+                    if self._compatible(counts, seen):
+                        reach[state] += own
+                        for x, y in zip(counts, seen, strict=True):
+                            x.update(y)
+                        break
+                else:
+                    state = len(reach)
+                    reach.append(list(own))
+                    depth.append(d + 1)
+                    self.steps.append(np.full(256, -1))
+                    fresh.append((state, seen))
+                self.steps[q][c] = state
+            layer = [state for state, _ in fresh]
+        self.logs = [self._smoothed(examples, own, d) for own, d in zip(reach, depth, strict=True)]
+        for q, steps in enumerate(self.steps):  # a byte not seen leads where its kind does, else where most do
+            seen = np.flatnonzero(steps >= 0)
+            if len(seen):
+                weight = self.logs[q][seen]
+                usual = steps[seen[np.argmax(weight)]]
+                for kind in range(len(_KIND_SIZES)):
+                    alike = _KIND[seen] == kind
+                    to = steps[seen[alike][np.argmax(weight[alike])]] if alike.any() else usual
+                    steps[(_KIND == kind) & (steps < 0)] = to
+
+    @staticmethod
+    def _ahead(examples: list[bytes], own: list[int], d: int) -> list[Counter]:
+        """What comes at d and the places after it: bytes, or the end."""
+        return [Counter(examples[e][k] if len(examples[e]) > k else _END for e in own if len(examples[e]) >= k) for k in range(d, d + LOOK)]
+
+    def _compatible(self, one: list[Counter], two: list[Counter]) -> bool:
+        for x, y in zip(one, two, strict=True):
+            n, m = x.total(), y.total()
+            if n and m:
+                most = self.bound * (n**-0.5 + m**-0.5)
+                if any(abs(x[c] / n - y[c] / m) > most for c in x.keys() | y.keys()):
                     return False
-                if c in s.next and c in t.next and s.next[c] != x:
-                    todo.append((s.next[c], t.next[c]))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the subtree at b to a; b is part of the tree still, so this ends."""
-        todo = [(a, b)]
-        while todo:
-            x, y = todo.pop()
-            s, t = self.states[x], self.states[y]
-            s.count, s.ends = s.count + t.count, s.ends + t.ends
-            s.used.update(t.used)
-            for c, to in t.next.items():
-                if c in s.next:
-                    todo.append((s.next[c], to))
-                else:
-                    s.next[c] = to
-
-    def _merge(self) -> None:
-        red = [0]
-        while True:
-            blue = [(r, c, to) for r in red for c, to in self.states[r].next.items() if to not in red]
-            if not blue:
-                break
-            r, c, to = max(blue, key=lambda x: (self.states[x[2]].count, -x[0], -x[1]))
-            for q in red:
-                if self._compatible(q, to):
-                    self.states[r].next[c] = q
-                    self._fold(q, to)
-                    break
+    @staticmethod
+    def _smoothed(examples: list[bytes], own: list[int], d: int) -> np.ndarray:
+        counts = np.zeros(256)
+        ends = 0
+        for e in own:
+            x = examples[e]
+            if d == DEPTH:
+                counts += np.bincount(np.frombuffer(x[d:], dtype=np.uint8), minlength=256)
+                ends += 1
+            elif len(x) > d:
+                counts[x[d]] += 1
             else:
-                red.append(to)
-        places = {q: i for i, q in enumerate(red)}
-        self.states = [State(s.count, s.ends, {c: places[to] for c, to in s.next.items()}, s.used) for s in (self.states[q] for q in red)]
+                ends += 1
+        total = counts.sum() + ends
+        kinds = np.bincount(_KIND, counts)
+        share = (np.append(kinds, ends) + 0.1) / (total + 0.1 * (len(kinds) + 1))
+        inside = (counts + 1) / (kinds + _KIND_SIZES)[_KIND]
+        return np.log(np.append(share[:-1][_KIND] * inside, share[-1]))
 
     def score(self, text: bytes) -> float:
-        """Log-likelihood for each character."""
+        """Log-likelihood for each character and the end."""
         at, total = 0, 0.0
-        for c in text:
-            s = self.states[at]
-            if c not in s.next:
-                return -math.inf
-            total += math.log(max(s.used[c] / s.count, self.floor))
-            at = s.next[c]
-        return total / max(1, len(text))
+        for c in text[:DEPTH]:
+            total += self.logs[at][c]
+            to = int(self.steps[at][c])
+            if to < 0:  # a state that always ends here
+                return -np.inf
+            at = to
+        if len(text) > DEPTH:
+            total += float(np.bincount(np.frombuffer(text[DEPTH:], dtype=np.uint8), minlength=256) @ self.logs[at][:256])
+        return float((total + self.logs[at][_END]) / (len(text) + 1))
 
 
 @dataclass
 class Grammars:
     automata: list[tuple[Automaton, float]]  # with the least score of an accepted text
-    plain: list[float]  # log-probability of each byte in ordinary text
+    plain: np.ndarray  # log-probability of each byte in ordinary text
 
     def likely(self, run: bytes) -> bool:
-        if not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)):
-            return False
-        usual = sum(self.plain[c] for c in run) / len(run)
-        return any(s >= least and s - usual >= MARGIN for s, least in ((a.score(run), least) for a, least in self.automata))
+        usual = None
+        for automaton, least in self.automata:
+            if not automaton.shortest <= len(run) <= 2 * automaton.longest:
+                continue
+            if usual is None:
+                usual = float(self.plain[np.frombuffer(run, dtype=np.uint8)].mean())
+            if (s := automaton.score(run)) >= least and s - usual >= MARGIN:
+                return True
+        return False
 
 
 def learn(examples: list[tuple[int, bytes]], plain: Counter) -> Grammars:
     automata = []
     for kind in range(3):
-        own = [e for k, e in examples if k == kind]
+        own = sorted({e for k, e in examples if k == kind})
         if len(own) >= FEWEST:
-            automaton = Automaton(own)
-            scores = sorted(automaton.score(e) for e in own)
-            automata.append((automaton, scores[len(scores) // 20]))
+            fold = [zlib.crc32(e) % FOLDS for e in own]
+            scores = []
+            for f in range(FOLDS):
+                kept = [e for e, x in zip(own, fold, strict=True) if x != f]
+                if kept:
+                    rest = Automaton(kept)
+                    scores += [x for x in (rest.score(e) for e, g in zip(own, fold, strict=True) if g == f) if np.isfinite(x)]
+            low, middle = np.quantile(scores, [QUANTILE, 0.5]) if scores else (-np.inf, 0.0)
+            automata.append((Automaton(own), float(low - 0.4 * (middle - low))))
     total = sum(plain.values()) + 256
-    return Grammars(automata, [math.log((plain[c] + 1) / total) for c in range(256)])
+    return Grammars(automata, np.log([(plain[c] + 1) / total for c in range(256)]))
 
 
 def scan(grammars: Grammars, data: bytes) -> list[tuple[int, int, int, bytes]]:
     """Base spans and added ones, which overlap none of them."""
     spans = base_spans(data)
-    if grammars.automata and b"x" * SHORTEST in data.translate(_RUN_MAP):
+    if grammars.automata and (shortest := b"x" * max(SHORTEST, min(a.shortest for a, _ in grammars.automata))) in data.translate(_RUN_MAP):
         at, added = 0, []
         for m in _RUN.finditer(data):
+            if m.end() - m.start() < len(shortest):
+                continue
             while at < len(spans) and spans[at][2] <= m.start():
                 at += 1
             if not any(s[0] < m.end() and m.start() < s[2] for s in spans[max(0, at - 3) : at + 3]) and grammars.likely(m[0]):
@@ -202,15 +248,14 @@ def train(docs: DataFrame) -> Grammars:
     schema = pa.schema([("kind", pa.int32()), ("value", pa.binary())])
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Credentials of at most LONGEST_EXAMPLE characters by kind; as kind -1 the counts of bytes beside them."""
+        """Credentials by kind; as kind -1 the counts of bytes of all texts."""
         counts = np.zeros(256, dtype=np.int64)
         for b in batches:
             out = {"kind": [], "value": []}
             for data in binary_list(b.column(0)):
                 for _, kind, _, value in base_spans(data or b""):
-                    if len(value) <= LONGEST_EXAMPLE:
-                        out["kind"].append(kind)
-                        out["value"].append(value)
+                    out["kind"].append(kind)
+                    out["value"].append(value)
                 counts += np.bincount(np.frombuffer(data or b"", dtype=np.uint8), minlength=256)
             yield batch(out, schema)
         yield batch({"kind": [-1] * 256, "value": [bytes([c]) + n.to_bytes(8, "big") for c, n in enumerate(counts.tolist())]}, schema)
