@@ -7,8 +7,13 @@ that score near it or read as prose; a comment thread, advert, menu, form or not
 
 Names cut an element only by its own role: words for a state of the page (``has-sidebar``, ``nav-open``, ``tag-x``) don't
 count, an element that also has a good name stays a candidate, and so does one whose name is that of a part of the layout
-(sidebar, menu, footer and the like) but which holds most of the page's text with few links. A header goes unless it is an
-article's own; a figure counts as a block of where it stands.
+(sidebar, menu, footer and the like) but which holds most of the page's text with few links, or which is a single paragraph
+or heading of an article. An element around the page's only <article> or <main> stays whatever its name. A header goes unless it
+is an article's own; a figure counts as a block of where it stands.
+
+The work is linear in the page: a tag ends where a browser ends it (quotes count after an equals sign only; of tags that the page's
+end cuts off the first few are read up to their first >), sums run up the tree once, and elements nested deeper than
+``DEEPEST`` are read as blocks of the element at that depth.
 
 Blocks are in page order: character references are decoded, white space inside a block is one space, ends are trimmed,
 empty blocks go, and blocks are joined by a line feed. Nothing in the kept containers is cut short.
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import batch
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: Attributes up to the tag's end, to a quote that never closes, or to the page's end.
+_INSIDE = re.compile(r"(?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+", re.S)
+#: Depth of the tree, and how many tags with a quote that never closes are read up to their first >.
+DEEPEST, UNCLOSED = 512, 16
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 
@@ -50,18 +60,21 @@ GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|p
 
 
 #: Class words that tell a state of the page or a subject, not the role of the element.
-STATE = re.compile(r"(?:has|with|no|without)[_-]\S+|\S*(?:nav|menu|sidebar|modal|search|header|banner)[_-](?:open|opened|close|closed|active|visible|collapsed|fixed)|tags?[_-](?!list$|links?$|cloud$)\S+", re.I)
+STATE = re.compile(r"(?:has|with|no|without)[_-]\S+|\S+[_-](?:open|opened|close|closed|active|visible|collapsed|fixed|enabled|disabled|on|off|left|right)|tags?[_-](?!list$|links?$|cloud$)\S+", re.I)
 #: Of the bad names those that no amount of text outweighs.
 NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|combx|comments?|comment-?list|cookies?|consent|disqus|gdpr|modal|newsletter|notice|notification|outbrain|popup|promo\w*|replies|respond|sponsor\w*|subscribe|taboola)(?:$|[\s_-])", re.I)
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt".split())
 OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:article|entry|hentry|post|story)(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "items", "points", "bad", "doubt")
+    __slots__ = ("tag", "attributes", "parent", "items", "points", "bad", "doubt", "named", "depth", "chars", "linked", "ends")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent, self.items, self.points = tag, attributes, parent, [], 0.0
-        self.doubt = False
+        self.doubt = self.named = False
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.chars, self.linked, self.ends = 0, 0, False
         self.bad = tag in DROP and not (tag == "header" and self._of_article())
         if attributes and not self.bad:
             self.bad = self._hidden()
@@ -92,21 +105,26 @@ class Node:
         if not wrong or any(GOOD_NAME.search(w) for w in words if w not in wrong):
             return False
         self.doubt = not any(NEVER.search(w) for w in wrong)
+        if self.doubt and (self.tag in PROSE and self._of_article()):
+            self.doubt = False
+            return False
+        self.named = True
         return True
 
 
-def parse(page: str) -> Node:
-    """The tree; items are nodes and raw strings in page order."""
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """The tree, and its elements in page order; an element's items are elements and raw strings in page order."""
     root = Node("#root", "", None)
+    nodes = [root]
     at, here, end = 0, root, len(page)
+    absent: set[str] = set()  # raw elements that nothing closes from here on
+    deeper: list[str] = []  # open elements below the deepest level
+    deep: Counter[str] = Counter()
+    unclosed = 0
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
-            rest = page[at:]
-            cut = rest.rfind("<")
-            if cut >= 0 and re.match(r"</?[a-zA-Z]", rest[cut:]):
-                rest = rest[:cut]  # a tag that the page's end cuts off
-            here.items.append(rest)
+            here.items.append(page[at:])
             break
         if m.start() > at:
             here.items.append(page[at : m.start()])
@@ -115,8 +133,24 @@ def parse(page: str) -> Node:
             if m[0].startswith("<![CDATA["):
                 here.items.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        tag = tag.lower()
+        stop = _INSIDE.match(page, at).end()
+        if stop < end and page[stop] == "=":  # a quote that never closes
+            unclosed += 1
+            stop = page.find(">", at) if unclosed <= UNCLOSED else end
+        if not at <= stop < end:
+            break  # a tag that the page's end cuts off
+        attributes = page[at:stop]
+        at, tag = stop + 1, tag.lower()
         if m[1]:
+            if deep[tag]:
+                while deeper:
+                    last = deeper.pop()
+                    deep[last] -= 1
+                    if last == tag:
+                        break
+                if tag in BLOCK:
+                    here.items.append(Node("br", "#block", here))
+                continue
             up = here
             while up is not None and up.tag != tag:
                 if tag not in BLOCK and up.tag in BLOCK:
@@ -125,6 +159,8 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not None and up.parent is not None:
                 here = up.parent
+                deeper.clear()
+                deep.clear()
             elif tag == "p" or tag == "br":
                 here.items.append(Node("br", "", here))
             continue
@@ -141,14 +177,37 @@ def parse(page: str) -> Node:
                     here = up.parent
                     break
                 up = up.parent
-        node = Node(tag, m[3], here)
+        node = Node(tag, attributes, here)
         here.items.append(node)
+        nodes.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            close = None if tag in absent else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if close is None:
+                absent.add(tag)
             at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
-        elif tag not in VOID and not m[3].endswith("/"):
-            here = node
-    return root
+        elif tag not in VOID and not attributes.endswith("/"):
+            if node.depth < DEEPEST:
+                here = node
+            elif not node.bad:
+                deeper.append(tag)
+                deep[tag] += 1
+    return root, nodes
+
+
+def _sum_up(nodes: list[Node], found: list[tuple[str, Node, int]]) -> None:
+    """Characters, linked characters and whether a sentence ends, for each element with all below it."""
+    for n in nodes:
+        n.chars, n.linked, n.ends = 0, 0, False
+    for plain, owner, in_links in found:
+        owner.chars += len(plain)
+        owner.linked += in_links
+        owner.ends = owner.ends or plain[-1] in ".!?"
+    for n in reversed(nodes):  # an element comes after its parent
+        up = n.parent
+        if up is not None:
+            up.chars += n.chars
+            up.linked += n.linked
+            up.ends = up.ends or n.ends
 
 
 def _plain(parts: list[str]) -> str:
@@ -203,60 +262,45 @@ def blocks(node: Node, doubtful: bool = False) -> list[tuple[str, Node, int]]:
     return out
 
 
-def _inside(node: Node, ancestor: Node) -> bool:
-    while node is not None:
-        if node is ancestor:
-            return True
-        node = node.parent
-    return False
-
-
-def _settle(root: Node) -> None:
-    """Elements in doubt that hold most of the page's text with few links are candidates."""
-    todo, doubt = [root], False
-    while todo and not doubt:
-        for item in todo.pop().items:
-            if isinstance(item, Node):
-                if item.doubt:
-                    doubt = True
-                    break
-                if not item.bad:
-                    todo.append(item)
-    if not doubt:
-        return
-    total, held = 0, {}
-    for plain, owner, in_links in blocks(root, True):
-        if len(plain) >= 25 and in_links < 0.3 * len(plain):
-            total += len(plain)
-            for up in _up(owner):
-                if up.doubt:
-                    held[id(up)] = (up, held.get(id(up), (up, 0))[1] + len(plain))
-    for node, chars in held.values():
-        if 2 * chars > total:
-            node.bad = False
+def _settle(root: Node, nodes: list[Node]) -> None:
+    """Elements in doubt that hold most of the page's text with few links are candidates, and so is what holds its only article."""
+    cut, outside = [], False
+    lost: dict[int, bool] = {}  # elements inside a dropped one
+    for n in nodes:
+        lost[id(n)] = n.bad or (n.parent is not None and lost[id(n.parent)])
+        if n.tag in ("article", "main") and not n.bad:
+            if lost[id(n)]:
+                cut.append(n)
+            else:
+                outside = True
+    if cut and not outside:
+        for up in _up(cut[0].parent):
+            if up.named:
+                up.bad = up.doubt = False
+    doubted = [n for n in nodes if n.doubt]
+    if doubted:
+        prose = [x for x in blocks(root, True) if len(x[0]) >= 25 and x[2] < 0.3 * len(x[0])]
+        _sum_up(nodes, prose)
+        for n in doubted:
+            if 2 * n.chars > root.chars:
+                n.bad = False
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    _settle(root)
+    root, nodes = parse(page)
+    _settle(root, nodes)
     found = blocks(root)
     if not found:
         return ""
+    _sum_up(nodes, found)
     scored: dict[int, Node] = {}
-    chars: dict[int, int] = {}
-    linked: dict[int, int] = {}
     for plain, owner, in_links in found:
-        up = owner
-        while up is not None:
-            chars[id(up)] = chars.get(id(up), 0) + len(plain)
-            linked[id(up)] = linked.get(id(up), 0) + in_links
-            up = up.parent
         if len(plain) < 25:
             continue
         points = (1 + plain.count(",") + plain.count("，") + min(3, len(plain) // 100)) * (1 - in_links / len(plain))
-        up = owner.parent if owner.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "blockquote", "pre") else owner
+        up = owner.parent if owner.tag in PROSE else owner
         for share in (1, 2, 3):
             while up is not None and up.tag not in BLOCK and up.tag != "#root":
                 up = up.parent
@@ -267,11 +311,10 @@ def main_text(page: str | None) -> str:
                 up.points = TAG_POINTS.get(up.tag, 0) + (10 if up.attributes and GOOD_NAME.search(up.names()) else 0)
             up.points += points / share
             up = up.parent
-    density = lambda n: linked.get(id(n), 0) / max(1, chars.get(id(n), 0))
+    density = lambda n: n.linked / max(1, n.chars)
     if not scored:
-        named = [o for _, o, _ in found for o in _up(o) if o.tag in ("article", "main")]
-        keep = [named[0]] if named else [root]
-        return "\n".join(p for p, o, k in found if any(_inside(o, n) for n in keep) and (named or k < 0.5 * len(p)))
+        named = next((n for n in nodes if n.tag in ("article", "main") and n.chars), None)
+        return "\n".join(p for p, o, k in found if (named in _up(o) if named else k < 0.5 * len(p)))
     final = lambda n: n.points * (1 - density(n))
     best = max(scored.values(), key=final)
     # an <article> or <main> around the best container holds the whole of it
@@ -282,9 +325,8 @@ def main_text(page: str | None) -> str:
     keep = [best]
     limit = max(10.0, 0.2 * final(best)) if id(best) in scored else 10.0
     for sibling in best.parent.items if best.parent is not None else []:
-        if isinstance(sibling, Node) and sibling is not best and not sibling.bad and id(sibling) in chars:
-            size = chars[id(sibling)]
-            prose = sibling.tag == "p" and (size > 80 and density(sibling) < 0.25 or density(sibling) == 0 and any(p[-1] in ".!?" for p, o, _ in found if _inside(o, sibling)))
+        if isinstance(sibling, Node) and sibling is not best and not sibling.bad and sibling.chars:
+            prose = sibling.tag == "p" and (sibling.chars > 80 and density(sibling) < 0.25 or density(sibling) == 0 and sibling.ends)
             heading = sibling.tag in ("h1", "h2") and best.tag not in ("article", "main")
             if prose or heading or (id(sibling) in scored and final(sibling) >= limit):
                 keep.append(sibling)
