@@ -6,11 +6,13 @@ a Nyström feature space in which one ridge regression per language is fitted ag
 is a product of its presence matrix with the landmarks' and one with the coefficients. n-grams are told apart by an
 18-bit hash, so a text's n-gram set has at most 2^18 members however long it is.
 
-Training rows are a bounded sample: for each language the ``SAMPLE // languages`` rows of least hash of doc_id.
+Training rows are a bounded sample, at most ``SAMPLE``: for each of the ``SAMPLE / 4`` commonest languages the same number of
+rows, those of least hash of doc_id and text; equal rows count once.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, as is every text when there is nothing to learn
-from; rows with a null lang are never learnt from; a null doc_id counts as the empty text for the hold-out; equal rows
-get equal results; whole texts are read, in blocks; other columns are not read.
+from; rows with a null lang, doc_id or text are never learnt from, nor are languages beyond those; rows that share a
+doc_id are rows like others; a null doc_id counts as the empty text for the hold-out; equal rows get equal results; whole
+texts are read, in blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ class Model:
     norms: np.ndarray
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
+    dense: np.ndarray | None = None  # landmarks as numbers, made where they are first used
 
 
 def presence(text: str, bits: np.ndarray) -> np.ndarray:
@@ -82,17 +85,13 @@ def fit(labels: list[str], rows: list[np.ndarray], landmarks: int = LANDMARKS, r
     return Model(languages, buckets, marks, own[chosen], root @ coefficients, y.mean(axis=0) - mean @ coefficients)
 
 
-_DENSE: dict[int, np.ndarray] = {}
-
-
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     todo = [i for i, t in enumerate(texts) if t and letters(t)] if model else []
     if not todo:
         return names, scores
-    if id(model) not in _DENSE:
-        _DENSE.clear()
-        _DENSE[id(model)] = model.landmarks.astype(np.float32)
+    if model.dense is None:
+        model.dense = model.landmarks.astype(np.float32)
     bits = np.zeros(1 << BITS, dtype=bool)
     step = max(1, (1 << 21) // len(model.buckets))
     for at in range(0, len(todo), step):
@@ -102,7 +101,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], li
             presence(texts[i], bits)
             own[k] = np.sqrt(max(1, np.count_nonzero(bits)))
             matrix[k] = bits[model.buckets]
-        kernel = (matrix @ _DENSE[id(model)]) / own[:, None] / model.norms[None, :]
+        kernel = (matrix @ model.dense) / own[:, None] / model.norms[None, :]
         margin = kernel @ model.weights + model.bias
         odds = np.exp(3.0 * (margin - margin.max(axis=1, keepdims=True)))
         best = margin.argmax(axis=1)
@@ -116,25 +115,30 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fits on rows that are not held out and have a lang: at most `sample` of them."""
-    rows = docs.select("doc_id", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    n = rows.select("lang").distinct().count()
-    if not n:
+    """Fits on rows that are not held out and have a lang: at most `sample` of them, of least hash of doc_id and text."""
+    usable = ~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    rows = docs.filter(usable).select(F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"), F.col("text").cast("string").alias("text"))
+    # the commonest languages, at least four rows for each
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max(1, sample // 4)).collect()
+    if not counts:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(4, sample // n)).select("doc_id").distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("flags", pa.binary())])
+    each = max(1, sample // len(counts))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], min((1 << 63) - 1, int(2**63 * (2 * each + 50) / r["count"]))) for r in counts], "lang string, below bigint")
+    # a threshold leaves about twice as many as are taken, so no language's rows meet in one task; equal rows count once
+    near = rows.select("lang", "h").join(F.broadcast(limits), "lang").filter("h <= below").select("lang", "h").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = near.withColumn("place", place).filter(F.col("place") <= each).select("lang", "h")
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("flags", pa.binary())])
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << BITS, dtype=bool)
         for b in batches:
-            ids, langs, texts = (c.to_pylist() for c in b.columns)
-            yield batch({"doc_id": ids, "lang": langs, "flags": [zlib.compress(np.packbits(presence(t or "", bits)).tobytes(), 1) for t in texts]}, schema)
+            langs, hashes, texts = (c.to_pylist() for c in b.columns)
+            yield batch({"lang": langs, "h": hashes, "flags": [zlib.compress(np.packbits(presence(t, bits)).tobytes(), 1) for t in texts]}, schema)
 
-    # at most `sample` ids, so a fixed bound holds for what is sent
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = chosen.select(F.col("doc_id").cast("bigint"), "lang", "text").mapInArrow(flags, "doc_id bigint, lang string, flags binary").collect()
-    got = sorted(((r["lang"], r["doc_id"], bytes(r["flags"])) for r in got), key=lambda r: (r[0], zlib.crc32(str(r[1]).encode() + b"#"), r[1]))
+    # at most `sample` pairs, so a fixed bound holds for what is sent, and of equal rows one comes back
+    told = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text").mapInArrow(flags, "lang string, h bigint, flags binary")
+    got = sorted((r["lang"], r["h"], bytes(r["flags"])) for r in told.groupBy("lang", "h").agg(F.min("flags").alias("flags")).collect())
     return fit([r[0] for r in got], [np.frombuffer(zlib.decompress(r[2]), dtype=np.uint8) for r in got])
 
 
