@@ -3,13 +3,13 @@
 Heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation over the counts of all vote
 patterns (at most 3^labellers of them, counted over every document) estimates how often each labeller votes which way on
 good and on bad documents, and with that the posterior of each pattern. Posteriors of a bounded sample of documents (the
-``SAMPLE`` of least hash of doc_id) are the soft labels of a linear scorer over hashed features, and the scorer decides.
+``SAMPLE`` of least hash of doc_id and text) are the soft labels of a linear scorer over hashed features, and the scorer decides.
 
 Features: hashed 5-grams of byte classes (lower, upper, digit, space, line feed, stop, other sign, above ASCII) and marks
 of repeated words, as roots of shares.
 
 Cases: null and empty texts, and texts of white space, score 0 and are rejected; with no usable text nothing is learnt
-and every score is 0; equal rows get equal scores; texts are read whole, in blocks; other columns are not read.
+and every score is 0; null and repeated doc_ids are ids like others, and of equal rows one is learnt from; equal rows get equal scores; texts are read whole, in blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def measure(data: bytes) -> tuple[np.ndarray, list[int]]:
         0 if variety < 0.25 else 1 if variety > 0.45 else 2,
         2 if words < 30 else 1 if words / 80 <= data.count(b".") else 0,
         share((runs + bars) / words, 0.1, 0.02),
-        1 if 2 <= mean <= 12 else 0,
+        1 if 2 <= mean <= 12 else 2 if classes[7] > 0.5 * total else 0,  # scripts without spaces have no word length
     ]
     return features, votes
 
@@ -99,10 +99,10 @@ class Votes:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Votes:
-    """Expectation-maximisation from the majority vote. Votes count as independent within a class, so the evidence of one
-    document is tempered by nothing else; a labeller's table is smoothed by one document of each vote."""
-    yes, no = (patterns == 1).sum(axis=1), (patterns == 0).sum(axis=1)
-    q = np.clip(np.where(no >= 2, 0.1, np.where(no == 1, 0.4, 0.9)) + 0.0 * yes, 0.05, 0.95)
+    """Expectation-maximisation, at first from the number of bad votes. Votes count as independent within a class; a
+    labeller's table is smoothed by one document of each vote."""
+    no = (patterns == 0).sum(axis=1)
+    q = np.where(no >= 2, 0.1, np.where(no == 1, 0.4, 0.9))
     for _ in range(rounds):
         n = counts.sum()
         good, bad = (np.stack([np.bincount(patterns[:, k], weights=counts * w, minlength=3) + 1 for k in range(patterns.shape[1])]) for w in (q, 1 - q))
@@ -145,6 +145,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
+    """Fits on the documents of at most `sample` least hashes of doc_id and text."""
     docs = _rows(docs)
     votes_schema = pa.schema([("pattern", pa.int32()), ("n", pa.int64())])
 
@@ -163,24 +164,27 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Scorer | None:
     digits = lambda codes: np.array([[c // 3**k % 3 for k in reversed(range(len(LABELLERS)))] for c in codes])
     counts.sort(key=lambda r: r["pattern"])
     model = estimate(digits([r["pattern"] for r in counts]), np.array([float(r["n"]) for r in counts]))
-    schema = pa.schema([("doc_id", pa.int64()), ("pattern", pa.int32()), ("features", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("pattern", pa.int32()), ("features", pa.binary())])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {"doc_id": [], "pattern": [], "features": []}
-            for doc_id, data in zip(b.column(0).to_pylist(), binary_list(b.column(1)), strict=True):
+            out = {"h": [], "pattern": [], "features": []}
+            for h, data in zip(b.column(0).to_pylist(), binary_list(b.column(1)), strict=True):
                 if data and data.strip():
                     got, v = measure(data)
-                    out["doc_id"].append(doc_id)
+                    out["h"].append(h)
                     out["pattern"].append(int("".join(map(str, v)), 3))
                     out["features"].append(zlib.compress(got.astype(np.float32).tobytes(), 1))
             yield batch(out, schema)
 
     rows = sum(int(r["n"]) for r in counts)
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // sample))) == 0) if rows > sample else docs
-    ids = chosen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    got = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(features, "doc_id bigint, pattern int, features binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["pattern"], bytes(r["features"])))
+    hashed = docs.select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"), "text").filter("text IS NOT NULL")
+    # a threshold leaves about twice as many hashes as are taken; the last one taken is the bound of what comes back
+    near = hashed.filter(F.col("h") <= min((1 << 63) - 1, int(2**63 * (2 * sample + 50) / rows))).select("h").distinct()
+    last = near.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    told = hashed.filter(F.col("h") <= (-1 if last is None else last)).mapInArrow(features, "h bigint, pattern int, features binary")
+    got = told.groupBy("h").agg(F.min("pattern").alias("pattern"), F.min("features").alias("features")).collect()
+    got.sort(key=lambda r: r["h"])
     if not got:
         return None
     matrix = np.stack([np.frombuffer(zlib.decompress(bytes(r["features"])), dtype=np.float32) for r in got])
