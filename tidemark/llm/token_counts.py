@@ -11,6 +11,7 @@ Cases: null and empty texts have no words and no pieces; equal rows get equal re
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .bpe import load_ranks
 from .common import batch, binary_list
 
-#: A worker forgets the words that it has seen beyond so many.
-CACHE, BLOCK = 300_000, 1 << 20
+#: A worker forgets the words that it has seen beyond so many, and never remembers those of more bytes.
+CACHE, LONG, BLOCK = 300_000, 64, 1 << 20
 
 
 class Automaton:
@@ -86,26 +87,31 @@ class Automaton:
             if len(self.seen) > CACHE:
                 self.seen.clear()
             seen = self.seen
-            for w in set(words).difference(seen):
+            fresh = set(words).difference(seen)
+            for w in fresh:
                 seen[w] = self.pieces(w)
             n_words, n_pieces, at = n_words + len(words), n_pieces + sum(map(seen.__getitem__, words)), end
+            for w in fresh:
+                if len(w) > LONG:
+                    del seen[w]
         return n_words, n_pieces
 
 
-_MADE: dict[int, Automaton] = {}
+_MADE: dict[str, Automaton] = {}
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_pieces. path: a rank file; its tokens are the vocabulary, of a fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    vocabulary = load_ranks(path)
+    key = hashlib.sha256(b"".join(len(x).to_bytes(4, "little") + x for x in vocabulary)).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_pieces", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
-        if id(tokens) not in _MADE:
+        if key not in _MADE:
             _MADE.clear()
-            _MADE[id(tokens)] = Automaton(tokens)
-        automaton = _MADE[id(tokens)]
+            _MADE[key] = Automaton(shared.value)
+        automaton = _MADE[key]
         for b in batches:
             counts = [automaton.count(x or b"") for x in binary_list(b.column(1))]
             yield batch({"doc_id": b.column(0).to_pylist(), "n_words": [c[0] for c in counts], "n_pieces": [c[1] for c in counts]}, schema)
