@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import batch
 
-#: A worker forgets the pieces that it has seen beyond so many: a cache, not a limit on texts.
-CACHE = 250_000
+#: A worker forgets the pieces that it has seen beyond so many, and remembers none of more characters: a cache, not a limit on texts.
+CACHE, LONG = 250_000, 64
 #: Fixed value: the public split pattern for which the way by spaces holds.
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE_BEFORE_WHITE = regex.compile(r" (?:\s|$)")
@@ -204,7 +204,11 @@ class Codec:
         for piece in self.split.findall(first):
             head += Prefixes(self.merges, piece.encode("utf-8", "replace")).ids()
         self._learn(units, " ")
-        return array("I", head).tobytes() + b"".join(map(self.units.__getitem__, units))
+        out = array("I", head).tobytes() + b"".join(map(self.units.__getitem__, units))
+        for u in units:
+            if len(u) > LONG:
+                self.units.pop(u, None)
+        return out
 
     def encode(self, text: str) -> array:
         out = array("I")
@@ -260,6 +264,7 @@ def _codec(blob, pattern: str) -> Codec:
     tokens = blob.value
     key = hashlib.sha256(b"".join(tokens) + pattern.encode()).hexdigest()
     if key not in _CODECS:
+        _CODECS.clear()
         _CODECS[key] = Codec(tokens, pattern)
     return _CODECS[key]
 
