@@ -7,8 +7,9 @@ search of all windows at once. Suffix positions are sampled at every ``STEP``-th
 are located by walking back to one. Located occurrences are compared byte by byte and merged into removal spans.
 
 Words are runs of ASCII letters (in lower case), digits and bytes above ASCII. A window is ``WINDOW`` consecutive words of
-an item; an item of fewer words is one window. The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters, one
-pass over the documents for each, so what is broadcast has a fixed bound.
+an item; an item of fewer words is one window. The benchmark is read in blocks of about ``BLOCK_CHARS`` characters, an item
+longer than half of that in parts that overlap. Each block is one pass over the documents, written before the next block is
+read, so what is broadcast, and what the driver and a worker hold, has a fixed bound.
 
 Cases: null and empty texts have no words and no hits; items without words match nothing; items that share an id count as
 one; a null item_id counts as the empty string; equal rows get equal results; other columns are not read.
@@ -16,6 +17,7 @@ one; a null item_id counts as the empty string; equal rows get equal results; ot
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, batch, texts_of, words_of
+from .common import ASCII_LOWER, batch, discard, materialize, texts_of, words_of
 
 WINDOW, STEP, BLOCK_CHARS = 10, 8, 8_000_000
 _WORD = np.zeros(256, dtype=bool)
+_ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
@@ -236,30 +239,71 @@ def _shard(phrases: Phrases | None, b: pa.RecordBatch, last: bool) -> pa.RecordB
     return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))], schema=_CARRY)
 
 
+_ITEMS = pa.schema([("item_id", pa.string()), ("text", pa.string())])
+
+
+def _parts(text: str, window: int, chars: int) -> Iterator[str]:
+    """A text in parts of about so many characters, each with the last window - 1 words of the one before."""
+    if len(text) <= chars:
+        yield text
+        return
+    starts: list[int] = []
+    begin = 0
+    for m in _ITEM_WORD.finditer(text):
+        starts.append(m.start())
+        if m.end() - begin >= chars and len(starts) >= window:
+            yield text[begin : m.end()]
+            starts = starts[len(starts) - window + 1 :] if window > 1 else []
+            begin = starts[0] if starts else m.end()
+    if len(starts) >= window:
+        yield text[begin:]
+
+
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Phrases | None]:
-    """The benchmark's phrases in blocks. Items are dealt by hash; a block holds about block_chars characters."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
+    """The benchmark's phrases, one block after the other. Items, long ones in parts, are dealt by hash; a block holds about block_chars characters."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for part in _parts(text, window, max(1, block_chars // 2)):
+                    yield batch({"item_id": [item], "text": [part]}, _ITEMS)
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    chars, longest = rows.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    blocks = max(1, -(-(chars or 0) // block_chars))
+    if (longest or 0) > block_chars // 2:
+        rows = rows.mapInArrow(split, "item_id string, text string")
     for k in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         yield phrases_of([(r["item_id"], r["text"]) for r in part.collect()], window)
 
 
+def _in_turn(rows: DataFrame, benchmark: DataFrame, step, window: int, block_chars: int) -> DataFrame:
+    """step(rows, shared, last) for each block. Of several blocks, each is done and forgotten, by driver and workers, before the next is read."""
+    sc, before, waiting = rows.sparkSession.sparkContext, None, None
+    for phrases in benchmark_blocks(benchmark, window, block_chars):
+        if waiting is not None:
+            rows = materialize(step(rows, waiting, False), "op7-block")
+            waiting.destroy()
+            if before is not None:
+                discard(before)
+            before = rows
+        waiting = sc.broadcast(phrases)
+    return step(rows, waiting, True)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_words, n_hit, byte_spans (start, end, start, end, ...; merged), items. No shuffle."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    blocks = [sc.broadcast(p) for p in benchmark_blocks(benchmark, window, block_chars)]
-    for k, shared in enumerate(blocks):
-        last = k == len(blocks) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+    def step(rows: DataFrame, shared, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield _shard(shared.value, b, last)
 
-        rows = rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, byte_spans array<bigint>, items array<string>" if last else "doc_id bigint, text string, spans array<bigint>, items array<string>")
-    return rows
+        return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, byte_spans array<bigint>, items array<string>" if last else "doc_id bigint, text string, spans array<bigint>, items array<string>")
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    return _in_turn(rows, benchmark, step, window, block_chars)
 
 
 def remove_spans(text: str, byte_spans: list[int]) -> str:
@@ -271,13 +315,11 @@ def remove_spans(text: str, byte_spans: list[int]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "replace")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that hold no occurrence of any window, with all their columns. No shuffle."""
-    sc = docs.sparkSession.sparkContext
-    for p in benchmark_blocks(benchmark):
-        shared = sc.broadcast(p)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def step(rows: DataFrame, shared, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 none = pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.list_(pa.int64())), pa.nulls(len(b), pa.list_(pa.string()))
                 text = b.column(b.schema.get_field_index("text"))
@@ -285,8 +327,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 hits = _shard(shared.value, part, True).column(2).to_pylist()
                 yield b.filter(pa.array([n == 0 for n in hits], type=pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return rows.mapInArrow(run, rows.schema)
+
+    return _in_turn(docs, benchmark, step, window, block_chars)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
