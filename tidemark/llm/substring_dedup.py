@@ -31,7 +31,7 @@ from .common import UNSPACED, batch, binary_list, grams, texts_of, words_of
 
 WINDOW, GRAM, HOT = 50, 8, 2_000
 
-_PAIR = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64())])
+_PAIR = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
 _SHARED = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("hot", pa.bool_())])
 _SUPER = pa.schema([("minimiser", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 _RANGE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("ranges", pa.list_(pa.int32()))])
@@ -110,20 +110,21 @@ def shared_minimisers(docs: DataFrame, window: int, gram: int, hot: int) -> Data
             _, _, _, codes, doc_of = _words(b, 1)
             first, _, value = super_kmers(codes, doc_of, window, gram)
             ids = b.column(0).to_numpy(zero_copy_only=False)[doc_of[first]]
-            got = np.unique(np.stack([value, ids]), axis=1) if len(value) else np.zeros((2, 0), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], schema=_PAIR)
+            got, n = np.unique(np.stack([value, ids]), axis=1, return_counts=True) if len(value) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(n.astype(np.int32))], schema=_PAIR)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, large in runs(batches, hot):
-            keys, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keys, ids, n = (b.column(k).to_numpy() for k in range(3))
             # sorted by document too: a key is shared when its first and last document differ
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             keep = np.repeat((ids[edges[:-1]] != ids[edges[1:] - 1]) | large, np.diff(edges))
             fresh = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(ids) != 0)])
             keep &= fresh
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(np.full(int(keep.sum()), large))], schema=_SHARED)
+            crowded = np.repeat(np.add.reduceat(n, edges[:-1], dtype=np.int64) > hot, np.diff(edges)) | large
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(crowded[keep])], schema=_SHARED)
 
-    rows = docs.select("doc_id", "text").mapInArrow(pairs, "minimiser bigint, doc_id bigint")
+    rows = docs.select("doc_id", "text").mapInArrow(pairs, "minimiser bigint, doc_id bigint, n int")
     return rows.repartition("minimiser").sortWithinPartitions("minimiser", "doc_id").mapInArrow(shared, "minimiser bigint, doc_id bigint, hot boolean")
 
 
