@@ -85,6 +85,14 @@ def test_substring_dedup(spark, window, gram, hot):
     assert ordered(got) == ordered(brute_substring(rows, window))
 
 
+def test_substring_repeats_within_two_documents(spark):
+    """Few documents, many repeats of one passage: the bucket is crowded by strings, not by documents."""
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(1, " ".join(f"{passage} a{k}" for k in range(300))), (2, " ".join(f"{passage} b{k}" for k in range(300)) + " " + " ".join(f"{passage} a{k}" for k in range(200, 260)))]
+    got = S.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), window=20, gram=4, hot=50).collect()
+    assert ordered(got) == ordered(brute_substring(rows, 20))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert E.report(none).count() == 0

@@ -73,6 +73,44 @@ def greedy(word, vocabulary, longest):
     return n
 
 
+def test_token_counts_of_long_words_and_two_vocabularies(spark, tmp_path):
+    """Long texts and words, and a second vocabulary in the same workers."""
+    import base64
+
+    small = tmp_path / "small.tiktoken"
+    small.write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % k for k, x in enumerate([bytes([c]) for c in range(256)] + [b" a", b"ab", b"abc"])))
+    texts = ["abc ab " * 30_000, "abc" * 40_000, "ab" * 50, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    for path in (PATH, str(small), PATH):
+        vocabulary = set(B.load_ranks(path))
+        longest = max(map(len, vocabulary))
+        want = [(d, len(words(t)), sum(greedy(w.encode(), vocabulary, longest) for w in words(t))) for d, t in enumerate(texts)]
+        assert ordered(T.report(df, path).collect()) == ordered(want)
+    automaton = T.Automaton(B.load_ranks(PATH))
+    automaton.count(texts[0].encode() + texts[1].encode())
+    assert all(len(w) <= T.LONG for w in automaton.seen)
+
+
+def test_codec_forgets_long_parts(codec, library):
+    text = "word " + "日本語" * 500 + " tail " + "QUJD" * 400 + " end"
+    assert list(codec.encode(text)) == library.encode_ordinary(text)
+    assert all(len(u) <= B.LONG for u in codec.units)
+
+
+def test_long_items_in_blocks(spark):
+    """A benchmark item longer than a block is read in parts that lose no window."""
+    from tidemark.llm import decontaminate as D
+
+    item = " ".join(f"w{k}, x" for k in range(400))
+    docs = [(k, " ".join(f"w{i} x" for i in range(k * 7, k * 7 + 6))) for k in range(50)] + [(90, "w1 x w3"), (91, None)]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item), (2, None), (3, "short one")], "item_id bigint, text string")
+    whole = ordered(D.report(*frames).collect())
+    parts = D.find(*frames, block_chars=200)
+    got = [(r["doc_id"], r["n_words"], r["n_hit"]) for r in parts.collect()]
+    assert sorted(got) == sorted((r[0], r[1], r[2]) for r in whole) and sum(g[2] > 0 for g in got) == 50
+    assert sorted(r["doc_id"] for r in D.drop_contaminated(*frames, block_chars=500).collect()) == [90, 91]
+
+
 def test_token_counts(spark):
     vocabulary = set(B.load_ranks(PATH))
     longest = max(map(len, vocabulary))
