@@ -274,8 +274,31 @@ def _shared(docs: DataFrame, n: int, salt: int, levels: Levels) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key bigint, cls bigint, crowd int")
 
 
+def _bucket_sets(kept: DataFrame) -> DataFrame:
+    """sig, cls: the classes of each bucket of kept(key, cls), once for all buckets that have the same.
+
+    Should two buckets of other classes share a signature, they are searched as one, which loses no pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, large in runs(batches, CROWD):
+            key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not large:
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+                counts = np.diff(np.concatenate([starts, [len(key)]]))
+                sums = mix(np.add.reduceat(mix(cls.astype(np.uint64)), starts) + counts.astype(np.uint64)).astype(np.int64)
+                first = np.zeros(len(starts), dtype=bool)
+                first[np.unique(sums, return_index=True)[1]] = True
+                keep = np.repeat(first & (counts > 1), counts)
+                key, cls = np.repeat(sums, counts)[keep], cls[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(cls, pa.int64())], schema=_KEYS)
+
+    rows = kept.select("key", "cls").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, cls bigint")
+    return rows.select(F.col("key").alias("sig"), "cls").distinct()
+
+
 def _near_links(used: DataFrame, part: int, whole: int) -> DataFrame:
-    """a, b: pairs that connect what the bound leaves connected within each bucket of used(key, cls, n, point)."""
+    """a, b: pairs that connect what the bound leaves connected within each bucket of used(sig, cls, n, point)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None  # of a crowded bucket whose next part follows
@@ -296,7 +319,7 @@ def _near_links(used: DataFrame, part: int, whole: int) -> DataFrame:
             if first:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first), pa.int64()), pa.array(np.concatenate(second), pa.int64())], schema=_PAIRS)
 
-    return used.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return used.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a bigint, b bigint")
 
 
 def _explore(points: np.ndarray, sizes: np.ndarray, part: int, whole: int, check=None, sides: np.ndarray | None = None, labels: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -492,17 +515,19 @@ def _search(docs: DataFrame, n: int, part: int, whole: int, form: str) -> tuple[
     while True:
         sizes = materialize(_sizes(docs, n, salt, levels), "op10-sizes")
         classes = sizes.filter("n_shingles > 0").groupBy("cls").agg(F.min("rest").alias("rest"), F.max("rest").alias("other"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tag")).alias("witness"), F.first("n_shingles").alias("n"), F.first("spare").alias("spare"), F.first("point").alias("point"), F.count("*").alias("count"))
+        classes = materialize(classes, "op10-classes")
         if classes.filter("rest <> other").isEmpty():  # else two sets share a class number: number anew
             break
-        discard(sizes)
+        discard(sizes, classes)
         salt += 1
     shared = materialize(_shared(docs, n, salt, levels), "op10-shared")
     # each class leaves out its most crowded buckets, as many as it may
     odd = F.col("key").bitwiseAND(F.lit(1))
     may = F.when(odd == 1, F.col("spare").bitwiseAND(F.lit((1 << 20) - 1))).otherwise(F.shiftright("spare", 20))
     rank = F.row_number().over(Window.partitionBy("cls", "odd").orderBy(F.col("crowd").desc(), "key"))
-    kept = shared.repartition("cls").withColumn("odd", odd).withColumn("rank", rank).join(classes.select("cls", "n", "spare", "point"), "cls").filter(F.col("rank") > may)
-    near = materialize(_near_links(kept.select("key", "cls", "n", "point"), part, whole), "op10-near")
+    kept = shared.repartition("cls").withColumn("odd", odd).withColumn("rank", rank).join(classes.select("cls", "spare"), "cls").filter(F.col("rank") > may)
+    sets = _bucket_sets(kept).join(classes.select("cls", "n", "point"), "cls").select("sig", "cls", "n", "point")
+    near = materialize(_near_links(sets, part, whole), "op10-near")
     clusters = components(near).select(F.col("node").alias("cls"), F.col("label").alias("cluster"))
     discard(shared, near)
     used = clusters.join(classes.select("cls", "n", "point", "witness", "count"), "cls")
