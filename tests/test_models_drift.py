@@ -154,10 +154,27 @@ def test_dedup_is_anchored_at_the_last_that_fired(spark):
     assert tuple(A.counters(df, fired).first()) == (8, 4, 4)
 
 
-def test_delivery_retries_and_dead_letters(spark):
-    df = spark.createDataFrame([("ok",), ("never",)], "id string")
-    send = A.deliver(lambda r: r["id"] == "ok", tries=3, sleep=lambda s: None)
-    assert [r["id"] for r in send(df, 0).collect()] == ["never"]
+def test_delivery_retries_and_dead_letters(spark, tmp_path):
+    """Failed posts are kept by batch: a batch that runs again replaces its own, and a drain empties the folder."""
+    posted = tmp_path / "posted"
+    posted.mkdir()
+
+    def post(record):
+        with open(posted / record["id"], "a") as f:
+            f.write("x")
+        return record["id"].startswith("ok")
+
+    dead = str(tmp_path / "dead")
+    send = A.deliver(post, dead, tries=3, sleep=lambda s: None)
+    df = spark.createDataFrame([("ok1",), ("never1",), ("never2",)], "id string").coalesce(1)
+    send(df, 0)
+    send(df, 0)
+    send(df.filter("id = 'never2'"), 1)
+    assert (posted / "ok1").read_text() == "xx" and (posted / "never1").read_text() == "x" * 6
+    got = A.drain_dead_letters(spark, dead, str(tmp_path / "first"))
+    assert sorted((r["batch"], r["id"]) for r in got.collect()) == [(0, "never1"), (0, "never2"), (1, "never2")]
+    assert A.drain_dead_letters(spark, dead, str(tmp_path / "second")).count() == 0
+    assert got.count() == 3
 
 
 def test_registry_and_audit(spark, tmp_path):

@@ -47,6 +47,22 @@ def test_dedup_agrees_with_batch(spark, sf, files, tmp_path):
     assert {r["event_id"] for r in got.collect()} == {r["event_id"] for r in want.collect()}
 
 
+def test_state_expires(spark, tmp_path):
+    """Two alerts of a key in two batches, within the window: the second fires only if the first's state has expired."""
+    rows = [(1, 1_000_000, "u", "REVIEW_FLAGGED"), (2, 2_000_000, "u", "REVIEW_FLAGGED")]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], "event_id bigint, us bigint, user string, alert_type string").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part{k}"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        fired = {}
+        for name, ttl in (("expires", 1), ("stays", 600_000)):
+            s = spark.readStream.schema("event_id bigint, us bigint, user string, alert_type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+            fired[name] = run(stateful.anchored_dedup(s, 60_000_000, ttl), name, tmp_path / name).count()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert fired == {"expires": 2, "stays": 1}
+
+
 def test_running_sketch_agrees_with_batch(spark, sf, files, tmp_path):
     got = run(stateful.running_sketch(stream(spark, files), "device_id"), "cells", tmp_path, "complete")
     want = CountMin().build(transactions(spark, sf), "device_id")
@@ -61,6 +77,21 @@ def test_drift_windows_fill_and_clear(spark, tmp_path):
     assert seen == [6, 6] and sink.buffered == 0
 
 
+def test_drift_windows_survive_a_restart(spark, tmp_path):
+    """A batch that runs again counts once, and a new process goes on with what waits on disk."""
+    seen = []
+    sink = lambda: stateful.DriftWindows(lambda df: seen.append(sorted(r["id"] for r in df.collect())), str(tmp_path), 5)
+    sink()(spark.range(0, 3), 0)
+    sink()(spark.range(0, 3), 0)
+    assert seen == []
+    sink()(spark.range(3, 6), 1)
+    sink()(spark.range(3, 6), 1)
+    assert seen == [[0, 1, 2, 3, 4, 5]]
+    last = sink()
+    last(spark.range(6, 8), 2)
+    assert len(seen) == 1 and last.buffered == 2
+
+
 def test_learning_takes_every_row_of_a_batch(spark):
     class Learner:
         seen = []

@@ -20,30 +20,30 @@ def eligible(scored: DataFrame, score: str = "score", decision: str = "decision"
     return scored.filter(~((F.col(score) < REVIEW_AT) & (F.col(decision) == "PASS"))).withColumn("alert_type", alert_type(F.col(score)))
 
 
-def _fired(times: Column, window: int) -> Column:
-    """Of ascending times those that fire: a time within the window after the last that fired doesn't, and leaves it."""
-    start = F.struct(F.array().cast("array<bigint>").alias("fired"), F.lit(None).cast("bigint").alias("last"))
-
-    def step(state: Column, t: Column) -> Column:
-        fires = state["last"].isNull() | (t - state["last"] >= window)
-        return F.struct(F.when(fires, F.concat(state["fired"], F.array(t))).otherwise(state["fired"]).alias("fired"), F.when(fires, t).otherwise(state["last"]).alias("last"))
-
-    return F.aggregate(times, start, step, lambda s: s["fired"])
-
-
-def dedup(alerts: DataFrame, keys: list[str], at: str = "us", window_us: int = WINDOW_S * 1_000_000, rows: str = "event_id") -> DataFrame:
-    """Alerts that fire. Chains of alerts closer than the window are folded one by one, so what is gathered for a fold is one
-    chain (an unbroken storm of one key), not a key's whole history."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(at, rows)
-    # a gap of the window or more starts a chain anew: whatever fired before, the alert after it fires
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) >= window_us).cast("int"), F.lit(1))
-    chained = alerts.withColumn("_new", new).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    times = chained.groupBy(*keys, "_chain").agg(F.array_sort(F.collect_set(at)).alias("_times"))
-    fired = times.select(*keys, F.explode(_fired(F.col("_times"), window_us)).alias(at))
-    first = chained.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, at).orderBy(rows))).filter("_first = 1")
-    return first.join(fired, [*keys, at], "left_semi").select(*alerts.columns)
+def dedup(alerts: DataFrame, keys: list[str], at: str = "us", window_us: int = WINDOW_S * 1_000_000, rows: str = "event_id", bucket_us: int | None = None) -> DataFrame:
+    """Alerts that fire: none within the window after the last of its key that fired. A gap of the window or more parts a key's
+    alerts into chains, found bucket by bucket; each chain's sorted rows are then walked with the last time that fired, so
+    nothing but a batch of rows is held, and a storm of one key costs its length."""
+    from .windows import bucket_length, running_totals, with_previous
+
+    key = F.to_json(F.struct(*keys))
+    base = alerts.withColumn("_key", key)
+    length = bucket_us or bucket_length(base, "_key", at=at)
+    started = with_previous(base, "_key", at, rows, length, "_previous")
+    new = F.coalesce((F.col(at) - F.col("_previous") >= window_us).cast("int"), F.lit(1))
+    chained = running_totals(started.withColumn("_new", new).drop("_previous"), "_key", [at, rows], {"_chain": F.col("_new")}, F.expr(f"{at} div {length}")).drop("_new")
+
+    def walk(batches):
+        chain, last = None, None
+        for b in batches:
+            keep = []
+            for who, number, now in zip(b["_key"].tolist(), b["_chain"].tolist(), b[at].tolist(), strict=True):
+                fires = chain != (who, number) or now - last >= window_us
+                chain, last = (who, number), now if fires else last
+                keep.append(fires)
+            yield b[keep]
+
+    return chained.repartition("_key", "_chain").sortWithinPartitions("_key", "_chain", at, rows).mapInPandas(walk, chained.schema).select(*alerts.columns)
 
 
 def counters(alerts: DataFrame, fired: DataFrame) -> DataFrame:
@@ -58,14 +58,15 @@ def drift_alerts(overall: DataFrame) -> DataFrame:
     )
 
 
-def deliver(post: Callable[[dict], bool], tries: int = 5, cap_s: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], DataFrame]:
-    """A foreachBatch function that posts each alert, waiting 1, 2, 4 ... seconds between tries; what can't be delivered is
-    returned as the batch's dead letters. post runs on the executors."""
+def deliver(post: Callable[[dict], bool], dead_letters: str, tries: int = 5, cap_s: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that posts each alert, waiting 1, 2, 4 ... seconds between tries. What can't be delivered is
+    written below dead_letters, a folder that all machines share, under its batch's number: a batch that runs again replaces
+    its own. post runs on the executors, at least once for each alert."""
 
-    def send(rows):
-        for pdf in rows:
+    def send(batches):
+        for pdf in batches:
             failed = []
-            for record in pdf.to_dict("records"):
+            for place, record in enumerate(pdf.to_dict("records")):
                 for k in range(tries):
                     try:
                         if post(record):
@@ -75,9 +76,25 @@ def deliver(post: Callable[[dict], bool], tries: int = 5, cap_s: float = 30.0, s
                     if k + 1 < tries:
                         sleep(min(cap_s, 2.0**k))
                 else:
-                    failed.append(record)
-            import pandas as pd
-
-            yield pd.DataFrame(failed, columns=pdf.columns)
-
-    return lambda batch, _id: batch.mapInPandas(send, batch.schema)
+                    failed.append(place)
+            yield pdf.iloc[failed]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.mapInPandas(send, batch.schema).write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
+
+    return run
+
+
+def drain_dead_letters(spark, dead_letters: str, to: str) -> DataFrame:
+    """Moves all dead letters to the folder `to`, which must not exist yet, and returns them; those of later batches come with the next drain."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(dead_letters)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
+    parts = [p for p in parts if p.getName().startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not parts:
+        return spark.createDataFrame([], "batch bigint")
+    rows = spark.read.option("basePath", dead_letters).parquet(*(p.toString() for p in parts))
+    rows.write.parquet(to)
+    for p in parts:
+        fs.delete(p, True)
+    return spark.read.parquet(to)

@@ -17,8 +17,20 @@ def melt(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> Da
 
 def reference(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """feature, interior edges (percentiles by linear interpolation), mean, deviation: one row per feature."""
-    shares = [k / bins for k in range(1, bins)]
-    return melt(df, columns).groupBy("feature").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("edges"), F.avg("x").alias("mean"), (F.stddev_pop("x") + 1e-8).alias("std"), F.count("*").alias("n"))
+    from .metrics import order_statistics
+
+    rows = melt(df, columns)
+    moments = rows.groupBy("feature").agg(F.avg("x").alias("mean"), (F.stddev_pop("x") + 1e-8).alias("std"), F.count("*").alias("n"))
+    return order_statistics(rows, "feature", "x", [k / bins for k in range(1, bins)]).join(moments, "feature").select("feature", "edges", "mean", "std", "n")
+
+
+def save_reference(ref: DataFrame, path: str) -> None:
+    """One row a feature: edges and moments, as they are."""
+    ref.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_reference(spark, path: str) -> DataFrame:
+    return spark.read.schema("feature string, edges array<double>, mean double, std double, n bigint").parquet(path)
 
 
 def histogram(df: DataFrame, columns: list[str], ref: DataFrame) -> DataFrame:
@@ -43,9 +55,9 @@ def label(value: Column) -> Column:
     return F.when(value < 0.10, "stable").when(value < 0.20, "monitor").otherwise("alert")
 
 
-def report(base: DataFrame, current: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """feature, psi, status, mean_shift in deviations of the reference."""
-    ref = reference(base, columns, bins)
+def report(base: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, ref: DataFrame | None = None) -> DataFrame:
+    """feature, psi, status, mean_shift in deviations of the reference, which may be a loaded one."""
+    ref = reference(base, columns, bins) if ref is None else ref
     values = psi(histogram(base, columns, ref), histogram(current, columns, ref), ref, bins)
     means = melt(current, columns).groupBy("feature").agg(F.avg("x").alias("now"))
     out = values.join(ref.select("feature", "mean", "std"), "feature").join(means, "feature")

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clean_number
 
 
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Range-sorted rows with their partition's number; a given count of partitions is the same wherever the plan is used."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+
 def global_place(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds each row's place from 1 in a total order. Rows are range-sorted, numbered within partitions, and moved on by the
     partitions before: two passes and no single-task window. The order must be total for the places to be defined."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ordered = _ranged(df, order)
     inside = ordered.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     before = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row a partition: as many as there are shuffle partitions
@@ -20,12 +26,41 @@ def global_place(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return inside.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Adds running sums of columns in a total order, each row's own value included, by the same two passes."""
+    ordered = _ranged(df, order)
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ordered.withColumns({f"_in_{n}": F.sum(c).over(upto) for n, c in sums.items()})
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("_part").agg(*(F.sum(c).alias(f"_n_{n}") for n, c in sums.items()))
+    offsets = parts.select("_part", *(F.coalesce(F.sum(f"_n_{n}").over(w), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    joined = inside.join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums))
+
+
+def order_statistics(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """group, edges: for each share the value at share * (n - 1), between neighbours by linear interpolation; nulls and NaN
+    aside. Distinct values are counted and ordered over all machines; only the few that are asked for come together. There are
+    few groups (features)."""
+    counts = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(group, value).agg(F.count("*").alias("_n"))
+    sizes = counts.groupBy(group).agg(F.sum("_n").alias("_all"))
+    before = sizes.withColumn("_skip", F.coalesce(F.sum("_all").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("_all") - 1)).alias("at")) for k, p in enumerate(shares))))
+    asked = before.select(F.col(group), "_skip", at.alias("a")).select(group, F.col("a.k").alias("k"), (F.col("a.at") - F.floor("a.at")).alias("rest"), (F.floor("a.at") + F.col("_skip") + 1).alias("low"), (F.ceil("a.at") + F.col("_skip") + 1).alias("high"))
+    placed = running_sums(counts, [group, value], {"_upto": "_n"}).withColumn("_from", F.col("_upto") - F.col("_n"))
+    wanted = F.broadcast(asked.select(F.col(group).alias("_g"), "k", "rest", "low", "high"))
+    hit = lambda c: (F.col(c) > F.col("_from")) & (F.col(c) <= F.col("_upto"))
+    met = placed.join(wanted, (F.col(group) == F.col("_g")) & (hit("low") | hit("high")))
+    pairs = met.groupBy(group, "k", "rest").agg(F.max(F.when(hit("low"), F.col(value))).alias("x"), F.max(F.when(hit("high"), F.col(value))).alias("y"))
+    edge = F.struct("k", (F.col("x") + (F.col("y") - F.col("x")) * F.col("rest")).alias("e"))
+    return pairs.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(edge)), lambda r: r["e"]).alias("edges"))
+
+
 def auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Area under the curve from score groups: ties count half. Scores are grouped first, so what is ordered is the distinct
     scores; 0.5 where there is one class only."""
-    groups = df.groupBy(score).agg(F.sum(F.col(y).cast("bigint")).alias("p"), F.sum(1 - F.col(y).cast("bigint")).alias("q"))
-    above = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = groups.select("p", "q", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("before"))
+    groups = df.groupBy((-F.col(score)).alias("_down")).agg(F.sum(F.col(y).cast("bigint")).alias("p"), F.sum(1 - F.col(y).cast("bigint")).alias("q"))
+    ranked = running_sums(groups, ["_down"], {"before": "p"}).withColumn("before", F.col("before") - F.col("p"))
     total = ranked.agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.sum(F.col("q") * F.col("before") + F.col("p") * F.col("q") / 2).alias("area"))
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("area") / (F.col("pos") * F.col("neg"))).otherwise(0.5).alias("auc"), F.col("pos").alias("positives"), F.col("neg").alias("negatives"))
 
@@ -94,8 +129,7 @@ def bin_features(df: DataFrame, columns: list[str], keep: list[str], bins: int =
     from .drift import melt
     from ..functions.scalar import digitize
 
-    shares = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    edges = melt(df, columns).groupBy("feature").agg(F.percentile("x", shares).alias("edges"))
+    edges = order_statistics(melt(df, columns), "feature", "x", [k / bins for k in range(1, bins)])
     wide = edges.agg(*(F.first(F.when(F.col("feature") == c, F.col("edges")), ignorenulls=True).alias(f"_{c}") for c in columns))
     return df.crossJoin(F.broadcast(wide)).select(*keep, *(digitize(F.col(c).cast("double"), F.col(f"_{c}")).alias(c) for c in columns))
 
@@ -124,11 +158,50 @@ def ewma(values: Column, decay: float = 0.95) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * decay + x * (1 - decay)))
 
 
-def rolling_loss(df: DataFrame, key: str, order: str, loss: str, last: int = 50) -> DataFrame:
-    """Adds the mean of the last losses and a slow average of all."""
-    w = Window.partitionBy(key).orderBy(order)
-    near = w.rowsBetween(-(last - 1), 0)
-    return df.withColumn("recent_loss", F.avg(loss).over(near)).withColumn("baseline_loss", ewma(F.collect_list(loss).over(w), 0.99))
+def rolling_loss(df: DataFrame, key: str, order: str, loss: str, last: int = 50, decay: float = 0.99) -> DataFrame:
+    """Adds the mean of the last losses and a slow average of all. The slow one is carried along sorted rows, batch by batch."""
+    near = Window.partitionBy(key).orderBy(order).rowsBetween(-(last - 1), 0)
+    rows = df.withColumn("recent_loss", F.avg(loss).over(near)).withColumn("baseline_loss", F.col(loss).cast("double"))
+
+    def carry(batches):
+        at, value = None, None
+        for b in batches:
+            out = b["baseline_loss"].to_numpy(dtype="float64", copy=True)
+            for k, (who, x) in enumerate(zip(b[key].tolist(), out.tolist(), strict=True)):
+                value = x if who != at else value * decay + x * (1 - decay)
+                at, out[k] = who, value
+            yield b.assign(baseline_loss=out)
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(carry, rows.schema)
+
+
+def feedback(log: DataFrame, labels: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Decisions beside analysts' labels: key, decision, confirmed; the newest label of a transaction counts."""
+    newest = labels.groupBy(key).agg(F.max_by("confirmed", "seq").alias("confirmed"))
+    return log.select(key, "decision").join(newest, key)
+
+
+def feedback_precision(joined: DataFrame) -> DataFrame:
+    """For each decision the labels and the share that was confirmed."""
+    out = joined.groupBy("decision").agg(F.count_if("confirmed").alias("confirmed"), F.count_if(~F.col("confirmed")).alias("false_alarms"))
+    return out.withColumn("precision", label_precision(F.col("confirmed"), F.col("false_alarms")))
+
+
+def review_queue(scored: DataFrame, order: list[str], capacity: int = 50, shown: int = 10) -> DataFrame:
+    """The last rows to review that a queue of this capacity shows, newest first."""
+    return scored.filter("decision = 'REVIEW'").orderBy(*(F.col(c).desc() for c in order)).limit(min(capacity, shown))
+
+
+def feed(scored: DataFrame, order: list[str], shown: int = 30) -> DataFrame:
+    """The newest rows, newest first."""
+    return scored.orderBy(*(F.col(c).desc() for c in order)).limit(shown)
+
+
+def service_metrics(scored: DataFrame, order: list[str], mode: str = "live", latency: str = "latency_ms") -> DataFrame:
+    """One row: transactions scored, decisions by kind, latencies of the last rows, and whether the mode is shadow."""
+    counts = scored.agg(F.count("*").alias("total_scored"), *(F.count_if(F.col("decision") == d).alias(d.lower()) for d in ("BLOCK", "REVIEW", "PASS")))
+    tail = latencies(scored, latency, order).select(F.round("p50", 2).alias("p50_ms"), F.round("p99", 2).alias("p99_ms"))
+    return counts.crossJoin(tail).withColumn("shadow_mode", F.lit(mode == "shadow"))
 
 
 def cleaned(df: DataFrame, columns: list[str]) -> DataFrame:

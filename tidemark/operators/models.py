@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import numpy as np
 import pandas as pd
 
@@ -225,6 +227,18 @@ class GBT:
                 todo += [node["left"], node["right"]]
         return counts / counts.sum() if counts.sum() else counts
 
+    def save(self, path: str) -> None:
+        with open(path, "w") as f:
+            json.dump({"lr": self.lr, "start": self.start, "d": self.d, "trees": self.trees}, f)
+
+    @classmethod
+    def load(cls, path: str) -> GBT:
+        with open(path) as f:
+            held = json.load(f)
+        model = cls(len(held["trees"]), held["lr"])
+        model.start, model.trees, model.d = held["start"], held["trees"], held["d"]
+        return model
+
     def column(self, features: list[str]) -> Column:
         """The probability as nested conditions: JVM code, no Python."""
         raw = F.lit(self.start)
@@ -255,6 +269,26 @@ class Ensemble:
         parts = [(w, m.predict_proba(self.normalize(x) if m is self.mlp else x)) for w, m in zip(self.weights, (self.mlp, self.gbt), strict=True) if m is not None]
         return sum(w * p for w, p in parts) / sum(w for w, _ in parts) if parts else np.full(len(x), none)
 
+    def save(self, folder: str) -> None:
+        """The parts at hand, the weights and the normaliser, a file each."""
+        os.makedirs(folder, exist_ok=True)
+        if self.mlp is not None:
+            self.mlp.save(os.path.join(folder, "mlp.npz"))
+        if self.gbt is not None:
+            self.gbt.save(os.path.join(folder, "gbt.json"))
+        with open(os.path.join(folder, "ensemble.json"), "w") as f:
+            json.dump({"weights": self.weights, "mean": None if self.mean is None else self.mean.tolist(), "std": None if self.std is None else self.std.tolist()}, f)
+
+    @classmethod
+    def load(cls, folder: str) -> Ensemble:
+        part = lambda name: os.path.join(folder, name)
+        with open(part("ensemble.json")) as f:
+            held = json.load(f)
+        model = cls(MLP.load(part("mlp.npz")) if os.path.exists(part("mlp.npz")) else None, GBT.load(part("gbt.json")) if os.path.exists(part("gbt.json")) else None, tuple(held["weights"]))
+        if held["mean"] is not None:
+            model.mean, model.std = np.array(held["mean"]), np.array(held["std"])
+        return model
+
     def score(self, vector: np.ndarray) -> float:
         return round(float(self.score_batch(np.asarray(vector)[None, :], 0.5)[0]), 4)
 

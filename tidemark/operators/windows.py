@@ -1,9 +1,10 @@
 """Rolling windows over event time, bounds inclusive, current row and its peers included.
 
-Two forms. Frames: Spark's RANGE frames, for measures that can't be taken apart (deviation, maximum, distinct values);
-their cost grows with rows in a frame, so they are for keys with moderate frames such as users. Totals: counts and sums
-by differences of running totals, linear however long the frame is, and with hot keys cut into time buckets, for devices
-and merchants that may hold a large share of all rows.
+Three forms. Frames: Spark's RANGE frames, for deviation and maximum; their cost grows with rows in a frame, so they are for
+keys with moderate frames such as users. Totals: counts and sums by differences of running totals, linear however long the
+frame is, and with hot keys cut into time buckets, for devices and merchants that may hold a large share of all rows.
+Intervals: a value is among a window's distinct ones from each time it comes until the window has passed its last one, so
+distinct counts are running totals of such intervals' starts less ends.
 """
 
 from __future__ import annotations
@@ -25,8 +26,23 @@ def present(value: str) -> Column:
     return F.nullif(F.col(value), F.lit(""))
 
 
-def distinct_in(value: str, w) -> Column:
-    return F.size(F.collect_set(present(value)).over(w)).cast("bigint")
+def with_distinct(txns: DataFrame, key: str, wanted: list[tuple[str, str, str]]) -> DataFrame:
+    """Adds for each (value, window, name) how many different values, empty ones aside, the key's window holds. No sets: a row
+    starts an interval if the same value isn't in the window before it, and ends one if it doesn't come again within the window."""
+    columns = txns.columns
+    flagged = txns
+    for value in dict.fromkeys(v for v, _, _ in wanted):
+        same = Window.partitionBy(key, value).orderBy("us", "event_id")
+        flagged = flagged.withColumns({f"_prev_{value}": F.lag("us").over(same), f"_next_{value}": F.lead("us").over(same)})
+    length = lambda window: LENGTHS[window] * SECOND
+    starts = {n: present(v).isNotNull() & (F.coalesce(F.col("us") - F.col(f"_prev_{v}"), F.lit(1 << 62)) > length(w)) for v, w, n in wanted}
+    ends = {n: present(v).isNotNull() & (F.coalesce(F.col(f"_next_{v}") - F.col("us"), F.lit(1 << 62)) > length(w)) for v, w, n in wanted}
+    opened = flagged.select(*columns, F.col("us").alias("_at"), *(starts[n].cast("int").alias(f"_d_{n}") for _, _, n in wanted))
+    gone = F.explode(F.filter(F.array(*(F.when(ends[n], F.struct(F.lit(n).alias("name"), (F.col("us") + length(w) + 1).alias("at"))) for _, w, n in wanted)), lambda x: x.isNotNull()))
+    closed = flagged.select(key, gone.alias("_e")).select(key, F.col("_e.at").alias("_at"), *(F.when(F.col("_e.name") == n, -1).otherwise(0).alias(f"_d_{n}") for _, _, n in wanted))
+    both = opened.withColumn("_row", F.lit(True)).unionByName(closed.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.select(*columns, "_row", *(F.sum(f"_d_{n}").over(upto).alias(n) for _, _, n in wanted)).filter("_row").drop("_row")
 
 
 def user_windows(txns: DataFrame) -> DataFrame:
@@ -34,31 +50,46 @@ def user_windows(txns: DataFrame) -> DataFrame:
     w = {k: frame("payer_vpa", k) for k in LENGTHS}
     known = F.coalesce(F.col("payer_vpa"), F.lit("")) != ""
     upto = Window.partitionBy("payer_vpa").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return txns.filter(known).select(
-        "*",
+    counted = with_distinct(txns.filter(known), "payer_vpa", [("payer_city", "1h", "user_unique_cities_1h"), ("device_id", "24h", "user_unique_devices_24h")])
+    return counted.select(
+        *txns.columns,
         F.count(F.lit(1)).over(upto).alias("user_global_freq"),
         *(F.count(F.lit(1)).over(w[k]).alias(f"user_txn_count_{k}") for k in LENGTHS),
         F.avg("amount").over(w["1h"]).alias("user_amount_mean_1h"),
         F.stddev_pop("amount").over(w["1h"]).alias("user_amount_std_1h"),
         F.max("amount").over(w["24h"]).alias("user_amount_max_24h"),
-        distinct_in("payer_city", w["1h"]).alias("user_unique_cities_1h"),
-        distinct_in("device_id", w["24h"]).alias("user_unique_devices_24h"),
-    )
+        "user_unique_cities_1h", "user_unique_devices_24h",
+    )
 
 
 def all_stats(txns: DataFrame, key: str) -> DataFrame:
     """For each of the four windows a struct of nine statistics."""
     out = []
+    txns_columns = txns.columns
+    txns = with_distinct(txns, key, [(v, k, f"_{n}_{k}") for k in LENGTHS for v, n in (("payer_city", "cities"), ("device_id", "devices"))])
     for k, seconds in LENGTHS.items():
         w = frame(key, k)
         n, total, mean = F.count(F.lit(1)).over(w), F.sum("amount").over(w), F.avg("amount").over(w)
         out.append(
             F.struct(
                 n.alias("count"), F.round(total, 2).alias("sum"), F.round(mean, 2).alias("mean"), F.round(F.stddev_pop("amount").over(w), 2).alias("std"), F.max("amount").over(w).alias("max"),
-                F.min("amount").over(w).alias("min"), distinct_in("payer_city", w).alias("unique_cities"), distinct_in("device_id", w).alias("unique_devices"), F.round(n / F.lit(seconds / 60), 4).alias("velocity"),
+                F.min("amount").over(w).alias("min"), F.col(f"_cities_{k}").alias("unique_cities"), F.col(f"_devices_{k}").alias("unique_devices"), F.round(n / F.lit(seconds / 60), 4).alias("velocity"),
             ).alias(f"stats_{k}")
         )
-    return txns.select("*", *out)
+    return txns.select(*txns_columns, *out)
+
+
+def bucket_length(rows: DataFrame, *keys: str, at: str = "us", least: int = 4_096) -> int:
+    """A length of time such that the hottest of the keys' values has about `least` rows in it, or so many that all cores have
+    two buckets of it each: one aggregation over the keys."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys)))
+    counts = rows.select(at, each.alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
+    r = counts.agg(F.max("n").alias("hottest"), F.sum("n").alias("all"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if not r["all"]:
+        return SECOND
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, r["hottest"] // max(least, r["all"] // len(keys) // (2 * width)))
+    return (r["high"] - r["low"]) // buckets + 1
 
 
 def running_totals(rows: DataFrame, key: str, order: list[str], measures: dict[str, Column], bucket: Column) -> DataFrame:
@@ -73,11 +104,12 @@ def running_totals(rows: DataFrame, key: str, order: list[str], measures: dict[s
     return joined.select(*(c for c in rows.columns if c != "_bucket"), *((F.sum(m).over(inside) + F.col(f"_before_{n}")).alias(n) for n, m in measures.items()))
 
 
-def totals_asof(events: DataFrame, probes: DataFrame, key: str, bucket_us: int = 24 * 3600 * SECOND, tie: str | None = None) -> DataFrame:
+def totals_asof(events: DataFrame, probes: DataFrame, key: str, bucket_us: int | None = None, tie: str | None = None) -> DataFrame:
     """For each probe (key, at, and its other columns) the count and sum of events (key, us, amount) up to and with `at`.
 
     A sort-merge as-of form: events and probes are ordered together, so the cost is that of one sort. With tie, a column that
     orders events of one time and is among the probes' columns, events stay too, with what stands up to and with themselves."""
+    bucket_us = bucket_us or bucket_length(events, key)
     extra = [c for c in probes.columns if c not in (key, "at")]
     blank = lambda c: F.col(c) if c == tie else F.lit(None).cast(probes.schema[c].dataType)
     both = events.select(F.col(key), F.col("us").alias("at"), F.lit(0).alias("_probe"), F.lit(1).alias("_n"), F.coalesce("amount", F.lit(0.0)).alias("_x"), *(blank(c).alias(c) for c in extra))
@@ -87,10 +119,11 @@ def totals_asof(events: DataFrame, probes: DataFrame, key: str, bucket_us: int =
     return (out if tie else out.filter("_probe = 1")).select(key, "at", *extra, "n", "total")
 
 
-def entity_windows(txns: DataFrame, key: str, windows: list[str], bucket_us: int = 24 * 3600 * SECOND) -> DataFrame:
+def entity_windows(txns: DataFrame, key: str, windows: list[str], bucket_us: int | None = None) -> DataFrame:
     """event_id with n_<window> and total_<window> for the entity's rolling windows, and freq, its transactions up to this one;
     rows of unnamed entities are absent. One shuffle by entity and one by event_id."""
     known = txns.filter(F.coalesce(F.col(key), F.lit("")) != "").select("event_id", key, "us", "amount")
+    bucket_us = bucket_us or bucket_length(known, key)
     ends = F.array(F.struct(F.lit("now").alias("slot"), F.col("us").alias("at")), *(F.struct(F.lit(w).alias("slot"), (F.col("us") - LENGTHS[w] * SECOND - 1).alias("at")) for w in windows))
     probes = known.select("event_id", key, F.explode(ends).alias("p")).select("event_id", key, "p.slot", "p.at")
     found = totals_asof(known, probes, key, bucket_us, "event_id")
@@ -108,19 +141,44 @@ def stats_asof(txns: DataFrame, probes: DataFrame, key: str, window: str) -> Dat
     return out.select(key, "now", "count", F.when(F.col("count") > 0, F.col("total")).otherwise(0.0).alias("sum"), F.when(F.col("count") > 0, F.col("total") / F.col("count")).otherwise(0.0).alias("mean"))
 
 
-def running_frequency(txns: DataFrame, key: str, bucket_us: int = 24 * 3600 * SECOND) -> DataFrame:
+def running_frequency(txns: DataFrame, key: str, bucket_us: int | None = None) -> DataFrame:
     """event_id, freq: how many of the entity's transactions there are up to this one, itself included."""
     rows = txns.filter(F.coalesce(F.col(key), F.lit("")) != "").select("event_id", key, "us")
+    bucket_us = bucket_us or bucket_length(rows, key)
     return running_totals(rows, key, ["us", "event_id"], {"freq": F.lit(1)}, F.expr(f"us div {bucket_us}")).select("event_id", "freq")
 
 
-def timing_regularity(txns: DataFrame, key: str) -> DataFrame:
+def with_previous(rows: DataFrame, key: str, at: str, tie: str, bucket_us: int | None = None, name: str = "previous") -> DataFrame:
+    """Adds the key's time before each row. Time buckets of a key are ordered apart; a bucket's first row looks at the last time of those before."""
+    rows = rows.withColumn("_bucket", F.expr(f"{at} div {bucket_us or bucket_length(rows, key, at=at)}"))
+    last = rows.groupBy(key, "_bucket").agg(F.max(at).alias("_last"))
+    before = last.select(key, "_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_before"))
+    inside = F.lag(at).over(Window.partitionBy(key, "_bucket").orderBy(at, tie))
+    return rows.join(before, [key, "_bucket"]).withColumn(name, F.coalesce(inside, "_before")).drop("_bucket", "_before")
+
+
+def timing_regularity(txns: DataFrame, key: str, bucket_us: int | None = None) -> DataFrame:
     """Deviation of the times between an entity's transactions over their mean; null below three transactions."""
-    gap = F.col("us") - F.lag("us").over(Window.partitionBy(key).orderBy("us", "event_id"))
-    gaps = txns.select(key, (gap / F.lit(float(SECOND))).alias("gap"))
+    rows = with_previous(txns.filter(F.col(key).isNotNull()).select(key, "us", "event_id"), key, "us", "event_id", bucket_us)
+    gaps = rows.select(key, ((F.col("us") - F.col("previous")) / F.lit(float(SECOND))).alias("gap"))
     return gaps.groupBy(key).agg(F.count("gap").alias("n_gaps"), F.when(F.count("gap") >= 2, F.stddev_pop("gap") / F.avg("gap")).alias("regularity"))
 
 
+def ewma_last(rows: DataFrame, key: str, value: str, at: str, tie: str, decay: float = 0.95, bucket_us: int | None = None) -> DataFrame:
+    """key, ewma: the exponential average after the key's last value. A value's weight follows from how many come after it, so
+    no history is gathered: the first counts decay^(n-1), another (1 - decay) decay^(values after it)."""
+    rows = rows.select(key, at, tie, F.col(value).cast("double").alias("_x"))
+    placed = running_totals(rows, key, [at, tie], {"_place": F.lit(1)}, F.expr(f"{at} div {bucket_us or bucket_length(rows, key, at=at)}"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_all"))
+    weight = F.when(F.col("_place") == 1, 1.0).otherwise(1 - decay) * F.pow(F.lit(decay), F.col("_all") - F.col("_place"))
+    return placed.join(sizes, key).groupBy(key).agg(F.sum(F.col("_x") * weight).alias("ewma"))
+
+
+def first_seen(txns: DataFrame, key: str) -> DataFrame:
+    """Each entity's first transaction: key, event_id, us. A partial aggregation, no window."""
+    return txns.filter(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.min(F.struct("us", "event_id")).alias("f")).select(key, "f.event_id", "f.us")
+
+
 def recent(txns: DataFrame, key: str, n: int, order: list[str]) -> DataFrame:
     """The last n rows of each entity; 0 means all."""
     if n <= 0:

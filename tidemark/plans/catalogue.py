@@ -113,8 +113,7 @@ def device_window_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("merchant_window_features", f"WITH {WINDOWED} SELECT event_id, merchant_txn_count_1h AS n_1h, round(merchant_amount_mean_1h + 1e-7, 4) AS mean_1h FROM f")
 def merchant_window_features(spark: SparkSession, d: str) -> DataFrame:
-    # a quarter of an hour of compressed time a bucket, so that hot merchants are cut up
-    w = windows.entity_windows(transactions(spark, d), "payee_vpa", ["1h"], 900 * windows.SECOND)
+    w = windows.entity_windows(transactions(spark, d), "payee_vpa", ["1h"])
     return w.select("event_id", "n_1h", F.round(F.col("total_1h") / F.col("n_1h") + 1e-7, 4).alias("mean_1h"))
 
 
@@ -172,7 +171,7 @@ def rule_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query("running_entity_frequency", f"WITH {TXN} SELECT event_id, count(*) OVER (PARTITION BY device_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS freq FROM txn")
 def running_entity_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return windows.running_frequency(transactions(spark, d), "device_id", 600 * windows.SECOND)
+    return windows.running_frequency(transactions(spark, d), "device_id")
 
 
 _CELL = "('0x' || substr(sha256(unhex(printf('%08x', r)) || encode(k)), 1, 16))::UBIGINT % 544"
@@ -520,15 +519,15 @@ def ensemble_blend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ewma_by_user", f"WITH {TXN} SELECT payer_vpa, round(list_reduce(list(amount ORDER BY us, event_id), lambda a, x: a * 0.95 + x * 0.05), 4) AS ewma FROM txn GROUP BY 1")
 def ewma_by_user(spark: SparkSession, d: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", "amount"))), lambda r: r["amount"])
-    return transactions(spark, d).groupBy("payer_vpa").agg(F.round(metrics.ewma(ordered), 4).alias("ewma"))
+    return windows.ewma_last(transactions(spark, d), "payer_vpa", "amount", "us", "event_id").select("payer_vpa", F.round("ewma", 4).alias("ewma"))
 
 
-@query("crc_verify_log", f"WITH {TXN} SELECT count(*) AS n, 0::BIGINT AS broken FROM txn")
+@query("crc_verify_log", f"WITH {TXN} SELECT count(*) AS n, count(*) FILTER (event_id % 50 = 0) AS broken FROM txn")
 def crc_verify_log(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.scalar import crc_matches
 
-    log = transactions(spark, d).select(F.to_json(F.struct("transaction_id", "amount")).cast("binary").alias("payload")).withColumn("crc", F.crc32("payload"))
+    log = transactions(spark, d).select("event_id", F.to_json(F.struct("transaction_id", "amount")).cast("binary").alias("payload")).withColumn("crc", F.crc32("payload"))
+    log = log.withColumn("payload", F.when(F.col("event_id") % 50 == 0, F.concat("payload", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("payload")))  # every fiftieth record is damaged
     return log.agg(F.count("*").alias("n"), F.count_if(~crc_matches(F.col("payload"), F.col("crc"))).alias("broken"))
 
 
@@ -546,7 +545,7 @@ def card_normalize(spark: SparkSession, d: str) -> DataFrame:
     return n.select("transaction_id", "amount", "card_type", "card_category", F.element_at("timedelta_features", F.lit("D1")).alias("d1"), F.element_at("count_features", F.lit("C1")).alias("c1"), F.element_at("match_features", F.lit("M1")).alias("m1"), "is_fraud")
 
 
-@query("decide_end_to_end", f"WITH {RULED} SELECT event_id, round(CASE WHEN stop > 0 THEN 1.0 ELSE least(1.0, 0.6 * rule_score) END, 4) AS risk_score, CASE WHEN stop > 0 THEN 'BLOCK' WHEN round(0.6 * rule_score, 4) >= 0.9 THEN 'BLOCK' WHEN round(0.6 * rule_score, 4) >= 0.7 THEN 'REVIEW' ELSE 'PASS' END AS decision FROM decided")
+@query("decide_end_to_end", f"WITH {RULED} SELECT event_id, round(CASE WHEN stop > 0 THEN 1.0 ELSE rule_score END, 4) AS risk_score, CASE WHEN stop > 0 THEN 'BLOCK' WHEN rule_score >= 0.9 THEN 'BLOCK' WHEN rule_score >= 0.7 THEN 'REVIEW' ELSE 'PASS' END AS decision FROM decided")
 def decide_end_to_end(spark: SparkSession, d: str) -> DataFrame:
     out = scoring.decide(transactions(spark, d), engine=RuleEngine(LIMITS))
     return out.select("event_id", F.col("score").alias("risk_score"), "decision")
@@ -592,15 +591,15 @@ def shap_linear_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("model_decisions")
-def model_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """The whole decision with an ensemble of both models, trained on a bounded sample: the 2,000 first rows in a hashed order."""
+def model_decisions(spark: SparkSession, d: str, sample: int = 2_000) -> DataFrame:
+    """The whole decision with an ensemble of both models, trained on a bounded sample: the first `sample` rows in a hashed order."""
     import numpy as np
 
     from ..operators.models import GBT, MLP, Ensemble, score
 
     t = transactions(spark, d)
     f = features.features(t).select("event_id", features.vector().alias("vector"), F.col("is_fraud").cast("int").alias("y"))
-    rows = metrics.reservoir(f, 2_000, 42, "event_id").collect()
+    rows = metrics.reservoir(f, sample, 42, "event_id").collect()
     x, y = np.array([r["vector"] for r in rows]), np.array([r["y"] for r in rows])
     mlp, gbt = MLP(x.shape[1], (16, 8)), GBT(10, depth=3)
     model = Ensemble(mlp, gbt)
@@ -624,3 +623,6 @@ def audit_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).withColumns({"vector": F.array("amount", "score"), "rule_score": F.lit(0.0), "ml_score": F.col("score")})
     append_audit(audit_entries(s, "v1", True), path)
     return audit_stats(load_audit(spark, path))
+
+
+from . import extended  # noqa: E402, F401  registers its queries

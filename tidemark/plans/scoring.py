@@ -24,7 +24,7 @@ def enforced(decision: Column, mode: str) -> Column:
 
 
 def fallback(mode: str) -> tuple[Column, Column]:
-    """Score and decision when scoring fails."""
+    """Score and decision when scoring fails altogether."""
     return (F.lit(1.0), F.lit("BLOCK")) if mode == "fail_closed" else (F.lit(0.0), F.lit("PASS"))
 
 
@@ -35,16 +35,26 @@ def fuse(ml: Column, rule: Column) -> Column:
 def decide(txns: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None, engine: RuleEngine | None = None, mode: str = "live", model_version: str = "none") -> DataFrame:
     """Scores transactions. model adds ml_score to rows with `vector`; rows that rules block don't reach it.
 
-    The decision that would hold is kept beside the enforced one, so that shadow mode loses nothing."""
+    Without a model, in degraded mode and where the model gives nothing, the rule score stands in for the model's; in degraded
+    mode it is the score. Where the model gives nothing in fail_closed mode the row is blocked with score 1. The decision that
+    would hold is kept beside the enforced one, so that shadow mode loses nothing."""
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {MODES}")
+    if mode == "degraded":
+        model = None
     ruled = (engine or RuleEngine()).evaluate(features(txns)).withColumn("vector", vector(FEATURES))
     # the model gets no vector for blocked rows and gives null for them: one pass, and no model time
     open_vector = F.when(~F.col("blocked"), F.col("vector"))
-    scored = ruled.withColumn("ml_score", F.lit(0.0)) if model is None else model(ruled.withColumns({"_all": F.col("vector"), "vector": open_vector})).withColumn("vector", F.col("_all")).drop("_all")
-    bad, bad_decision = fallback(mode)
-    score = F.when(F.col("blocked"), 1.0).otherwise(F.coalesce(F.least(F.lit(1.0), fuse(F.col("ml_score"), F.col("rule_score"))), bad))
-    scored = scored.withColumn("score", F.round(score, 4))
-    decision = F.when(F.col("blocked"), "BLOCK").when(F.col("ml_score").isNull(), bad_decision).otherwise(threshold(F.col("score")))
-    return scored.withColumn("would_decide", decision).withColumns({"decision": enforced(F.col("would_decide"), mode), "shadow_mode": F.lit(mode == "shadow"), "model_version": F.lit(model_version)})
+    unscored = F.lit(None).cast("double")
+    scored = ruled.withColumn("ml_score", unscored) if model is None else model(ruled.withColumns({"_all": F.col("vector"), "vector": open_vector})).withColumn("vector", F.col("_all")).drop("_all")
+    failed = F.col("ml_score").isNull() & ~F.col("blocked") if model is not None and mode == "fail_closed" else F.lit(False)
+    stop_score, stop_decision = fallback("fail_closed")
+    scored = scored.withColumns({"_failed": failed, "ml_score": F.when(F.col("blocked"), F.col("ml_score")).otherwise(F.coalesce("ml_score", "rule_score"))})
+    open_score = F.col("rule_score") if model is None else F.least(F.lit(1.0), fuse(F.col("ml_score"), F.col("rule_score")))
+    score = F.when(F.col("blocked"), 1.0).when(F.col("_failed"), stop_score).otherwise(open_score)
+    decision = F.when(F.col("blocked"), "BLOCK").when(F.col("_failed"), stop_decision).otherwise(threshold(score))
+    scored = scored.withColumns({"score": F.round(score, 4), "would_decide": decision}).drop("_failed")
+    return scored.withColumns({"decision": enforced(F.col("would_decide"), mode), "shadow_mode": F.lit(mode == "shadow"), "model_version": F.lit(model_version)})
 
 
 def response(scored: DataFrame) -> DataFrame:
@@ -55,5 +65,15 @@ def health(mode: str, model_loaded: bool) -> str:
     return "degraded" if mode == "degraded" or not model_loaded else "ok"
 
 
+def health_response(spark, mode: str, model_loaded: bool, uptime_s: float) -> DataFrame:
+    return spark.createDataFrame([(health(mode, model_loaded), mode, model_loaded, round(uptime_s, 1))], "status string, mode string, model_loaded boolean, uptime_s double")
+
+
+def audit_response(log: DataFrame, transaction_id: str) -> DataFrame:
+    """One row: whether there are entries of the transaction, and the entries."""
+    entries = log.filter(F.col("transaction_id") == transaction_id)
+    return entries.agg((F.count("*") > 0).alias("found"), F.collect_list(F.struct("*")).alias("entries"))
+
+
 def normalise_decision(decision: Column) -> Column:
     return F.upper(decision)

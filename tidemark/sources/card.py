@@ -63,3 +63,15 @@ def vector(df: DataFrame) -> Column:
 
 def to_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def batches(rows: DataFrame, size: int = 1000):
+    """Lists of at most so many rows, a partition at a time on the driver."""
+    part = []
+    for r in rows.toLocalIterator():
+        part.append(r)
+        if len(part) == size:
+            yield part
+            part = []
+    if part:
+        yield part

@@ -12,7 +12,8 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,17 @@ class AppendLog:
             os.fsync(f.fileno())
         return at
 
+    def append_all(self, payloads: Iterable[bytes], tails: Iterable[bytes] = ()) -> int:
+        """Appends many records and returns their number; they are on disk together when it returns."""
+        n, more = 0, iter(tails)
+        with open(self.path, "ab") as f:
+            for payload in payloads:
+                f.write(struct.pack(">I", len(payload)) + payload + struct.pack(">I", zlib.crc32(payload)) + next(more, b""))
+                n += 1
+            f.flush()
+            os.fsync(f.fileno())
+        return n
+
     def read_at(self, offset: int) -> bytes:
         with open(self.path, "rb") as f:
             for _, payload, _, _ in records(f, self.kind, offset):
@@ -143,6 +155,12 @@ class WriteAheadLog(AppendLog):
         self.append(json.dumps(record).encode(), struct.pack(">Q", self.lsn))
         return self.lsn
 
+    def write_all(self, rows: Iterable[dict]) -> int:
+        """Many records in one go; returns the last sequence number."""
+        start = self.lsn
+        self.lsn += self.append_all((json.dumps(r).encode() for r in rows), (struct.pack(">Q", k) for k in count(start + 1)))
+        return self.lsn
+
     def checkpoint(self, lsn: int) -> int:
         return self.write({"type": "checkpoint", "lsn": lsn})
 

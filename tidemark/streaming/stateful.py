@@ -22,13 +22,21 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+def _mode(ttl_ms: int | None) -> str:
+    return "None" if ttl_ms is None else "ProcessingTime"
+
+
 class RollingWindows(StatefulProcessor):
-    """State of an entity: its rows of the last 24 hours. Each row is added first and then reads the windows that end at it."""
+    """State of an entity: its rows of the last 24 hours of its own time. Each row is added first and then reads the windows that
+    end at it. With ttl_ms, state of an entity from which nothing comes for so long goes."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     schema = "event_id bigint, user_txn_count_1m bigint, user_txn_count_5m bigint, user_txn_count_1h bigint, user_txn_count_24h bigint, user_amount_mean_1h double, user_amount_std_1h double, user_amount_max_24h double, user_unique_cities_1h bigint, user_unique_devices_24h bigint"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", "us bigint, amount double, city string, device string")
+        self.rows = handle.getListState("rows", "us bigint, amount double, city string, device string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values(["us", "event_id"])
@@ -53,21 +61,25 @@ class RollingWindows(StatefulProcessor):
         pass
 
 
-def rolling_user_windows(txns: DataFrame) -> DataFrame:
-    """A stream of per-event user features; txns has event_id, us, payer_vpa, amount, payer_city, device_id."""
+def rolling_user_windows(txns: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """A stream of per-event user features; txns has event_id, us, payer_vpa, amount, payer_city, device_id.
+
+    ttl_ms: processing time after which an idle entity's state goes, for streams that stand (a day fits live data). Spark
+    runs batches without data for state that can expire, so a run over what there is now ends only without it or with
+    spark.sql.streaming.noDataMicroBatches.enabled off."""
     use_rocksdb(txns.sparkSession)
     rows = txns.filter(F.coalesce(F.col("payer_vpa"), F.lit("")) != "").select("event_id", "us", "payer_vpa", "amount", "payer_city", "device_id")
-    return rows.groupBy("payer_vpa").transformWithStateInPandas(RollingWindows(), RollingWindows.schema, "Append", "None")
+    return rows.groupBy("payer_vpa").transformWithStateInPandas(RollingWindows(ttl_ms), RollingWindows.schema, "Append", _mode(ttl_ms))
 
 
-def anchored_dedup(alerts: DataFrame, window_us: int) -> DataFrame:
-    """Alerts (event_id, us, user, alert_type) that fire: none within the window after the last that fired. State goes when
-    its window is over in processing time."""
+def anchored_dedup(alerts: DataFrame, window_us: int, ttl_ms: int | None = None) -> DataFrame:
+    """Alerts (event_id, us, user, alert_type) that fire: none within the window after the last that fired. With ttl_ms, which
+    should be the window or more, state of a key goes so long after it was last written, in processing time (see rolling_user_windows)."""
     use_rocksdb(alerts.sparkSession)
 
     class Anchor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last", "us bigint")
+            self.last = handle.getValueState("last", "us bigint", ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues):
             last = self.last.get()[0] if self.last.exists() else None
@@ -82,7 +94,7 @@ def anchored_dedup(alerts: DataFrame, window_us: int) -> DataFrame:
         def close(self) -> None:
             pass
 
-    return alerts.groupBy("user", "alert_type").transformWithStateInPandas(Anchor(), "event_id bigint, us bigint, user string, alert_type string", "Append", "None")
+    return alerts.groupBy("user", "alert_type").transformWithStateInPandas(Anchor(), "event_id bigint, us bigint, user string, alert_type string", "Append", _mode(ttl_ms))
 
 
 def running_sketch(rows: DataFrame, key: str, sketch: CountMin | None = None) -> DataFrame:
@@ -101,18 +113,38 @@ def sessions(rows: DataFrame, at: str, key: str, gap: str, late: str = "24 hours
 
 
 class DriftWindows:
-    """foreachBatch: rows gather until a window is full; then the report function gets it and the buffer is empty again."""
+    """foreachBatch: rows gather until a window is full; then the report function gets it and the buffer is empty again.
+
+    All state lies in files below path, each batch under its number: a batch that runs again replaces its own rows, one that
+    a report has taken already is left out, and a new process goes on where the last one stopped."""
 
     def __init__(self, report: Callable[[DataFrame], None], path: str, size: int = 500):
-        self.report, self.path, self.size, self.buffered, self.part = report, path, size, 0, 0
+        self.report, self.path, self.size, self.buffered = report, path, size, 0
+
+    def _numbers(self, spark, prefix: str) -> list[int]:
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        here = f"{self.path}/{self.part}"
-        batch.write.mode("append").parquet(here)
-        self.buffered += batch.count()
+        spark = batch.sparkSession
+        path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        done = max(self._numbers(spark, "reported-"), default=-1)
+        if batch_id <= done:
+            return
+        batch.write.mode("overwrite").parquet(f"{self.path}/rows-{batch_id}")
+        waiting = [f"{self.path}/rows-{k}" for k in self._numbers(spark, "rows-") if k > done]
+        gathered = spark.read.schema(batch.schema).parquet(*waiting)
+        self.buffered = gathered.count()
         if self.buffered >= self.size:
-            self.report(batch.sparkSession.read.parquet(here))
-            self.buffered, self.part = 0, self.part + 1
+            self.report(gathered)
+            fs = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+            fs.mkdirs(path(f"reported-{batch_id}"))
+            for k in self._numbers(spark, "rows-"):
+                if k <= batch_id:
+                    fs.delete(path(f"rows-{k}"), True)
+            self.buffered = 0
 
 
 def learn(learner, vector: str = "vector", label: str = "is_fraud") -> Callable[[DataFrame, int], None]:
