@@ -2,6 +2,12 @@
 
 Each stage reads all rows that the one before it kept and decides on whole texts. A stage's function takes
 (spark, docs, sf_dir); all but the last return rows with the columns of documents.
+
+Cases. Null, empty and white-space texts have nothing to learn from and score 0, so the first stage drops them; a table
+without usable text, or without rows, gives no rows. Rows that share a doc_id are told apart by their texts. Of rows equal in
+doc_id and text, and of copies without an id, exact dedup keeps one. A null doc_id sorts after all others where one row of a
+group stays. Ties go to the longest text, then the least doc_id (exact dedup), or to the least doc_id, then a hash of the
+text (Jaccard join). Very long texts pass whole. Columns beside doc_id and text are carried along under any name and not read.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from tidemark.llm.common import materialize, table, tune
+from tidemark.llm.common import discard, materialize, table, tune
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"pipeline-{k}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
