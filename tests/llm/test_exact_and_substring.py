@@ -85,6 +85,15 @@ def test_substring_dedup(spark, window, gram, hot):
     assert ordered(got) == ordered(brute_substring(rows, window))
 
 
+def test_substring_frequent_keys_dealt_out(spark, monkeypatch):
+    """Every minimiser, string and window that comes three times or more is salted."""
+    monkeypatch.setattr(S, "SALTS", 2)
+    monkeypatch.setattr(S, "SPREAD", 1 << 40)
+    rows = documents(4)
+    got = S.dedup(frame(spark, rows), window=8, gram=3, hot=2).collect()
+    assert ordered(got) == ordered(brute_substring(rows, 8))
+
+
 def test_substring_repeats_within_two_documents(spark):
     """Few documents, many repeats of one passage: the bucket is crowded by strings, not by documents."""
     passage = " ".join(f"p{k}" for k in range(12))

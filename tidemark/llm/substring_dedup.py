@@ -11,6 +11,9 @@ bucket of that minimiser, where equal windows meet: sorting a bucket's windows s
    goes back to its text as ranges of words. A bucket of more than ``HOT`` super-k-mers isn't gathered: its distinct strings
    are found by aggregation and their windows are grouped by content over all machines.
 
+Minimisers, strings and windows are counted by partial aggregation, and what is known of them joins back with every key of
+more than one in ``SPREAD`` rows salted (there are fewer than ``SPREAD`` such keys), so no key has to pass through one task.
+
 Cases: null and empty texts have no words; texts of fewer words than a window lose none; a repeat within one document, or
 in rows that share its doc_id, doesn't count; a null doc_id neither loses words nor makes others lose them; equal rows get
 equal results; other columns are not read.
@@ -27,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, batch, binary_list, grams, texts_of, words_of
+from .common import UNSPACED, batch, binary_list, discard, grams, materialize, texts_of, words_of
 
 WINDOW, GRAM, HOT = 50, 8, 2_000
+SPREAD, SALTS = 5_000, 32
 
 _PAIR = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
-_SHARED = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("hot", pa.bool_())])
-_SUPER = pa.schema([("minimiser", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
+_SUPER = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 _RANGE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 _DISTINCT = pa.schema([("packed", pa.binary()), ("least", pa.int64()), ("place", pa.int32()), ("window", pa.binary())])
 
@@ -102,8 +105,19 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Rec
         yield carry, False
 
 
+def _joined(rows: DataFrame, facts: DataFrame, key: str, counted: DataFrame) -> DataFrame:
+    """rows joined with facts, which has one row a key at most. counted is a written table with the number n of each key's
+    rows. Frequent keys are dealt out by a hash of the whole row, the same whenever a task runs again."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    frequent = F.broadcast(counted.filter((F.col("n") * SPREAD > total) & (F.col("n") > SALTS)).select(F.xxhash64(key).alias("_hash")).distinct().withColumn("_wide", F.lit(True)))
+    marked = lambda df: df.withColumn("_hash", F.xxhash64(key)).join(frequent, "_hash", "left").drop("_hash")
+    dealt = marked(rows).withColumn("_salt", F.when(F.col("_wide"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0))
+    every = F.when(F.col("_wide"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.drop("_wide").join(marked(facts).withColumn("_salt", F.explode(every)).drop("_wide"), [key, "_salt"]).drop("_salt")
+
+
 def shared_minimisers(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """minimiser, doc_id, hot: the minimisers that windows of two documents at least have."""
+    """minimiser, doc_id, hot: the minimisers that windows of two documents at least have; a written table."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,19 +127,12 @@ def shared_minimisers(docs: DataFrame, window: int, gram: int, hot: int) -> Data
             got, n = np.unique(np.stack([value, ids]), axis=1, return_counts=True) if len(value) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0))
             yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(n.astype(np.int32))], schema=_PAIR)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, large in runs(batches, hot):
-            keys, ids, n = (b.column(k).to_numpy() for k in range(3))
-            # sorted by document too: a key is shared when its first and last document differ
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            keep = np.repeat((ids[edges[:-1]] != ids[edges[1:] - 1]) | large, np.diff(edges))
-            fresh = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(ids) != 0)])
-            keep &= fresh
-            crowded = np.repeat(np.add.reduceat(n, edges[:-1], dtype=np.int64) > hot, np.diff(edges)) | large
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(crowded[keep])], schema=_SHARED)
-
-    rows = docs.select("doc_id", "text").mapInArrow(pairs, "minimiser bigint, doc_id bigint, n int")
-    return rows.repartition("minimiser").sortWithinPartitions("minimiser", "doc_id").mapInArrow(shared, "minimiser bigint, doc_id bigint, hot boolean")
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(pairs, "minimiser bigint, doc_id bigint, n int"), "op4-pairs")
+    seen = rows.groupBy("minimiser").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("strings"), F.count("*").alias("n"))
+    shared = materialize(seen.filter("least < most").select("minimiser", (F.col("strings") > hot).alias("hot"), "n"), "op4-minimisers")
+    out = materialize(_joined(rows.drop("n"), shared.drop("n"), "minimiser", shared), "op4-shared")
+    discard(rows, shared)
+    return out
 
 
 def _bucket_ranges(rows: list[tuple], window: int) -> Iterator[tuple]:
@@ -171,7 +178,6 @@ def merged(places: list[int], window: int) -> list[tuple[int, int]]:
 def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, tag, ranges: word ranges (start, end, ...) that windows of smaller documents cover."""
     shared = shared_minimisers(docs, window, gram, hot)
-    per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "hot")).alias("shared"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,22 +186,18 @@ def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram
             first_word = np.searchsorted(doc_of, np.arange(len(b) + 1))
             ids, tags = b.column(0).to_pylist(), b.column(1).to_pylist()
             lists = b.column(3)
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values
-            keys, large = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
+            offsets, keys = lists.offsets.to_numpy(), lists.values.to_numpy()
             out = {f.name: [] for f in _SUPER}
             edges = np.searchsorted(doc_of[first], np.arange(len(b) + 1)) if len(first) else np.zeros(len(b) + 1, dtype=np.int64)
             size = 0
             for d in range(len(b)):
-                own, hots = keys[offsets[d] : offsets[d + 1]], large[offsets[d] : offsets[d + 1]]
-                order = np.argsort(own)
-                own, hots = own[order], hots[order]
+                own = np.sort(keys[offsets[d] : offsets[d + 1]])
                 mine = slice(edges[d], edges[d + 1])
                 place = np.minimum(np.searchsorted(own, value[mine]), len(own) - 1)
                 for k in np.flatnonzero(own[place] == value[mine]):
                     f, n = first[mine][k], count[mine][k] + window - 1
                     piece = b" ".join(data[starts[f] : ends[f + n - 1]].split())
-                    for name, x in zip(out, (int(value[mine][k]), bool(hots[place[k]]), ids[d], tags[d], int(f - first_word[d]), piece), strict=True):
+                    for name, x in zip(out, (int(value[mine][k]), ids[d], tags[d], int(f - first_word[d]), piece), strict=True):
                         out[name].append(x)
                     size += len(piece)
                 if size > 2 << 20:
@@ -207,7 +209,7 @@ def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram
         for b, _ in runs(batches, 1 << 60):
             out = {f.name: [] for f in _RANGE}
             keys = b.column(0).to_numpy()
-            rows = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True))
+            rows = list(zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True))
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 for got in _bucket_ranges(rows[s:e], window):
@@ -215,16 +217,23 @@ def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram
                         out[name].append(x)
             yield batch(out, _RANGE)
 
-    supers = base.join(per_doc, "doc_id").select("doc_id", "tag", "text", "shared").mapInArrow(packed, "minimiser bigint, hot boolean, doc_id bigint, tag bigint, start int, packed binary")
+    def supers(of: DataFrame) -> DataFrame:
+        per_doc = of.groupBy("doc_id").agg(F.collect_set("minimiser").alias("shared"))
+        return base.join(per_doc, "doc_id").select("doc_id", "tag", "text", "shared").mapInArrow(packed, "minimiser bigint, doc_id bigint, tag bigint, start int, packed binary")
+
     ddl = "doc_id bigint, tag bigint, ranges array<int>"
-    cold = supers.filter(~F.col("hot")).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(count, ddl)
-    return cold.unionByName(_hot_ranges(supers.filter("hot").select("doc_id", "tag", "start", "packed"), window, ddl))
+    cold = supers(shared.filter("NOT hot")).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(count, ddl)
+    crowded = shared.filter("hot")
+    if crowded.isEmpty():
+        return cold
+    strings = materialize(supers(crowded).select("doc_id", "tag", "start", "packed"), "op4-crowded")
+    return cold.unionByName(_hot_ranges(strings, window, ddl))
 
 
 def _hot_ranges(rows: DataFrame, window: int, ddl: str) -> DataFrame:
     """The same for buckets too large to gather. Strings that a third of all documents hold count once after the partial
     aggregation; their windows are spread by content."""
-    distinct = rows.groupBy("packed").agg(F.min("doc_id").alias("least"))
+    distinct = materialize(rows.groupBy("packed").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "op4-strings")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,10 +244,10 @@ def _hot_ranges(rows: DataFrame, window: int, ddl: str) -> DataFrame:
                     part = pieces[at : at + 2000]
                     yield batch({"packed": [packed] * len(part), "least": [least] * len(part), "place": list(range(at, at + len(part))), "window": part}, _DISTINCT)
 
-    each = distinct.mapInArrow(windows, "packed binary, least bigint, place int, window binary")
-    first = each.groupBy("window").agg(F.min("least").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    repeated = each.join(first.drop("n"), "window").filter("first < least").groupBy("packed").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    found = rows.join(distinct, "packed").join(repeated, "packed", "left")
+    each = distinct.select("packed", "least").mapInArrow(windows, "packed binary, least bigint, place int, window binary")
+    first = materialize(each.groupBy("window").agg(F.min("least").alias("first"), F.count("*").alias("n")).filter("n > 1"), "op4-windows")
+    repeated = _joined(each, first.drop("n"), "window", first).filter("first < least").groupBy("packed").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    found = _joined(rows, distinct.drop("n").join(repeated, "packed", "left"), "packed", distinct)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
