@@ -12,7 +12,9 @@ bucket of that minimiser, where equal windows meet: sorting a bucket's windows s
    are found by aggregation and their windows are grouped by content over all machines.
 
 Minimisers, strings and windows are counted by partial aggregation, and what is known of them joins back with every key of
-more than one in ``SPREAD`` rows salted (there are fewer than ``SPREAD`` such keys), so no key has to pass through one task.
+more than one in ``SPREAD`` rows salted (there are fewer than ``SPREAD`` such keys), so no key has to pass through one task. Packed
+strings and found ranges are written tables, each dropped with its shuffle files once the next one stands: texts travel
+twice, to be packed and to be cut, and strings are packed once.
 
 Cases: null and empty texts have no words; texts of fewer words than a window lose none; a repeat within one document, or
 in rows that share its doc_id, doesn't count; a null doc_id neither loses words nor makes others lose them; equal rows get
@@ -36,7 +38,7 @@ WINDOW, GRAM, HOT = 50, 8, 2_000
 SPREAD, SALTS = 5_000, 32
 
 _PAIR = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
-_SUPER = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
+_SUPER = pa.schema([("minimiser", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 _RANGE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 _DISTINCT = pa.schema([("packed", pa.binary()), ("least", pa.int64()), ("place", pa.int32()), ("window", pa.binary())])
 
@@ -176,7 +178,7 @@ def merged(places: list[int], window: int) -> list[tuple[int, int]]:
 
 
 def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, tag, ranges: word ranges (start, end, ...) that windows of smaller documents cover."""
+    """doc_id, tag, ranges: word ranges (start, end, ...) that windows of smaller documents cover; written tables."""
     shared = shared_minimisers(docs, window, gram, hot)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +188,21 @@ def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram
             first_word = np.searchsorted(doc_of, np.arange(len(b) + 1))
             ids, tags = b.column(0).to_pylist(), b.column(1).to_pylist()
             lists = b.column(3)
-            offsets, keys = lists.offsets.to_numpy(), lists.values.to_numpy()
+            offsets, flat = lists.offsets.to_numpy(), lists.values
+            keys, large = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
             out = {f.name: [] for f in _SUPER}
             edges = np.searchsorted(doc_of[first], np.arange(len(b) + 1)) if len(first) else np.zeros(len(b) + 1, dtype=np.int64)
             size = 0
             for d in range(len(b)):
-                own = np.sort(keys[offsets[d] : offsets[d + 1]])
+                own, hots = keys[offsets[d] : offsets[d + 1]], large[offsets[d] : offsets[d + 1]]
+                order = np.argsort(own)
+                own, hots = own[order], hots[order]
                 mine = slice(edges[d], edges[d + 1])
                 place = np.minimum(np.searchsorted(own, value[mine]), len(own) - 1)
                 for k in np.flatnonzero(own[place] == value[mine]):
                     f, n = first[mine][k], count[mine][k] + window - 1
                     piece = b" ".join(data[starts[f] : ends[f + n - 1]].split())
-                    for name, x in zip(out, (int(value[mine][k]), ids[d], tags[d], int(f - first_word[d]), piece), strict=True):
+                    for name, x in zip(out, (int(value[mine][k]), bool(hots[place[k]]), ids[d], tags[d], int(f - first_word[d]), piece), strict=True):
                         out[name].append(x)
                     size += len(piece)
                 if size > 2 << 20:
@@ -209,7 +214,7 @@ def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram
         for b, _ in runs(batches, 1 << 60):
             out = {f.name: [] for f in _RANGE}
             keys = b.column(0).to_numpy()
-            rows = list(zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True))
+            rows = list(zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True))
             edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 for got in _bucket_ranges(rows[s:e], window):
@@ -217,17 +222,17 @@ def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram
                         out[name].append(x)
             yield batch(out, _RANGE)
 
-    def supers(of: DataFrame) -> DataFrame:
-        per_doc = of.groupBy("doc_id").agg(F.collect_set("minimiser").alias("shared"))
-        return base.join(per_doc, "doc_id").select("doc_id", "tag", "text", "shared").mapInArrow(packed, "minimiser bigint, doc_id bigint, tag bigint, start int, packed binary")
-
+    per_doc = shared.groupBy("doc_id").agg(F.collect_set(F.struct("minimiser", "hot")).alias("shared"))
+    texts = base.join(per_doc, "doc_id").select("doc_id", "tag", "text", "shared")
+    supers = materialize(texts.mapInArrow(packed, "minimiser bigint, hot boolean, doc_id bigint, tag bigint, start int, packed binary"), "op4-supers")
+    crowded = not shared.filter("hot").isEmpty()
+    discard(shared)
     ddl = "doc_id bigint, tag bigint, ranges array<int>"
-    cold = supers(shared.filter("NOT hot")).repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(count, ddl)
-    crowded = shared.filter("hot")
-    if crowded.isEmpty():
-        return cold
-    strings = materialize(supers(crowded).select("doc_id", "tag", "start", "packed"), "op4-crowded")
-    return cold.unionByName(_hot_ranges(strings, window, ddl))
+    out = materialize(supers.filter("NOT hot").repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(count, ddl), "op4-ranges")
+    if crowded:
+        out = out.unionByName(_hot_ranges(supers.filter("hot").select("doc_id", "tag", "start", "packed"), window, ddl))
+    discard(supers)
+    return out
 
 
 def _hot_ranges(rows: DataFrame, window: int, ddl: str) -> DataFrame:
@@ -260,7 +265,10 @@ def _hot_ranges(rows: DataFrame, window: int, ddl: str) -> DataFrame:
 
     n = F.size(F.split(F.col("packed").cast("string"), " ")).alias("n")
     need = found.filter((F.col("least") < F.col("doc_id")) | F.col("places").isNotNull())
-    return need.select("doc_id", "tag", "start", n, (F.col("least") < F.col("doc_id")).alias("all_of"), "places").mapInArrow(ranges, ddl)
+    need = need.select("doc_id", "tag", "start", n, (F.col("least") < F.col("doc_id")).alias("all_of"), "places")
+    out = materialize(need.mapInArrow(ranges, ddl), "op4-crowded")
+    discard(distinct, first)
+    return out
 
 
 def _kept(words: list[bytes], ranges: list | None) -> list[bytes]:
