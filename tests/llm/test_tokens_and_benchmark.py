@@ -49,6 +49,16 @@ def test_edits_of_a_text(codec, library):
         assert list(text.ids()) == library.encode_ordinary(text.text)
 
 
+def test_spaces_beside_other_white_space(codec, library):
+    """Parts are cut only at spaces between signs that aren't white."""
+    r = random.Random(6)
+    signs = ["a", "the", "'s", "'", " ", "  ", "\n", "\t", " x", "\x1f", "\x85", "\u3000", "\u200b", "\u00a0", "é", "12", "!", "中"]
+    for _ in range(3000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 14)))
+        assert codec.encode(text).tolist() == library.encode_ordinary(text)
+        assert codec.decode(codec.encode(text)) == text.encode()
+
+
 def test_bpe_report(spark, codec, library):
     rows = documents() + [(500, "a  b \n c　d "), (501, "don't  stop it's  \t\n"), (502, "x" * 5000)]
     want = []

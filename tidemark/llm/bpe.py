@@ -31,6 +31,8 @@ CACHE, LONG = 250_000, 64
 #: Fixed value: the public split pattern for which the way by spaces holds.
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE_BEFORE_WHITE = regex.compile(r" (?:\s|$)")
+#: A space between two signs that aren't white: no match reaches over it from its left.
+LONE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -60,18 +62,18 @@ class Merges:
                     self.left[i], self.right[i], self.usable[i] = a, b, True
                     self.pairs[a, b] = i
                     break
-        #: A trie of the usable tokens from their last byte to their first: (node * 256 + byte) to node; node to token.
-        self.back: dict[int, int] = {}
+        #: A trie of the usable tokens from their last byte to their first: each node's steps, byte to node; node to token.
+        self.back: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for i, token in enumerate(tokens):
             if self.usable[i]:
                 node = 0
                 for byte in reversed(token):
-                    step = node << 8 | byte
-                    if step not in self.back:
-                        self.back[step] = len(self.token_at)
+                    if byte not in self.back[node]:
+                        self.back[node][byte] = len(self.token_at)
                         self.token_at.append(-1)
-                    node = self.back[step]
+                        self.back.append({})
+                    node = self.back[node][byte]
                 self.token_at[node] = i
         self.fits: dict[tuple[int, int], bool] = {}
 
@@ -111,23 +113,24 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         start, self.piece = len(self.piece), self.piece + more
         piece, last = self.piece, self.last
-        back, token_at, fits, fit = self.merges.back.get, self.merges.token_at, self.merges.fits, self.merges.fit
-        for end in range(start + 1, len(piece) + 1):
-            node, at = 0, end
-            while at:
-                at -= 1
-                node = back(node << 8 | piece[at])
-                if node is None:
-                    raise ValueError("the vocabulary lacks a byte")
-                token = token_at[node]
-                if token >= 0:
-                    before = last[at]
-                    if before < 0:
-                        break
-                    fine = fits.get(before << 32 | token)
-                    if fit(before, token) if fine is None else fine:
-                        break
-            last.append(token)
+        back, token_at, fits, fit = self.merges.back, self.merges.token_at, self.merges.fits, self.merges.fit
+        try:
+            for end in range(start + 1, len(piece) + 1):
+                node, at = 0, end
+                while at:
+                    at -= 1
+                    node = back[node][piece[at]]
+                    token = token_at[node]
+                    if token >= 0:
+                        before = last[at]
+                        if before < 0:
+                            break
+                        fine = fits.get(before << 32 | token)
+                        if fit(before, token) if fine is None else fine:
+                            break
+                last.append(token)
+        except KeyError:
+            raise ValueError("the vocabulary lacks a byte") from None
 
     def edit(self, start: int, stop: int, new: bytes) -> None:
         """Replaces bytes start..stop; the prefixes up to start keep their entries."""
@@ -174,23 +177,25 @@ class Codec:
                 ids = pieces.get(piece)
                 if ids is None:
                     data = piece.encode("utf-8", "replace")
-                    common = 0
-                    for x, y in zip(data, table.piece):
-                        if x != y:
-                            break
-                        common += 1
-                    table.edit(common, len(table.piece), data[common:])
-                    ids = pieces[piece] = array("I", table.ids()).tobytes()
+                    whole = self.merges.ids.get(data)
+                    if whole is None:
+                        common = 0
+                        for x, y in zip(data, table.piece):
+                            if x != y:
+                                break
+                            common += 1
+                        table.edit(common, len(table.piece), data[common:])
+                    ids = pieces[piece] = array("I", table.ids() if whole is None else [whole]).tobytes()
                 parts.append(ids)
             self.units[u] = b"".join(parts)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers.
 
-        Where no space is followed by white space or the end, no match reaches over a space from its left, so the
-        text's parts between spaces, each with the space before it, are encoded on their own and remembered.
+        No match reaches from its left over a space between two signs that aren't white, so the text's parts between
+        such spaces, each with the space before it, are encoded on their own and remembered.
         """
-        if not self.by_space or SPACE_BEFORE_WHITE.search(text):
+        if not self.by_space:
             table, parts, known = Prefixes(self.merges), [], {}
             for piece in self.split.findall(text):
                 if piece not in known:
@@ -198,7 +203,8 @@ class Codec:
                     known[piece] = array("I", table.ids()).tobytes()
                 parts.append(known[piece])
             return b"".join(parts)
-        first, *units = text.split(" ")
+        # the plain split cuts before and after other white space too, which holds where no space stands before it
+        first, *units = LONE_SPACE.split(text) if SPACE_BEFORE_WHITE.search(text) else text.split(" ")
         # the first part has no space before it, so it is not remembered
         head = []
         for piece in self.split.findall(first):
