@@ -111,6 +111,27 @@ def test_explanations(spark):
     assert "base" in X.text(values).first()["explanation"]
 
 
+def test_attributions_that_cancel_out(spark, tmp_path):
+    from tidemark.plans.extended import shap_exact_values
+
+    w, background = np.array([1.0, -2.0, 0.5]), np.array([[1.5, 0.5, 1.0]])
+    e = X.KernelExplainer(lambda z: z @ w, background, 64)
+    for x in ([2.5, 1.0, 1.0], [2.5 + 1e-8, 1.0, 1.0], [1.5, 0.5 + 1e-9, 1.0]):
+        got = e.explain(np.array(x), 3)
+        assert np.allclose(got["values"], w * (np.array(x) - background[0]), atol=1e-4)
+        assert got["values"].sum() == pytest.approx(got["prediction"] - got["baseline"], abs=1e-12)
+    assert X.KernelExplainer(lambda z: z[:, 0], np.zeros((1, 1)), 8).explain(np.array([2.0]))["values"] == pytest.approx([2.0])
+    # event 1's attributions add up to nothing; ids repeat
+    rows = [(1, "view", 100.02), (1, "view", 3.0), (2, "error", 7.0)]
+    df = spark.createDataFrame(rows, "event_id bigint, event_type string, value double")
+    df = df.selectExpr("event_id", "timestamp_ntz'2024-01-02 03:04:05' AS ts", "event_id AS user_id", "event_type", "value", """'{"k": 1}' AS props""")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, shap_exact_values(spark, str(tmp_path)).collect()))
+    assert got == sorted((k, f, True) for k, _, _ in rows for f in ("age", "amount", "new"))
+    null = spark.createDataFrame([(None, [2.5, 1.0, 1.0]), (1 << 60 | 1, [2.5, 1.0, 1.0])], "event_id bigint, vector array<double>")
+    assert {r["event_id"] for r in X.explain(null.coalesce(1), e, list("abc")).collect()} == {None, 1 << 60 | 1}
+
+
 def test_psi(spark):
     rng = np.random.default_rng(6)
     a, b = rng.normal(0, 1, 1000), rng.normal(5, 1, 1000)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import kernel_weights
 
@@ -33,31 +34,40 @@ class KernelExplainer:
         x, z = np.asarray(x, dtype=np.float64), self.coalitions(rng)
         masked = np.where(z > 0, x, self.background[rng.integers(len(self.background), size=len(z))])
         target, prediction = self.predict(masked) - self.baseline, float(self.predict(x[None, :])[0])
-        phi = wls(z, target, self.weights[z.sum(axis=1).astype(int)])
-        gap, total = prediction - self.baseline, phi.sum()
-        phi = phi * (gap / total) if abs(total) > 1e-10 else np.full(self.d, gap / self.d)
+        phi = wls(z, target, self.weights[z.sum(axis=1).astype(int)], total=prediction - self.baseline)
         return {"baseline": self.baseline, "prediction": prediction, "values": phi}
 
 
-def wls(z: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
-    """Weighted least squares in closed form; weights scale rows, no diagonal matrix."""
+def wls(z: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-6, total: float | None = None) -> np.ndarray:
+    """Weighted least squares in closed form; weights scale rows, no diagonal matrix. With a total, the best of the solutions
+    that add up to it: rescaling to it would blow up or wipe out values that cancel out."""
     zw = z * w[:, None]
-    return np.linalg.solve(zw.T @ z + ridge * np.eye(z.shape[1]), zw.T @ y)
+    a, b = zw.T @ z + ridge * np.eye(z.shape[1]), zw.T @ y
+    if total is None:
+        return np.linalg.solve(a, b)
+    phi, step = np.linalg.solve(a, np.stack([b, np.ones(len(b))], axis=1)).T
+    return phi + step * ((total - phi.sum()) / step.sum())
 
 
-def explain(df: DataFrame, explainer: KernelExplainer, features: list[str], key: str = "event_id", vector: str = "vector") -> DataFrame:
-    """key, baseline, prediction, feature, value: one row per feature. Rows are explained where they are, seeded by their key.
-    The explainer travels with the function, so its predict may be any callable."""
+def explain(df: DataFrame, explainer: KernelExplainer, features: list[str], key: str = "event_id", vector: str = "vector", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, baseline, prediction, feature, value and the row's columns to keep: one row per feature. Rows are explained where they
+    are, seeded by their key; keys may repeat or be null. The explainer travels with the function, so its predict may be any callable."""
+    rows = df.select(F.col(key).cast("bigint"), F.col(vector).alias("_vector"), *keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k, v in zip(b[key], b[vector], strict=True):
-                got = explainer.explain(np.asarray(v), int(k))
-                out += [(k, got["baseline"], got["prediction"], f, float(x)) for f, x in zip(features, got["values"], strict=True)]
-            yield pd.DataFrame(out, columns=[key, "baseline", "prediction", "feature", "value"])
-
-    return df.select(F.col(key).cast("bigint"), vector).mapInPandas(run, f"{key} bigint, baseline double, prediction double, feature string, value double")
+            got = [explainer.explain(v, k or 0) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            each = b.take(pa.array(np.repeat(np.arange(len(got)), len(features))))
+            new = {
+                "baseline": pa.array([g["baseline"] for g in got for _ in features], pa.float64()),
+                "prediction": pa.array([g["prediction"] for g in got for _ in features], pa.float64()),
+                "feature": pa.array(list(features) * len(got), pa.string()),
+                "value": pa.array([float(x) for g in got for _, x in zip(features, g["values"], strict=True)], pa.float64()),
+            }
+            yield pa.RecordBatch.from_arrays([each.column(0), *new.values(), *each.columns[2:]], [key, *new, *keep])
+
+    schema = T.StructType([rows.schema[0], *T.StructType.fromDDL("baseline double, prediction double, feature string, value double"), *rows.schema[2:]])
+    return rows.mapInArrow(run, schema)
 
 
 def top_features(values: DataFrame, key: str = "event_id", k: int = 5) -> DataFrame:
