@@ -247,3 +247,27 @@ def test_scalar_functions(spark):
     assert int(rows[0]["h"]) == SC.fnv1a_64(b"T")
     s = spark.createDataFrame([(-800.0,), (0.0,), (800.0,)], "x double").select(SC.sigmoid(F.col("x")).alias("s")).collect()
     assert [r["s"] for r in s] == [0.0, 0.5, 1.0]
+
+
+def test_scalar_functions_on_any_ids_and_zone(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans.extended import ORACLE, scalar_functions
+
+    df = spark.createDataFrame([(k,) for k in [*range(-60, 60), 7, None]], "event_id bigint")
+    df = df.selectExpr("event_id", "timestamp_ntz'2024-01-02 03:04:05' AS ts", "1L AS user_id", "'view' AS event_type", "2.0D AS value", """'{"k": 1}' AS props""")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.execute(ORACLE["scalar_functions"]).fetchall()
+    texts = spark.createDataFrame([("2024-01-02T03:04:05",), ("2024-01-02 03:04:05Z",), ("2024-01-02T05:04:05+02:00",), ("2024-01-02",), ("never",), (None,)], "t string")
+    order = lambda r: (r[0] is None, r)
+    try:
+        for zone in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            got = scalar_functions(spark, str(tmp_path)).collect()
+            for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+                assert a[:1] + a[5:] == (b[0], float(b[5]), *b[6:]) and a[1:5] == b[1:5]
+            assert [r[0] for r in texts.select(SC.epoch_micros(F.col("t"))).collect()] == [1704164645000000] * 3 + [1704153600000000, 0, 0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

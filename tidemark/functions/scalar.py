@@ -97,5 +97,6 @@ def mcc_label(code: Column, names: dict[str, str]) -> Column:
 
 
 def epoch_micros(text: Column) -> Column:
-    """Microseconds of an ISO timestamp; 0 where it can't be read."""
-    return F.coalesce(F.unix_micros(F.try_to_timestamp(text)), F.lit(0))
+    """Microseconds of an ISO timestamp, UTC where it names no zone, whatever the session's; 0 where it can't be read."""
+    utc = [F.try_to_timestamp(F.concat(text, F.lit(zone))) for zone in ("Z", "T00:00:00Z")]
+    return F.coalesce(F.unix_micros(F.coalesce(*utc, F.try_to_timestamp(text))), F.lit(0))

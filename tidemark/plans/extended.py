@@ -167,7 +167,7 @@ def shap_exact_values(spark: SparkSession, d: str) -> DataFrame:
 )
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     x = transactions(spark, d).select("event_id", F.expr("cast(event_id % 41 - 20 as double) / 2.0D").alias("v"), F.expr("cast(event_id % 11 as double) / 10.0D").alias("p"))
-    broken = F.expr("CASE event_id % 4 WHEN 0 THEN cast(null as double) WHEN 1 THEN double('NaN') WHEN 2 THEN double('Infinity') ELSE v END")
+    broken = F.expr("CASE event_id % 4 WHEN 1 THEN double('NaN') WHEN 2 THEN double('Infinity') WHEN 3 THEN v END")
     flag = F.expr("CASE event_id % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'F' WHEN 2 THEN 'what' ELSE '2.5' END")
     stamp = F.expr("CASE event_id % 3 WHEN 0 THEN '2024-01-02T03:04:05' WHEN 1 THEN 'never' END")
     return x.select(
