@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversation_repair, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, secrets, substring_dedup, token_counts
+from . import bpe, conversation_repair, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, secrets, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(table(spark, sf_dir, "conversations"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_warc": op12_warc,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -119,4 +124,12 @@ ORACLE: dict[str, str] = {
         SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
         FROM d LEFT JOIN sizes ON d.r = sizes.r JOIN reach ON reach.x = d.r JOIN d e ON reach.y = e.r GROUP BY d.r
     """,
+    "op12_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        r AS (SELECT page_id, h, sha1(h) AS x, row_number() OVER w AS k, first_value(page_id) OVER w AS keeper FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST))
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+               CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN keeper END AS refers_to
+        FROM r
+    """,
 }
