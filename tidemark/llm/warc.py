@@ -3,8 +3,8 @@
 Each task writes its pages into archives of its own (WARC/1.1, one gzip member a record, as readers of ranges expect) and returns a
 row of the index for each record: file, offset, length, url, payload digest and what the record is. An archive of a failed
 or repeated attempt is in no index, so nothing refers to it. Reading takes index rows, any selection of them, deals them out
-by stretches of a file, sorts them by offset, joins neighbours into one range where little lies between, and parses
-the records that it cuts from the range. Nothing passes through the driver; a task holds one range.
+by ranges of (file, offset), joins neighbours into one read where little lies between, and parses the records
+that it cuts from it. Nothing passes through the driver; a task holds one read.
 
 Of records with equal payloads of at least ``min_bytes``, that with the largest page_id is a response and the others revisit it;
 smaller payloads are all responses. Equality is that of SHA-256, as SHA-1, which the archive names, can be made to collide. Only digests are grouped; the join that tells a
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import batch, binary_list, discard, materialize, store_path
 
 ARCHIVE_BYTES = 1 << 30
-#: Ranges of a file that one task reads; bytes that one read may span; gap that is read rather than skipped.
-STRETCH, SPAN, GAP = 1 << 28, 1 << 23, 1 << 16
+#: Bytes of records for one task; bytes that one read may span; gap that is read rather than skipped.
+SHARE, SPAN, GAP = 1 << 26, 1 << 23, 1 << 16
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,8 +182,9 @@ def read(index: DataFrame, span: int = SPAN, gap: int = GAP) -> DataFrame:
                     out, size = {f.name: [] for f in _RECORDS}, 0
         yield batch(out, _RECORDS)
 
-    places = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / STRETCH))
-    places = places.repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // SHARE))  # index rows are small: their own size says nothing
+    places = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(fetch, _RECORDS_DDL)
 
 
