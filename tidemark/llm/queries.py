@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversation_repair, decontaminate, exact_dedup, html_text, jaccard_join, language_id, quality, secrets, substring_dedup, token_counts, warc
+from . import bpe, conversation_repair, decontaminate, divergence, exact_dedup, html_text, jaccard_join, language_id, quality, secrets, substring_dedup, token_counts, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_source_divergence": op11_source_divergence,
     "op12_warc": op12_warc,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -124,6 +129,32 @@ ORACLE: dict[str, str] = {
         SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id
         FROM d LEFT JOIN sizes ON d.r = sizes.r JOIN reach ON reach.x = d.r JOIN d e ON reach.y = e.r GROUP BY d.r
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+            FROM documents),
+        w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+        size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        held AS (SELECT w.lang, source, w.term, count(*) AS n FROM w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY w.lang, source, w.term),
+        counts AS (
+            SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, k.n AS in_lang, s.v, s.total AS lang_total, sum(coalesce(h.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+            FROM groups g JOIN kept k ON g.lang = k.lang JOIN size s ON s.lang = g.lang LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+        p AS (
+            SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v))::BIGINT AS p, (1 + (1000000000::HUGEINT * (in_lang + 5)) // (lang_total + 5 * v))::BIGINT AS q FROM counts),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+                ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+        every AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pairs
+            UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
     "op12_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         r AS (SELECT page_id, h, sha1(h) AS x, row_number() OVER w AS k, first_value(page_id) OVER w AS keeper FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST))
