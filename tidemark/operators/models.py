@@ -154,7 +154,7 @@ class GBT:
 
     def __init__(self, n_trees: int = 100, lr: float = 0.1, depth: int = 4, subsample: float = 0.8, penalty: float = 1.0, min_child: float = 1.0, colsample: float = 0.8, gamma: float = 0.0, seed: int = 42):
         self.n_trees, self.lr, self.depth, self.subsample, self.penalty, self.min_child, self.colsample, self.gamma = n_trees, lr, depth, subsample, penalty, min_child, colsample, gamma
-        self.rng, self.trees, self.start, self.d = np.random.default_rng(seed), [], 0.0, 0
+        self.rng, self.rng_seed, self.trees, self.start, self.d = np.random.default_rng(seed), seed, [], 0.0, 0
 
     def _best(self, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float] | None:
         best, total_g, total_h = None, g.sum(), h.sum()

@@ -625,4 +625,4 @@ def audit_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return audit_stats(load_audit(spark, path))
 
 
-from . import extended  # noqa: E402, F401  registers its queries
+from . import extended, learning  # noqa: E402, F401  registers their queries
