@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, key string, tag string, score double, spans string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, key string, tag string, score double, spans string, gone_id bigint, gone_tag bigint, again boolean, count bigint"
 
 
 def words(text):
@@ -32,7 +32,7 @@ def documents(seed=1, n=120):
 
 
 def frame(spark, rows):
-    full = [(d, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else "src", None, k % 2 == 0, "k", None, 0.5, "") for k, (d, t) in enumerate(rows)]
+    full = [(d, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else "src", None, k % 2 == 0, "k", None, 0.5, "", d, 0, True, 9) for k, (d, t) in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA)
 
 

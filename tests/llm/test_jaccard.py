@@ -146,3 +146,12 @@ def test_keep_one_with_repeated_and_null_ids(spark):
     rows = [(1, near("a", "x")), (1, near("a", "y")), (2, near("a", "z")), (None, near("b", "x")), (None, near("b", "y")), (None, near("b", "y")), (None, near("b", "x")), (None, near("c", "x")), (7, near("c", "y"))]
     left = sorted((r["text"][0], r["doc_id"]) for r in J.keep_one(frame(spark, rows)).collect())
     assert left == [("a", 1), ("b", None), ("c", 7)]
+
+
+def test_keep_one_takes_columns_of_any_name(spark):
+    """Columns that are named as those inside are carried along."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f g"), (2, "a b c d e f"), (None, "x y"), (None, "x y"), (3, "x  y z")]
+    df = frame(spark, rows)
+    left = J.keep_one(df, 2, 70, 100)
+    assert left.columns == df.columns and {"gone_id", "gone_tag", "again", "count"} <= set(left.columns)
+    assert sorted((r["doc_id"] or 0, r["text"], r["gone_id"]) for r in left.collect()) == [(0, "x y", None), (1, "a b c d e f", 1), (3, "x  y z", 3)]

@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, UNSPACED, batch, binary_list, discard, grams, materialize, mix, texts_of, words_of
@@ -592,12 +592,15 @@ def keep_one(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 100) -> D
     again = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))
     gone = rows.join(stays, "cls").withColumn("again", again).filter("NOT again OR doc_id IS NULL")
     gone = materialize(gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag"), "again").count(), "op10-gone")
-    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("gone_tag"))
-    left = docs.join(gone.filter("NOT again"), same, "left_anti")
-    copies = gone.filter("again AND count > 1")
+
+    def same(listed: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(listed["gone_id"]) & F.xxhash64(docs["text"]).eqNullSafe(listed["gone_tag"])
+
+    other, copies = gone.filter("NOT again"), gone.filter("again AND count > 1")
+    left = docs.join(other, same(other), "left_anti")
     if copies.isEmpty():
         return left
-    return left.join(copies, same, "left_anti").unionByName(left.join(copies, same, "left_semi").dropDuplicates(["text"]))
+    return left.join(copies, same(copies), "left_anti").unionByName(left.join(copies, same(copies), "left_semi").dropDuplicates(["text"]))
 
 
 def report(docs: DataFrame) -> DataFrame:
