@@ -165,6 +165,20 @@ def brute_hits(docs, items, k):
     return out
 
 
+def test_copies_of_items_are_read_once(spark, monkeypatch):
+    """A table of one item many times over comes to the driver as one row."""
+    from tidemark.llm import decontaminate as D
+
+    seen = []
+    monkeypatch.setattr(D, "phrases_of", lambda items, window, of=D.phrases_of: seen.append(len(items)) or of(items, window))
+    item = "one two three four five six seven eight nine ten eleven"
+    benchmark = spark.createDataFrame([(1, item)] * 500 + [(2, "other words")] * 3, "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"so {item} it is"), (2, "none")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in D.report(docs, benchmark).collect()}
+    assert got == {1: 11, 2: 0} and seen == [2]
+    assert [r["doc_id"] for r in D.drop_contaminated(docs, benchmark, block_chars=100).collect()] == [2]
+
+
 @pytest.mark.parametrize("block", [8_000_000, 60])
 def test_decontamination(spark, block):
     r = random.Random(6)

@@ -260,7 +260,7 @@ def _parts(text: str, window: int, chars: int) -> Iterator[str]:
 
 
 def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Phrases | None]:
-    """The benchmark's phrases, one block after the other. Items, long ones in parts, are dealt by hash; a block holds about block_chars characters."""
+    """The benchmark's phrases, one block after the other. Different items, long ones in parts, are dealt by hash; a block holds about block_chars characters."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -268,7 +268,7 @@ def benchmark_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: in
                 for part in _parts(text, window, max(1, block_chars // 2)):
                     yield batch({"item_id": [item], "text": [part]}, _ITEMS)
 
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     chars, longest = rows.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
     blocks = max(1, -(-(chars or 0) // block_chars))
     if (longest or 0) > block_chars // 2:
