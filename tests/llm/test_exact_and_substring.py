@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, frame, ordered, words
 from tidemark.llm import exact_dedup as E
@@ -102,6 +103,17 @@ def test_substring_repeats_within_two_documents(spark):
     assert ordered(got) == ordered(brute_substring(rows, 20))
 
 
+def test_substring_null_and_repeated_ids_stay_apart(spark):
+    """Rows without an id and copies of one row don't meet in one task."""
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text)] * 400 + [(5, text + " x")] * 400 + [(5, f"{text} {k}") for k in range(40)] + [(2, "a " + text)]
+    df = frame(spark, rows).repartition(8)
+    got = S.dedup(df)
+    assert ordered(got.collect()) == ordered(brute_substring(rows, 50))
+    alone = got.filter("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert len(alone) > 1 and sum(r["count"] for r in alone) == 400
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert E.report(none).count() == 0

@@ -12,7 +12,9 @@ bucket of that minimiser, where equal windows meet: sorting a bucket's windows s
    are found by aggregation and their windows are grouped by content over all machines.
 
 Minimisers, strings and windows are counted by partial aggregation, and what is known of them joins back with every key of
-more than one in ``SPREAD`` rows salted (there are fewer than ``SPREAD`` such keys), so no key has to pass through one task. Packed
+more than one in ``SPREAD`` rows salted (there are fewer than ``SPREAD`` such keys), so no key has to pass through one task. Texts
+meet what is known of them by id and a hash of the text, joins that adaptive execution splits where rows repeat; rows without
+an id stay where they are. Packed
 strings and found ranges are written tables, each dropped with its shuffle files once the next one stands: texts travel
 twice, to be packed and to be cut, and strings are packed once.
 
@@ -37,7 +39,7 @@ from .common import UNSPACED, batch, binary_list, discard, grams, materialize, t
 WINDOW, GRAM, HOT = 50, 8, 2_000
 SPREAD, SALTS = 5_000, 32
 
-_PAIR = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32())])
+_PAIR = pa.schema([("minimiser", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("n", pa.int32())])
 _SUPER = pa.schema([("minimiser", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("packed", pa.binary())])
 _RANGE = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 _DISTINCT = pa.schema([("packed", pa.binary()), ("least", pa.int64()), ("place", pa.int32()), ("window", pa.binary())])
@@ -119,17 +121,17 @@ def _joined(rows: DataFrame, facts: DataFrame, key: str, counted: DataFrame) ->
 
 
 def shared_minimisers(docs: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
-    """minimiser, doc_id, hot: the minimisers that windows of two documents at least have; a written table."""
+    """minimiser, doc_id, tag, hot: the minimisers that windows of two documents at least have; a written table."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, _, _, codes, doc_of = _words(b, 1)
+            _, _, _, codes, doc_of = _words(b, 2)
             first, _, value = super_kmers(codes, doc_of, window, gram)
-            ids = b.column(0).to_numpy(zero_copy_only=False)[doc_of[first]]
-            got, n = np.unique(np.stack([value, ids]), axis=1, return_counts=True) if len(value) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(n.astype(np.int32))], schema=_PAIR)
+            ids, tags = (b.column(k).to_numpy(zero_copy_only=False)[doc_of[first]] for k in range(2))
+            got, n = np.unique(np.stack([value, ids, tags]), axis=1, return_counts=True) if len(value) else (np.zeros((3, 0), dtype=np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in got), pa.array(n.astype(np.int32))], schema=_PAIR)
 
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(pairs, "minimiser bigint, doc_id bigint, n int"), "op4-pairs")
+    rows = materialize(docs.select("doc_id", "tag", "text").mapInArrow(pairs, "minimiser bigint, doc_id bigint, tag bigint, n int"), "op4-pairs")
     seen = rows.groupBy("minimiser").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("strings"), F.count("*").alias("n"))
     shared = materialize(seen.filter("least < most").select("minimiser", (F.col("strings") > hot).alias("hot"), "n"), "op4-minimisers")
     out = materialize(_joined(rows.drop("n"), shared.drop("n"), "minimiser", shared), "op4-shared")
@@ -177,8 +179,8 @@ def merged(places: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """doc_id, tag, ranges: word ranges (start, end, ...) that windows of smaller documents cover; written tables."""
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """doc_id, tag, ranges: word ranges (start, end, ...) of docs(doc_id, tag, text) that windows of smaller documents cover; written tables."""
     shared = shared_minimisers(docs, window, gram, hot)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +224,8 @@ def repeated_ranges(base: DataFrame, docs: DataFrame, window: int = WINDOW, gram
                         out[name].append(x)
             yield batch(out, _RANGE)
 
-    per_doc = shared.groupBy("doc_id").agg(F.collect_set(F.struct("minimiser", "hot")).alias("shared"))
-    texts = base.join(per_doc, "doc_id").select("doc_id", "tag", "text", "shared")
+    per_doc = shared.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("minimiser", "hot")).alias("shared"))
+    texts = docs.join(per_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "shared")
     supers = materialize(texts.mapInArrow(packed, "minimiser bigint, hot boolean, doc_id bigint, tag bigint, start int, packed binary"), "op4-supers")
     crowded = not shared.filter("hot").isEmpty()
     discard(shared)
@@ -284,9 +286,8 @@ def _kept(words: list[bytes], ranges: list | None) -> list[bytes]:
 def dedup(docs: DataFrame, texts: bool = False, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the words left, one space between them."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = rows.withColumn("tag", F.xxhash64("text")).select("doc_id", "tag", "text").repartition("doc_id")
-    ranges = repeated_ranges(base, rows.filter("doc_id IS NOT NULL"), window, gram, hot)
-    per_doc = ranges.groupBy("doc_id", "tag").agg(F.collect_list("ranges").alias("ranges"))
+    base = rows.filter("doc_id IS NOT NULL").withColumn("tag", F.xxhash64("text")).select("doc_id", "tag", "text")
+    per_doc = repeated_ranges(base, window, gram, hot).groupBy("doc_id", "tag").agg(F.collect_set("ranges").alias("ranges"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +303,9 @@ def dedup(docs: DataFrame, texts: bool = False, window: int = WINDOW, gram: int
             yield batch(out, schema)
 
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * texts
-    return base.join(per_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "ranges").mapInArrow(finish, ddl)
+    cut = base.join(per_doc, ["doc_id", "tag"], "left").select("doc_id", "text", "ranges")
+    apart = rows.filter("doc_id IS NULL").withColumn("ranges", F.lit(None).cast("array<array<int>>"))
+    return cut.unionByName(apart).mapInArrow(finish, ddl)
 
 
 def report(docs: DataFrame) -> DataFrame:
