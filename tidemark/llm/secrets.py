@@ -6,12 +6,12 @@ of ``LOOK`` characters. That leaves an acyclic probabilistic automaton which kee
 states; beyond ``DEPTH`` characters all states are one. Next characters are smoothed by their kind (digits, letters by
 half of the alphabet and case, signs), so unseen keys of a known format stay likely.
 
-Every further candidate (a maximal run of ``SHORTEST`` = 12 or more credential characters) is scored by its likelihood under
-each automaton for each character, its end included. It is added as kind ``format`` if it is no shorter than the format's
-shortest example, no longer than twice its longest, no less likely than the ``QUANTILE`` least likely of examples left out in turn while learning (two fifths
-of their spread of grace), and likelier by ``MARGIN`` than the same characters in ordinary text. Bare credentials of fewer
-than 12 characters are never scored, though the assign format is learnt from values of 6 and more: such a one is found only
-if a base format matches it.
+Every further candidate, a maximal run of credential characters of any length, is scored by its likelihood under each automaton: for
+each character, and for its end. It is added as kind ``format`` if its characters are no less likely than the ``QUANTILE`` least likely
+of examples left out in turn while learning (two fifths of their spread of grace), its end no less than the least of theirs (``SLACK``
+of grace), and its characters likelier by ``MARGIN`` each than in ordinary text. Lengths are the automaton's own: an end is unlikely where none of many examples ends, and a
+state that all examples end in makes a longer run impossible. The candidates of a batch are scored together, place by
+place, and one drops out as soon as what is left could not lift it any more.
 
 Bytes are counted over all documents, and the ``EXAMPLES`` examples per format are those of least hash among the base spans
 of all documents; both come from one pass. Scanning covers every whole text.
@@ -46,11 +46,10 @@ HEX = re.compile(rb"[0-9a-f]{24,}")  # a greedy run of 24 or more
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 EXAMPLES, FEWEST, FOLDS, QUANTILE = 400, 8, 3, 0.05
-ALPHA, LOOK, DEPTH, SHORTEST, MARGIN = 0.05, 3, 128, 12, 1.0
+ALPHA, LOOK, DEPTH, MARGIN, SLACK = 0.05, 3, 128, 1.0, 0.5
 _CREDENTIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _HEX_MAP = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
-_RUN_MAP = bytes(120 if c in _CREDENTIAL else 32 for c in range(256))
+_IN_RUN = np.isin(np.arange(256), list(_CREDENTIAL))
 
 
 def base_spans(data: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -86,7 +85,6 @@ class Automaton:
 
     def __init__(self, examples: list[bytes], alpha: float = ALPHA):
         self.bound = float(np.sqrt(0.5 * np.log(2 / alpha)))
-        self.shortest, self.longest = min(map(len, examples)), max(map(len, examples))
         # each state as the examples that reach it, and how deep it stands
         reach, depth = [list(range(len(examples)))], [0]
         self.steps = [np.full(256, -1)]
@@ -165,39 +163,85 @@ class Automaton:
                 ends += 1
         total = counts.sum() + ends
         kinds = np.bincount(_KIND, counts)
-        share = (np.append(kinds, ends) + 0.1) / (total + 0.1 * (len(kinds) + 1))
+        share = (np.append(kinds + 0.1, ends + 0.01)) / (total + 0.1 * len(kinds) + 0.01)
         inside = (counts + 1) / (kinds + _KIND_SIZES)[_KIND]
         return np.log(np.append(share[:-1][_KIND] * inside, share[-1]))
 
-    def score(self, text: bytes) -> float:
-        """Log-likelihood for each character and the end."""
+    def score(self, text: bytes) -> tuple[float, float]:
+        """Log-likelihood for each character, and of the end."""
+        logs, steps = self.tables()
         at, total = 0, 0.0
         for c in text[:DEPTH]:
-            total += self.logs[at][c]
-            to = int(self.steps[at][c])
-            if to < 0:  # a state that always ends here
-                return -np.inf
-            at = to
+            total += logs[at, c]
+            at = int(steps[at, c])
+            if at < 0:  # a state that always ends here
+                return -np.inf, -np.inf
         if len(text) > DEPTH:
-            total += float(np.bincount(np.frombuffer(text[DEPTH:], dtype=np.uint8), minlength=256) @ self.logs[at][:256])
-        return float((total + self.logs[at][_END]) / (len(text) + 1))
+            total += float(logs[at, np.frombuffer(text[DEPTH:], dtype=np.uint8)].sum())
+        return float(total / max(1, len(text))), _end(float(logs[at, _END]), len(text))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """logs and steps of all states as two arrays."""
+        if not hasattr(self, "_tables"):
+            self._tables = np.stack(self.logs), np.stack(self.steps)
+        return self._tables
+
+
+def _end(log: float, size: int) -> float:
+    """Log-likelihood of an end; beyond DEPTH also of not having ended before."""
+    return log + max(0, size - DEPTH) * float(np.log1p(-min(np.exp(log), 1 - 1e-12)))
 
 
 @dataclass
 class Grammars:
-    automata: list[tuple[Automaton, float]]  # with the least score of an accepted text
+    automata: list[tuple[Automaton, float, float]]  # with the least score of an accepted text's characters, and of its end
     plain: np.ndarray  # log-probability of each byte in ordinary text
 
     def likely(self, run: bytes) -> bool:
-        usual = None
-        for automaton, least in self.automata:
-            if not automaton.shortest <= len(run) <= 2 * automaton.longest:
-                continue
-            if usual is None:
-                usual = float(self.plain[np.frombuffer(run, dtype=np.uint8)].mean())
-            if (s := automaton.score(run)) >= least and s - usual >= MARGIN:
-                return True
-        return False
+        raw = np.frombuffer(run, dtype=np.uint8)
+        return bool(self.accepted(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    def accepted(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the runs of bytes some automaton takes for one of its format."""
+        size, out = ends - starts, np.zeros(len(starts), dtype=bool)
+        if not self.automata or not len(starts):
+            return out
+        upto = np.concatenate([[0.0], np.cumsum(self.plain[raw])])
+        usual = (upto[ends] - upto[starts]) / size
+        for automaton, least, last in self.automata:
+            logs, steps = automaton.tables()
+            need = np.maximum(least, usual + MARGIN) * size
+            rows, at, total = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts))
+            for d in range(DEPTH + 1):
+                over = size[rows] == d
+                ended = rows[over]
+                out[ended] |= (total[over] >= need[ended]) & (logs[at[over], _END] >= last)
+                rows, at, total = rows[~over], at[~over], total[~over]
+                if d == DEPTH or not len(rows):
+                    break
+                byte = raw[starts[rows] + d]
+                total, at = total + logs[at, byte], steps[at, byte]
+                alive = (at >= 0) & (total >= need[rows])  # what is left adds nothing above 0
+                rows, at, total = rows[alive], at[alive], total[alive]
+            for k, q, t in zip(rows.tolist(), at.tolist(), total.tolist(), strict=True):  # longer ones: all in one state
+                rest = np.bincount(raw[starts[k] + DEPTH : ends[k]], minlength=256) @ logs[q][:256]
+                out[k] |= t + rest >= need[k] and _end(float(logs[q][_END]), int(size[k])) >= last
+        return out
+
+
+def runs(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the candidates in texts that stand one after the other; cuts: where each starts, and the end."""
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    inside[1:-1] = _IN_RUN[raw]
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[cuts] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    return starts, np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+
+
+def _floor(scores: list[float]) -> float:
+    low, middle = np.quantile(scores, [QUANTILE, 0.5]) if scores else (-np.inf, 0.0)
+    return float(low - 0.4 * (middle - low))
 
 
 def learn(examples: list[tuple[int, bytes]], plain: Counter) -> Grammars:
@@ -211,27 +255,29 @@ def learn(examples: list[tuple[int, bytes]], plain: Counter) -> Grammars:
                 kept = [e for e, x in zip(own, fold, strict=True) if x != f]
                 if kept:
                     rest = Automaton(kept)
-                    scores += [x for x in (rest.score(e) for e, g in zip(own, fold, strict=True) if g == f) if np.isfinite(x)]
-            low, middle = np.quantile(scores, [QUANTILE, 0.5]) if scores else (-np.inf, 0.0)
-            automata.append((Automaton(own), float(low - 0.4 * (middle - low))))
+                    scores += [x for x in (rest.score(e) for e, g in zip(own, fold, strict=True) if g == f) if np.isfinite(x[0])]
+            automata.append((Automaton(own), _floor([x for x, _ in scores]), min((x for _, x in scores), default=-np.inf) - SLACK))
     total = sum(plain.values()) + 256
     return Grammars(automata, np.log([(plain[c] + 1) / total for c in range(256)]))
 
 
+def scan_all(grammars: Grammars, texts: list[bytes]) -> list[list[tuple[int, int, int, bytes]]]:
+    """For each text the base spans and the added ones, which overlap none of them."""
+    cuts = np.cumsum([0] + [len(x) for x in texts])
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    starts, ends = runs(raw, cuts)
+    taken = np.flatnonzero(grammars.accepted(raw, starts, ends))
+    text_of = np.searchsorted(cuts, starts[taken], side="right") - 1
+    out = [base_spans(x) for x in texts]
+    for k, d in zip(taken.tolist(), text_of.tolist(), strict=True):
+        start, end = int(starts[k] - cuts[d]), int(ends[k] - cuts[d])
+        if not any(s[0] < end and start < s[2] for s in out[d] if s[1] != 3):
+            out[d].append((start, 3, end, texts[d][start:end]))
+    return [sorted(spans, key=lambda s: s[:2]) for spans in out]
+
+
 def scan(grammars: Grammars, data: bytes) -> list[tuple[int, int, int, bytes]]:
-    """Base spans and added ones, which overlap none of them."""
-    spans = base_spans(data)
-    if grammars.automata and (shortest := b"x" * max(SHORTEST, min(a.shortest for a, _ in grammars.automata))) in data.translate(_RUN_MAP):
-        at, added = 0, []
-        for m in _RUN.finditer(data):
-            if m.end() - m.start() < len(shortest):
-                continue
-            while at < len(spans) and spans[at][2] <= m.start():
-                at += 1
-            if not any(s[0] < m.end() and m.start() < s[2] for s in spans[max(0, at - 3) : at + 3]) and grammars.likely(m[0]):
-                added.append((m.start(), 3, m.end(), m[0]))
-        spans = sorted(spans + added, key=lambda s: s[:2])
-    return spans
+    return scan_all(grammars, [data])[0]
 
 
 def in_characters(data: bytes, spans: list) -> list[tuple[str, int, int]]:
@@ -280,10 +326,9 @@ def find(docs: DataFrame, grammars: Grammars) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for data in binary_list(b.column(1)):
-                data = data or b""
-                out.append([{"kind": k, "start": s, "end": e} for k, s, e in in_characters(data, scan(shared.value, data))])
+            texts = [data or b"" for data in binary_list(b.column(1))]
+            found = zip(texts, scan_all(shared.value, texts), strict=True)
+            out = [[{"kind": k, "start": s, "end": e} for k, s, e in in_characters(data, spans)] for data, spans in found]
             yield batch({"doc_id": b.column(0).to_pylist(), "spans": out}, schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
