@@ -5,11 +5,12 @@ to its parent and half of them to its grandparent and a third to the next; a can
 class say, are discounted by the share of its text that stands in links. The best container is kept with those siblings
 that score near it or read as prose; a comment thread, advert, menu, form or notice is left out wherever it stands.
 
-Names cut an element only by its own role: words for a state of the page (``has-sidebar``, ``nav-open``, ``tag-x``) don't
-count, an element that also has a good name stays a candidate, and so does one whose name is that of a part of the layout
-(sidebar, menu, footer and the like) but which holds most of the page's text with few links, or which is a single paragraph
-or heading of an article. An element around the page's only <article> or <main> stays whatever its name. A header goes unless it
-is an article's own; a figure counts as a block of where it stands.
+Names are weighed against text. A word such as ad, comments or sidebar in a class or id gives its element a weight; the element
+stays if its prose, paragraphs scored as above, is so many times that of the rest of the page, and in an article layout words
+(tools, related-work) need only hold prose at all. A weight is a quarter where the word stands beside one that isn't of place or form
+(``ads-free``, ``subscribe-wall``); words for a state of the page (``has-sidebar``, ``nav-open``, ``tag-x``) don't count, nor does any name
+beside a good one. An element around the page's only <article> or <main> stays whatever its name. A header goes unless it is
+an article's own; a figure counts as a block of where it stands.
 
 The work is linear in the page: a tag ends where a browser ends it (quotes count after an equals sign only; of tags that the page's
 end cuts off the first few are read up to their first >), sums run up the tree once, and elements nested deeper than
@@ -52,32 +53,41 @@ BLOCK = frozenset("address article aside blockquote body center dd details div d
 CLOSES_P = BLOCK - frozenset("html body td th tr tbody thead tfoot".split())
 SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 TAG_POINTS = {"article": 30, "main": 25, "section": 3, "div": 5, "blockquote": 3, "td": 3, "pre": 3, "body": 0, "ul": -3, "ol": -3, "dl": -3, "form": -10}
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|combx|comments?|comment-?list|cookies?|consent|disqus|discussion|footer|foot|footnav|gdpr|header|masthead|menu|menubar|meta|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|pager|pagination|popup|promo\w*|related|remark|replies|respond|rss|share|sharing|shoutbox|sidebar|side|skyscraper|social|sponsor\w*|subscribe|tags?|taboola|toolbar|tools|topbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+#: What words of a class or id say against an element, as a weight: how many times as much prose as all the rest of the page it
+#: must hold to stay. Readers' comments outdo their article easily, adverts and notices now and then, parts of the layout don't.
+NAME_WEIGHTS = {
+    16.0: "combx comment comments commentlist disqus replies respond shoutbox",
+    8.0: "ad ads advert adverts advertisement advertising consent cookie cookies gdpr modal newsletter notice notification outbrain popup promo promos promotion skyscraper sponsor sponsored sponsors subscribe taboola",
+    1.0: "banner breadcrumb breadcrumbs discussion foot footer footnav header masthead menu menubar meta nav navbar navigation pager pagination related remark rss share sharing side sidebar social tag tags toolbar tools topbar widget",
+}
+WEIGHT_OF = {word: weight for weight, words in NAME_WEIGHTS.items() for word in words.split()}
+#: Words that say where or in what form something stands: beside them a weight holds in full, beside others it is quartered.
+PLACES = frozenset("area bar block body bottom box button buttons card col column container count entry footer form group header holder icon icons inner item items left link links list panel row section slot space stack text thread title top outer right unit wrap wrapper".split())
+_NAME_PART = re.compile(r"[^\s_-]+")
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
 
 
 #: Class words that tell a state of the page or a subject, not the role of the element.
 STATE = re.compile(r"(?:has|with|no|without)[_-]\S+|\S+[_-](?:open|opened|close|closed|active|visible|collapsed|fixed|enabled|disabled|on|off|left|right)|tags?[_-](?!list$|links?$|cloud$)\S+", re.I)
-#: Of the bad names those that no amount of text outweighs.
-NEVER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|combx|comments?|comment-?list|cookies?|consent|disqus|gdpr|modal|newsletter|notice|notification|outbrain|popup|promo\w*|replies|respond|sponsor\w*|subscribe|taboola)(?:$|[\s_-])", re.I)
+#: Points of prose that a weighed element needs in any case, and that one needs in an article to stay there.
+LEAST = 3.0
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt".split())
 OWN_HEADER = re.compile(r"(?:^|[\s_-])(?:article|entry|hentry|post|story)(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "items", "points", "bad", "doubt", "named", "depth", "chars", "linked", "ends")
+    __slots__ = ("tag", "attributes", "parent", "items", "points", "bad", "weight", "inside", "depth", "chars", "linked", "ends", "own", "prose")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.attributes, self.parent, self.items, self.points = tag, attributes, parent, [], 0.0
-        self.doubt = self.named = False
         self.depth = parent.depth + 1 if parent is not None else 0
-        self.chars, self.linked, self.ends = 0, 0, False
+        self.chars, self.linked, self.ends, self.own, self.prose = 0, 0, False, 0.0, 0.0
         self.bad = tag in DROP and not (tag == "header" and self._of_article())
-        if attributes and not self.bad:
+        self.weight, self.inside = 0.0, False
+        if attributes and not self.bad and tag not in ("body", "html", "article", "main"):
             self.bad = self._hidden()
+            if not self.bad:
+                self._weigh()
 
     def names(self) -> str:
         if "class" not in self.attributes and "id" not in self.attributes:
@@ -89,27 +99,25 @@ class Node:
 
     def _hidden(self) -> bool:
         low = self.attributes.lower()
-        if self.tag in ("body", "html", "article", "main"):
-            return False
         if "hidden" in low and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", low):
             return True
         if "display" in low and re.search(r"display\s*:\s*none", low):
             return True
-        if "role" in low and re.search(r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)", low):
-            return True
-        names = self.names()
-        if BAD_NAME.search(names) is None:
-            return False
-        words = [w for w in names.split() if not STATE.fullmatch(w)]
-        wrong = [w for w in words if BAD_NAME.search(w)]
-        if not wrong or any(GOOD_NAME.search(w) for w in words if w not in wrong):
-            return False
-        self.doubt = not any(NEVER.search(w) for w in wrong)
-        if self.doubt and (self.tag in PROSE and self._of_article()):
-            self.doubt = False
-            return False
-        self.named = True
-        return True
+        return "role" in low and re.search(r"role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)", low) is not None
+
+    def _weigh(self) -> None:
+        """weight: the largest that a word of the names has, 0 without one or beside a good name."""
+        words = [w for w in self.names().lower().split() if not STATE.fullmatch(w)]
+        weights = []
+        for w in words:
+            parts = _NAME_PART.findall(w)
+            own = [WEIGHT_OF[x] for x in parts if x in WEIGHT_OF]
+            full = all(x in WEIGHT_OF or x in PLACES or x.isdigit() for x in parts)
+            weights.append((max(own) if full else max(own) / 4) if own else 0.0)
+        if not any(weights) or any(GOOD_NAME.search(w) for w, x in zip(words, weights, strict=True) if not x):
+            return
+        self.inside = max(weights) <= 1 and self._of_article()
+        self.weight = 0.0 if self.inside and self.tag in PROSE else max(weights)
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -214,8 +222,8 @@ def _plain(parts: list[str]) -> str:
     return _SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 
-def blocks(node: Node, doubtful: bool = False) -> list[tuple[str, Node, int]]:
-    """The blocks below node outside dropped parts: text, the block element that holds it, characters in links; with those in doubt, if asked for."""
+def blocks(node: Node) -> list[tuple[str, Node, int]]:
+    """The blocks below node outside dropped parts: text, the block element that holds it, characters in links."""
     out: list[tuple[str, Node, int]] = []
     text: list[str] = []
     linked = 0
@@ -245,7 +253,7 @@ def blocks(node: Node, doubtful: bool = False) -> list[tuple[str, Node, int]]:
             if item.tag == "hr":
                 flush(owner)
                 continue
-            if item.bad and not (doubtful and item.doubt):
+            if item.bad:
                 if item.tag in BLOCK:
                     flush(owner)
                 continue
@@ -262,28 +270,60 @@ def blocks(node: Node, doubtful: bool = False) -> list[tuple[str, Node, int]]:
     return out
 
 
+def _points(plain: str, in_links: int) -> float:
+    """What a block is worth as prose: for itself, its commas and its length, less what stands in links."""
+    if len(plain) < 25:
+        return 0.0
+    return (1 + plain.count(",") + plain.count("，") + min(3, len(plain) // 100)) * (1 - in_links / len(plain))
+
+
 def _settle(root: Node, nodes: list[Node]) -> None:
-    """Elements in doubt that hold most of the page's text with few links are candidates, and so is what holds its only article."""
-    cut, outside = [], False
-    lost: dict[int, bool] = {}  # elements inside a dropped one
-    for n in nodes:
-        lost[id(n)] = n.bad or (n.parent is not None and lost[id(n.parent)])
+    """Decides which named elements go. An element around the page's only <article> stays. Lighter weights come first: what stays
+    counts as the page's prose when heavier ones are weighed against it, each against the page's rest and its like."""
+    if not any(n.weight for n in nodes):
+        return
+    inside: dict[int, bool] = {id(root): False}  # of something that is dropped, or may be
+    outside, first = False, None
+    for n in nodes[1:]:
+        inside[id(n)] = inside[id(n.parent)] or n.bad or n.weight > 0
         if n.tag in ("article", "main") and not n.bad:
-            if lost[id(n)]:
-                cut.append(n)
-            else:
-                outside = True
-    if cut and not outside:
-        for up in _up(cut[0].parent):
-            if up.named:
-                up.bad = up.doubt = False
-    doubted = [n for n in nodes if n.doubt]
-    if doubted:
-        prose = [x for x in blocks(root, True) if len(x[0]) >= 25 and x[2] < 0.3 * len(x[0])]
-        _sum_up(nodes, prose)
-        for n in doubted:
-            if 2 * n.chars > root.chars:
-                n.bad = False
+            outside = outside or not inside[id(n)]
+            first = first or n
+    if first is not None and not outside:
+        for up in _up(first.parent):
+            up.weight = 0.0
+    named = [n for n in nodes if n.weight]
+    near: dict[int, Node] = {id(root): root}  # the weighed element that each one is in
+    for n in nodes[1:]:
+        near[id(n)] = n if n.weight else near[id(n.parent)]
+    for plain, owner, linked in blocks(root):  # lines too short for points weigh a little: they may be all that a page has
+        near[id(owner)].own += _points(plain, linked) or len(plain) / 25 * (1 - linked / len(plain))
+    stays = {id(root)}
+
+    def add_up() -> None:
+        """prose: an element's own and what those inside that stay hold."""
+        for n in [root, *named]:
+            n.prose = n.own
+        for n in reversed(named):  # an element comes after those around it
+            if id(n) in stays:
+                near[id(n.parent)].prose += n.prose
+
+    for weight in sorted({n.weight for n in named}):
+        add_up()
+        like = [n for n in named if n.weight == weight]
+        rest = root.prose + sum(n.prose for n in like)
+        for n in reversed(like):
+            if n.prose >= (LEAST if weight > 1 or n.inside else 0.1) and (n.inside or n.prose >= weight * (rest - n.prose)):
+                stays.add(id(n))
+                if n.parent is not None:
+                    near[id(n.parent)].prose += n.prose
+    add_up()
+    if not root.prose and named:  # nothing is left: of the lightest, what holds the most prose stays
+        best = max(named, key=lambda n: (-n.weight, n.prose))
+        if best.prose >= LEAST:
+            stays.update(id(up) for up in _up(best))
+    for n in named:
+        n.bad = n.bad or id(n) not in stays
 
 
 def main_text(page: str | None) -> str:
@@ -297,9 +337,9 @@ def main_text(page: str | None) -> str:
     _sum_up(nodes, found)
     scored: dict[int, Node] = {}
     for plain, owner, in_links in found:
-        if len(plain) < 25:
+        points = _points(plain, in_links)
+        if not points:
             continue
-        points = (1 + plain.count(",") + plain.count("，") + min(3, len(plain) // 100)) * (1 - in_links / len(plain))
         up = owner.parent if owner.tag in PROSE else owner
         for share in (1, 2, 3):
             while up is not None and up.tag not in BLOCK and up.tag != "#root":
