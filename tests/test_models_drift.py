@@ -111,6 +111,25 @@ def test_explanations(spark):
     assert "base" in X.text(values).first()["explanation"]
 
 
+def test_attributions_in_batches_and_of_nulls(spark):
+    """A batch gives what its rows give alone, drawn or enumerated; exact Shapley values where all coalitions are taken."""
+    r = np.random.default_rng(4)
+    for d, m in ((4, 64), (9, 40)):
+        e = X.KernelExplainer(lambda z: z[:, 0] * z[:, 1] + np.sin(z[:, 2]), r.normal(size=(1 if d == 4 else 5, d)), m)
+        x, keys = r.normal(size=(30, d)), np.arange(30)
+        prediction, values = e.batch(x, keys)
+        assert np.allclose(values.sum(axis=1), prediction - e.baseline)
+        assert all(np.allclose(values[k], e.explain(x[k], k)["values"]) for k in range(30))
+        if d == 4:
+            b = e.background[0]
+            assert np.allclose(values[:, 0], (x[:, 0] - b[0]) * (x[:, 1] + b[1]) / 2, atol=1e-6)
+            assert np.allclose(values[:, 2], np.sin(x[:, 2]) - np.sin(b[2]), atol=1e-6) and np.allclose(values[:, 3], 0, atol=1e-6)
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0]), (2, None), (None, [0.0, 0.0, 0.0, 0.0])], "event_id long, vector array<double>").coalesce(1)
+    got = X.explain(df, X.KernelExplainer(lambda z: z.sum(axis=1), np.zeros((1, 4)), 14), list("abcd")).collect()
+    assert len(got) == 12 and [r["value"] for r in got if r["event_id"] == 2] == [None] * 4
+    assert [round(r["value"], 6) for r in got if r["event_id"] == 1] == [1.0, 2.0, 3.0, 4.0]
+
+
 def test_attributions_that_cancel_out(spark, tmp_path):
     from tidemark.plans.extended import shap_exact_values
 
@@ -127,7 +146,8 @@ def test_attributions_that_cancel_out(spark, tmp_path):
     df = df.selectExpr("event_id", "timestamp_ntz'2024-01-02 03:04:05' AS ts", "event_id AS user_id", "event_type", "value", """'{"k": 1}' AS props""")
     df.write.parquet(str(tmp_path / "events.parquet"))
     got = sorted(map(tuple, shap_exact_values(spark, str(tmp_path)).collect()))
-    assert got == sorted((k, f, True) for k, _, _ in rows for f in ("age", "amount", "new"))
+    want = {(k, v): {"amount": round(v / 100 - 1.5, 6), "age": round(-2 * (k / 10_000 - 0.5), 6), "new": -0.5} for k, _, v in rows}
+    assert got == sorted((k, f, x) for (k, _), values in want.items() for f, x in values.items())
     null = spark.createDataFrame([(None, [2.5, 1.0, 1.0]), (1 << 60 | 1, [2.5, 1.0, 1.0])], "event_id bigint, vector array<double>")
     assert {r["event_id"] for r in X.explain(null.coalesce(1), e, list("abc")).collect()} == {None, 1 << 60 | 1}
 

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import alerts, drift, explain, kv, metrics, windows
+from ..operators import alerts, drift, explain, features, kv, metrics, windows
 from ..operators.rules import RuleEngine
+from ..schema import FEATURES
 from ..session import shared_path
 from ..sources import logs
 from ..sources.transactions import transaction_stream, transactions
@@ -146,16 +147,54 @@ def saved_ensemble_score(spark: SparkSession, d: str) -> DataFrame:
     return score(rows, again).select("event_id", F.round("ml_score", 8).alias("score"))
 
 
-@query("shap_exact_values", f"WITH {TXN} SELECT event_id, f AS feature, true AS exact FROM txn, (VALUES ('age'), ('amount'), ('new')) t(f)")
+_SHAP = f"{TXN}, x AS (SELECT event_id, amount / 10000 AS a, device_age_hours / 10000 AS b, is_new_device::INT AS c FROM txn)"
+
+
+@query("shap_exact_values", f"WITH {_SHAP} SELECT event_id, f AS feature, round(v, 6) + 0.0 AS value FROM (SELECT event_id, unnest(['amount', 'age', 'new']) AS f, unnest([a - 1.5, -2.0 * (b - 0.5), 0.5 * (c - 1.0)]) AS v FROM x)")
 def shap_exact_values(spark: SparkSession, d: str) -> DataFrame:
     """Against one background row a linear model's attributions are its weights times the differences."""
     import numpy as np
 
     w = np.array([1.0, -2.0, 0.5])
     vectors = transactions(spark, d).select("event_id", F.array(F.col("amount") / 10000, F.col("device_age_hours") / 10000, F.col("is_new_device").cast("double")).alias("vector"))
-    values = explain.explain(vectors, explain.KernelExplainer(lambda x: x @ w, np.array([[1.5, 0.5, 1.0]]), 64), ["amount", "age", "new"], keep=("vector",))
-    exact = F.when(F.col("feature") == "amount", F.col("vector")[0] - 1.5).when(F.col("feature") == "age", -2.0 * (F.col("vector")[1] - 0.5)).otherwise(0.5 * (F.col("vector")[2] - 1.0))
-    return values.select("event_id", "feature", (F.abs(F.col("value") - exact) < 1e-3).alias("exact"))
+    values = explain.explain(vectors, explain.KernelExplainer(lambda x: x @ w, np.array([[1.5, 0.5, 1.0]]), 64), ["amount", "age", "new"])
+    return values.select("event_id", "feature", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+def _product(spark: SparkSession, d: str) -> DataFrame:
+    """Attributions of amount x age + new against one background row; a model with an interaction."""
+    import numpy as np
+
+    vectors = transactions(spark, d).select("event_id", F.array(F.col("amount") / 10000, F.col("device_age_hours") / 10000, F.col("is_new_device").cast("double")).alias("vector"))
+    explainer = explain.KernelExplainer(lambda x: x[:, 0] * x[:, 1] + x[:, 2], np.array([[1.5, 0.5, 1.0]]), 6)
+    return explain.explain(vectors, explainer, ["amount", "age", "new"])
+
+
+_RANKED = f"""{_SHAP}, v AS (SELECT event_id, a * b + c AS prediction, unnest(['amount', 'age', 'new']) AS feature,
+    unnest([(a - 1.5) * (b + 0.5) / 2, (b - 0.5) * (a + 1.5) / 2, c - 1.0]) AS value FROM x)"""
+
+
+@query("shap_top_features", f"WITH {_RANKED}, r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(round(value, 6)) DESC, feature) AS place FROM v) SELECT event_id, feature, place::INT AS place FROM r WHERE place <= 2")
+def shap_top_features(spark: SparkSession, d: str) -> DataFrame:
+    """The two features that count most in each row: exact Shapley values of a product share its interaction."""
+    values = _product(spark, d).withColumn("value", F.round("value", 6))
+    return explain.top_features(values, k=2).select("event_id", "feature", "place")
+
+
+@query("shap_mean_magnitude", f"WITH {_RANKED} SELECT feature, round(avg(abs(value)), 5) AS mean_magnitude FROM v GROUP BY 1")
+def shap_mean_magnitude(spark: SparkSession, d: str) -> DataFrame:
+    return explain.mean_magnitude(_product(spark, d), 10).select("feature", F.round("mean_magnitude", 5).alias("mean_magnitude"))
+
+
+@query("shap_vector_23")
+def shap_vector_23(spark: SparkSession, d: str) -> DataFrame:
+    """All 23 features of every event, 64 coalitions: the three that count most."""
+    import numpy as np
+
+    w = np.linspace(-1, 1, len(FEATURES))
+    rows = features.features(transactions(spark, d)).select("event_id", features.vector().alias("vector"))
+    explainer = explain.KernelExplainer(lambda x: np.tanh(x @ w / 1e4), np.zeros((1, len(FEATURES))), 64)
+    return explain.top_features(explain.explain(rows, explainer, list(FEATURES)), k=3).select("event_id", "place", "feature")
 
 
 @query(
