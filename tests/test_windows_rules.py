@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -29,12 +30,122 @@ def test_window_counts_and_bounds(spark):
     assert (last["user_unique_cities_1h"], last["user_unique_devices_24h"]) == (2, 2)
 
 
+@pytest.fixture
+def wide(spark):
+    """Many small tasks, so that small keys count as hot."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def bursty(spark, seed=1, n=500):
+    """Hot and rare keys, bursts within one second, equal times, equal amounts, missing values, times before zero."""
+    r = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        key = r.choice(["hot"] * 6 + ["u1", "u2", "u3", "", None])
+        at = r.choice([r.randint(-50 * S, 200_000 * S), 7_000 * S + r.randint(0, S), 86_400 * S, 90_000 * S + r.choice([0, 60 * S, 60 * S + 1, 3600 * S])])
+        rows.append((at, key, r.choice([5.0, 49_000.25, round(r.random() * 1000, 2)]), r.choice(["A", "B", "C", "", None]), f"d{r.randint(0, 9)}"))
+    return txns(spark, rows), rows
+
+
+def brute_windows(rows):
+    out = {}
+    for k, (at, key, _, _, _) in enumerate(rows):
+        if not key:
+            continue
+        own = [x for x in rows if x[1] == key]
+        got = {}
+        for w, seconds in W.LENGTHS.items():
+            inside = [x for x in own if at - seconds * S <= x[0] <= at]
+            amounts = [x[2] for x in inside]
+            mean = math.fsum(amounts) / len(amounts)
+            got[w] = (len(inside), mean, math.sqrt(math.fsum((x - mean) ** 2 for x in amounts) / len(amounts)), max(amounts), min(amounts), len({x[3] for x in inside if x[3]}), len({x[4] for x in inside if x[4]}))
+        out[k] = got
+    return out
+
+
+@pytest.mark.parametrize("least", [1 << 16, 16])
+def test_windows_of_streams_and_pieces_against_brute_force(wide, least):
+    df, rows = bursty(wide)
+    want = brute_windows(rows)
+    got = {r["event_id"]: r for r in W.user_windows(df.repartition(3), least).collect()}
+    assert sorted(got) == sorted(want)
+    for k, w in want.items():
+        r = got[k]
+        assert [r[f"user_txn_count_{x}"] for x in W.LENGTHS] == [w[x][0] for x in W.LENGTHS]
+        assert r["user_amount_mean_1h"] == pytest.approx(w["1h"][1], rel=1e-12) and r["user_amount_std_1h"] == pytest.approx(w["1h"][2], rel=1e-9, abs=1e-6)
+        assert r["user_amount_max_24h"] == w["24h"][3] and r["user_unique_cities_1h"] == w["1h"][5] and r["user_unique_devices_24h"] == w["24h"][6]
+        assert r["user_global_freq"] == sum((x[0], j) <= (rows[k][0], k) for j, x in enumerate(rows) if x[1] == rows[k][1])
+    stats = {r["event_id"]: r for r in W.all_stats(df, "payer_vpa", least).collect()}
+    for k, w in want.items():
+        for x in W.LENGTHS:
+            s = stats[k][f"stats_{x}"]
+            assert (s["count"], s["max"], s["min"], s["unique_cities"], s["unique_devices"]) == (w[x][0], w[x][3], w[x][4], w[x][5], w[x][6])
+            assert s["std"] == pytest.approx(w[x][2], abs=0.006)
+
+
+def test_small_batches_give_the_same(wide):
+    df, rows = bursty(wide, 3, 200)
+    whole = sorted(map(tuple, W.user_windows(df).select("event_id", "user_txn_count_24h", "user_amount_std_1h", "user_unique_devices_24h", "user_global_freq").collect()))
+    wide.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    small = sorted(map(tuple, W.user_windows(df).select("event_id", "user_txn_count_24h", "user_amount_std_1h", "user_unique_devices_24h", "user_global_freq").collect()))
+    wide.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [x[:2] + x[3:] for x in small] == [x[:2] + x[3:] for x in whole]
+    assert [x[2] for x in small] == pytest.approx([x[2] for x in whole], abs=1e-6)
+
+
+def test_no_range_frame_is_in_the_plan(spark, sf):
+    from tidemark.sources.transactions import transactions
+
+    for df in (W.user_windows(transactions(spark, sf)), W.all_stats(transactions(spark, sf), "payer_vpa")):
+        assert "RangeFrame" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_burst_of_one_key_is_dealt_out(wide):
+    """All rows of one key within one second: pieces are even, and running sums, previous times and lookups are as before."""
+    from tidemark.operators import kv, scan
+
+    n = 4_000
+    rows = wide.range(n).select(F.col("id").alias("event_id"), (F.pmod(F.col("id") * 7919, F.lit(997)) * 1000).cast("bigint").alias("us"), F.lit("hot").alias("k"), F.lit(1.0).alias("amount"))
+    pieced, several = scan.cut(rows, ["k"], ["us", "event_id"], 16)
+    sizes = [r["count"] for r in pieced.groupBy("_piece").count().collect()]
+    assert several and len(sizes) >= 64 and max(sizes) <= 4 * n / len(sizes)
+    place = {r["event_id"]: r["n"] for r in scan.running(rows, ["k"], ["us", "event_id"], {"n": F.lit(1)}, least=16).collect()}
+    order = sorted((k * 7919 % 997 * 1000, k) for k in range(n))
+    assert place == {k: i + 1 for i, (_, k) in enumerate(order)}
+    before = {r["event_id"]: r["previous"] for r in W.with_previous(rows, "k", "us", "event_id", 16).collect()}
+    assert before == {k: order[i - 1][0] if i else None for i, (_, k) in enumerate(order)}
+    store = rows.filter("event_id % 5 = 0").select("k", "us", F.col("event_id").alias("value"))
+    probes = rows.filter("event_id % 5 = 1").select("k", F.col("us").alias("now"), F.col("event_id").alias("probe"))
+    got = {r["probe"]: r["value"] for r in kv.ttl_lookup(store, probes, "k", 2_000, 16).collect()}
+    kept = sorted((u, k) for u, k in order if k % 5 == 0)
+    for u, k in order:
+        if k % 5 == 1:
+            at = [x for x in kept if x[0] <= u][-1:]
+            assert got[k] == (at[0][1] if at and u - at[0][0] <= 2_000 else None)
+
+
+def test_moments_of_cut_keys_merge(wide):
+    from tidemark.operators import scan
+
+    r = random.Random(2)
+    rows = [("a" if r.random() < 0.8 else "b", k, None if r.random() < 0.1 else 1e6 + r.random()) for k in range(600)]
+    got = scan.running_moments(wide.createDataFrame(rows, "k string, at long, x double"), ["k"], ["at"], "x", 16).collect()
+    for row in got:
+        own = [x for k, at, x in rows if k == row["k"] and at <= row["at"] and x is not None]
+        assert row["n"] == len(own) and row["s"] == pytest.approx(sum(own)) and (row["hi"], row["lo"]) == (max(own, default=None), min(own, default=None))
+        mean = math.fsum(own) / max(1, len(own))
+        assert row["m2"] == pytest.approx(math.fsum((x - mean) ** 2 for x in own), rel=1e-6, abs=1e-6)
+
+
 def test_asof_totals_agree_with_frames(spark):
     rows = [(int((k * 7919 % 4000) * S), f"u{k % 3}", k, "A", f"d{k % 2}") for k in range(200)]
     df = txns(spark, rows)
     frames = {r["event_id"]: r["n"] for r in df.select("event_id", F.count("*").over(W.frame("payer_vpa", "5m")).alias("n")).collect()}
-    for bucket in (300 * S, 86_400 * S):
-        totals = {r["event_id"]: r["n_5m"] for r in W.entity_windows(df, "payer_vpa", ["5m"], bucket).collect()}
+    for least in (4, 1 << 16):
+        totals = {r["event_id"]: r["n_5m"] for r in W.entity_windows(df, "payer_vpa", ["5m"], least).collect()}
         assert totals == frames
     probes = spark.createDataFrame([("u0", 0), ("u0", 10**12), ("none", 5)], "payer_vpa string, now bigint")
     got = {(r["payer_vpa"], r["now"]): (r["count"], r["mean"]) for r in W.stats_asof(df, probes, "payer_vpa", "1m").collect()}
@@ -57,7 +168,7 @@ def test_zscore_of_a_jump(spark):
 
 def test_running_frequency_and_regularity(spark):
     df = txns(spark, [(k * 60 * S, "u", 1, "A", "d") for k in range(5)] + [(0, "w", 1, "A", "d")])
-    assert sorted(r["freq"] for r in W.running_frequency(df, "payer_vpa", 100 * S).collect()) == [1, 1, 2, 3, 4, 5]
+    assert sorted(r["freq"] for r in W.running_frequency(df, "payer_vpa", 2).collect()) == [1, 1, 2, 3, 4, 5]
     got = {r["payer_vpa"]: r["regularity"] for r in W.timing_regularity(df, "payer_vpa").collect()}
     assert got == {"u": 0.0, "w": None}
     assert W.recent(df, "payer_vpa", 2, ["us"]).count() == 3 and W.recent(df, "payer_vpa", 0, ["us"]).count() == 6

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import LEAST, running
+from .windows import with_previous
+
 BLOCK_AT, REVIEW_AT, WINDOW_S = 0.90, 0.70, 300
 
 
@@ -20,30 +27,45 @@ def eligible(scored: DataFrame, score: str = "score", decision: str = "decision"
     return scored.filter(~((F.col(score) < REVIEW_AT) & (F.col(decision) == "PASS"))).withColumn("alert_type", alert_type(F.col(score)))
 
 
-def dedup(alerts: DataFrame, keys: list[str], at: str = "us", window_us: int = WINDOW_S * 1_000_000, rows: str = "event_id", bucket_us: int | None = None) -> DataFrame:
+def dedup(alerts: DataFrame, keys: list[str], at: str = "us", window_us: int = WINDOW_S * 1_000_000, rows: str = "event_id", least: int = LEAST) -> DataFrame:
     """Alerts that fire: none within the window after the last of its key that fired. A gap of the window or more parts a key's
-    alerts into chains, found bucket by bucket; each chain's sorted rows are then walked with the last time that fired, so
-    nothing but a batch of rows is held, and a storm of one key costs its length."""
-    from .windows import bucket_length, running_totals, with_previous
-
-    key = F.to_json(F.struct(*keys))
-    base = alerts.withColumn("_key", key)
-    length = bucket_us or bucket_length(base, "_key", at=at)
-    started = with_previous(base, "_key", at, rows, length, "_previous")
+    alerts into chains; the sorted rows of chains then pass with the last time that fired. A chain's steps go from one that fires
+    to the next, found by bisection, so a storm costs as many steps as alerts that it leaves, and only a batch is held."""
+    base = alerts.withColumn("_key", F.to_json(F.struct(*keys)))
+    started = with_previous(base, "_key", at, rows, least, "_previous")
     new = F.coalesce((F.col(at) - F.col("_previous") >= window_us).cast("int"), F.lit(1))
-    chained = running_totals(started.withColumn("_new", new).drop("_previous"), "_key", [at, rows], {"_chain": F.col("_new")}, F.expr(f"{at} div {length}")).drop("_new")
+    chained = running(started.withColumn("_new", new).drop("_previous"), ["_key"], [at, rows], {"_chain": F.col("_new")}, least=least).drop("_new")
+    place = alerts.columns.index(at)
 
-    def walk(batches):
-        chain, last = None, None
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = None, 0
         for b in batches:
-            keep = []
-            for who, number, now in zip(b["_key"].tolist(), b["_chain"].tolist(), b[at].tolist(), strict=True):
-                fires = chain != (who, number) or now - last >= window_us
-                chain, last = (who, number), now if fires else last
-                keep.append(fires)
-            yield b[keep]
-
-    return chained.repartition("_key", "_chain").sortWithinPartitions("_key", "_chain", at, rows).mapInPandas(walk, chained.schema).select(*alerts.columns)
+            if not len(b):
+                continue
+            t, numbers = b.column(place).to_numpy(), b.column(len(b.columns) - 1).to_numpy()
+            names = pc.dictionary_encode(b.column(len(b.columns) - 2)).indices.to_numpy()
+            begins = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (numbers[1:] != numbers[:-1])])
+            ends = np.r_[begins[1:], len(t)]
+            keep = np.zeros(len(t), dtype=bool)
+            first = (b.column(len(b.columns) - 2)[0].as_py(), int(numbers[0]))
+            fresh = begins if first != chain else begins[1:]
+            keep[fresh] = True
+            # chains that go on from the batch before, or last as long as the window at least, have more to fire
+            for s, e in zip(begins.tolist(), ends.tolist(), strict=True):
+                if s == 0 and first == chain:
+                    now = s + int(np.searchsorted(t[s:e], last + window_us))
+                elif t[e - 1] - t[s] >= window_us or e == len(t):
+                    now = s
+                else:
+                    continue
+                while now < e:
+                    keep[now], last = True, int(t[now])
+                    now += int(np.searchsorted(t[now:e], last + window_us))
+            chain = (b.column(len(b.columns) - 2)[len(b) - 1].as_py(), int(numbers[-1]))
+            yield b.filter(pa.array(keep))
+
+    ordered = chained.select(*alerts.columns, "_key", "_chain").repartition("_key", "_chain").sortWithinPartitions("_key", "_chain", at, rows)
+    return ordered.mapInArrow(walk, ordered.schema).select(*alerts.columns)
 
 
 def counters(alerts: DataFrame, fired: DataFrame) -> DataFrame:

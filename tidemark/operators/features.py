@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES
-from .windows import bucket_length, entity_windows, user_windows
+from .windows import entity_windows, user_windows
 
 
 def transaction_features(txns: DataFrame, ts: str = "ts") -> DataFrame:
@@ -31,16 +31,17 @@ def amount_zscore(amount: Column, mean: Column, std: Column) -> Column:
 
 
 def features(txns: DataFrame) -> DataFrame:
-    """All features beside the transaction's own columns: a shuffle by each entity and two joins by event_id. Transactions of
+    """All features beside the transaction's own columns: a shuffle by each entity and one join by event_id. Transactions of
     an unnamed entity have zeros for it."""
     txns = transaction_features(with_defaults(txns))
     unnamed = F.coalesce(F.col("payer_vpa"), F.lit("")) == ""
     users = user_windows(txns).unionByName(txns.filter(unnamed), allowMissingColumns=True)
-    length = bucket_length(txns, "device_id", "payee_vpa")
-    device = entity_windows(txns, "device_id", ["1h", "24h"], length).select("event_id", F.col("n_1h").alias("device_txn_count_1h"), F.col("n_24h").alias("device_txn_count_24h"), F.col("freq").alias("device_global_freq"))
+    device = entity_windows(txns, "device_id", ["1h", "24h"]).select("event_id", F.col("n_1h").alias("device_txn_count_1h"), F.col("n_24h").alias("device_txn_count_24h"), F.col("freq").alias("device_global_freq"))
     mean = F.when(F.col("n_1h") > 0, F.col("total_1h") / F.col("n_1h")).otherwise(0.0)
-    merchant = entity_windows(txns, "payee_vpa", ["1h"], length).select("event_id", F.col("n_1h").alias("merchant_txn_count_1h"), mean.alias("merchant_amount_mean_1h"), F.col("freq").alias("merchant_global_freq"))
-    out = users.join(device, "event_id", "left").join(merchant, "event_id", "left")
+    merchant = entity_windows(txns, "payee_vpa", ["1h"]).select("event_id", F.col("n_1h").alias("merchant_txn_count_1h"), mean.alias("merchant_amount_mean_1h"), F.col("freq").alias("merchant_global_freq"))
+    entities = device.unionByName(merchant, allowMissingColumns=True)
+    entities = entities.groupBy("event_id").agg(*(F.max(c).alias(c) for c in entities.columns if c != "event_id"))
+    out = users.join(entities, "event_id", "left")
     counts = [c for c in FEATURES if "count" in c or "freq" in c or "unique" in c]
     out = out.fillna(0, counts).fillna(0.0, ["user_amount_mean_1h", "user_amount_std_1h", "user_amount_max_24h", "merchant_amount_mean_1h"])
     return out.withColumn("amount_zscore_1h", amount_zscore(F.col("amount"), F.col("user_amount_mean_1h"), F.col("user_amount_std_1h")))

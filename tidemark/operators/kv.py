@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import LEAST, running
+
 
 def compact(entries: DataFrame, key: str = "key", seq: str = "seq", value: str = "value", deleted: str = "deleted") -> DataFrame:
     """key, seq, value for live keys. A partial aggregation keeps one entry for each key and task."""
@@ -45,23 +47,14 @@ def run_stats(entries: DataFrame) -> DataFrame:
     return entries.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
 
 
-def ttl_lookup(store: DataFrame, probes: DataFrame, entity: str, ttl_us: int, bucket_us: int | None = None) -> DataFrame:
+def ttl_lookup(store: DataFrame, probes: DataFrame, entity: str, ttl_us: int, least: int = LEAST) -> DataFrame:
     """For each probe (entity, now) the latest stored value at or before now, null where there is none or it is older than
-    ttl. A stored null hides what was before: an invalidation. As-of by one ordering of both sides: no range join."""
-    from pyspark.sql import Window
-
-    from .windows import bucket_length
-
+    ttl. A stored null hides what was before: an invalidation. As-of by one ordering of both sides: no range join. Of values of
+    one time the greatest counts."""
     extra = [c for c in probes.columns if c not in (entity, "now")]
-    stored = store.select(entity, F.col("us").alias("at"), F.lit(0).alias("_probe"), F.struct("us", "value").alias("_v"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra))
-    asked = probes.select(entity, F.col("now").alias("at"), F.lit(1).alias("_probe"), F.lit(None).cast(stored.schema["_v"].dataType).alias("_v"), *extra)
-    both = stored.unionByName(asked).withColumn("_bucket", F.expr(f"at div {bucket_us or bucket_length(store, entity)}"))
-    # time buckets of an entity are ordered apart; what a bucket starts with is the last value of those before
-    ends = both.groupBy(entity, "_bucket").agg(F.max("_v").alias("_end"))
-    before = Window.partitionBy(entity).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(entity, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-    w = Window.partitionBy(entity, "_bucket").orderBy("at", "_probe", F.col("_v.value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.join(carried, [entity, "_bucket"]).withColumn("_last", F.coalesce(F.last("_v", ignorenulls=True).over(w), "_carried")).filter("_probe = 1")
+    stored = store.select(entity, F.col("us").alias("at"), F.lit(0).alias("_probe"), F.xxhash64("us", "value").alias("_tie"), F.struct("us", "value").alias("_v"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra))
+    asked = probes.select(entity, F.col("now").alias("at"), F.lit(1).alias("_probe"), F.xxhash64("now", *extra).alias("_tie"), F.lit(None).cast(stored.schema["_v"].dataType).alias("_v"), *extra)
+    seen = running(stored.unionByName(asked), [entity], ["at", "_probe", "_tie"], tops={"_last": F.col("_v")}, least=least).filter("_probe = 1")
     fresh = F.col("at") - F.col("_last.us") <= ttl_us
     return seen.select(entity, F.col("at").alias("now"), *extra, F.when(fresh, F.col("_last.value")).alias("value"))
 

@@ -1,20 +1,34 @@
 """Rolling windows over event time, bounds inclusive, current row and its peers included.
 
-Three forms. Frames: Spark's RANGE frames, for deviation and maximum; their cost grows with rows in a frame, so they are for
-keys with moderate frames such as users. Totals: counts and sums by differences of running totals, linear however long the
-frame is, and with hot keys cut into time buckets, for devices and merchants that may hold a large share of all rows.
-Intervals: a value is among a window's distinct ones from each time it comes until the window has passed its last one, so
-distinct counts are running totals of such intervals' starts less ends.
+Two forms that give the same. *Streams* (``sliding``), for all keys but hot ones: rows pass once, sorted by key and time, through Arrow
+batches; a task holds the longest window of one key. Where a window starts is found for all rows of a batch at once, and what it
+holds is put together from aggregates of 1, 2, 4, ... consecutive rows, so a row costs the logarithm of its window, no frame is
+read again, and any aggregate that merges will do: deviations are merged as moments, not taken from differences of sums.
+*Pieces*, for keys that hold more than two tasks' share of rows: time is parted into blocks as long as the window, so a window is the
+end of one block and the beginning of the next; both are running aggregates (``scan``) that are cut where a block holds many
+rows, even if they fall within one second. Distinct values there are running totals of intervals: a value is in a window from
+each time it comes until the window has passed its last one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .scan import LEAST, cut, hot_keys, merged, running, running_moments
 
 SECOND = 1_000_000
 #: Window names and lengths in seconds.
 LENGTHS = {"1m": 60, "5m": 300, "1h": 3600, "24h": 86_400}
+#: What sliding adds: name, the statistic, its window, and the column whose values are distinct.
+Stat = tuple[str, str, str | None, str | None]
 
 
 def frame(key: str, name: str, order: str = "us"):
@@ -26,149 +40,305 @@ def present(value: str) -> Column:
     return F.nullif(F.col(value), F.lit(""))
 
 
-def with_distinct(txns: DataFrame, key: str, wanted: list[tuple[str, str, str]]) -> DataFrame:
-    """Adds for each (value, window, name) how many different values, empty ones aside, the key's window holds. No sets: a row
-    starts an interval if the same value isn't in the window before it, and ends one if it doesn't come again within the window."""
-    columns = txns.columns
-    flagged = txns
-    for value in dict.fromkeys(v for v, _, _ in wanted):
-        same = Window.partitionBy(key, value).orderBy("us", "event_id")
-        flagged = flagged.withColumns({f"_prev_{value}": F.lag("us").over(same), f"_next_{value}": F.lead("us").over(same)})
-    length = lambda window: LENGTHS[window] * SECOND
-    starts = {n: present(v).isNotNull() & (F.coalesce(F.col("us") - F.col(f"_prev_{v}"), F.lit(1 << 62)) > length(w)) for v, w, n in wanted}
-    ends = {n: present(v).isNotNull() & (F.coalesce(F.col(f"_next_{v}") - F.col("us"), F.lit(1 << 62)) > length(w)) for v, w, n in wanted}
-    opened = flagged.select(*columns, F.col("us").alias("_at"), *(starts[n].cast("int").alias(f"_d_{n}") for _, _, n in wanted))
-    gone = F.explode(F.filter(F.array(*(F.when(ends[n], F.struct(F.lit(n).alias("name"), (F.col("us") + length(w) + 1).alias("at"))) for _, w, n in wanted)), lambda x: x.isNotNull()))
-    closed = flagged.select(key, gone.alias("_e")).select(key, F.col("_e.at").alias("_at"), *(F.when(F.col("_e.name") == n, -1).otherwise(0).alias(f"_d_{n}") for _, _, n in wanted))
-    both = opened.withColumn("_row", F.lit(True)).unionByName(closed.withColumn("_row", F.lit(False)), allowMissingColumns=True)
-    upto = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.select(*columns, "_row", *(F.sum(f"_d_{n}").over(upto).alias(n) for _, _, n in wanted)).filter("_row").drop("_row")
-
-
-def user_windows(txns: DataFrame) -> DataFrame:
+def _named(txns: DataFrame, key: str) -> DataFrame:
+    return txns.filter(F.coalesce(F.col(key), F.lit("")) != "")
+
+
+class _Lifts:
+    """Aggregates of any stretches of a row of values, from those of 1, 2, 4, ... consecutive ones."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+
+    def over(self, low: np.ndarray, high: np.ndarray, want: set[str]) -> dict[str, np.ndarray]:
+        """sum, m2, max, min of x[low] to x[high], both included."""
+        size, at = high - low + 1, low.copy()
+        parts = {"sum": self.x.copy(), "m2": np.zeros(len(self.x)), "max": self.x.copy(), "min": self.x.copy()}
+        names = [n for n in parts if n in want or (n == "sum" and "m2" in want)]
+        out = {n: np.full(len(low), {"sum": 0.0, "m2": 0.0, "max": -np.inf, "min": np.inf}[n]) for n in names}
+        done = np.zeros(len(low))
+        width = 1
+        while len(size) and width <= size.max():
+            own = np.flatnonzero(size & width)
+            place = at[own]
+            if "m2" in want:
+                first = done[own] == 0
+                a, b = out["sum"][own] / np.maximum(done[own], 1), parts["sum"][place] / width
+                out["m2"][own] += parts["m2"][place] + np.where(first, 0.0, (b - a) ** 2 * (done[own] * width / np.maximum(done[own] + width, 1)))
+            if "sum" in out:
+                out["sum"][own] += parts["sum"][place]
+            if "max" in want:
+                out["max"][own] = np.maximum(out["max"][own], parts["max"][place])
+            if "min" in want:
+                out["min"][own] = np.minimum(out["min"][own], parts["min"][place])
+            done[own] += width
+            at[own] += width
+            if 2 * width <= size.max():
+                a, b = {n: parts[n][:-width] for n in parts}, {n: parts[n][width:] for n in parts}
+                m2 = a["m2"] + b["m2"] + (b["sum"] - a["sum"]) ** 2 / (2 * width)
+                parts = {"sum": a["sum"] + b["sum"], "m2": m2, "max": np.maximum(a["max"], b["max"]), "min": np.minimum(a["min"], b["min"])}
+            width *= 2
+        return out
+
+
+def _distinct(codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many different codes, negative ones aside, each stretch holds; both ends never fall from one to the next."""
+    n = len(codes)
+    order = np.lexsort((np.arange(n), codes))
+    again = np.full(n, n)
+    same = codes[order][1:] == codes[order][:-1]
+    again[order[:-1][same]] = order[1:][same]
+    # a row is its value's last one in the stretches from the first that reaches it to the first that reaches the next or has passed it
+    starts = np.searchsorted(high, np.arange(n))
+    ends = np.minimum(np.searchsorted(high, again), np.searchsorted(low, np.arange(n), side="right"))
+    own = (codes >= 0) & (ends > starts)
+    return np.cumsum(np.bincount(starts[own], minlength=n + 1) - np.bincount(ends[own], minlength=n + 1))[: len(low)]
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """A number for each value; -1 for null and empty ones."""
+    coded = pc.dictionary_encode(column.cast(pa.string()))
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = coded.dictionary.index("").as_py() if len(coded.dictionary) else -1
+    return np.where(codes == empty, -1, codes) if empty >= 0 else codes
+
+
+def _batch_stats(table: pa.Table, old: int, key: str, us: str, amount: str, stats: list[Stat], before: int) -> tuple[list[pa.Array], int]:
+    """The statistics of the rows from old on, and how many rows the last key has had; before: how many the first key had had by then."""
+    t = table.column(us).to_numpy().astype(np.int64)
+    key_codes = pc.dictionary_encode(table.column(key).combine_chunks()).indices.to_numpy(zero_copy_only=False)
+    fresh = np.r_[True, key_codes[1:] != key_codes[:-1]]
+    segment = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    longest = max(LENGTHS.values()) * SECOND
+    # keys one after the other on one axis, farther apart than any window
+    last = np.r_[first[1:], len(t)] - 1
+    spans = t[last] - t[first] + longest + 1
+    base = np.r_[0, np.cumsum(spans)[:-1]]
+    axis = t - t[first][segment] + base[segment]
+    high = np.searchsorted(axis, axis, side="right") - 1
+    lifts = _Lifts(table.column(amount).cast(pa.float64()).fill_null(0.0).to_numpy())
+    lows = {w: np.searchsorted(axis, axis - LENGTHS[w] * SECOND) for w in {s[2] for s in stats if s[2]}}
+    got: dict[str, dict[str, np.ndarray]] = {}
+    for w, low in lows.items():
+        kinds = {s[1] for s in stats if s[2] == w}
+        want = ({"sum"} if kinds & {"sum", "mean"} else set()) | ({"m2"} if "std" in kinds else set()) | (kinds & {"max", "min"})
+        got[w] = lifts.over(low[old:], high[old:], want)
+    place = np.arange(len(t)) - first[segment] + 1 + np.where(segment == 0, before - old, 0)
+    codes: dict[str, np.ndarray] = {}
+    out = []
+    for _, stat, w, value in stats:
+        if stat == "freq":
+            out.append(pa.array(place[old:]))
+            continue
+        n = high[old:] - lows[w][old:] + 1
+        if stat == "count":
+            out.append(pa.array(n))
+        elif stat == "distinct":
+            if value not in codes:
+                own = _codes(table.column(value).combine_chunks())
+                codes[value] = np.where(own < 0, -1, own + segment * (own.max(initial=0) + 1))
+            out.append(pa.array(_distinct(codes[value], lows[w], high)[old:].astype(np.int64)))
+        else:
+            g = got[w]
+            out.append(pa.array({"sum": lambda g=g: g["sum"], "mean": lambda g=g, n=n: g["sum"] / n, "std": lambda g=g, n=n: np.sqrt(g["m2"] / n), "max": lambda g=g: g["max"], "min": lambda g=g: g["min"]}[stat]()))
+    return out, int(place[-1]) if len(place) else before
+
+
+def _streamed(txns: DataFrame, key: str, stats: list[Stat], us: str, tie: str, amount: str) -> DataFrame:
+    """Rows come sorted by key, time and tie. Held between batches: the last rows of one time, whose peers may follow, and before them
+    the rows of their key that a window can still reach."""
+    longest = max(LENGTHS.values()) * SECOND
+    types = {"count": "bigint", "distinct": "bigint", "freq": "bigint"}
+    schema = T.StructType([*txns.schema, *(T.StructField(name, T.LongType() if stat in types else T.DoubleType()) for name, stat, _, _ in stats)])
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, old, before = None, 0, 0  # rows, how many of them are done, and how many of their key are
+
+        def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal before
+            if table.num_rows > old:
+                got, before = _batch_stats(table, old, key, us, amount, stats, before)
+                done = table.slice(old)
+                yield from pa.Table.from_arrays([*done.columns, *got], names=names).to_batches()
+
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            table = table if held is None else pa.concat_tables([held, table])
+            if not table.num_rows:
+                continue
+            t, keys = table.column(us).to_numpy(), table.column(key)
+            mine = pc.equal(keys, keys[-1]).to_numpy(zero_copy_only=False)
+            open_ = int(np.flatnonzero(~(mine & (t == t[-1])))[-1]) + 1 if not (mine & (t == t[-1])).all() else 0
+            if open_ > old:
+                ready = table.slice(0, open_)
+                of_last = bool(mine[open_ - 1])
+                yield from emit(ready)
+                if not of_last:
+                    before = 0
+                keep = np.flatnonzero(mine[:open_] & (t[:open_] >= t[-1] - longest))
+                start = int(keep[0]) if len(keep) else open_
+                held, old = table.slice(start).combine_chunks(), open_ - start
+            else:
+                held = table
+        if held is not None:
+            yield from emit(held)
+
+    return txns.repartition(key).sortWithinPartitions(key, us, tie).mapInArrow(run, schema)
+
+
+def _pieced(txns: DataFrame, key: str, stats: list[Stat], us: str, tie: str, amount: str, least: int) -> DataFrame:
+    """The same from running aggregates over blocks of time."""
+    names = sorted({w for _, stat, w, _ in stats if w and stat != "distinct"}, key=lambda w: LENGTHS[w])
+    out = txns
+    if names:
+        each = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(LENGTHS[w] * SECOND).cast("bigint").alias("long")) for w in names)))
+        rows = txns.select(key, F.col(us).alias("_us"), F.col(tie).alias("_tie"), F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("_x"), each.alias("_w")).select(key, "_us", "_tie", "_x", "_w.*")
+        block = F.expr("(_us - pmod(_us, long)) div long")
+        none = F.lit(None).cast("double")
+        events = rows.select(key, "w", block.alias("_block"), F.col("_us").alias("_at"), F.lit(0).alias("_probe"), "_tie", "_x")
+        ends = rows.select(key, "w", block.alias("_block"), F.col("_us").alias("_at"), F.lit(1).alias("_probe"), "_tie", none.alias("_x"))
+        starts = rows.select(key, "w", (block - 1).alias("_block"), (F.col("_us") - F.col("long")).alias("_at"), F.lit(1).alias("_probe"), "_tie", none.alias("_x"))
+        up = running_moments(events.unionByName(ends), [key, "w", "_block"], ["_at", "_probe", "_tie"], "_x", least)
+        turned = events.unionByName(starts).withColumn("_at", -F.col("_at"))
+        down = running_moments(turned, [key, "w", "_block"], ["_at", "_probe", "_tie"], "_x", least)
+        found = up.withColumn("_side", F.lit(0)).unionByName(down.withColumn("_side", F.lit(1))).filter("_probe = 1")
+        m = F.struct("n", "s", "m2", "hi", "lo")
+        wide = found.groupBy("_tie").agg(*(F.first(F.when((F.col("w") == w) & (F.col("_side") == side), m), ignorenulls=True).alias(f"_{w}_{side}") for w in names for side in (0, 1)))
+        wide = wide.select("_tie", *(merged(F.col(f"_{w}_1"), F.col(f"_{w}_0")).alias(f"_m_{w}") for w in names))
+        of = lambda stat, m: {"count": m["n"], "sum": m["s"], "mean": m["s"] / m["n"], "std": F.sqrt(m["m2"] / m["n"]), "max": m["hi"], "min": m["lo"]}[stat]
+        wide = wide.select("_tie", *(of(stat, F.col(f"_m_{w}")).alias(name) for name, stat, w, _ in stats if w in names and stat != "distinct"))
+        out = out.join(wide, F.col(tie) == F.col("_tie")).drop("_tie")
+    different = [(value, w, name) for name, stat, w, value in stats if stat == "distinct"]
+    if different:
+        out = out.join(_distinct_by_intervals(txns, key, different, us, tie, least), F.col(tie) == F.col("_tie")).drop("_tie")
+    for name, stat, _, _ in stats:
+        if stat == "freq":
+            out = running(out, [key], [us, tie], {name: F.lit(1)}, least=least)
+    return out.select(*txns.columns, *(name for name, _, _, _ in stats))
+
+
+def _distinct_by_intervals(txns: DataFrame, key: str, wanted: list[tuple[str, str, str]], us: str, tie: str, least: int) -> DataFrame:
+    """_tie and for each (value, window, name) how many different values the window holds. A row starts an interval if the same value
+    isn't in the window before it, and ends one if it doesn't come again within the window."""
+    values = list(dict.fromkeys(v for v, _, _ in wanted))
+    changes = []
+    for v in values:
+        rows = txns.filter(present(v).isNotNull()).select(key, F.col(v).alias("_v"), F.col(us).alias("_at"), F.col(tie).alias("_tie"))
+        rows = with_previous(rows, [key, "_v"], "_at", "_tie", least=least, name="_prev")
+        rows = with_previous(rows.withColumn("_at", -F.col("_at")), [key, "_v"], "_at", "_tie", least=least, name="_next").withColumn("_at", -F.col("_at"))
+        for value, w, name in wanted:
+            if value == v:
+                long = LENGTHS[w] * SECOND
+                opens = F.coalesce(F.col("_at") - F.col("_prev"), F.lit(1 << 62)) > long
+                closes = F.coalesce(-F.col("_next") - F.col("_at"), F.lit(1 << 62)) > long
+                changes.append(rows.filter(opens).select(key, F.lit(name).alias("_name"), "_at", "_tie", F.lit(1).alias("_change")))
+                changes.append(rows.filter(closes).select(key, F.lit(name).alias("_name"), (F.col("_at") + long + 1).alias("_at"), "_tie", F.lit(-1).alias("_change")))
+    reads = txns.select(key, F.explode(F.array(*(F.lit(n) for _, _, n in wanted))).alias("_name"), F.col(us).alias("_at"), F.col(tie).alias("_tie"), F.lit(0).alias("_change"), F.lit(1).alias("_read"))
+    both = reads
+    for c in changes:
+        both = both.unionByName(c.withColumn("_read", F.lit(0)))
+    seen = running(both, [key, "_name"], ["_at", "_read", "_tie", "_change"], {"_n": F.col("_change")}, least=least).filter("_read = 1")
+    return seen.groupBy("_tie").agg(*(F.max(F.when(F.col("_name") == n, F.col("_n"))).alias(n) for _, _, n in wanted))
+
+
+def sliding(txns: DataFrame, key: str, stats: list[Stat], us: str = "us", tie: str = "event_id", amount: str = "amount", least: int = LEAST) -> DataFrame:
+    """Rows of a named key with their statistics: (name, count | sum | mean | std | max | min | distinct | freq, window, value column). freq
+    counts the key's rows up to this one. tie must tell rows apart."""
+    rows = _named(txns, key)
+    hot = hot_keys(rows, [key], least)
+    if hot is None:
+        return _streamed(rows, key, stats, us, tie, amount)
+    hot = F.broadcast(hot.select(key))
+    usual = _streamed(rows.join(hot, key, "left_anti"), key, stats, us, tie, amount)
+    return usual.unionByName(_pieced(rows.join(hot, key, "left_semi"), key, stats, us, tie, amount, least))
+
+
+def user_windows(txns: DataFrame, least: int = LEAST) -> DataFrame:
     """Per transaction of a named user: counts, mean, deviation (population), maximum and distinct cities and devices."""
-    w = {k: frame("payer_vpa", k) for k in LENGTHS}
-    known = F.coalesce(F.col("payer_vpa"), F.lit("")) != ""
-    upto = Window.partitionBy("payer_vpa").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = with_distinct(txns.filter(known), "payer_vpa", [("payer_city", "1h", "user_unique_cities_1h"), ("device_id", "24h", "user_unique_devices_24h")])
-    return counted.select(
-        *txns.columns,
-        F.count(F.lit(1)).over(upto).alias("user_global_freq"),
-        *(F.count(F.lit(1)).over(w[k]).alias(f"user_txn_count_{k}") for k in LENGTHS),
-        F.avg("amount").over(w["1h"]).alias("user_amount_mean_1h"),
-        F.stddev_pop("amount").over(w["1h"]).alias("user_amount_std_1h"),
-        F.max("amount").over(w["24h"]).alias("user_amount_max_24h"),
-        "user_unique_cities_1h", "user_unique_devices_24h",
-    )
-
-
-def all_stats(txns: DataFrame, key: str) -> DataFrame:
+    stats: list[Stat] = [("user_global_freq", "freq", None, None), *((f"user_txn_count_{k}", "count", k, None) for k in LENGTHS)]
+    stats += [("user_amount_mean_1h", "mean", "1h", None), ("user_amount_std_1h", "std", "1h", None), ("user_amount_max_24h", "max", "24h", None)]
+    stats += [("user_unique_cities_1h", "distinct", "1h", "payer_city"), ("user_unique_devices_24h", "distinct", "24h", "device_id")]
+    return sliding(txns, "payer_vpa", stats, least=least)
+
+
+def all_stats(txns: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     """For each of the four windows a struct of nine statistics."""
-    out = []
-    txns_columns = txns.columns
-    txns = with_distinct(txns, key, [(v, k, f"_{n}_{k}") for k in LENGTHS for v, n in (("payer_city", "cities"), ("device_id", "devices"))])
-    for k, seconds in LENGTHS.items():
-        w = frame(key, k)
-        n, total, mean = F.count(F.lit(1)).over(w), F.sum("amount").over(w), F.avg("amount").over(w)
-        out.append(
-            F.struct(
-                n.alias("count"), F.round(total, 2).alias("sum"), F.round(mean, 2).alias("mean"), F.round(F.stddev_pop("amount").over(w), 2).alias("std"), F.max("amount").over(w).alias("max"),
-                F.min("amount").over(w).alias("min"), F.col(f"_cities_{k}").alias("unique_cities"), F.col(f"_devices_{k}").alias("unique_devices"), F.round(n / F.lit(seconds / 60), 4).alias("velocity"),
-            ).alias(f"stats_{k}")
-        )
-    return txns.select(*txns_columns, *out)
-
-
-def bucket_length(rows: DataFrame, *keys: str, at: str = "us", least: int = 4_096) -> int:
-    """A length of time such that the hottest of the keys' values has about `least` rows in it, or so many that all cores have
-    two buckets of it each: one aggregation over the keys."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in keys)))
-    counts = rows.select(at, each.alias("k")).groupBy("k").agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high"))
-    r = counts.agg(F.max("n").alias("hottest"), F.sum("n").alias("all"), F.min("low").alias("low"), F.max("high").alias("high")).first()
-    if not r["all"]:
-        return SECOND
-    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, r["hottest"] // max(least, r["all"] // len(keys) // (2 * width)))
-    return (r["high"] - r["low"]) // buckets + 1
-
-
-def running_totals(rows: DataFrame, key: str, order: list[str], measures: dict[str, Column], bucket: Column) -> DataFrame:
-    """Adds running sums of the measures in the order within each key. Time buckets of a key are summed apart, then chained,
-    so no task holds more than one bucket of a hot key. bucket must not decrease in the order."""
-    rows = rows.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = rows.groupBy(key, "_bucket").agg(*(F.sum(m).alias(f"_{n}") for n, m in measures.items()))
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col(key), F.col("_bucket"), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in measures))
-    joined = rows.join(offsets, [key, "_bucket"])
-    return joined.select(*(c for c in rows.columns if c != "_bucket"), *((F.sum(m).over(inside) + F.col(f"_before_{n}")).alias(n) for n, m in measures.items()))
-
-
-def totals_asof(events: DataFrame, probes: DataFrame, key: str, bucket_us: int | None = None, tie: str | None = None) -> DataFrame:
+    kinds = ("count", "sum", "mean", "std", "max", "min")
+    stats: list[Stat] = [(f"_{s}_{k}", s, k, None) for k in LENGTHS for s in kinds]
+    stats += [(f"_{n}_{k}", "distinct", k, v) for k in LENGTHS for v, n in (("payer_city", "cities"), ("device_id", "devices"))]
+    rows = sliding(txns, key, stats, least=least)
+    c = lambda s, k: F.col(f"_{s}_{k}")
+    out = [
+        F.struct(
+            c("count", k).alias("count"), F.round(c("sum", k), 2).alias("sum"), F.round(c("mean", k), 2).alias("mean"), F.round(c("std", k), 2).alias("std"), c("max", k).alias("max"),
+            c("min", k).alias("min"), c("cities", k).alias("unique_cities"), c("devices", k).alias("unique_devices"), F.round(c("count", k) / F.lit(seconds / 60), 4).alias("velocity"),
+        ).alias(f"stats_{k}")
+        for k, seconds in LENGTHS.items()
+    ]
+    return rows.select(*txns.columns, *out)
+
+
+def totals_asof(events: DataFrame, probes: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     """For each probe (key, at, and its other columns) the count and sum of events (key, us, amount) up to and with `at`.
 
-    A sort-merge as-of form: events and probes are ordered together, so the cost is that of one sort. With tie, a column that
-    orders events of one time and is among the probes' columns, events stay too, with what stands up to and with themselves."""
-    bucket_us = bucket_us or bucket_length(events, key)
+    A sort-merge as-of form: events and probes are ordered together, so the cost is that of one sort. An event_id, if there is one,
+    tells events of one time apart."""
     extra = [c for c in probes.columns if c not in (key, "at")]
-    blank = lambda c: F.col(c) if c == tie else F.lit(None).cast(probes.schema[c].dataType)
-    both = events.select(F.col(key), F.col("us").alias("at"), F.lit(0).alias("_probe"), F.lit(1).alias("_n"), F.coalesce("amount", F.lit(0.0)).alias("_x"), *(blank(c).alias(c) for c in extra))
-    both = both.unionByName(probes.select(key, "at", F.lit(1).alias("_probe"), F.lit(0).alias("_n"), F.lit(0.0).alias("_x"), *extra))
-    order = ["at", "_probe"] + [tie] * (tie is not None)
-    out = running_totals(both, key, order, {"n": F.col("_n"), "total": F.col("_x")}, F.expr(f"at div {bucket_us}"))
-    return (out if tie else out.filter("_probe = 1")).select(key, "at", *extra, "n", "total")
+    tie = [c for c in ("event_id", "us", "amount") if c in events.columns]
+    both = events.select(F.col(key), F.col("us").alias("at"), F.lit(0).alias("_probe"), F.xxhash64(*tie).alias("_tie"), F.lit(1).alias("_n"), F.coalesce("amount", F.lit(0.0)).alias("_x"), *(F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in extra))
+    both = both.unionByName(probes.select(key, "at", F.lit(1).alias("_probe"), F.xxhash64(*extra).alias("_tie") if extra else F.lit(0).cast("bigint").alias("_tie"), F.lit(0).alias("_n"), F.lit(0.0).alias("_x"), *extra))
+    out = running(both, [key], ["at", "_probe", "_tie"], {"n": F.col("_n"), "total": F.col("_x")}, least=least)
+    return out.filter("_probe = 1").select(key, "at", *extra, "n", "total")
 
 
-def entity_windows(txns: DataFrame, key: str, windows: list[str], bucket_us: int | None = None) -> DataFrame:
+def entity_windows(txns: DataFrame, key: str, windows: list[str], least: int = LEAST) -> DataFrame:
     """event_id with n_<window> and total_<window> for the entity's rolling windows, and freq, its transactions up to this one;
-    rows of unnamed entities are absent. One shuffle by entity and one by event_id."""
-    known = txns.filter(F.coalesce(F.col(key), F.lit("")) != "").select("event_id", key, "us", "amount")
-    bucket_us = bucket_us or bucket_length(known, key)
-    ends = F.array(F.struct(F.lit("now").alias("slot"), F.col("us").alias("at")), *(F.struct(F.lit(w).alias("slot"), (F.col("us") - LENGTHS[w] * SECOND - 1).alias("at")) for w in windows))
-    probes = known.select("event_id", key, F.explode(ends).alias("p")).select("event_id", key, "p.slot", "p.at")
-    found = totals_asof(known, probes, key, bucket_us, "event_id")
-    at = lambda slot, c: F.max(F.when(F.col("slot") == slot, F.col(c)))
-    sums = [x for w in windows for x in ((at("now", "n") - at(w, "n")).alias(f"n_{w}"), (at("now", "total") - at(w, "total")).alias(f"total_{w}"))]
-    return found.groupBy("event_id").agg(*sums, F.max(F.when(F.col("slot").isNull(), F.col("n"))).alias("freq"))
-
-
-def stats_asof(txns: DataFrame, probes: DataFrame, key: str, window: str) -> DataFrame:
+    rows of unnamed entities are absent."""
+    stats: list[Stat] = [x for w in windows for x in ((f"n_{w}", "count", w, None), (f"total_{w}", "sum", w, None))]
+    out = sliding(txns.select("event_id", key, "us", "amount"), key, [*stats, ("freq", "freq", None, None)], least=least)
+    return out.select("event_id", *(name for name, _, _, _ in stats), "freq")
+
+
+def stats_asof(txns: DataFrame, probes: DataFrame, key: str, window: str, least: int = LEAST) -> DataFrame:
     """probe columns with count, sum and mean of the window that ends at each probe's `now`; empty windows give zeros."""
     ends = F.array(F.struct(F.lit(1).alias("sign"), F.col("now").alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("now") - LENGTHS[window] * SECOND - 1).alias("at")))
     points = probes.select(key, "now", F.explode(ends).alias("p")).select(key, "now", "p.sign", "p.at")
-    found = totals_asof(txns.select(key, "us", "amount"), points, key)
+    found = totals_asof(txns, points, key, least)
     out = found.groupBy(key, "now").agg(F.sum(F.col("n") * F.col("sign")).alias("count"), F.sum(F.col("total") * F.col("sign")).alias("total"))
     return out.select(key, "now", "count", F.when(F.col("count") > 0, F.col("total")).otherwise(0.0).alias("sum"), F.when(F.col("count") > 0, F.col("total") / F.col("count")).otherwise(0.0).alias("mean"))
 
 
-def running_frequency(txns: DataFrame, key: str, bucket_us: int | None = None) -> DataFrame:
+def running_frequency(txns: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     """event_id, freq: how many of the entity's transactions there are up to this one, itself included."""
-    rows = txns.filter(F.coalesce(F.col(key), F.lit("")) != "").select("event_id", key, "us")
-    bucket_us = bucket_us or bucket_length(rows, key)
-    return running_totals(rows, key, ["us", "event_id"], {"freq": F.lit(1)}, F.expr(f"us div {bucket_us}")).select("event_id", "freq")
+    return running(_named(txns, key).select("event_id", key, "us"), [key], ["us", "event_id"], {"freq": F.lit(1)}, least=least).select("event_id", "freq")
 
 
-def with_previous(rows: DataFrame, key: str, at: str, tie: str, bucket_us: int | None = None, name: str = "previous") -> DataFrame:
-    """Adds the key's time before each row. Time buckets of a key are ordered apart; a bucket's first row looks at the last time of those before."""
-    rows = rows.withColumn("_bucket", F.expr(f"{at} div {bucket_us or bucket_length(rows, key, at=at)}"))
-    last = rows.groupBy(key, "_bucket").agg(F.max(at).alias("_last"))
-    before = last.select(key, "_bucket", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket")).alias("_before"))
-    inside = F.lag(at).over(Window.partitionBy(key, "_bucket").orderBy(at, tie))
-    return rows.join(before, [key, "_bucket"]).withColumn(name, F.coalesce(inside, "_before")).drop("_bucket", "_before")
+def with_previous(rows: DataFrame, keys: str | list[str], at: str, tie: str, least: int = LEAST, name: str = "previous") -> DataFrame:
+    """Adds the key's time before each row. Pieces of a hot key are ordered apart; a piece's first row looks at the last time of those before."""
+    keys = [keys] if isinstance(keys, str) else keys
+    pieced, several = cut(rows, keys, [at, tie], least)
+    inside = F.lag(at).over(Window.partitionBy(*keys, *["_piece"] * several).orderBy(at, tie))
+    if not several:
+        return pieced.withColumn(name, inside).drop("_piece")
+    last = pieced.groupBy(*keys, "_piece").agg(F.max(at).alias("_last"))
+    before = last.select(*keys, "_piece", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_piece")).alias("_before"))
+    return pieced.join(before, [*keys, "_piece"]).withColumn(name, F.coalesce(inside, "_before")).drop("_piece", "_before")
 
 
-def timing_regularity(txns: DataFrame, key: str, bucket_us: int | None = None) -> DataFrame:
+def timing_regularity(txns: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     """Deviation of the times between an entity's transactions over their mean; null below three transactions."""
-    rows = with_previous(txns.filter(F.col(key).isNotNull()).select(key, "us", "event_id"), key, "us", "event_id", bucket_us)
+    rows = with_previous(txns.filter(F.col(key).isNotNull()).select(key, "us", "event_id"), key, "us", "event_id", least)
     gaps = rows.select(key, ((F.col("us") - F.col("previous")) / F.lit(float(SECOND))).alias("gap"))
     return gaps.groupBy(key).agg(F.count("gap").alias("n_gaps"), F.when(F.count("gap") >= 2, F.stddev_pop("gap") / F.avg("gap")).alias("regularity"))
 
 
-def ewma_last(rows: DataFrame, key: str, value: str, at: str, tie: str, decay: float = 0.95, bucket_us: int | None = None) -> DataFrame:
+def ewma_last(rows: DataFrame, key: str, value: str, at: str, tie: str, decay: float = 0.95, least: int = LEAST) -> DataFrame:
     """key, ewma: the exponential average after the key's last value. A value's weight follows from how many come after it, so
     no history is gathered: the first counts decay^(n-1), another (1 - decay) decay^(values after it)."""
     rows = rows.select(key, at, tie, F.col(value).cast("double").alias("_x"))
-    placed = running_totals(rows, key, [at, tie], {"_place": F.lit(1)}, F.expr(f"{at} div {bucket_us or bucket_length(rows, key, at=at)}"))
+    placed = running(rows, [key], [at, tie], {"_place": F.lit(1)}, least=least)
     sizes = rows.groupBy(key).agg(F.count("*").alias("_all"))
     weight = F.when(F.col("_place") == 1, 1.0).otherwise(1 - decay) * F.pow(F.lit(decay), F.col("_all") - F.col("_place"))
     return placed.join(sizes, key).groupBy(key).agg(F.sum(F.col("_x") * weight).alias("ewma"))
