@@ -240,3 +240,52 @@ def test_names_defaults_and_vector(spark):
     assert v["v"] == [0.0] * 23 and v["p"] == [1.0, 0.0, 0.0]
     t = FT.transaction_features(spark.sql("SELECT timestamp'2024-01-06 03:00:00' AS ts UNION ALL SELECT NULL")).collect()
     assert sorted((r["hour_of_day"], r["day_of_week"], r["is_weekend"]) for r in t) == [(3, 5, 1), (12, 0, 0)]
+
+
+def test_estimates_at_each_event(wide):
+    df, rows = bursty(wide, 5, 200)
+    sketch = CountMin(0.2, 0.1)
+    for least in (1 << 16, 16):
+        got = {r["event_id"]: r["estimate"] for r in sketch.asof(df, "device_id", least=least).collect()}
+        cells = {}
+        columns = {r["device_id"]: None for r in df.select("device_id").distinct().collect()}
+        for r in sketch._cells(df.select("device_id").distinct(), "device_id").collect():
+            columns[r["device_id"]] = [*(columns[r["device_id"]] or []), (r["row"], r["col"])]
+        exact = {}
+        for _, k in sorted((x[0], k) for k, x in enumerate(rows)):
+            device = rows[k][4]
+            for c in columns[device]:
+                cells[c] = cells.get(c, 0) + 1
+            exact[device] = exact.get(device, 0) + 1
+            assert got[k] == min(cells[c] for c in columns[device]) >= exact[device]
+
+
+def test_places_and_sums_in_a_total_order(wide):
+    from tidemark.operators import metrics as M
+    from tidemark.operators import scan
+
+    rows = wide.range(3_000).select("id", (F.col("id") * 7 % 10).alias("x"), (F.col("id") * 7919 % 3001).alias("o"), (F.col("id") % 100 == 0).alias("y"))
+    order = sorted((k * 7919 % 3001, k) for k in range(3_000))
+    for least in (16, 1 << 16):
+        got = scan.running(rows.withColumn("_all", F.lit(0)), ["_all"], ["o", "id"], {"n": F.lit(1), "s": F.col("x")}, least=least).collect()
+        total, want = 0, {}
+        for i, (_, k) in enumerate(order):
+            total += k * 7 % 10
+            want[k] = (i + 1, total)
+        assert {r["id"]: (r["n"], r["s"]) for r in got} == want
+    chosen = M.stratified(rows, "y", ["o", "id"], 3).collect()
+    negatives = [k for _, k in order if k % 100][:90]
+    assert sorted(r["id"] for r in chosen) == sorted([*range(0, 3_000, 100), *negatives])
+
+
+def test_slow_and_recent_losses_in_blocks(wide):
+    from tidemark.operators import metrics as M
+
+    rows = [("a" if k % 5 else "b", k, float(k * 31 % 17)) for k in range(900)]
+    got = {r["at"]: r for r in M.rolling_loss(wide.createDataFrame(rows, "k string, at long, x double"), "k", "at", "x", 5, 0.3, 16).collect()}
+    slow, seen = {}, {}
+    for k, at, x in rows:
+        slow[k] = x if k not in slow else slow[k] * 0.3 + x * 0.7
+        seen.setdefault(k, []).append(x)
+        assert got[at]["baseline_loss"] == pytest.approx(slow[k], rel=1e-12)
+        assert got[at]["recent_loss"] == pytest.approx(sum(seen[k][-5:]) / len(seen[k][-5:]))

@@ -2,40 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_number
-
-
-def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """Range-sorted rows with their partition's number; a given count of partitions is the same wherever the plan is used."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+from .scan import LEAST, running
 
 
 def global_place(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds each row's place from 1 in a total order. Rows are range-sorted, numbered within partitions, and moved on by the
-    partitions before: two passes and no single-task window. The order must be total for the places to be defined."""
-    ordered = _ranged(df, order)
-    inside = ordered.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    before = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row a partition: as many as there are shuffle partitions
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = before.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    return inside.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    """Adds each row's place from 1 in a total order. The order must be total for the places to be defined."""
+    return running_sums(df.withColumn("_one", F.lit(1)), order, {name: "_one"}).drop("_one")
 
 
 def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
-    """Adds running sums of columns in a total order, each row's own value included, by the same two passes."""
-    ordered = _ranged(df, order)
-    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = ordered.withColumns({f"_in_{n}": F.sum(c).over(upto) for n, c in sums.items()})
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = ordered.groupBy("_part").agg(*(F.sum(c).alias(f"_n_{n}") for n, c in sums.items()))
-    offsets = parts.select("_part", *(F.coalesce(F.sum(f"_n_{n}").over(w), F.lit(0)).alias(f"_before_{n}") for n in sums))
-    joined = inside.join(F.broadcast(offsets), "_part")
-    return joined.select(*df.columns, *((F.col(f"_in_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums))
+    """Adds running sums of columns in a total order, each row's own value included: all rows are one key, cut at fixed places."""
+    return running(df.withColumn("_all", F.lit(0)), ["_all"], order, {n: F.col(c) for n, c in sums.items()}).drop("_all")
 
 
 def order_statistics(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
@@ -135,11 +118,11 @@ def bin_features(df: DataFrame, columns: list[str], keep: list[str], bins: int =
 
 
 def stratified(df: DataFrame, y: str, order: list[str], ratio: int = 20) -> DataFrame:
-    """All positives, and ratio times as many negatives: those first in a fixed order."""
-    positives = df.filter(F.col(y).cast("int") == 1)
-    n = positives.count()
-    negatives = df.filter(F.col(y).cast("int") == 0).orderBy(*order).limit(n * ratio)
-    return positives.unionByName(negatives)
+    """All positives, and ratio times as many negatives: those first in a fixed order, by their places in it."""
+    flag = F.col(y).cast("int")
+    wanted = df.agg((F.count_if(flag == 1) * ratio).alias("_wanted"))
+    negatives = global_place(df.filter(flag == 0), order, "_place").crossJoin(F.broadcast(wanted)).filter(F.col("_place") <= F.col("_wanted"))
+    return df.filter(flag == 1).unionByName(negatives.select(*df.columns))
 
 
 def split_positional(df: DataFrame, order: list[str], share: float = 0.8) -> DataFrame:
@@ -158,21 +141,24 @@ def ewma(values: Column, decay: float = 0.95) -> Column:
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * decay + x * (1 - decay)))
 
 
-def rolling_loss(df: DataFrame, key: str, order: str, loss: str, last: int = 50, decay: float = 0.99) -> DataFrame:
-    """Adds the mean of the last losses and a slow average of all. The slow one is carried along sorted rows, batch by batch."""
-    near = Window.partitionBy(key).orderBy(order).rowsBetween(-(last - 1), 0)
-    rows = df.withColumn("recent_loss", F.avg(loss).over(near)).withColumn("baseline_loss", F.col(loss).cast("double"))
-
-    def carry(batches):
-        at, value = None, None
-        for b in batches:
-            out = b["baseline_loss"].to_numpy(dtype="float64", copy=True)
-            for k, (who, x) in enumerate(zip(b[key].tolist(), out.tolist(), strict=True)):
-                value = x if who != at else value * decay + x * (1 - decay)
-                at, out[k] = who, value
-            yield b.assign(baseline_loss=out)
-
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(carry, rows.schema)
+def rolling_loss(df: DataFrame, key: str, order: str, loss: str, last: int = 50, decay: float = 0.99, least: int = LEAST) -> DataFrame:
+    """Adds the mean of the last losses and a slow average of all. A key's rows are parted into blocks, by place, so long that what comes
+    before the block before weighs less than rounding does; a block has the last rows of the one before beside its own."""
+    long = max(last, math.ceil(math.log(1e-30) / math.log(decay)))
+    placed = running(df.withColumn("_x", F.col(loss).cast("double")), [key], [order], {"_place": F.lit(1)}, least=least).withColumn("_place", F.col("_place") - 1)
+    own, inside = F.expr(f"_place div {long}"), F.col("_place") % long
+    share = F.when(F.col("_place") == 0, 1.0).otherwise(1 - decay)
+    placed = placed.withColumns({"_block": own, "_term": F.col("_x") * share * F.pow(F.lit(1 / decay), inside)})
+    ends = placed.groupBy(key, "_block").agg((F.sum("_term") * decay ** (long - 1)).alias("_end"))
+    before = ends.select(key, (F.col("_block") + 1).alias("_block"), "_end")
+    upto = Window.partitionBy(key, "_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slow = F.pow(F.lit(decay), inside) * (F.sum("_term").over(upto) + decay * F.coalesce("_end", F.lit(0.0)))
+    rows = placed.join(before, [key, "_block"], "left").withColumn("baseline_loss", slow).drop("_end", "_term")
+    edge = inside >= long - last + 1
+    halo = placed.filter(edge).select(key, (F.col("_block") + 1).alias("_block"), "_place", "_x").withColumn("_halo", F.lit(True))
+    near = Window.partitionBy(key, "_block").orderBy("_place").rowsBetween(-(last - 1), 0)
+    both = rows.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True).withColumn("recent_loss", F.avg("_x").over(near))
+    return both.filter("NOT _halo").select(*df.columns, "recent_loss", "baseline_loss")
 
 
 def feedback(log: DataFrame, labels: DataFrame, key: str = "transaction_id") -> DataFrame:

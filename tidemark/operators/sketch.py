@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cell_hash
+from .scan import LEAST, running
 
 
 @dataclass(frozen=True)
@@ -64,3 +65,10 @@ class CountMin:
         """Keys whose estimate is above a share of all."""
         sketch = self.build(rows, key)
         return self.query(sketch, rows, key).crossJoin(F.broadcast(self.total(sketch))).filter(F.col("estimate") > share * F.col("total")).select(key, "estimate")
+
+    def asof(self, rows: DataFrame, key: str, us: str = "us", tie: str = "event_id", least: int = LEAST) -> DataFrame:
+        """tie, estimate: what the sketch holds for each row's key when the row has been added, rows in order of time and tie. A running
+        count of each row's cells; cells that hold many rows are cut in time."""
+        cells = self._cells(rows.filter(F.col(key).isNotNull()).select(key, us, tie), key)
+        counted = running(cells, ["row", "col"], [us, tie], {"_seen": F.lit(1)}, least=least)
+        return counted.groupBy(tie).agg(F.min("_seen").alias("estimate"))

@@ -190,6 +190,12 @@ def cms_estimates(spark: SparkSession, d: str) -> DataFrame:
     return SKETCH.query(SKETCH.build(t, "device_id"), t, "device_id")
 
 
+@query("cms_asof_estimates", f"WITH {TXN}, each AS (SELECT event_id, us, r, {_CELL.replace('encode(k)', 'encode(device_id)')} AS c FROM txn, range(7) t(r)), seen AS (SELECT event_id, count(*) OVER (PARTITION BY r, c ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS n FROM each) SELECT event_id, min(n) AS estimate FROM seen GROUP BY 1")
+def cms_asof_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The sketch's estimate for each event's device at that event."""
+    return SKETCH.asof(transactions(spark, d), "device_id")
+
+
 @query("cms_heavy_hitters", f"WITH {CMS} SELECT k AS device_id, estimate FROM est WHERE estimate > 0.011 * (SELECT count(*) FROM txn)")
 def cms_heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
     return SKETCH.heavy_hitters(transactions(spark, d), "device_id", 0.011)
