@@ -70,7 +70,9 @@ def test_gbt_and_column(spark):
 
 def test_online_learning():
     rng = np.random.default_rng(4)
-    learner = MO.OnlineLearner(MO.MLP(4, (8,)), every=20, capacity=50)
+    waiting = MO.OnlineLearner(MO.MLP(4, (8,)), every=2, batch=8)
+    assert [waiting.update(rng.normal(size=4), 0) is not None for _ in range(10)] == [k in (7, 9) for k in range(10)]
+    learner = MO.OnlineLearner(MO.MLP(4, (8,)), every=20, batch=16, capacity=50)
     out = [learner.update(rng.normal(size=4), int(k % 9 == 0)) for k in range(200)]
     assert sum(v is not None for v in out) == 10 and learner.updates == 10 and learner.buffer.size == 50
     assert 0 <= learner.buffer.fraud_rate <= 1 and len(learner.buffer.sample(8)[0]) == 8
@@ -81,7 +83,7 @@ def test_online_learning_sees_a_sudden_shift():
     x = rng.normal(size=(2_000, 4))
     model = MO.MLP(4, (8,), lr=0.01)
     model.fit(x, (x[:, 0] > 0).astype(int), 20)
-    learner = MO.OnlineLearner(model, every=50)
+    learner = MO.OnlineLearner(model, every=50, batch=50)
     for row in x[:200]:
         own = model.loss(model.forward(row[None, :]), np.array([int(row[0] > 0)]))[0]
         learner.update(row, int(row[0] > 0))

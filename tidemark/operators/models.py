@@ -336,7 +336,7 @@ class ReplayBuffer:
 
 
 class OnlineLearner:
-    """A training step every so many labels; five times the rate when the last 50 labels' losses exceed the slow average of training losses by 5 %."""
+    """A training step every so many labels, once the buffer holds a training batch; five times the rate when the last 50 labels' losses exceed the slow average of training losses by 5 %."""
 
     def __init__(self, model: MLP, every: int = 100, batch: int = 64, capacity: int = 10_000, lr: float = 1e-4, threshold: float = 0.05, seed: int = 42):
         self.model, self.every, self.batch, self.lr, self.threshold = model, every, batch, lr, threshold
@@ -347,7 +347,7 @@ class OnlineLearner:
         self.buffer.add(x, label)
         self.losses.append(self.model.loss(self.model.forward(x[None, :]), np.array([label]))[0])
         del self.losses[:-500]
-        if self.buffer.seen % self.every or self.buffer.size < 2:
+        if self.buffer.seen % self.every or self.buffer.size < self.batch:
             return None
         drifting = self.baseline is not None and len(self.losses) >= 50 and float(np.mean(self.losses[-50:])) > self.baseline * (1 + self.threshold)
         self.model.optimizer.lr = self.lr * (5 if drifting else 1)

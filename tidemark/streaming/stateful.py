@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.sketch import CountMin
-from ..operators.windows import LENGTHS, SECOND
+from ..operators.windows import LENGTHS, SECOND, _codes, _distinct, _Lifts
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEPT_US = LENGTHS["24h"] * SECOND
@@ -46,16 +47,19 @@ class RollingWindows(StatefulProcessor):
         # a row sees the peers of its batch with its own time, and late rows count where their time says
         held = pd.concat([pd.DataFrame(old, columns=names).astype({"us": "int64", "amount": "float64"}), incoming]).sort_values("us", kind="stable").reset_index(drop=True)
         us, amount = held["us"].to_numpy(), held["amount"].to_numpy()
-        out = []
-        for event_id, now in zip(new["event_id"], new["us"], strict=True):
-            end = np.searchsorted(us, now, side="right")
-            start = {k: np.searchsorted(us, now - s * SECOND, side="left") for k, s in LENGTHS.items()}
-            hour, day = slice(start["1h"], end), slice(start["24h"], end)
-            distinct = lambda c, part: held[c].iloc[part].replace("", None).nunique()
-            out.append((event_id, *(int(end - start[k]) for k in LENGTHS), float(amount[hour].mean()), float(amount[hour].std()), float(amount[day].max()), int(distinct("city", hour)), int(distinct("device", day))))
+        now = new["us"].to_numpy()
+        high = np.searchsorted(us, us, side="right") - 1
+        end = np.searchsorted(us, now, side="right") - 1
+        low = {k: np.searchsorted(us, us - s * SECOND) for k, s in LENGTHS.items()}
+        start = {k: np.searchsorted(us, now - s * SECOND) for k, s in LENGTHS.items()}
+        lifts = _Lifts(np.nan_to_num(amount))
+        hour, day = lifts.over(start["1h"], end, {"sum", "m2"}), lifts.over(start["24h"], end, {"max"})
+        n = end - start["1h"] + 1
+        cities, devices = (_distinct(_codes(pa.array(held[c].tolist(), pa.string())), low[k], high)[end] for c, k in (("city", "1h"), ("device", "24h")))
+        out = [new["event_id"].to_numpy(), *(end - start[k] + 1 for k in LENGTHS), hour["sum"] / n, np.sqrt(hour["m2"] / n), day["max"], cities, devices]
         kept = held[held["us"] >= us[-1] - KEPT_US]
         self.rows.put([(int(a), float(b), c, d) for a, b, c, d in kept.itertuples(index=False)])
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.schema.split(", ")])
+        yield pd.DataFrame(dict(zip((c.split()[0] for c in self.schema.split(", ")), out, strict=True)))
 
     def close(self) -> None:
         pass
@@ -147,16 +151,6 @@ class DriftWindows:
             self.buffered = 0
 
 
-def learn(learner, vector: str = "vector", label: str = "is_fraud") -> Callable[[DataFrame, int], None]:
-    """foreachBatch: the model's updates from every row of the batch. The driver holds one partition at a time; the source's admission control (maxFilesPerTrigger and the like) bounds it."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        for row in batch.select(vector, label).toLocalIterator():
-            learner.update(np.array(row[0], dtype=np.float64), int(row[1]))
-
-    return run
-
-
 def run_to_files(query: DataFrame, path: str) -> DataFrame:
     """Runs an append-mode stream over what there is now into files below path; exactly once, by its checkpoint."""
     q = query.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
