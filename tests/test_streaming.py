@@ -95,7 +95,7 @@ def test_drift_windows_survive_a_restart(spark, tmp_path):
 def test_every_query_runs_and_has_stable_columns(spark, sf):
     for name, query in catalogue.QUERIES.items():
         assert query(spark, sf).columns, name
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"model_decisions", "synthetic_transactions", "gbt_whole_table", "shap_vector_23", "stream_learner"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE) == {"model_decisions", "synthetic_transactions", "gbt_whole_table", "shap_vector_23", "stream_learner", "network_whole_table"}
 
 
 def test_entry(spark):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boosting
-from ..operators.models import GBT
+from ..operators import boosting, network
+from ..operators.models import GBT, MLP, score
 from ..sources.transactions import transactions
 from .catalogue import TXN, query
 
@@ -64,3 +64,30 @@ def gbt_whole_table(spark: SparkSession, d: str) -> DataFrame:
     rows = _training(spark, d)
     model, _, _ = boosting.fit(rows, _FEATURES, "y", "event_id", GBT(n_trees=5))
     return rows.select("event_id", F.round(model.column(_FEATURES), 8).alias("score"))
+
+
+_SLOPE = "CASE WHEN y = 1 THEN -0.25 ELSE 0.75 END * 0.25 * (0.5 - ln(0.5))"
+
+
+@query(
+    "network_gradient",
+    f"""WITH {TXN}, t AS (SELECT amount / 10000 AS a, device_age_hours / 10000 AS b, is_fraud::INT AS y FROM txn)
+        SELECT round(avg(CASE WHEN y = 1 THEN 0.25 ELSE 0.75 END * 0.25 * -ln(0.5)), 8) AS loss, round(avg({_SLOPE} * a), 8) AS amount, round(avg({_SLOPE} * b), 8) AS age, round(avg({_SLOPE}), 8) AS bias FROM t""",
+)
+def network_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Loss and gradient over all events of a network without hidden layers whose weights are nought."""
+    rows = transactions(spark, d).select("event_id", F.array(F.col("amount") / 10000, F.col("device_age_hours") / 10000).alias("vector"), F.col("is_fraud").cast("int").alias("y"))
+    model = MLP(2, ())
+    model.layers[0].params["w"][:] = 0.0
+    loss = network.gradient(network.prepared(rows, "vector", "y", "event_id"), model)
+    (amount,), (age,) = model.layers[0].grads["w"].tolist()
+    return spark.createDataFrame([tuple(round(x, 8) for x in (loss, amount, age, float(model.layers[0].grads["b"][0])))], "loss double, amount double, age double, bias double")
+
+
+@query("network_whole_table")
+def network_whole_table(spark: SparkSession, d: str) -> DataFrame:
+    """A network with two hidden layers trained on all events for three steps; every event's score."""
+    rows = transactions(spark, d).select("event_id", F.array(F.log1p("amount"), F.col("device_age_hours") / 8760, F.hour("ts") / 24).alias("vector"), F.col("is_fraud").cast("int").alias("y"))
+    model = MLP(3, (16, 8))
+    network.fit(rows, "vector", "y", "event_id", model, 3)
+    return score(rows, model).select("event_id", F.round("ml_score", 8).alias("score"))
