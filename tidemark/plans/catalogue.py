@@ -631,4 +631,4 @@ def audit_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return audit_stats(load_audit(spark, path))
 
 
-from . import extended, learning, streams  # noqa: E402, F401  registers their queries
+from . import extended, learning, streams, covering  # noqa: E402, F401  registers their queries

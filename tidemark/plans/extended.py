@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ..sources import logs
 from ..sources.transactions import transaction_stream, transactions
 from ..streaming import stateful
 from . import scoring
-from .catalogue import _DRIFT, _KV, _SCORE, _TREE_SQL, LIMITS, ORACLE, RULED, SCORED, TREE, TXN, entries, query, scored
+from .catalogue import _DRIFT, _KV, _SCORE, _TREE_SQL, LIMITS, RULED, SCORED, TREE, TXN, entries, query, scored
 
 _ML = "CASE WHEN event_id % 10 <> 0 THEN ((event_id * 7919) % 1000) / 1000.0 END"
 
@@ -87,7 +86,7 @@ def service_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.service_metrics(scored(spark, d), ["us", "event_id"], "shadow")
 
 
-@query("audit_of_transaction", "SELECT found, n, decision FROM (VALUES (true, 1::BIGINT, 'PASS'), (false, 0::BIGINT, NULL)) t(found, n, decision)")
+@query("audit_of_transaction", f"WITH {SCORED}, w AS (SELECT unnest(['txn_0', 'txn_none']) AS t) SELECT count(transaction_id) > 0 AS found, count(transaction_id) AS n, min(decision) AS decision FROM w LEFT JOIN scored ON transaction_id = t GROUP BY t")
 def audit_of_transaction(spark: SparkSession, d: str) -> DataFrame:
     log = scored(spark, d).select("transaction_id", "decision")
     got = scoring.audit_response(log, "txn_0").unionByName(scoring.audit_response(log, "txn_none"))
@@ -240,18 +239,6 @@ def wal_replay(spark: SparkSession, d: str) -> DataFrame:
     return logs.replay(spark, wal.path, 100).select("lsn", F.get_json_object("payload", "$.transaction_id").alias("transaction_id"))
 
 
-@query("queue_groups", "SELECT * FROM (VALUES ('a', 7::BIGINT, 3::BIGINT), ('b', 10::BIGINT, 0::BIGINT), ('c', 10::BIGINT, 0::BIGINT)) t(consumer, waiting, first)")
-def queue_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Consumer groups go on where each has acknowledged: a has taken three of ten messages, b none, c has been reset."""
-    queue = logs.MessageQueue(_local(shared_path(spark, "queue")))
-    offsets = [queue.publish({"id": k}) for k in range(10)]
-    queue.ack("a", offsets[2])
-    queue.ack("c", offsets[9])
-    queue.reset("c")
-    waiting = {g: [m["id"] for _, m in queue.consume(g)] for g in "abc"}
-    return spark.createDataFrame([(g, len(m), m[0]) for g, m in waiting.items()], "consumer string, waiting bigint, first bigint")
-
-
 @query("kv_runs_on_disk", f"WITH {_KV} SELECT key, seq, value FROM newest WHERE NOT deleted")
 def kv_runs_on_disk(spark: SparkSession, d: str) -> DataFrame:
     """Three sorted runs on two levels, written, read and compacted; keys and newest entries as in one table."""
@@ -337,22 +324,6 @@ def best_split(spark: SparkSession, d: str) -> DataFrame:
     return metrics.best_split(rows, ["x", "y"], "g", "h").select("feature", "bin", F.round("gain", 6).alias("gain"))
 
 
-@query("model_registry", "SELECT * FROM (VALUES ('gbt', 2::BIGINT, 1::BIGINT, true), ('mlp', 1::BIGINT, 0::BIGINT, true)) t(model_type, versions, active, distinct_versions)")
-def model_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of one artifact and one of another kind; the last of the first is active."""
-    from ..operators.registry import ModelRegistry
-
-    folder = _local(shared_path(spark, "registry"))
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "model.json"), "w") as f:
-        json.dump(TREE, f)
-    held = ModelRegistry(os.path.join(folder, "registry.json"))
-    last = [held.register(kind, os.path.join(folder, "model.json"), "events") for kind in ("mlp", "gbt", "gbt")][-1]
-    held.activate(last)
-    rows = ModelRegistry(os.path.join(folder, "registry.json")).frame(spark)
-    return rows.groupBy("model_type").agg(F.count("*").alias("versions"), F.count_if("is_active").alias("active"), (F.count("*") == F.countDistinct("version")).alias("distinct_versions"))
-
-
 def _local(path: str) -> str:
     """A path for files that the driver writes itself: the logs are one machine's files in a mounted folder."""
     return path.removeprefix("file://").removeprefix("file:")
