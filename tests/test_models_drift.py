@@ -274,7 +274,8 @@ def test_scalar_functions(spark):
 def test_scalar_functions_on_any_ids_and_zone(spark, tmp_path):
     import duckdb
 
-    from tidemark.plans.extended import ORACLE, scalar_functions
+    from tidemark.plans.catalogue import ORACLE
+    from tidemark.plans.extended import scalar_functions
 
     df = spark.createDataFrame([(k,) for k in [*range(-60, 60), 7, None]], "event_id bigint")
     df = df.selectExpr("event_id", "timestamp_ntz'2024-01-02 03:04:05' AS ts", "1L AS user_id", "'view' AS event_type", "2.0D AS value", """'{"k": 1}' AS props""")
