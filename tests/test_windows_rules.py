@@ -127,6 +127,17 @@ def test_a_burst_of_one_key_is_dealt_out(wide):
             assert got[k] == (at[0][1] if at and u - at[0][0] <= 2_000 else None)
 
 
+def test_hot_keys_of_several_columns(wide):
+    from tidemark.operators import scan
+
+    rows = wide.range(1_000).select(F.when(F.col("id") % 2 == 0, "h").otherwise(F.concat(F.lit("u"), F.col("id").cast("string"))).alias("a"), F.when(F.col("id") < 990, "").alias("b"), F.concat(F.lit("k"), (F.col("id") % 2).cast("string")).alias("c"))
+    got = scan.hot_of(rows, ["a", "b", "c"], 16)
+    assert [r["a"] for r in got["a"].collect()] == ["h"] and got["b"] is None and sorted(r["c"] for r in got["c"].collect()) == ["k0", "k1"]
+    for k in ("a", "c"):
+        alone = {tuple(r) for r in scan.hot_keys(rows, [k], 16).collect()}
+        assert {tuple(r) for r in got[k].collect()} == alone
+
+
 def test_moments_of_cut_keys_merge(wide):
     from tidemark.operators import scan
 

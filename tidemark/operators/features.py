@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import FEATURES
+from .scan import hot_of
 from .windows import entity_windows, user_windows
 
 
@@ -35,10 +36,11 @@ def features(txns: DataFrame) -> DataFrame:
     an unnamed entity have zeros for it."""
     txns = transaction_features(with_defaults(txns))
     unnamed = F.coalesce(F.col("payer_vpa"), F.lit("")) == ""
-    users = user_windows(txns).unionByName(txns.filter(unnamed), allowMissingColumns=True)
-    device = entity_windows(txns, "device_id", ["1h", "24h"]).select("event_id", F.col("n_1h").alias("device_txn_count_1h"), F.col("n_24h").alias("device_txn_count_24h"), F.col("freq").alias("device_global_freq"))
+    hot = hot_of(txns, ["payer_vpa", "device_id", "payee_vpa"])
+    users = user_windows(txns, hot=hot).unionByName(txns.filter(unnamed), allowMissingColumns=True)
+    device = entity_windows(txns, "device_id", ["1h", "24h"], hot=hot).select("event_id", F.col("n_1h").alias("device_txn_count_1h"), F.col("n_24h").alias("device_txn_count_24h"), F.col("freq").alias("device_global_freq"))
     mean = F.when(F.col("n_1h") > 0, F.col("total_1h") / F.col("n_1h")).otherwise(0.0)
-    merchant = entity_windows(txns, "payee_vpa", ["1h"]).select("event_id", F.col("n_1h").alias("merchant_txn_count_1h"), mean.alias("merchant_amount_mean_1h"), F.col("freq").alias("merchant_global_freq"))
+    merchant = entity_windows(txns, "payee_vpa", ["1h"], hot=hot).select("event_id", F.col("n_1h").alias("merchant_txn_count_1h"), mean.alias("merchant_amount_mean_1h"), F.col("freq").alias("merchant_global_freq"))
     entities = device.unionByName(merchant, allowMissingColumns=True)
     entities = entities.groupBy("event_id").agg(*(F.max(c).alias(c) for c in entities.columns if c != "event_id"))
     out = users.join(entities, "event_id", "left")

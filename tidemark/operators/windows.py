@@ -243,11 +243,11 @@ def _distinct_by_intervals(txns: DataFrame, key: str, wanted: list[tuple[str, st
     return seen.groupBy("_tie").agg(*(F.max(F.when(F.col("_name") == n, F.col("_n"))).alias(n) for _, _, n in wanted))
 
 
-def sliding(txns: DataFrame, key: str, stats: list[Stat], us: str = "us", tie: str = "event_id", amount: str = "amount", least: int = LEAST) -> DataFrame:
+def sliding(txns: DataFrame, key: str, stats: list[Stat], us: str = "us", tie: str = "event_id", amount: str = "amount", least: int = LEAST, hot: dict[str, DataFrame | None] | None = None) -> DataFrame:
     """Rows of a named key with their statistics: (name, count | sum | mean | std | max | min | distinct | freq, window, value column). freq
-    counts the key's rows up to this one. tie must tell rows apart."""
+    counts the key's rows up to this one. tie must tell rows apart. hot: the hot keys by column (scan.hot_of), where they are known."""
     rows = _named(txns, key)
-    hot = hot_keys(rows, [key], least)
+    hot = hot_keys(rows, [key], least) if hot is None else hot[key]
     if hot is None:
         return _streamed(rows, key, stats, us, tie, amount)
     hot = F.broadcast(hot.select(key))
@@ -255,12 +255,12 @@ def sliding(txns: DataFrame, key: str, stats: list[Stat], us: str = "us", tie: s
     return usual.unionByName(_pieced(rows.join(hot, key, "left_semi"), key, stats, us, tie, amount, least))
 
 
-def user_windows(txns: DataFrame, least: int = LEAST) -> DataFrame:
+def user_windows(txns: DataFrame, least: int = LEAST, hot: dict[str, DataFrame | None] | None = None) -> DataFrame:
     """Per transaction of a named user: counts, mean, deviation (population), maximum and distinct cities and devices."""
     stats: list[Stat] = [("user_global_freq", "freq", None, None), *((f"user_txn_count_{k}", "count", k, None) for k in LENGTHS)]
     stats += [("user_amount_mean_1h", "mean", "1h", None), ("user_amount_std_1h", "std", "1h", None), ("user_amount_max_24h", "max", "24h", None)]
     stats += [("user_unique_cities_1h", "distinct", "1h", "payer_city"), ("user_unique_devices_24h", "distinct", "24h", "device_id")]
-    return sliding(txns, "payer_vpa", stats, least=least)
+    return sliding(txns, "payer_vpa", stats, least=least, hot=hot)
 
 
 def all_stats(txns: DataFrame, key: str, least: int = LEAST) -> DataFrame:
@@ -293,11 +293,11 @@ def totals_asof(events: DataFrame, probes: DataFrame, key: str, least: int = LEA
     return out.filter("_probe = 1").select(key, "at", *extra, "n", "total")
 
 
-def entity_windows(txns: DataFrame, key: str, windows: list[str], least: int = LEAST) -> DataFrame:
+def entity_windows(txns: DataFrame, key: str, windows: list[str], least: int = LEAST, hot: dict[str, DataFrame | None] | None = None) -> DataFrame:
     """event_id with n_<window> and total_<window> for the entity's rolling windows, and freq, its transactions up to this one;
     rows of unnamed entities are absent."""
     stats: list[Stat] = [x for w in windows for x in ((f"n_{w}", "count", w, None), (f"total_{w}", "sum", w, None))]
-    out = sliding(txns.select("event_id", key, "us", "amount"), key, [*stats, ("freq", "freq", None, None)], least=least)
+    out = sliding(txns.select("event_id", key, "us", "amount"), key, [*stats, ("freq", "freq", None, None)], least=least, hot=hot)
     return out.select("event_id", *(name for name, _, _, _ in stats), "freq")
 
 
