@@ -163,4 +163,40 @@ ORACLE: dict[str, str] = {
                CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN keeper END AS refers_to
         FROM r
     """,
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE crc AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY n) AS t FROM range(256) r(n)),
+        given AS (SELECT coalesce(conv_id::VARCHAR, 'none') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS id FROM conversations),
+        hit AS (SELECT g.*, xor(list_reduce([4294967295] || list_transform(range(1, length(id) + 1), lambda j: ascii(id[j])::BIGINT), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295) % 20 AS kind FROM given g, crc),
+        hurt AS (
+            SELECT c, conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM hit, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text)) AS k,
+                   rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt),
+        rows AS (
+            SELECT c, conv_id, turn, role, text, k, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 AS again, right(bare, 1) NOT IN ('.', '!', '?') AS open, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY k) AS before FROM placed),
+        told AS (
+            SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (open AND NOT blank AND NOT again) AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY c),
+        walk AS (
+            SELECT DISTINCT c, 0::BIGINT AS k, {'c': 0::BIGINT, 'a': '', 't': ''} AS n, {'c': 1000000000000::BIGINT, 'a': '', 't': ''} AS l, {'c': 2::BIGINT, 'a': 'I', 't': 'user:'} AS u, {'c': 4::BIGINT, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'} AS a FROM given
+            UNION ALL
+            SELECT c, k, n, l, u, list_sort([a, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}])[1]
+            FROM (
+                SELECT c, k, n, l, list_sort([u, {'c': n.c + 2, 'a': n.a || 'I', 't': 'user:'}, {'c': l.c + 2, 'a': l.a || 'I', 't': l.t || chr(10) || 'user:'}, {'c': a.c + 2, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'}])[1] AS u, a
+                FROM (
+                    SELECT c, k, {'c': n.c + 3, 'a': n.a || 'D', 't': ''} AS n,
+                           list_sort([{'c': l.c + 3, 'a': l.a || 'D', 't': l.t}, {'c': n.c + far + cut + CASE WHEN i = 's' THEN 0 ELSE 1000000000000 END, 'a': n.a || 'K', 't': role || ':' || text}])[1] AS l,
+                           list_sort([{'c': u.c + 3, 'a': u.a || 'D', 't': u.t}, {'c': n.c + far + cut + ku, 'a': n.a || eu, 't': ru}, {'c': l.c + far + cut + ku, 'a': l.a || eu, 't': l.t || chr(10) || ru}, {'c': a.c + far + cut + ku, 'a': a.a || eu, 't': a.t || chr(10) || ru}])[1] AS u,
+                           list_sort([{'c': a.c + 3, 'a': a.a || 'D', 't': a.t}, {'c': u.c + far + cut + ka, 'a': u.a || ea, 't': u.t || chr(10) || ra}])[1] AS a
+                    FROM (
+                        SELECT w.c, r.k, n, l, u, a, role, text, i, CASE WHEN blank OR again THEN 1000000000000 ELSE 0 END AS far, open::BIGINT AS cut,
+                               CASE WHEN i = 'u' THEN 0 ELSE 2 END AS ku, CASE WHEN i = 'u' THEN 'K' ELSE 'R' END AS eu, CASE WHEN i = 'u' THEN role ELSE 'user' END || ':' || text AS ru,
+                               CASE WHEN i = 'a' THEN 0 ELSE 2 END AS ka, CASE WHEN i = 'a' THEN 'K' ELSE 'R' END AS ea, CASE WHEN i = 'a' THEN role ELSE 'assistant' END || ':' || text AS ra
+                        FROM walk w JOIN rows r ON r.c = w.c AND r.k = w.k + 1)))),
+        done AS (SELECT w.c, list_sort([w.n, w.a])[1] AS best FROM walk w LEFT JOIN told t ON t.c = w.c WHERE w.k = coalesce(t.n, 0))
+        SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               best.c AS cost, best.a AS audit, sha256(best.t) AS repaired_sha256
+        FROM (SELECT DISTINCT c, conv_id FROM given) g JOIN done d ON d.c = g.c LEFT JOIN told t ON t.c = g.c
+    """,
 }
