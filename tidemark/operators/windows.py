@@ -192,6 +192,9 @@ def _pieced(txns: DataFrame, key: str, stats: list[Stat], us: str, tie: str, amo
     """The same from running aggregates over blocks of time."""
     names = sorted({w for _, stat, w, _ in stats if w and stat != "distinct"}, key=lambda w: LENGTHS[w])
     out = txns
+    for name, stat, _, _ in stats:  # before any join: what is cut is read more than once
+        if stat == "freq":
+            out = running(out, [key], [us, tie], {name: F.lit(1)}, least=least)
     if names:
         each = F.explode(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(LENGTHS[w] * SECOND).cast("bigint").alias("long")) for w in names)))
         rows = txns.select(key, F.col(us).alias("_us"), F.col(tie).alias("_tie"), F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("_x"), each.alias("_w")).select(key, "_us", "_tie", "_x", "_w.*")
@@ -204,18 +207,17 @@ def _pieced(txns: DataFrame, key: str, stats: list[Stat], us: str, tie: str, amo
         turned = events.unionByName(starts).withColumn("_at", -F.col("_at"))
         down = running_moments(turned, [key, "w", "_block"], ["_at", "_probe", "_tie"], "_x", least)
         found = up.withColumn("_side", F.lit(0)).unionByName(down.withColumn("_side", F.lit(1))).filter("_probe = 1")
-        m = F.struct("n", "s", "m2", "hi", "lo")
-        wide = found.groupBy("_tie").agg(*(F.first(F.when((F.col("w") == w) & (F.col("_side") == side), m), ignorenulls=True).alias(f"_{w}_{side}") for w in names for side in (0, 1)))
-        wide = wide.select("_tie", *(merged(F.col(f"_{w}_1"), F.col(f"_{w}_0")).alias(f"_m_{w}") for w in names))
+        parts = ("n", "s", "m2", "hi", "lo")
+        of_side = lambda w, side, c: F.max(F.when((F.col("w") == w) & (F.col("_side") == side), F.col(c))).alias(f"_{w}_{side}_{c}")
+        wide = found.groupBy("_tie").agg(*(of_side(w, side, c) for w in names for side in (0, 1) for c in parts))
+        moments = lambda w, side: F.struct(*(F.col(f"_{w}_{side}_{c}").alias(c) for c in parts))
+        wide = wide.select("_tie", *(merged(moments(w, 1), moments(w, 0)).alias(f"_m_{w}") for w in names))
         of = lambda stat, m: {"count": m["n"], "sum": m["s"], "mean": m["s"] / m["n"], "std": F.sqrt(m["m2"] / m["n"]), "max": m["hi"], "min": m["lo"]}[stat]
         wide = wide.select("_tie", *(of(stat, F.col(f"_m_{w}")).alias(name) for name, stat, w, _ in stats if w in names and stat != "distinct"))
         out = out.join(wide, F.col(tie) == F.col("_tie")).drop("_tie")
     different = [(value, w, name) for name, stat, w, value in stats if stat == "distinct"]
     if different:
         out = out.join(_distinct_by_intervals(txns, key, different, us, tie, least), F.col(tie) == F.col("_tie")).drop("_tie")
-    for name, stat, _, _ in stats:
-        if stat == "freq":
-            out = running(out, [key], [us, tie], {name: F.lit(1)}, least=least)
     return out.select(*txns.columns, *(name for name, _, _, _ in stats))
 
 
