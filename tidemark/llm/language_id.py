@@ -7,7 +7,8 @@ is a product of its presence matrix with the landmarks' and one with the coeffic
 18-bit hash, so a text's n-gram set has at most 2^18 members however long it is.
 
 Training rows are a bounded sample, at most ``SAMPLE``: for each of the ``SAMPLE / 4`` commonest languages the same number of
-rows, those of least hash of doc_id and text; equal rows count once.
+rows, those of least hash of doc_id and text; equal rows count once. Landmarks go round the languages in order of name: of more
+than ``LANDMARKS`` languages the later ones have none of their own, and are fitted by what their rows share with others' landmarks.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, as is every text when there is nothing to learn
 from; rows with a null lang, doc_id or text are never learnt from, nor are languages beyond those; rows that share a
