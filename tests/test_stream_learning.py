@@ -103,3 +103,24 @@ def test_decisions_meet_labels_in_time_and_state_drops(spark, tmp_path):
     assert {k for k, v in got.items() if v is None} == unmatched
     held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
     assert held <= 2 * (200 - len(unmatched)) + 4
+
+
+def test_feedback_join_ends_within_a_millisecond_as_its_sql_does(spark, tmp_path):
+    """Waiting decisions at the watermark's edge by less than a millisecond, and one at the first microsecond."""
+    import duckdb
+
+    from tidemark.plans.catalogue import ORACLE
+    from tidemark.plans.streams import stream_feedback_join
+
+    last = 3_000_000_499  # microseconds from 2024, as the view counts them
+    edge = last // 1000 * 1000 - 1_200_000_000
+    us = [0, 1, edge - 1001, edge - 1000, edge - 999, edge - 500, edge - 1, edge, edge + 1, edge + 999, last]
+    rows = spark.createDataFrame([(3 * k + 1, x) for k, x in enumerate(us)] + [(299_997 + 900 * k, last) for k in range(3)], "event_id bigint, x bigint")
+    rows = rows.select("event_id", F.timestamp_micros(F.col("x") * 600 + 1_704_067_200_000_000).alias("ts"), F.lit(7).cast("bigint").alias("user_id"), F.lit("error").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT event_id, ts::TIMESTAMP AS ts, user_id, event_type, value, props FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(db.execute(ORACLE["stream_feedback_join"]).fetchall())
+    got = sorted(map(tuple, stream_feedback_join(spark, str(tmp_path)).select("event_id", "decision", "confirmed").collect()))
+    assert {3 * k + 1 for k in (0, 1, 2, 3, 4, 5, 6)} <= {r[0] for r in want}
+    assert got == want

@@ -14,6 +14,8 @@ from . import scoring
 _WINDOWS = {"1m": 60, "5m": 300}
 _BUCKET = 300_000_000 // 48
 _DELAY_MS = 600_000
+#: `us` counts from 2024.
+_EPOCH_US = 1_704_067_200_000_000
 
 
 @query(
@@ -60,8 +62,9 @@ def stream_feedback_join(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and the labels that came within ten minutes; the others once the watermark has passed them."""
     path = shared_path(spark, "stream-feedback")
     t = transaction_stream(spark, d).withColumn("score", F.expr("cast((event_id * 7919) % 1000 as double) / 1000.0D"))
-    decisions = t.select("event_id", "transaction_id", F.timestamp_micros("us").alias("at"), scoring.threshold(F.col("score")).alias("decision"))
-    late = F.timestamp_micros(F.expr("us + event_id * 37 % 900 * 1000000"))
+    at = F.col("us") + _EPOCH_US  # a first watermark of 1970 would call rows of the first microsecond late
+    decisions = t.select("event_id", "transaction_id", F.timestamp_micros(at).alias("at"), scoring.threshold(F.col("score")).alias("decision"))
+    late = F.timestamp_micros(at + F.expr("event_id * 37 % 900 * 1000000"))
     labels = transaction_stream(spark, d).filter("event_id % 3 = 0").select("transaction_id", late.alias("labelled_at"), F.col("is_fraud").alias("confirmed"))
     joined = learning.decisions_with_feedback(decisions, labels, within="10 minutes")
     return stateful.run_to_files(joined, path).select("event_id", "decision", F.col("confirmed").cast("int").alias("confirmed"))

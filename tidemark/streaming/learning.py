@@ -135,8 +135,12 @@ def quantiles(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.9
 
 def decisions_with_feedback(decisions: DataFrame, labels: DataFrame, key: str = "transaction_id", within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """A stream of decisions(key, at, decision) with the labels(key, labelled_at, confirmed) that come within an interval after them;
-    decisions that got none go out with null once the watermark has passed the interval. State goes with the watermark."""
-    d = decisions.withWatermark("at", delay)
-    f = labels.select(F.col(key).alias("_key"), "labelled_at", "confirmed").withWatermark("labelled_at", delay)
-    met = (F.col(key) == F.col("_key")) & (F.col("labelled_at") >= F.col("at")) & (F.col("labelled_at") <= F.col("at") + F.expr(f"INTERVAL {within}"))
-    return d.join(f, met, "leftOuter").drop("_key")
+    decisions that got none go out with null once the watermark has passed the interval. State goes with the watermark. A watermark counts
+    whole milliseconds and state ends one of them early, so both go by times cut to milliseconds, while labels are held against the times
+    as they are. The interval is one of whole milliseconds."""
+    d = decisions.withColumn("_at", F.date_trunc("millisecond", "at")).withWatermark("_at", delay)
+    f = labels.select(F.col(key).alias("_key"), "labelled_at", "confirmed", F.date_trunc("millisecond", "labelled_at").alias("_labelled")).withWatermark("_labelled", delay)
+    length = F.expr(f"INTERVAL {within}")
+    exact = (F.col("labelled_at") >= F.col("at")) & (F.col("labelled_at") <= F.col("at") + length)
+    cut = (F.col("_labelled") >= F.col("_at")) & (F.col("_labelled") <= F.col("_at") + length)  # follows from exact; bounds the state
+    return d.join(f, (F.col(key) == F.col("_key")) & cut & exact, "leftOuter").drop("_key", "_at", "_labelled")
