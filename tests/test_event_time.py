@@ -83,3 +83,72 @@ def test_empty_stream(spark, tmp_path):
     query = E.event_windows(files(spark, str(tmp_path), [[]]), windows=WINDOWS)
     out, late = E.run_apart(query.filter(F.lit(True)), str(tmp_path))
     assert out.count() == 0 and late.count() == 0
+
+
+class Handle:
+    """State and timers of one entity, with the calls that were made."""
+
+    def __init__(self):
+        self.held, self.timers, self.calls = {}, set(), {"write": 0, "timer": 0, "remove": 0, "keys": 0}
+
+    def getMapState(self, *_):
+        return self
+
+    def exists(self):
+        return bool(self.held)
+
+    def iterator(self):
+        return iter([((k,), v) for k, v in self.held.items()])
+
+    def keys(self):
+        self.calls["keys"] += 1
+        return iter([(k,) for k in self.held])
+
+    def updateValue(self, key, value):
+        self.calls["write"] += 1
+        self.held[key[0]] = value
+
+    def removeKey(self, key):
+        self.calls["remove"] += 1
+        self.held.pop(key[0], None)
+
+    def registerTimer(self, at):
+        self.calls["timer"] += 1
+        self.timers.add(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_calls_of_state_follow_what_stays_in_reach():
+    """500 minutes of rows in one batch: what the next watermark passes is neither written nor timed."""
+    import pandas as pd
+
+    handle, processor = Handle(), E.EventWindows({"5m": 300}, 60 * S, 600_000)
+    processor.init(handle)
+    frame = pd.DataFrame([(k, k * 60 * S, 1.0, "X", "d") for k in range(500)], columns=["event_id", "us", "amount", "payer_city", "device_id"])
+    (out,) = processor.handleInputRows(("a",), iter([frame]), Now(0))
+    assert out["n_5m"].tolist() == [min(k + 1, 6) for k in range(500)] and not out["late"].any()
+    assert sorted(handle.held) == list(range(484, 500)) and handle.calls == {"write": 16, "timer": 1, "remove": 0, "keys": 0}
+    mark = 499 * 60_000 - 300_000
+    while due := [t for t in handle.timers if t <= mark]:
+        handle.timers -= set(due)
+        for _ in due:
+            list(processor.handleExpiredTimer(("a",), Now(mark), Now(min(due))))
+    assert sorted(handle.held) == list(range(489, 500)) and handle.calls["keys"] == 1 and min(handle.timers) == processor._expires(489)
+    late = pd.DataFrame([(900, 491 * 60 * S, 1.0, "X", "d"), (901, 495 * 60 * S, 1.0, "Y", "d"), (902, 1200 * 60 * S, 1.0, "Y", "d")], columns=frame.columns)
+    gone, out = processor.handleInputRows(("a",), iter([late]), Now(494 * 60_000))
+    assert gone["event_id"].tolist() == [900] and out["n_5m"].tolist() == [7, 1] and sorted(handle.held) == [1200]
+    assert min(handle.timers) <= processor._expires(1200)
+
+
+def test_length_of_a_delay(spark):
+    assert [E._milliseconds(spark, x) for x in ("10 minutes", "1 day 2 hours", "1500 microseconds", "1 month")] == [600_000, 93_600_000, 2, None]
