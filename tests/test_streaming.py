@@ -103,3 +103,36 @@ def test_entry(spark):
 
     assert {r["decision"] for r in e.entry(spark).collect()} <= {"BLOCK", "REVIEW", "PASS"}
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_an_entity_and_batch_read_and_write_state_once():
+    """One read and one write, also where a batch comes in pieces and meets rows of before."""
+    import pandas as pd
+
+    class Rows(list):
+        calls = []
+
+        def getListState(self, *_):
+            return self
+
+        def exists(self):
+            self.calls.append("exists")
+            return bool(self)
+
+        def get(self):
+            self.calls.append("get")
+            return iter(tuple(self))
+
+        def put(self, rows):
+            self.calls.append("put")
+            self[:] = rows
+
+    state, processor = Rows(), stateful.RollingWindows()
+    processor.init(state)
+    names, s = ["event_id", "us", "amount", "payer_city", "device_id"], windows.SECOND
+    feed = lambda *parts: next(iter(processor.handleInputRows(("a",), iter([pd.DataFrame(p, columns=names) for p in parts]), None)))
+    first = feed([(2, 30 * s, 4.0, "X", "d")], [(1, 0, 2.0, None, "e"), (3, 30 * s, None, "Y", "")])
+    assert first[["event_id", "user_txn_count_1m", "user_amount_mean_1h", "user_unique_cities_1h", "user_unique_devices_24h"]].values.tolist() == [[1, 1, 2.0, 0, 1], [2, 3, 2.0, 2, 2], [3, 3, 2.0, 2, 2]]
+    second = feed([(4, 86_420 * s, 1.0, "X", "d"), (5, 20 * s, 8.0, "X", "d")])
+    assert second[["event_id", "user_txn_count_1h", "user_txn_count_24h", "user_amount_max_24h"]].values.tolist() == [[5, 2, 2, 8.0], [4, 1, 4, 8.0]]
+    assert state.calls == ["get", "put"] * 2 and [r[0] // s for r in state] == [20, 30, 30, 86_420]

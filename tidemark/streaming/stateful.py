@@ -40,25 +40,30 @@ class RollingWindows(StatefulProcessor):
         self.rows = handle.getListState("rows", "us bigint, amount double, city string, device string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        old = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        names = ["us", "amount", "city", "device"]
-        incoming = new[["us", "amount", "payer_city", "device_id"]].set_axis(names, axis=1)
+        chunks = list(rows)
+        new = chunks[0] if len(chunks) == 1 else pd.concat(chunks)
+        ids, now = new["event_id"].to_numpy(), new["us"].to_numpy()
+        order = np.lexsort((ids, now))
+        ids, now = ids[order], now[order]
         # a row sees the peers of its batch with its own time, and late rows count where their time says
-        held = pd.concat([pd.DataFrame(old, columns=names).astype({"us": "int64", "amount": "float64"}), incoming]).sort_values("us", kind="stable").reset_index(drop=True)
-        us, amount = held["us"].to_numpy(), held["amount"].to_numpy()
-        now = new["us"].to_numpy()
+        incoming = [new[c].to_numpy()[order].tolist() for c in ("us", "amount", "payer_city", "device_id")]
+        old = [list(c) for c in zip(*self.rows.get(), strict=True)] or [[], [], [], []]
+        us, amount, city, device = (a + b for a, b in zip(old, incoming, strict=True))
+        us, amount = np.array(us, dtype=np.int64), np.array(amount, dtype=np.float64)
+        place = np.argsort(us, kind="stable")
+        us, amount = us[place], amount[place]
+        city, device = ([c[k] for k in place.tolist()] for c in (city, device))
         high = np.searchsorted(us, us, side="right") - 1
         end = np.searchsorted(us, now, side="right") - 1
-        low = {k: np.searchsorted(us, us - s * SECOND) for k, s in LENGTHS.items()}
+        low = {k: np.searchsorted(us, us - LENGTHS[k] * SECOND) for k in ("1h", "24h")}
         start = {k: np.searchsorted(us, now - s * SECOND) for k, s in LENGTHS.items()}
         lifts = _Lifts(np.nan_to_num(amount))
         hour, day = lifts.over(start["1h"], end, {"sum", "m2"}), lifts.over(start["24h"], end, {"max"})
         n = end - start["1h"] + 1
-        cities, devices = (_distinct(_codes(pa.array(held[c].tolist(), pa.string())), low[k], high)[end] for c, k in (("city", "1h"), ("device", "24h")))
-        out = [new["event_id"].to_numpy(), *(end - start[k] + 1 for k in LENGTHS), hour["sum"] / n, np.sqrt(hour["m2"] / n), day["max"], cities, devices]
-        kept = held[held["us"] >= us[-1] - KEPT_US]
-        self.rows.put([(int(a), float(b), c, d) for a, b, c, d in kept.itertuples(index=False)])
+        cities, devices = (_distinct(_codes(pa.array(c, pa.string())), low[k], high)[end] for c, k in ((city, "1h"), (device, "24h")))
+        out = [ids, *(end - start[k] + 1 for k in LENGTHS), hour["sum"] / n, np.sqrt(hour["m2"] / n), day["max"], cities, devices]
+        kept = int(np.searchsorted(us, us[-1] - KEPT_US))
+        self.rows.put(list(zip(us[kept:].tolist(), amount[kept:].tolist(), city[kept:], device[kept:], strict=True)))
         yield pd.DataFrame(dict(zip((c.split()[0] for c in self.schema.split(", ")), out, strict=True)))
 
     def close(self) -> None:
