@@ -139,3 +139,36 @@ def test_generator(spark):
     from tidemark.schema import TRANSACTION
 
     assert set(df.columns) == set(TRANSACTION.fieldNames())
+
+
+def test_segments_read_as_one_log_and_pass_no_rows_to_the_driver(spark, sf, tmp_path, monkeypatch):
+    import duckdb
+
+    from tidemark.plans import catalogue
+
+    texts = ["", *(f"record {k} " * (k % 7) for k in range(500)), "é"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k bigint, x string").repartition(5)
+    plain = logs.AppendLog(str(tmp_path / "one" / "a.log"))
+    plain.append_all(x.encode() for x in texts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        segments = logs.write_segments(rows, str(tmp_path / "many"), "x", ["k"])
+        logs.write_segments(rows.withColumn("x", F.to_json(F.struct("x"))), str(tmp_path / "wal"), "x", ["k"], "wal")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(segments) > 1
+    whole = lambda start: sorted((r["offset"], bytes(r["payload"])) for r in logs.read_log(spark, str(tmp_path / "many"), start=start).collect())
+    want = list(plain.scan())
+    assert whole(0) == want
+    assert whole(want[300][0]) == want[300:]
+    assert sorted(r["lsn"] for r in logs.replay(spark, str(tmp_path / "wal"), 100).collect()) == list(range(101, len(texts) + 1))
+    empty = rows.filter("k < 0")
+    logs.write_segments(empty, str(tmp_path / "none"), "x", ["k"])
+    assert logs.read_log(spark, str(tmp_path / "none")).count() == 0
+
+    monkeypatch.setattr(type(rows), "toLocalIterator", lambda *_: pytest.fail("rows pass through the driver"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    for name in ("log_roundtrip", "wal_replay"):
+        got = catalogue.QUERIES[name](spark, sf)
+        assert sorted(map(tuple, got.collect())) == sorted(db.execute(catalogue.ORACLE[name]).fetchall())

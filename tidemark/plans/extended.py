@@ -221,11 +221,10 @@ def fnv_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("log_roundtrip", f"WITH {TXN} SELECT count(*) AS records, sum(length(transaction_id))::BIGINT AS bytes, 5::BIGINT AS first_offset, (5 + sum(length(transaction_id) + 8) - 8 - max_by(length(transaction_id), event_id))::BIGINT AS last_offset, 0::BIGINT AS broken FROM txn")
 def log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """An append log that ends in a cut-off record, written on the driver and scanned as a data source."""
+    """An append log in segments that ends in a cut-off record, written by the tasks that hold its rows and scanned as a data source."""
     path = os.path.join(_local(shared_path(spark, "append-log")), "log")
-    log = logs.AppendLog(path)
-    log.append_all(r[0].encode() for r in transactions(spark, d).select("transaction_id", "event_id").orderBy("event_id").toLocalIterator())
-    with open(path, "ab") as f:
+    segments = logs.write_segments(transactions(spark, d).select("transaction_id", "event_id"), path, "transaction_id", ["event_id"])
+    with open(segments[-1], "ab") as f:
         f.write(b"\x00\x00\x00\x20cut off")
     rows = logs.read_log(spark, path)
     return rows.agg(F.count("*").alias("records"), F.sum(F.length("payload")).alias("bytes"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count_if(F.crc32("payload") != F.col("crc")).alias("broken"))
@@ -234,9 +233,9 @@ def log_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 @query("wal_replay", f"WITH {TXN}, n AS (SELECT row_number() OVER (ORDER BY event_id) AS lsn, transaction_id FROM txn) SELECT lsn, transaction_id FROM n WHERE lsn > 100")
 def wal_replay(spark: SparkSession, d: str) -> DataFrame:
     """What a write-ahead log holds after a checkpoint."""
-    wal = logs.WriteAheadLog(os.path.join(_local(shared_path(spark, "wal")), "wal"))
-    wal.write_all({"transaction_id": r[0]} for r in transactions(spark, d).select("transaction_id", "event_id").orderBy("event_id").toLocalIterator())
-    return logs.replay(spark, wal.path, 100).select("lsn", F.get_json_object("payload", "$.transaction_id").alias("transaction_id"))
+    path = os.path.join(_local(shared_path(spark, "wal")), "wal")
+    logs.write_segments(transactions(spark, d).select(F.to_json(F.struct("transaction_id")).alias("payload"), "event_id"), path, "payload", ["event_id"], "wal")
+    return logs.replay(spark, path, 100).select("lsn", F.get_json_object("payload", "$.transaction_id").alias("transaction_id"))
 
 
 @query("kv_runs_on_disk", f"WITH {_KV} SELECT key, seq, value FROM newest WHERE NOT deleted")
@@ -325,5 +324,5 @@ def best_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _local(path: str) -> str:
-    """A path for files that the driver writes itself: the logs are one machine's files in a mounted folder."""
+    """A path for files that driver and tasks write themselves: logs lie in a folder that all machines have mounted."""
     return path.removeprefix("file://").removeprefix("file:")

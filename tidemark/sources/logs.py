@@ -3,6 +3,10 @@
 A file starts with a 4-byte magic and a version byte. An append-log record is a 4-byte length, the payload and its CRC-32; its
 byte offset is its id. A write-ahead record is a length, JSON, CRC-32 and an 8-byte sequence number. Numbers are big-endian.
 A cut-off last record ends a file; a wrong checksum is an error.
+
+A log of a whole table is a folder of segments, each written by the task that holds its stretch of the order. Segments count from their
+own start; an index of one line a segment, written last, has the offset and the sequence number that each starts at, so records read
+back have those of one long file.
 """
 
 from __future__ import annotations
@@ -15,6 +19,9 @@ import zlib
 from collections.abc import Iterable, Iterator
 from itertools import count
 
+import pyarrow as pa
+
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
@@ -22,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 MAGIC = {"log": b"TMLG", "wal": b"TMWL"}
 VERSION = 1
 HEADER = 5
+INDEX = "segments.json"
 
 
 class CorruptRecord(ValueError):
@@ -53,6 +61,10 @@ def records(f: io.BufferedIOBase, kind: str, start: int = 0) -> Iterator[tuple[i
         at += 4 + len(body)
 
 
+def record(payload: bytes, tail: bytes = b"") -> bytes:
+    return struct.pack(">I", len(payload)) + payload + struct.pack(">I", zlib.crc32(payload)) + tail
+
+
 class AppendLog:
     """Writes and point reads on one machine's file."""
 
@@ -68,7 +80,7 @@ class AppendLog:
     def append(self, payload: bytes, tail: bytes = b"") -> int:
         with open(self.path, "ab") as f:
             at = f.tell()
-            f.write(struct.pack(">I", len(payload)) + payload + struct.pack(">I", zlib.crc32(payload)) + tail)
+            f.write(record(payload, tail))
             f.flush()
             os.fsync(f.fileno())
         return at
@@ -78,7 +90,7 @@ class AppendLog:
         n, more = 0, iter(tails)
         with open(self.path, "ab") as f:
             for payload in payloads:
-                f.write(struct.pack(">I", len(payload)) + payload + struct.pack(">I", zlib.crc32(payload)) + next(more, b""))
+                f.write(record(payload, next(more, b"")))
                 n += 1
             f.flush()
             os.fsync(f.fileno())
@@ -170,6 +182,43 @@ class WriteAheadLog(AppendLog):
             yield from ((json.loads(payload), n) for _, payload, _, n in records(f, self.kind) if n > start)
 
 
+def write_segments(rows: DataFrame, folder: str, payload: str, order: list[str], kind: str = "log") -> list[str]:
+    """Writes the payloads of all rows, text or binary, in their order as a log in segments; returns the segments' paths. A null payload is an
+    empty one. The folder is new and shared by driver and executors. A task that runs again replaces its segment; the driver gets a line
+    for each."""
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        name = f"{task.partitionId():08d}.{kind}"
+        temporary = os.path.join(folder, f".{name}.{task.taskAttemptId()}")
+        with open(temporary, "wb") as f:
+            f.write(MAGIC[kind] + bytes([VERSION]))
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    n += 1
+                    f.write(record(x or b"", struct.pack(">Q", n) if kind == "wal" else b""))
+            f.flush()
+            os.fsync(f.fileno())
+            size = f.tell() - HEADER
+        os.replace(temporary, os.path.join(folder, name))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], ["name", "records", "bytes"])
+
+    ordered = rows.select(F.col(payload).cast("binary").alias("payload"), *order).orderBy(*order).select("payload")
+    index, offset, lsn = [], HEADER, 0
+    for name, n, size in sorted(map(tuple, ordered.mapInArrow(run, "name string, records bigint, bytes bigint").collect())):
+        index.append({"name": name, "offset": offset, "lsn": lsn})
+        offset, lsn = offset + size, lsn + n
+    if not index:
+        index.append({"name": f"{0:08d}.{kind}", "offset": HEADER, "lsn": 0})
+        with open(os.path.join(folder, index[0]["name"]), "wb") as f:
+            f.write(MAGIC[kind] + bytes([VERSION]))
+    with open(os.path.join(folder, INDEX + ".new"), "w") as f:
+        json.dump(index, f)
+    os.replace(os.path.join(folder, INDEX + ".new"), os.path.join(folder, INDEX))
+    return [os.path.join(folder, x["name"]) for x in index]
+
+
 SCHEMA = "path string, offset bigint, payload binary, crc bigint, lsn bigint"
 
 
@@ -195,14 +244,18 @@ class LogReader(DataSourceReader):
         self.path, self.kind, self.start = options["path"], options.get("kind", "log"), int(options.get("start", 0))
 
     def partitions(self) -> list[InputPartition]:
-        """A file each."""
+        """A file each, with the offset and sequence number that it starts at."""
+        if os.path.exists(index := os.path.join(self.path, INDEX)):
+            with open(index) as f:
+                return [InputPartition((os.path.join(self.path, x["name"]), x["offset"], x["lsn"])) for x in json.load(f)]
         files = sorted(os.path.join(self.path, x) for x in os.listdir(self.path)) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(f) for f in files]
+        return [InputPartition((f, HEADER, 0)) for f in files]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
-            for at, payload, crc, lsn in records(f, self.kind, self.start):
-                yield partition.value, at, payload, crc, lsn
+        path, offset, first = partition.value
+        with open(path, "rb") as f:
+            for at, payload, crc, lsn in records(f, self.kind, self.start - offset + HEADER):
+                yield path, at - HEADER + offset, payload, crc, lsn + first
 
 
 class LogStream(SimpleDataSourceStreamReader):
