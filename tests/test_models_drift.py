@@ -294,3 +294,20 @@ def test_scalar_functions_on_any_ids_and_zone(spark, tmp_path):
             assert [r[0] for r in texts.select(SC.epoch_micros(F.col("t"))).collect()] == [1704164645000000] * 3 + [1704153600000000, 0, 0]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_top_features_of_a_row_without_a_shuffle(spark):
+    """The same as top_features over all values, ties, null vectors and NaN included; the plan has no exchange."""
+    import numpy as np
+
+    from tidemark.operators import explain as X
+
+    names = ["b", "a", "d", "c"]
+    rows = spark.createDataFrame([(1, [4.0, -1.0, 2.0, 3.0]), (2, [1.0, 1.0, -1.0, 1.0]), (3, None), (4, [0.0, 0.0, 0.0, 5.0]), (5, [float("nan"), 1.0, 2.0, 3.0])], "event_id bigint, vector array<double>")
+    explainer = X.KernelExplainer(lambda x: x.sum(axis=1), np.zeros((1, 4)), 64)
+    explainer.batch = lambda x, keys: (x.sum(axis=1), x)
+    got = X.explain(rows, explainer, names, top=2)
+    want = X.top_features(X.explain(rows, explainer, names), k=2)
+    pick = lambda df: sorted((r["event_id"], r["place"], r["feature"], repr(r["value"])) for r in df.collect())
+    assert pick(got) == pick(want) and len(pick(got)) == 10
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

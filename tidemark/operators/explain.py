@@ -87,12 +87,15 @@ def wls(z: np.ndarray, y: np.ndarray, w: np.ndarray, total: np.ndarray | None =
     return phi + step * ((total - phi.sum(axis=-1)) / step.sum(axis=-1))[..., None]
 
 
-def explain(df: DataFrame, explainer: KernelExplainer, features: list[str], key: str = "event_id", vector: str = "vector", keep: tuple[str, ...] = ()) -> DataFrame:
+def explain(df: DataFrame, explainer: KernelExplainer, features: list[str], key: str = "event_id", vector: str = "vector", keep: tuple[str, ...] = (), top: int | None = None) -> DataFrame:
     """key, baseline, prediction, feature, value and the row's columns to keep: one row per feature; prediction and value are null for a null
     vector. Rows are explained where they are, an Arrow batch at once, seeded by their key; keys may repeat or be null. The
-    explainer travels with the function, so its predict may be any callable."""
+    explainer travels with the function, so its predict may be any callable. With top, only so many features of a row go out, with
+    their place, in the order of top_features: nothing is shuffled for them."""
     rows = df.select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>").alias("_vector"), *keep)
     d = len(features)
+    names = np.array(list(features), dtype=object)
+    rank = np.argsort(np.array(sorted(range(d), key=lambda k: features[k].encode())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,17 +105,23 @@ def explain(df: DataFrame, explainer: KernelExplainer, features: list[str], key:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 keys = b.column(0).fill_null(0).to_numpy()[known]
                 prediction[known], values[known] = explainer.batch(x, keys)
-            each = b.take(pa.array(np.repeat(np.arange(len(b)), d)))
-            gone = np.repeat(~known, d)
+            if top is None:
+                chosen = np.tile(np.arange(d), (len(b), 1))
+            else:  # largest first, NaN before all, ties by name
+                size, nan = np.abs(values), np.isnan(values)
+                chosen = np.lexsort((np.broadcast_to(rank, size.shape), np.where(nan, 0.0, -size), ~nan), axis=-1)[:, :top]
+            n = chosen.shape[1]
+            each = b.take(pa.array(np.repeat(np.arange(len(b)), n)))
+            gone = np.repeat(~known, n)
             new = {
-                "baseline": pa.array(np.full(len(b) * d, explainer.baseline)),
-                "prediction": pa.array(np.repeat(prediction, d), mask=gone),
-                "feature": pa.array(list(features) * len(b), pa.string()),
-                "value": pa.array(values.ravel(), mask=gone),
-            }
+                "baseline": pa.array(np.full(len(b) * n, explainer.baseline)),
+                "prediction": pa.array(np.repeat(prediction, n), mask=gone),
+                "feature": pa.array(names[chosen.ravel()], pa.string()),
+                "value": pa.array(np.take_along_axis(values, chosen, axis=1).ravel(), mask=gone),
+            } | ({} if top is None else {"place": pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(b)))})
             yield pa.RecordBatch.from_arrays([each.column(0), *new.values(), *each.columns[2:]], [key, *new, *keep])
 
-    schema = T.StructType([rows.schema[0], *T.StructType.fromDDL("baseline double, prediction double, feature string, value double"), *rows.schema[2:]])
+    schema = T.StructType([rows.schema[0], *T.StructType.fromDDL("baseline double, prediction double, feature string, value double" + ("" if top is None else ", place int")), *rows.schema[2:]])
     return rows.mapInArrow(run, schema)
 
 

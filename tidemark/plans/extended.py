@@ -193,7 +193,7 @@ def shap_vector_23(spark: SparkSession, d: str) -> DataFrame:
     w = np.linspace(-1, 1, len(FEATURES))
     rows = features.features(transactions(spark, d)).select("event_id", features.vector().alias("vector"))
     explainer = explain.KernelExplainer(lambda x: np.tanh(x @ w / 1e4), np.zeros((1, len(FEATURES))), 64)
-    return explain.top_features(explain.explain(rows, explainer, list(FEATURES)), k=3).select("event_id", "place", "feature")
+    return explain.explain(rows, explainer, list(FEATURES), top=3).select("event_id", "place", "feature")
 
 
 @query(
