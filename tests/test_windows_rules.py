@@ -96,6 +96,45 @@ def test_small_batches_give_the_same(wide):
     assert [x[2] for x in small] == pytest.approx([x[2] for x in whole], abs=1e-6)
 
 
+def test_rows_that_a_window_holds_are_looked_at_twice(monkeypatch):
+    """One key, all rows within its windows, in small batches: what is looked at grows with the rows, not with rows times windows."""
+    import pyarrow as pa
+
+    looked, inner = [], W._batch_stats
+    monkeypatch.setattr(W, "_batch_stats", lambda table, *rest: looked.append(table.num_rows) or inner(table, *rest))
+    n = 4_000
+    table = pa.table({"k": ["d"] * n, "us": list(range(n)), "amount": [float(k % 7) for k in range(n)]})
+    stats = [("n", "count", "24h", None), ("total", "sum", "24h", None), ("freq", "freq", None, None)]
+    got = pa.Table.from_batches(list(W._stream_stats(iter(table.to_batches(max_chunksize=50)), ["k", "us", "amount", *(s[0] for s in stats)], "k", stats, "us", "amount")))
+    assert got["n"].to_pylist() == got["freq"].to_pylist() == list(range(1, n + 1))
+    assert got["total"].to_pylist()[-1] == sum(k % 7 for k in range(n))
+    assert sum(looked) <= 4 * n
+
+
+def test_pieces_cut_within_equal_times_give_what_streams_give(wide):
+    """Hot keys whose rows come in runs of equal times that are longer than a piece, beside single ones at the windows' bounds."""
+    r = random.Random(11)
+    times = [*[0] * 150, *[60 * S] * 90, *[3600 * S] * 60, *[3600 * S + 1] * 40, *(r.randint(-4000 * S, 180_000 * S) for _ in range(160))]
+    df = txns(wide, [(at, r.choice(["hot", "hot", "warm"]), r.choice([3.0, 49_000.25, round(r.random() * 100, 2)]), "A", "d") for at in times])
+    kinds = ("count", "sum", "mean", "std", "max", "min")
+    stats = [*((f"{k}_{w}", k, w, None) for w in W.LENGTHS for k in kinds), ("freq", "freq", None, None)]
+    want, got = ({x["event_id"]: x for x in W.sliding(df, "payer_vpa", stats, least=least).collect()} for least in (1 << 16, 16))
+    assert sorted(got) == sorted(want) == list(range(len(times)))
+    for k, x in want.items():
+        for name, kind, _, _ in stats:
+            assert got[k][name] == (x[name] if kind in ("count", "max", "min", "freq") else pytest.approx(x[name], rel=1e-9, abs=1e-5)), (k, name)
+
+
+def test_a_decision_by_models_takes_features_once(spark, sf, monkeypatch):
+    from tidemark.plans import catalogue, scoring
+
+    calls, inner = [], FT.features
+    monkeypatch.setattr(FT, "features", lambda *a, **o: calls.append(1) or inner(*a, **o))
+    monkeypatch.setattr(scoring, "features", FT.features)
+    out = catalogue.model_decisions(spark, sf, 200)
+    assert out.count() == 1_000 and len(calls) == 1
+
+
 def test_no_range_frame_is_in_the_plan(spark, sf):
     from tidemark.sources.transactions import transactions
 
