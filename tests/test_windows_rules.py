@@ -177,6 +177,19 @@ def test_hot_keys_of_several_columns(wide):
         assert {tuple(r) for r in got[k].collect()} == alone
 
 
+def test_devices_that_a_task_holds_are_not_cut(wide, monkeypatch):
+    """At many partitions a device of a few hundred thousand rows has two tasks' share, and is a stream all the same."""
+    from tidemark.operators import scan
+
+    rows = wide.range(140_000).select(F.lit("d").alias("a"), F.lit("u").alias("b"))
+    got = scan.hot_of(rows, ["a", "b"], leasts={"a": scan.MOST})
+    assert got["a"] is None and [tuple(r) for r in got["b"].collect()] == [tuple(r) for r in scan.hot_keys(rows, ["b"]).collect()] != []
+    asked, inner = [], FT.hot_of
+    monkeypatch.setattr(FT, "hot_of", lambda *a, **o: asked.append(o["leasts"]) or inner(*a, **o))
+    FT.features(txns(wide, [(0, "u", 1, "A", "d")]).selectExpr("*", "false AS is_new_device", "1.0D AS device_age_hours", "timestamp'2024-01-06 03:00:00' AS ts"))
+    assert asked == [{"device_id": scan.MOST, "payee_vpa": scan.MOST}]
+
+
 def test_moments_of_cut_keys_merge(wide):
     from tidemark.operators import scan
 
