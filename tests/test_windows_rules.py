@@ -190,6 +190,56 @@ def test_devices_that_a_task_holds_are_not_cut(wide, monkeypatch):
     assert asked == [{"device_id": scan.MOST, "payee_vpa": scan.MOST}]
 
 
+def test_degraded_decisions_take_only_what_rules_read(spark, sf, monkeypatch):
+    """Merchants and windows of a day decide nothing there; decisions are those that all features give."""
+    from tidemark.plans import extended, scoring
+    from tidemark.sources.transactions import transactions
+
+    taken, inner = [], W.sliding
+    for module in (W, FT):
+        monkeypatch.setattr(module, "sliding", lambda txns, key, stats, **o: taken.extend((key, s[0]) for s in stats) or inner(txns, key, stats, **o))
+    got = extended.decide_degraded(spark, sf)
+    assert sorted(taken) == [("device_id", "device_global_freq"), *(("payer_vpa", f"user_{c}") for c in ("amount_mean_1h", "amount_std_1h", "txn_count_1h", "txn_count_1m", "txn_count_5m", "unique_cities_1h"))]
+    taken.clear()
+    whole = scoring.decide(transactions(spark, sf), engine=RuleEngine(extended.LIMITS), mode="degraded").select("event_id", F.col("score").alias("risk_score"), "decision")
+    assert len(taken) == 17 - 1  # the z-score comes from mean and deviation
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_some_features_are_as_among_all(wide):
+    """Whatever is asked for: hot keys, unnamed users, two rows of one id."""
+    df, rows = bursty(wide, 7)
+    df = df.unionByName(df.filter("event_id = 3")).withColumns({"is_new_device": F.lit(False), "device_age_hours": F.lit(1.0), "ts": F.lit("2024-01-06 03:00:00").cast("timestamp")})
+    whole = FT.features(df)
+    engine = RuleEngine()
+    for only in ([], ["merchant_amount_mean_1h"], ["amount_zscore_1h", "hour_of_day"], ["user_unique_devices_24h", "payee_vpa"], engine.reads() - {"merchant_category_code"}):
+        some = FT.features(df, only)
+        assert set(some.columns) == {"event_id", *only}
+        ask = [c for c in whole.columns if c in some.columns]
+        assert sorted(map(str, some.select(ask).collect())) == sorted(map(str, whole.select(ask).collect())), only
+
+
+def test_places_of_hot_devices(wide):
+    df, rows = bursty(wide, 5)
+    stats = [("n", "freq", None, None)]
+    want = {k: sum((x[0], j) <= (r[0], k) for j, x in enumerate(rows) if x[4] == r[4]) for k, r in enumerate(rows)}
+    for least in (1 << 16, 8):
+        assert {r["event_id"]: r["n"] for r in W.sliding(df, "device_id", stats, least=least).collect()} == want
+
+
+def test_rules_of_another_making_may_read_anything(spark, sf):
+    from tidemark.plans import scoring
+    from tidemark.sources.transactions import transactions
+
+    engine = RuleEngine()
+    engine.add_rule("crowd", lambda limits: F.when(F.col("merchant_txn_count_1h") > 0, result("crowd", "review", F.lit("x"), 0.1)))
+    assert engine.reads() is None and RuleEngine(rules=[]).reads() == set()
+    out = scoring.decide(transactions(spark, sf), engine=engine, vectors=False)
+    assert "vector" not in out.columns and out.filter("NOT blocked AND NOT needs_review").count() == 0
+    with pytest.raises(ValueError, match="vectors"):
+        scoring.decide(transactions(spark, sf), lambda df: df, vectors=False)
+
+
 def test_moments_of_cut_keys_merge(wide):
     from tidemark.operators import scan
 

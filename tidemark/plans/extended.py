@@ -49,7 +49,7 @@ def decide_fail_closed(spark: SparkSession, d: str) -> DataFrame:
 @query("decide_degraded", f"WITH {RULED} SELECT event_id, round(CASE WHEN stop > 0 THEN 1.0 ELSE rule_score END, 4) AS risk_score, {_decisions('rule_score')} AS decision FROM decided")
 def decide_degraded(spark: SparkSession, d: str) -> DataFrame:
     """The rule score alone, whatever the model says."""
-    out = scoring.decide(transactions(spark, d), _partial_model, RuleEngine(LIMITS), "degraded")
+    out = scoring.decide(transactions(spark, d), _partial_model, RuleEngine(LIMITS), "degraded", vectors=False)
     return out.select("event_id", F.col("score").alias("risk_score"), "decision")
 
 
