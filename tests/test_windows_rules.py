@@ -177,6 +177,17 @@ def test_hot_keys_of_several_columns(wide):
         assert {tuple(r) for r in got[k].collect()} == alone
 
 
+def test_no_task_takes_all_keys_of_a_column(wide, monkeypatch):
+    from tidemark.operators import scan
+
+    plans, inner = [], type(wide.range(1)).collect
+    monkeypatch.setattr(type(wide.range(1)), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan()) or inner(df))
+    got = scan.hot_of(wide.range(1_000).select(F.when(F.col("id") < 500, "h").otherwise(F.col("id").cast("string")).alias("a"), F.lit("").alias("b")), ["a", "b"], 16)
+    plan = plans[0].toString().split("Initial Plan")[0]
+    assert [r["a"] for r in got["a"].collect()] == ["h"] and got["b"] is None
+    assert "Window" not in plan and "ReusedExchange" in plan
+
+
 def test_devices_that_a_task_holds_are_not_cut(wide, monkeypatch):
     """At many partitions a device of a few hundred thousand rows has two tasks' share, and is a stream all the same."""
     from tidemark.operators import scan
